@@ -31,7 +31,7 @@ def load_all() -> None:
     """Import the modules that register queries."""
     import importlib
 
-    for mod in ("q_traffic", "q_market", "q_sequences", "q_orders", "q_joins", "q_sources",
+    for mod in ("q_traffic", "q_market", "q_sequences", "q_patterns", "q_orders", "q_joins", "q_sources",
                 "q_streaming"):
         try:
             importlib.import_module(f"{__package__}.{mod}")

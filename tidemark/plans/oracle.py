@@ -21,6 +21,8 @@ VIEWS = {
          CASE WHEN event_type = 'view' THEN 'pv' ELSE event_type END AS behavior,
          ts, event_id AS seq
   FROM events)""",
+    "user_events": """user_events AS (
+  SELECT user_id, event_type, value, ts, event_id AS seq FROM events)""",
     "access_log": f"""access_log AS (
   SELECT CAST(e.user_id AS VARCHAR) AS user_id, e.ts, 'GET' AS method, p.url, e.event_id AS seq
   FROM events e JOIN pages p ON p.page_id = {ITEM.format(a='e.')} % 50)""",

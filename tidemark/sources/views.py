@@ -46,6 +46,12 @@ def user_behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw event stream per user: user_id, event_type, value, ts, seq."""
+    return _events(spark, sf_dir).select(
+        "user_id", "event_type", "value", "ts", F.col("event_id").alias("seq"))
+
+
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ApacheLogEvent(ip, user_id, ts, method, url, seq): every event is a GET of a page."""
     ev = _events(spark, sf_dir).select(
