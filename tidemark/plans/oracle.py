@@ -24,7 +24,8 @@ VIEWS = {
     "user_events": """user_events AS (
   SELECT user_id, event_type, value, ts, event_id AS seq FROM events)""",
     "access_log": f"""access_log AS (
-  SELECT CAST(e.user_id AS VARCHAR) AS user_id, e.ts, 'GET' AS method, p.url, e.event_id AS seq
+  SELECT printf('10.0.%d.%d', (e.user_id // 256) % 256, e.user_id % 256) AS ip,
+         CAST(e.user_id AS VARCHAR) AS user_id, e.ts, 'GET' AS method, p.url, e.event_id AS seq
   FROM events e JOIN pages p ON p.page_id = {ITEM.format(a='e.')} % 50)""",
     "marketing": """marketing AS (
   SELECT CAST(e.user_id AS VARCHAR) AS user_id,
@@ -38,7 +39,8 @@ VIEWS = {
                 JOIN nation n ON n.n_nationkey = c.c_nationkey
   WHERE e.event_type = 'click')""",
     "login": """login AS (
-  SELECT user_id, CASE WHEN event_type = 'error' THEN 'fail' ELSE 'success' END AS event_type,
+  SELECT user_id, printf('192.168.%d.%d', (user_id // 256) % 256, user_id % 256) AS ip,
+         CASE WHEN event_type = 'error' THEN 'fail' ELSE 'success' END AS event_type,
          ts, event_id AS seq
   FROM events)""",
     "order_events": """order_events AS (
