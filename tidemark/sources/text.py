@@ -21,7 +21,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_EPOCH = F.lit(_dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
+
+def _epoch() -> Column:
+    return F.lit(_dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
 
 # Fixed values of the log formats.
 ACCESS_TIME_FORMAT = "dd/MM/yyyy:HH:mm:ss"
@@ -84,7 +86,7 @@ def _typed(raw: Column, kind: str) -> Column:
     if kind == "string":
         return v
     if kind == "epoch_s":
-        return F.timestamp_add("SECOND", v.try_cast("long"), _EPOCH)
+        return F.timestamp_add("SECOND", v.try_cast("long"), _epoch())
     if kind == "access_time":
         return F.try_to_timestamp(v, F.lit(ACCESS_TIME_FORMAT)).cast("timestamp_ntz")
     raise ValueError(kind)
