@@ -17,8 +17,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.time import duration_us, ifloor, micros_to_ts, to_micros, ts_type
 
@@ -82,9 +83,28 @@ def window_aggregate(df: DataFrame, ts: str, keys, size, slide=None, aggs: dict
         p = F.col("_p")
         first = ifloor(p, s) + 1
         last = ifloor(p + k, s)
-        exploded = panes.select(F.explode(F.sequence(first, last)).alias("_w"), *keys,
-                                *[F.col(n) for n in aggs])
-        out = exploded.groupBy("_w", *keys).agg(*[a.merge(n) for n, a in aggs.items()])
+        # Windows are grouped into buckets of `per_bucket` consecutive ends.  A pane
+        # goes to the (at most two) buckets holding its windows, with its window
+        # range clipped to the bucket; pane aggregates are shuffled once by
+        # (bucket, keys) and every later step is local to that partitioning.
+        per_bucket = max(8 * (-(-k // s)), 64)
+        vals = [F.col(n) for n in aggs]
+        wb = F.col("_wb")
+        panes = panes.select(
+            F.explode(F.sequence(ifloor(first, per_bucket), ifloor(last, per_bucket))).alias("_wb"),
+            first.alias("_e1"), last.alias("_e2"), *keys, *vals)
+        panes = panes.withColumn("_lo", F.greatest(F.col("_e1"), wb * per_bucket)) \
+                     .withColumn("_hi", F.least(F.col("_e2"), wb * per_bucket + (per_bucket - 1)))
+        panes = panes.repartition("_wb", *keys)
+        if _sweepable(df, aggs):
+            count_name = next((n for n, a in aggs.items() if a.kind == "count" and a.column is None), None)
+            if count_name is None:
+                raise AssertionError("sweep needs a row count")
+            out = _sweep(panes, keys, list(aggs), count_name)
+        else:
+            exploded = panes.select("_wb", F.explode(F.sequence("_lo", "_hi")).alias("_w"), *keys, *vals)
+            out = exploded.groupBy("_wb", "_w", *keys).agg(*[a.merge(n) for n, a in aggs.items()]) \
+                .drop("_wb")
         end_us = F.col("_w") * F.lit(slide_us)
 
     return out.select(
@@ -95,6 +115,47 @@ def window_aggregate(df: DataFrame, ts: str, keys, size, slide=None, aggs: dict
     )
 
 
+def _sweepable(df: DataFrame, aggs: dict) -> bool:
+    """Counts and integral sums can be rebuilt from +/- deltas exactly (a row
+    count must be among them: it tells which windows are non-empty)."""
+    integral = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+    if not any(a.kind == "count" and a.column is None for a in aggs.values()):
+        return False
+    for a in aggs.values():
+        if a.kind == "count":
+            continue
+        if a.kind == "sum" and a.column in df.columns and isinstance(df.schema[a.column].dataType, integral):
+            continue
+        return False
+    return True
+
+
+def _sweep(panes: DataFrame, keys: list[str], names: list[str], count_name: str) -> DataFrame:
+    """Window aggregates by a sweep over window ends instead of a group-by.
+
+    Each clipped pane adds its value at its first window end and removes it after
+    its last; the running total is constant between consecutive change points, so
+    every non-empty segment expands directly into its output rows.  Only about two
+    delta rows per pane are sorted; the (window, key) rows are never aggregated.
+    """
+    deltas = panes.select(
+        "_wb", *keys,
+        F.explode(F.array(
+            F.struct(F.col("_lo").alias("_e"), *[F.col(n).cast("long").alias(n) for n in names]),
+            F.struct((F.col("_hi") + 1).alias("_e"), *[(-F.col(n)).cast("long").alias(n) for n in names]),
+        )).alias("_d"))
+    deltas = deltas.select("_wb", *keys, "_d.*")
+    per_point = deltas.groupBy("_wb", *keys, "_e").agg(*[F.sum(n).alias(n) for n in names])
+    w = Window.partitionBy("_wb", *keys).orderBy("_e")
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    levels = per_point.select(
+        *keys, "_e", F.lead("_e").over(w).alias("_next"),
+        *[F.sum(n).over(running).alias(n) for n in names])
+    live = levels.where(F.col("_next").isNotNull() & (F.col(count_name) > 0))
+    return live.select(F.explode(F.sequence(F.col("_e"), F.col("_next") - 1)).alias("_w"), *keys,
+                       *[F.col(n) for n in names])
+
+
 def sliding_count(df: DataFrame, ts: str, keys, size, slide, *, count_col: str = "cnt") -> DataFrame:
     return window_aggregate(df, ts, keys, size, slide, {count_col: Agg("count")})
 
