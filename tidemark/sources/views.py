@@ -24,7 +24,10 @@ AD_MODULUS = 5             # ad_id = k % 5
 CATEGORY_MODULUS = 10      # category_id = item_id % 10
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
+    if streaming:
+        from ..streaming.runner import stream_table
+        return stream_table(spark, sf_dir, "events")
     return read_table(spark, sf_dir, "events")
 
 
@@ -32,9 +35,9 @@ def _item(props_col: str = "props"):
     return F.get_json_object(F.col(props_col), ITEM_JSON_PATH).cast("long")
 
 
-def user_behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
+def user_behavior(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """UserBehavior(user_id, item_id, category_id, behavior, ts, seq); views are 'pv'."""
-    ev = _events(spark, sf_dir)
+    ev = _events(spark, sf_dir, streaming)
     item = _item()
     return ev.select(
         F.col("user_id"),
@@ -87,9 +90,9 @@ def marketing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ad_click(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ad_click(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """AdClickEvent(user_id, ad_id, province, city, ts, seq) from click events."""
-    ev = (_events(spark, sf_dir)
+    ev = (_events(spark, sf_dir, streaming)
           .where(F.col("event_type") == "click")
           .select("user_id", "ts", "event_id", (_item() % AD_MODULUS).alias("ad_id")))
     cust = read_table(spark, sf_dir, "customer").select(
@@ -100,9 +103,9 @@ def ad_click(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("user_id", "ad_id", "province", "city", "ts", F.col("event_id").alias("seq")))
 
 
-def login(spark: SparkSession, sf_dir: str) -> DataFrame:
+def login(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """LoginEvent(user_id, ip, event_type in {fail, success}, ts, seq); errors are failures."""
-    ev = _events(spark, sf_dir)
+    ev = _events(spark, sf_dir, streaming)
     return ev.select(
         "user_id",
         F.format_string("192.168.%d.%d", (F.col("user_id") / 256).cast("long") % 256,

@@ -177,7 +177,8 @@ class OrderedLoginProcessor(StatefulProcessor):
             df = df[df["ev_us"] > wm_us] if wm_us > 0 else df   # late rows are dropped
             if len(df):
                 self.buf.appendList(list(zip(df["ev_us"].tolist(), df["seq"].tolist(), df["fail"].tolist())))
-                self.handle.registerTimer(int(df["ev_us"].max()) // 1000 + 1)
+                # Fire as soon as the earliest buffered event is behind the watermark.
+                self.handle.registerTimer(int(df["ev_us"].min()) // 1000 + 1)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues: TimerValues,
@@ -217,7 +218,7 @@ class OrderedLoginProcessor(StatefulProcessor):
         self.buf.put(rest) if rest else self.buf.clear()
         self.run.update((in_run, open_, t0, n, last, prev_us, prev_fail))
         if rest:
-            self.handle.registerTimer(max(e[0] for e in rest) // 1000 + 1)
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
         if self.mode == "burst" and open_:
             self.handle.registerTimer((t0 + self.within_us) // 1000 + 1)
         if out:
