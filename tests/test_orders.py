@@ -69,3 +69,14 @@ def test_interval_bounds_inclusive(spark):
     recs = frame(spark, [("t1", "wechat", 105, 1), ("t2", "alipay", 106, 2)],
                  "tx_id string, pay_channel string, ts long, seq long")
     assert [r.tx_id for r in tx_pairs(pays, recs, "5 seconds").collect()] == ["t1"]
+
+
+def test_unmatched_receipts_do_not_need_unique_ids(spark):
+    from conftest import frame
+    pays = frame(spark, [(1, "pay", "t1", 100, 1)],
+                 "order_id long, event_type string, tx_id string, ts long, seq long")
+    # Two receipts of one tx share a seq: one inside the bound, one far outside.
+    recs = frame(spark, [("t1", "wechat", 103, 7), ("t1", "alipay", 900, 7)],
+                 "tx_id string, pay_channel string, ts long, seq long")
+    assert [r.pay_channel for r in tx_unmatched_receipts(pays, recs, "5 seconds").collect()] == ["alipay"]
+    assert tx_unmatched_pays(pays, recs, "5 seconds").count() == 0

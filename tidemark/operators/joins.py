@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import duration_us, ifloor, to_micros
@@ -22,6 +22,12 @@ from ..functions.time import duration_us, ifloor, to_micros
 RECONCILE_BOUND = "5 seconds"
 
 
+def _range_buckets(df: DataFrame, us: Column, lo: int, hi: int, width: int) -> DataFrame:
+    """Copy each row to the buckets of width ``width`` that [us + lo, us + hi] touches."""
+    return df.withColumn("_b", F.explode(F.sequence(ifloor(us + F.lit(lo), width),
+                                                    ifloor(us + F.lit(hi), width))))
+
+
 def interval_join(left: DataFrame, right: DataFrame, key: str, lower, upper, *,
                   left_ts: str = "ts", right_ts: str = "ts", bucket=None,
                   left_prefix: str = "l_", right_prefix: str = "r_") -> DataFrame:
@@ -36,8 +42,7 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, lower, upper, *,
     rcols = [c for c in right.columns if c != key]
     l2 = left.select(F.col(key), *[F.col(c).alias(left_prefix + c) for c in lcols],
                      lus.alias("_lus"))
-    l2 = l2.withColumn("_b", F.explode(F.sequence(ifloor(F.col("_lus") + F.lit(lo), width),
-                                                  ifloor(F.col("_lus") + F.lit(hi), width))))
+    l2 = _range_buckets(l2, F.col("_lus"), lo, hi, width)
     r2 = right.select(F.col(key), *[F.col(c).alias(right_prefix + c) for c in rcols],
                       rus.alias("_rus"))
     r2 = r2.withColumn("_b", ifloor(F.col("_rus"), width))
@@ -46,6 +51,24 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, lower, upper, *,
     return j.drop("_b", "_lus", "_rus")
 
 
+def interval_anti_join(left: DataFrame, right: DataFrame, key: str, lower, upper, *,
+                       left_ts: str = "ts", right_ts: str = "ts", bucket=None) -> DataFrame:
+    """Rows of ``left`` with no ``right`` row of the same key in [l.ts + lower, l.ts + upper].
+
+    Left rows keep a single bucket (so each appears once); right rows are copied
+    to the buckets of the left times they can match, [r.ts - upper, r.ts - lower].
+    """
+    lo, hi = duration_us(lower), duration_us(upper)
+    width = duration_us(bucket) if bucket is not None else max(hi - lo, 1)
+    l2 = left.withColumn("_lus", to_micros(left, left_ts))
+    l2 = l2.withColumn("_b", ifloor(F.col("_lus"), width))
+    r2 = right.select(F.col(key).alias("_rk"), to_micros(right, right_ts).alias("_rus"))
+    r2 = _range_buckets(r2, F.col("_rus"), -hi, -lo, width).withColumnRenamed("_b", "_rb")
+    cond = ((l2[key] == r2["_rk"]) & (l2["_b"] == r2["_rb"])
+            & (r2["_rus"] >= l2["_lus"] + F.lit(lo)) & (r2["_rus"] <= l2["_lus"] + F.lit(hi)))
+    return l2.join(r2, cond, "left_anti").drop("_b", "_lus")
+
+
 def _pays(order_events: DataFrame) -> DataFrame:
     # Only pays carry a transaction id; creates are dropped before matching.
     return order_events.where(F.col("tx_id") != "").select(
@@ -68,18 +91,16 @@ def tx_pairs(order_events: DataFrame, receipts: DataFrame, bound=RECONCILE_BOUND
 
 def tx_unmatched_pays(order_events: DataFrame, receipts: DataFrame, bound=RECONCILE_BOUND) -> DataFrame:
     """Pays with no receipt inside the bound: tx_id, order_id, ts, seq."""
-    pairs = tx_pairs(order_events, receipts, bound).select(
-        "tx_id", F.col("pay_seq").alias("seq")).distinct()
-    return _pays(order_events).join(pairs, ["tx_id", "seq"], "left_anti") \
-        .select("tx_id", "order_id", "ts", "seq")
+    b = dt.timedelta(microseconds=duration_us(bound))
+    pays = _pays(order_events).select("tx_id", "order_id", "ts", "seq")
+    return interval_anti_join(pays, receipts.select("tx_id", "ts"), "tx_id", -b, b)
 
 
 def tx_unmatched_receipts(order_events: DataFrame, receipts: DataFrame, bound=RECONCILE_BOUND) -> DataFrame:
     """Receipts with no pay inside the bound: tx_id, pay_channel, ts, seq."""
-    pairs = tx_pairs(order_events, receipts, bound).select(
-        "tx_id", F.col("receipt_seq").alias("seq")).distinct()
-    return receipts.select("tx_id", "pay_channel", "ts", "seq") \
-        .join(pairs, ["tx_id", "seq"], "left_anti")
+    b = dt.timedelta(microseconds=duration_us(bound))
+    rec = receipts.select("tx_id", "pay_channel", "ts", "seq")
+    return interval_anti_join(rec, _pays(order_events).select("tx_id", "ts"), "tx_id", -b, b)
 
 
 def tx_reconcile(order_events: DataFrame, receipts: DataFrame, bound=RECONCILE_BOUND) -> DataFrame:

@@ -61,11 +61,12 @@ def login_fail_burst(df: DataFrame, window=WITHIN, min_fails: int = 2,
     w_us = duration_us(window)
     is_fail = F.col("event_type") == FAIL
     tl = Timeline(df, "user_id", bucket=bucket)
+    # Level 1: previous event and next success; level 2: the run start of each row.
     tl.prior("_prev", fields=["event_type"])
-    tl.df = tl.df.withColumn(
-        "_run_start", is_fail & (F.col("_prev").isNull() | (F.col("_prev.event_type") != FAIL)))
     tl.following("_next_ok", pred=F.col("event_type") == SUCCESS)
-    tl.df = tl.df.withColumn("_ok_us", F.col("_next_ok.us"))
+    tl.df = tl.df.withColumn(
+        "_run_start", is_fail & (F.col("_prev").isNull() | (F.col("_prev.event_type") != FAIL))) \
+        .withColumn("_ok_us", F.col("_next_ok.us"))
     tl.prior("_start", fields=["ts", "_ok_us"], pred=F.col("_run_start"), inclusive=True)
     d = tl.result().where(is_fail & (F.col("_us") <= F.col("_start.us") + F.lit(w_us)))
     runs = d.groupBy("user_id", F.col("_start").alias("_start")).agg(

@@ -166,6 +166,7 @@ def seq_iterative(df: DataFrame, keys, pred: Column, value: str, bucket=DEFAULT_
                   bucket=bucket)
     tl.running_sum("_s", F.when(hit, F.col("_v")).otherwise(F.lit(0).cast(dec)))
     tl.running_sum("_c", hit.cast("long"))
+    tl.df = tl.df  # resolve the sums: the next scan reads them
     # Totals just before the run's first event, taken from the last non-matching event.
     tl.prior("_base", fields=["_s", "_c"], pred=~hit, inclusive=True)
     d = tl.result().where(hit)

@@ -10,13 +10,19 @@ Here the order is cut into time buckets: window functions are partitioned by
 ``(key, bucket)``, and whatever a bucket needs from earlier or later buckets is
 *carried* through a small per-(key, bucket) summary:
 
-* the summary is a partial aggregation (``max``/``min`` of a struct that starts
-  with ``(us, seq)``, or ``sum``), so a hot key is combined map-side;
+* the summary is a partial aggregation per (key, bucket) (``max``/``min`` of a
+  struct that starts with ``(us, seq)``, or ``sum``);
 * a window over the summary (one row per non-empty bucket of a key, bounded by
-  the time span / bucket width, not by the data volume) shifts the value to the
-  neighbouring buckets;
-* it is joined back on ``(key, bucket)``; the big side is already hash
-  partitioned on those columns by its window, so only the summary moves.
+  the time span / bucket width, not by the data volume) shifts each value to
+  the neighbouring buckets;
+* it is joined back on ``(key, bucket)``.
+
+Scans that do not depend on each other are resolved together as one *level*:
+one window pass over the ``(key, bucket)`` partitioning (one shuffle of the
+frame) plus one summary aggregation (partial aggregation before its shuffle, so
+only about one row per (key, bucket, map task) moves).  The summary branch reads
+the level's input a second time -- a column-pruned pass, not a second shuffle of
+the frame.  The operators use at most two levels.
 
 Results are exact for any bucket width; the width only trades task size
 against summary size.
@@ -24,6 +30,8 @@ against summary size.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +41,20 @@ DEFAULT_BUCKET = "1 hour"
 US = "_us"
 
 
+@dataclass
+class _Scan:
+    kind: str            # prior | following | running
+    out: str
+    value: Column        # candidate struct (or null), or the summand
+    inclusive: bool = False
+
+
 class Timeline:
-    """A DataFrame with keys, an event time and a tie-break ``seq``, plus bucket columns."""
+    """A DataFrame with keys, an event time and a tie-break ``seq``, plus bucket columns.
+
+    ``prior``/``following``/``running_sum`` queue scans; the queued scans are
+    resolved together when ``df`` or ``result()`` is read.
+    """
 
     def __init__(self, df: DataFrame, keys, ts: str = "ts", seq: str = "seq",
                  bucket=DEFAULT_BUCKET):
@@ -42,81 +62,92 @@ class Timeline:
         self.ts, self.seq = ts, seq
         self.bucket_us = duration_us(bucket)
         us = to_micros(df, ts)
-        self.df = df.withColumn(US, us).withColumn("_b", ifloor(F.col(US), self.bucket_us))
-        self._n = 0
+        self._df = df.withColumn(US, us).withColumn("_b", ifloor(F.col(US), self.bucket_us))
+        self._pending: list[_Scan] = []
 
-    # -- helpers -----------------------------------------------------------------
+    @property
+    def df(self) -> DataFrame:
+        self._resolve()
+        return self._df
 
-    def _tmp(self, stem: str) -> str:
-        self._n += 1
-        return f"_{stem}{self._n}"
+    @df.setter
+    def df(self, value: DataFrame) -> None:
+        self._resolve()
+        self._df = value
 
     def event(self, *fields: str) -> Column:
         """Struct of the current row, ordered by (us, seq) first."""
         return F.struct(F.col(US).alias("us"), F.col(self.seq).alias("seq"),
                         *[F.col(f).alias(f) for f in fields])
 
-    def _in_bucket(self, descending: bool = False):
-        order = [F.col(US).desc(), F.col(self.seq).desc()] if descending else [F.col(US), F.col(self.seq)]
-        return Window.partitionBy(*self.keys, "_b").orderBy(*order)
-
-    def _carry(self, summary_value: Column, agg, shift_window, pick) -> DataFrame:
-        """Summary per (key, bucket) shifted to neighbouring buckets."""
-        name = self._tmp("s")
-        summary = self.df.groupBy(*self.keys, "_b").agg(agg(summary_value).alias(name))
-        carried = self._tmp("c")
-        return summary.select(*self.keys, "_b", pick(F.col(name)).over(shift_window).alias(carried)), carried
-
-    # -- primitives --------------------------------------------------------------
+    # -- queued scans --------------------------------------------------------------
 
     def prior(self, out: str, fields=(), pred: Column | None = None, inclusive: bool = False) -> "Timeline":
         """``out`` = struct(us, seq, *fields) of the nearest earlier row matching ``pred``."""
         value = self.event(*fields)
-        cand = value if pred is None else F.when(pred, value)
-        end = Window.currentRow if inclusive else -1
-        local = F.last(cand, ignorenulls=True).over(
-            self._in_bucket().rowsBetween(Window.unboundedPreceding, end))
-        shift = Window.partitionBy(*self.keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        summary, carried = self._carry(cand, F.max, shift, lambda c: F.last(c, ignorenulls=True))
-        tmp = self._tmp("l")
-        self.df = (self.df.withColumn(tmp, local)
-                   .join(summary, [*self.keys, "_b"], "left")
-                   .withColumn(out, F.coalesce(F.col(tmp), F.col(carried)))
-                   .drop(tmp, carried))
+        self._pending.append(_Scan("prior", out, value if pred is None else F.when(pred, value), inclusive))
         return self
 
     def following(self, out: str, fields=(), pred: Column | None = None, inclusive: bool = False) -> "Timeline":
-        """``out`` = struct(us, seq, *fields) of the nearest later row matching ``pred``.
-
-        Scans in descending order with a growing frame (linear time), instead of an
-        unbounded-following frame.
-        """
+        """``out`` = struct(us, seq, *fields) of the nearest later row matching ``pred``."""
         value = self.event(*fields)
-        cand = value if pred is None else F.when(pred, value)
-        end = Window.currentRow if inclusive else -1
-        local = F.last(cand, ignorenulls=True).over(
-            self._in_bucket(descending=True).rowsBetween(Window.unboundedPreceding, end))
-        shift = Window.partitionBy(*self.keys).orderBy(F.col("_b").desc()) \
-            .rowsBetween(Window.unboundedPreceding, -1)
-        summary, carried = self._carry(cand, F.min, shift, lambda c: F.last(c, ignorenulls=True))
-        tmp = self._tmp("n")
-        self.df = (self.df.withColumn(tmp, local)
-                   .join(summary, [*self.keys, "_b"], "left")
-                   .withColumn(out, F.coalesce(F.col(tmp), F.col(carried)))
-                   .drop(tmp, carried))
+        self._pending.append(_Scan("following", out, value if pred is None else F.when(pred, value), inclusive))
         return self
 
     def running_sum(self, out: str, value: Column) -> "Timeline":
         """``out`` = sum of ``value`` over all rows of the key up to and including this one."""
-        local = F.sum(value).over(self._in_bucket().rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        shift = Window.partitionBy(*self.keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        summary, carried = self._carry(value, F.sum, shift, F.sum)
-        tmp = self._tmp("r")
-        self.df = (self.df.withColumn(tmp, local)
-                   .join(summary, [*self.keys, "_b"], "left")
-                   .withColumn(out, F.col(tmp) + F.coalesce(F.col(carried), F.lit(0)))
-                   .drop(tmp, carried))
+        self._pending.append(_Scan("running", out, value))
         return self
 
     def result(self) -> DataFrame:
         return self.df.drop("_b")
+
+    # -- resolution ----------------------------------------------------------------
+
+    def _resolve(self) -> None:
+        if not self._pending:
+            return
+        scans, self._pending = self._pending, []
+        keys = self.keys
+        base = self._df
+        asc = Window.partitionBy(*keys, "_b").orderBy(F.col(US), F.col(self.seq))
+        desc = Window.partitionBy(*keys, "_b").orderBy(F.col(US).desc(), F.col(self.seq).desc())
+        up = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        down = Window.partitionBy(*keys).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+
+        summary_aggs, shifted, local = [], [], []
+        for i, sc in enumerate(scans):
+            s, c, t = f"_s{i}", f"_c{i}", f"_t{i}"
+            if sc.kind == "prior":
+                summary_aggs.append(F.max(sc.value).alias(s))
+                shifted.append(F.last(F.col(s), ignorenulls=True).over(up).alias(c))
+                end = Window.currentRow if sc.inclusive else -1
+                local.append((t, F.last(sc.value, ignorenulls=True).over(
+                    asc.rowsBetween(Window.unboundedPreceding, end))))
+            elif sc.kind == "following":
+                # Descending order with a growing frame: linear, unlike an
+                # unbounded-following frame.
+                summary_aggs.append(F.min(sc.value).alias(s))
+                shifted.append(F.last(F.col(s), ignorenulls=True).over(down).alias(c))
+                end = Window.currentRow if sc.inclusive else -1
+                local.append((t, F.last(sc.value, ignorenulls=True).over(
+                    desc.rowsBetween(Window.unboundedPreceding, end))))
+            else:
+                summary_aggs.append(F.sum(sc.value).alias(s))
+                shifted.append(F.sum(F.col(s)).over(up).alias(c))
+                local.append((t, F.sum(sc.value).over(
+                    asc.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+
+        summary = base.groupBy(*keys, "_b").agg(*summary_aggs)
+        carried = summary.select(*keys, "_b", *shifted)
+        main = base
+        for t, expr in local:
+            main = main.withColumn(t, expr)
+        main = main.join(carried, [*keys, "_b"], "left")
+        for i, sc in enumerate(scans):
+            t, c = F.col(f"_t{i}"), F.col(f"_c{i}")
+            if sc.kind == "running":
+                main = main.withColumn(sc.out, t + F.coalesce(c, F.lit(0)))
+            else:
+                main = main.withColumn(sc.out, F.coalesce(t, c))
+        self._df = main.drop(*[f"_t{i}" for i in range(len(scans))], *[f"_c{i}" for i in range(len(scans))])

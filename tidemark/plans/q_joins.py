@@ -36,26 +36,27 @@ def tx_matched(spark, sf_dir):
         .where("tag = 'matched'").drop("tag")
 
 
-@register("tx_unmatched_pays", _sql(
-    "SELECT tx_id, order_id, ts, seq FROM pays p "
-    "WHERE NOT EXISTS (SELECT 1 FROM pairs x WHERE x.tx_id = p.tx_id AND x.pay_seq = p.seq)"))
+_NO_RECEIPT = (f"NOT EXISTS (SELECT 1 FROM receipts r WHERE r.tx_id = p.tx_id "
+               f"AND epoch_us(r.ts) BETWEEN epoch_us(p.ts) - {B} AND epoch_us(p.ts) + {B})")
+_NO_PAY = (f"NOT EXISTS (SELECT 1 FROM pays p WHERE p.tx_id = r.tx_id "
+           f"AND epoch_us(r.ts) BETWEEN epoch_us(p.ts) - {B} AND epoch_us(p.ts) + {B})")
+
+
+@register("tx_unmatched_pays", _sql(f"SELECT tx_id, order_id, ts, seq FROM pays p WHERE {_NO_RECEIPT}"))
 def tx_unmatched_pays(spark, sf_dir):
     return joins.tx_unmatched_pays(views.order_events(spark, sf_dir), views.receipts(spark, sf_dir), BOUND)
 
 
-@register("tx_unmatched_receipts", _sql(
-    "SELECT tx_id, pay_channel, ts, seq FROM receipts r "
-    "WHERE NOT EXISTS (SELECT 1 FROM pairs x WHERE x.tx_id = r.tx_id AND x.receipt_seq = r.seq)"))
+@register("tx_unmatched_receipts", _sql(f"SELECT tx_id, pay_channel, ts, seq FROM receipts r WHERE {_NO_PAY}"))
 def tx_unmatched_receipts(spark, sf_dir):
     return joins.tx_unmatched_receipts(views.order_events(spark, sf_dir), views.receipts(spark, sf_dir), BOUND)
 
 
 @register("tx_reconcile", _sql(
     "SELECT *, 'matched' AS tag FROM pairs UNION ALL "
-    "SELECT tx_id, order_id, ts, seq, NULL, NULL, NULL, 'unmatched_pay' FROM pays p "
-    "WHERE NOT EXISTS (SELECT 1 FROM pairs x WHERE x.tx_id = p.tx_id AND x.pay_seq = p.seq) UNION ALL "
-    "SELECT tx_id, NULL, NULL, NULL, pay_channel, ts, seq, 'unmatched_receipt' FROM receipts r "
-    "WHERE NOT EXISTS (SELECT 1 FROM pairs x WHERE x.tx_id = r.tx_id AND x.receipt_seq = r.seq)"))
+    f"SELECT tx_id, order_id, ts, seq, NULL, NULL, NULL, 'unmatched_pay' FROM pays p WHERE {_NO_RECEIPT} "
+    "UNION ALL "
+    f"SELECT tx_id, NULL, NULL, NULL, pay_channel, ts, seq, 'unmatched_receipt' FROM receipts r WHERE {_NO_PAY}"))
 def tx_reconcile(spark, sf_dir):
     return joins.tx_reconcile(views.order_events(spark, sf_dir), views.receipts(spark, sf_dir), BOUND)
 

@@ -7,7 +7,8 @@ tables are left to the planner, which broadcasts a side only when its measured
 size is under ``spark.sql.autoBroadcastJoinThreshold`` (and AQE re-plans from
 runtime sizes); otherwise it shuffles.
 
-``seq`` is a unique arrival number used as the tie-break after event time.
+``seq`` is the arrival number used as the tie-break after event time (unique
+except for receipts, where an order may have several second line items).
 """
 
 from __future__ import annotations
@@ -141,7 +142,10 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ReceiptEvent(tx_id, pay_channel, ts, seq): second line items acknowledge payment."""
+    """ReceiptEvent(tx_id, pay_channel, ts, seq): second line items acknowledge payment.
+
+    seq = the order key; it orders receipts but does not identify one.
+    """
     return (read_table(spark, sf_dir, "lineitem")
             .where(F.col("l_linenumber") == 2)
             .select(F.concat(F.lit("tx"), F.col("l_orderkey").cast("string")).alias("tx_id"),
