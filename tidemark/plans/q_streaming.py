@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..sources import views
 from ..streaming import processors as SP
 from ..streaming import windows as SW
-from ..streaming.runner import run_to_table
+from ..streaming import sinks
+from ..streaming.runner import run_batches_to_table, run_to_table
 from . import oracle as O
 from .catalog import register
 from .q_sequences import _burst_sql, _pairs_sql
@@ -50,6 +51,18 @@ def stream_item_window_counts(spark, sf_dir):
                                                "5 minutes"), "item_window_counts")
 
 
+@register("stream_hot_items_topn",
+          "SELECT * FROM (" + O.topn_sql("user_behavior", "behavior = 'pv'", "item_id", "60 minutes",
+                                         "5 minutes", 3)
+          + ") t WHERE window_end <= " + _wm("events", "event_type = 'view'"))
+def stream_hot_items_topn(spark, sf_dir):
+    # Closed windows arrive complete in one micro-batch (append mode), so each batch
+    # is ranked in batch mode by foreachBatch.
+    counts = SW.stream_window_count(_views(spark, sf_dir), "ts", ["item_id"], "60 minutes", "5 minutes")
+    return run_batches_to_table(
+        counts, lambda path: sinks.topn_batches(path, "window_end", "cnt", "item_id", 3), "hot_items_topn")
+
+
 AD_SLIDE_US = O.us("30 seconds")
 
 

@@ -34,3 +34,15 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
+
+
+def run_batches_to_table(df: DataFrame, make_fn, name: str, mode: str = "append") -> DataFrame:
+    """Like :func:`run_to_table` for a ``foreachBatch`` sink: ``make_fn(path)`` returns the
+    batch function that writes each micro-batch under ``path``."""
+    from .sinks import start_batches
+    spark = df.sparkSession
+    base = os.path.join(checkpoint_root(spark), "streams", f"{name}-{uuid.uuid4().hex}")
+    out, ck = os.path.join(base, "out"), os.path.join(base, "checkpoint")
+    q = start_batches(df, make_fn(out), ck, mode)
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
