@@ -142,3 +142,39 @@ def test_stream_tx_reconcile(spark):
     # Unmatched rows appear once the watermark has passed them.
     assert sum(r.tag == "unmatched_pay" for r in rows) <= 35
     assert sum(r.tag == "unmatched_receipt" for r in rows) <= 35
+
+
+def test_stream_order_timeouts(spark):
+    od = _split_lines(os.path.join(DATA, "OrderLog.csv"), 3)
+    orders = text.accepted(text.parse(text.read_lines(spark, od, streaming=True), "order"))
+    _run_memory(SJ.stream_order_timeouts(orders, "15 minutes"), "order_stream")
+    rows = spark.table("order_stream").collect()
+    payed = {r.order_id for r in rows if r.result == "payed success"}
+    timeouts = {r.order_id for r in rows if r.result == "timeout"}
+    assert payed == set(range(34729, 34767)) - {34756}
+    # A create times out once the global watermark -- the minimum over the two
+    # inputs -- passes create + 15 min; here the creates' watermark stops earlier.
+    assert timeouts <= {34756, 34767}
+
+
+def test_click_cap_processing_time_reset(spark, tmp_path):
+    # A pending processing-time timer keeps the query scheduling batches until it
+    # fires (next midnight), so run on a trigger and stop once the rows are out.
+    import time
+    d = tmp_path / "clicks"
+    d.mkdir()
+    (d / "a.csv").write_text("\n".join(f"9,1,P,C,{100 + i}" for i in range(4)) + "\n")
+    clicks = text.accepted(text.parse(text.read_lines(spark, str(d), streaming=True), "ad_click")) \
+        .withColumn("seq", F.lit(0).cast("long"))
+    q = (SP.stream_click_cap(clicks, 2, reset=None, processing_reset=True).writeStream
+         .format("memory").queryName("capped_pt").outputMode("append")
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="tm-ck-"))
+         .trigger(processingTime="1 second").start())
+    try:
+        deadline = time.time() + 90
+        while time.time() < deadline and spark.table("capped_pt").count() < 3:
+            time.sleep(1)
+    finally:
+        q.stop()
+    tags = sorted(r.tag for r in spark.table("capped_pt").collect())
+    assert tags == ["blacklist", "main", "main"]

@@ -63,6 +63,21 @@ def stream_hot_items_topn(spark, sf_dir):
         counts, lambda path: sinks.topn_batches(path, "window_end", "cnt", "item_id", 3), "hot_items_topn")
 
 
+LATE_US = O.us("61 seconds")
+
+
+@register("stream_hot_urls_topn_hourly",
+          "SELECT * FROM (" + O.topn_sql("access_log", "", "url", "1 day", "1 hour", 5)
+          + ") t WHERE window_end <= " + _wm("events", "", LATE_US))
+def stream_hot_urls_topn_hourly(spark, sf_dir):
+    # Out-of-orderness bound 1 s plus 60 s allowed lateness = a 61 s watermark delay;
+    # each window is ranked once, after its lateness has passed.
+    access = views.access_log(spark, sf_dir, streaming=True)
+    counts = SW.stream_window_count(access, "ts", ["url"], "1 day", "1 hour", delay="61 seconds")
+    return run_batches_to_table(
+        counts, lambda path: sinks.topn_batches(path, "window_end", "cnt", "url", 5), "hot_urls_topn")
+
+
 AD_SLIDE_US = O.us("30 seconds")
 
 

@@ -56,9 +56,9 @@ def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id", "event_type", "value", "ts", F.col("event_id").alias("seq"))
 
 
-def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def access_log(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """ApacheLogEvent(ip, user_id, ts, method, url, seq): every event is a GET of a page."""
-    ev = _events(spark, sf_dir).select(
+    ev = _events(spark, sf_dir, streaming).select(
         "user_id", "ts", "event_id", (_item() % PAGE_MODULUS).alias("page_id"))
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return ev.join(pages, "page_id").select(

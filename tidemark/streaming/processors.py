@@ -34,6 +34,18 @@ from ..functions.time import as_event_time, duration_us, micros_to_ts, to_micros
 DAY_MS = 86_400_000
 
 
+def _pickle_by_value() -> None:
+    # The processors run in Python workers (and a driver-side runner) that need not
+    # have this package installed: ship their code inside the pickled command.
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_pickle_by_value()
+
+
 def _concat(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     frames = [r for r in rows if len(r)]
     if not frames:
@@ -94,7 +106,12 @@ class ClickCapProcessor(StatefulProcessor):
 
 def stream_click_cap(clicks: DataFrame, max_count: int = 100, reset="1 day",
                      processing_reset: bool = False) -> DataFrame:
-    """Both click-cap outputs, tagged 'main' / 'blacklist' (fan out with ``sinks.fan_out``)."""
+    """Both click-cap outputs, tagged 'main' / 'blacklist' (fan out with ``sinks.fan_out``).
+
+    ``processing_reset=True`` clears the counters at the next processing-time
+    midnight via a timer; a pending timer keeps the query scheduling batches, so
+    use it with a continuous trigger, not ``availableNow``.
+    """
     src = clicks.select("user_id", "ad_id", "province", "city", to_micros(clicks, "ts").alias("ev_us"), "seq")
     proc = ClickCapProcessor(max_count, duration_us(reset) if reset else None, processing_reset)
     out = src.groupBy("user_id", "ad_id").transformWithStateInPandas(
