@@ -178,3 +178,27 @@ def test_click_cap_processing_time_reset(spark, tmp_path):
         q.stop()
     tags = sorted(r.tag for r in spark.table("capped_pt").collect())
     assert tags == ["blacklist", "main", "main"]
+
+
+def test_stream_uv_running_update_mode(spark, event_stream):
+    q = (SW.stream_uv_running(event_stream, "ts", "1 day").writeStream.format("memory")
+         .queryName("uv_run").outputMode("update")
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="tm-ck-")).start())
+    q.processAllAvailable()
+    q.stop()
+    latest = {}
+    for r in spark.table("uv_run").collect():
+        latest[r.window_start] = max(latest.get(r.window_start, 0), r.uv)
+    batch = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet"))
+    from tidemark.operators.distinct import user_slot
+    from tidemark.operators.windows import tumbling_agg
+    b = batch.withColumn("slot", user_slot(batch, "user_id"))
+    want = {r.window_start: r.uv for r in
+            tumbling_agg(b, "ts", [], "1 day", [F.countDistinct("slot").alias("uv")]).collect()}
+    assert latest == want
+
+
+def test_kafka_without_connector(spark):
+    from tidemark.sources.streams import read_kafka_lines
+    with pytest.raises(RuntimeError, match="connector"):
+        read_kafka_lines(spark, "localhost:9092", "hotitems")
