@@ -36,5 +36,5 @@ def frame(spark, rows, schema):
     df = spark.createDataFrame(rows, schema)
     if "ts" in df.columns and dict(df.dtypes)["ts"] in ("bigint", "int"):
         df = df.withColumn("ts", F.timestamp_add("SECOND", F.col("ts"),
-                                                 F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz")))
+                                                 F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")))
     return df

@@ -80,7 +80,7 @@ def micros_to_ts(us: Column, like: T.DataType | None = None) -> Column:
 
 def _ntz_from_micros(us: Column) -> Column:
     # timestampadd(unit, n, ts) keeps the NTZ type and is zone-free.
-    return F.timestamp_add("MICROSECOND", us, F.lit(_dt.datetime(1970, 1, 1)).cast("timestamp_ntz"))
+    return F.timestamp_add("MICROSECOND", us, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
 
 
 def ts_type(df: DataFrame, ts: str) -> T.DataType:
@@ -101,10 +101,20 @@ def idiv(c: Column, d) -> Column:
 
 
 def as_event_time(df: DataFrame, ts: str, out: str = "ts") -> DataFrame:
-    """Cast a parquet ``timestamp_ntz`` to ``timestamp`` for streaming watermarks."""
+    """Event time as ``timestamp`` (LTZ) for streaming watermarks.
+
+    A parquet ``timestamp_ntz`` is read as a UTC wall clock (through epoch
+    microseconds), so windows align the same way as in the batch operators
+    whatever the session time zone is.
+    """
     dt = _dtype(df, ts)
     if isinstance(dt, T.TimestampNTZType):
-        return df.withColumn(out, F.col(ts).cast("timestamp"))
+        return df.withColumn(out, F.timestamp_micros(to_micros(df, ts)))
     if isinstance(dt, (T.LongType, T.IntegerType)):
         return df.withColumn(out, F.timestamp_seconds(F.col(ts)))
     return df if out == ts else df.withColumn(out, F.col(ts))
+
+
+def to_ntz(c: Column) -> Column:
+    """LTZ timestamp -> ``timestamp_ntz`` with the UTC wall clock (inverse of ``as_event_time``)."""
+    return _ntz_from_micros(F.unix_micros(c))

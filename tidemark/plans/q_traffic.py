@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import distinct, traffic
+from ..functions.time import idiv, to_micros
 from ..operators.windows import window_average
 from ..sources import views
 from . import oracle as O
@@ -40,7 +41,7 @@ def hot_items_topn_daily(spark, sf_dir):
       "CAST(CAST(sum(sec) AS BIGINT) // count(*) AS DOUBLE) AS avg_value FROM w GROUP BY e, item_id")
 def window_average_q(spark, sf_dir):
     ub = views.user_behavior(spark, sf_dir).where(F.col("behavior") == "pv")
-    ub = ub.withColumn("sec", F.unix_seconds(F.col("ts").cast("timestamp")))
+    ub = ub.withColumn("sec", idiv(to_micros(ub, "ts"), 1_000_000))
     return window_average(ub, "ts", "sec", ["item_id"], "60 minutes", "5 minutes", exact=False)
 
 

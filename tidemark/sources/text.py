@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 
 def _epoch() -> Column:
-    return F.lit(_dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
+    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
 
 # Fixed values of the log formats.
 ACCESS_TIME_FORMAT = "dd/MM/yyyy:HH:mm:ss"

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.time import as_event_time, duration_us
+from ..functions.time import as_event_time, duration_us, to_ntz
 
 
 def _iv(us: int) -> str:
@@ -38,8 +38,8 @@ def stream_tx_reconcile(order_events: DataFrame, receipts: DataFrame, bound="5 s
            .when(F.col("p_tx").isNotNull(), F.lit("unmatched_pay"))
            .otherwise(F.lit("unmatched_receipt")))
     return j.select(F.coalesce("p_tx", "r_tx").alias("tx_id"), "order_id",
-                    F.col("p_et").cast("timestamp_ntz").alias("pay_ts"), "pay_channel",
-                    F.col("r_et").cast("timestamp_ntz").alias("receipt_ts"), tag.alias("tag"))
+                    to_ntz(F.col("p_et")).alias("pay_ts"), "pay_channel",
+                    to_ntz(F.col("r_et")).alias("receipt_ts"), tag.alias("tag"))
 
 
 def stream_order_timeouts(order_events: DataFrame, within="15 minutes", delay="0 seconds") -> DataFrame:
@@ -56,7 +56,7 @@ def stream_order_timeouts(order_events: DataFrame, within="15 minutes", delay="0
         .select(F.col("order_id").alias("p_id"), "p_et").withWatermark("p_et", f"{d} microseconds")
     cond = F.expr(f"c_id = p_id AND p_et >= c_et AND p_et < c_et + {_iv(w)}")
     j = creates.join(pays, cond, "leftOuter")
-    return j.select(F.col("c_id").alias("order_id"), F.col("c_et").cast("timestamp_ntz").alias("create_ts"),
-                    F.col("p_et").cast("timestamp_ntz").alias("pay_ts"),
+    return j.select(F.col("c_id").alias("order_id"), to_ntz(F.col("c_et")).alias("create_ts"),
+                    to_ntz(F.col("p_et")).alias("pay_ts"),
                     F.when(F.col("p_id").isNotNull(), F.lit("payed success"))
                      .otherwise(F.lit("timeout")).alias("result"))

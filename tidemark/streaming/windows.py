@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.time import as_event_time, duration_us
+from ..functions.time import as_event_time, duration_us, to_ntz
 
 EXPLODE_ABOVE = 60
 
@@ -51,8 +51,8 @@ def stream_window_count(events: DataFrame, ts: str, keys, size, slide=None, dela
                 .agg(F.count(F.lit(1)).alias(count_col))
         start = F.col("window.start")
     return agg.select(
-        start.cast("timestamp_ntz").alias("window_start"),
-        (start + F.expr(f"INTERVAL {size_us} MICROSECONDS")).cast("timestamp_ntz").alias("window_end"),
+        to_ntz(start).alias("window_start"),
+        to_ntz((start + F.expr(f"INTERVAL {size_us} MICROSECONDS"))).alias("window_end"),
         *keys, count_col)
 
 
@@ -65,8 +65,8 @@ def stream_unique_visitors(views: DataFrame, ts: str = "ts", size="1 hour", dela
     per_user = ev.groupBy(F.window("_et", _interval(size_us)), user).agg(F.count(F.lit(1)).alias("_n"))
     per_window = per_user.groupBy(F.window(F.window_time("window"), _interval(size_us)).alias("w")) \
         .agg(F.count(F.lit(1)).alias("uv"))
-    return per_window.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                             F.col("w.end").cast("timestamp_ntz").alias("window_end"), "uv")
+    return per_window.select(to_ntz(F.col("w.start")).alias("window_start"),
+                             to_ntz(F.col("w.end")).alias("window_end"), "uv")
 
 
 def stream_uv_approx(views: DataFrame, ts: str = "ts", size="1 hour", delay="0 seconds",
@@ -74,8 +74,8 @@ def stream_uv_approx(views: DataFrame, ts: str = "ts", size="1 hour", delay="0 s
     size_us = duration_us(size)
     ev = as_event_time(views, ts, "_et").withWatermark("_et", _interval(duration_us(delay)))
     agg = ev.groupBy(F.window("_et", _interval(size_us))).agg(F.approx_count_distinct(user, rsd).alias("uv"))
-    return agg.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("window.end").cast("timestamp_ntz").alias("window_end"), "uv")
+    return agg.select(to_ntz(F.col("window.start")).alias("window_start"),
+                      to_ntz(F.col("window.end")).alias("window_end"), "uv")
 
 
 def stream_uv_running(views: DataFrame, ts: str = "ts", size="1 hour", delay="0 seconds",
@@ -94,5 +94,5 @@ def stream_uv_running(views: DataFrame, ts: str = "ts", size="1 hour", delay="0
     ev = ev.select(F.window("_et", _interval(size_us)).alias("w"), user_slot(ev, user).alias("slot"), "_et")
     firsts = ev.dropDuplicates(["w", "slot"])
     agg = firsts.groupBy("w").agg(F.count(F.lit(1)).alias("uv"))
-    return agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), "uv")
+    return agg.select(to_ntz(F.col("w.start")).alias("window_start"),
+                      to_ntz(F.col("w.end")).alias("window_end"), "uv")
