@@ -87,3 +87,15 @@ def test_duration_parsing():
     assert duration_us("5 s") == 5_000_000
     assert duration_us(2) == 2_000_000
     assert duration_us("1 day") == 86_400_000_000
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    df = frame(spark, [(1, 7199), (1, 7200)], "k long, ts long")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        rows = sorted(tumbling_count(df, "ts", [], "1 day").collect())
+        assert [(r.window_start, r.window_end) for r in rows] == [(ntz(0), ntz(86400))]
+        assert sorted(epoch(r.ts) for r in df.collect()) == [7199, 7200]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
