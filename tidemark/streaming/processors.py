@@ -45,6 +45,17 @@ def _pickle_by_value() -> None:
 
 _pickle_by_value()
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _require_rocksdb(df: DataFrame) -> None:
+    """``transformWithState`` needs the RocksDB state store (multiple column families);
+    the provider is read when a query starts, so set it for this session if needed."""
+    spark = df.sparkSession
+    if spark.conf.get(PROVIDER, None) != ROCKSDB:
+        spark.conf.set(PROVIDER, ROCKSDB)
+
 
 def _concat(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     frames = [r for r in rows if len(r)]
@@ -112,6 +123,7 @@ def stream_click_cap(clicks: DataFrame, max_count: int = 100, reset="1 day",
     midnight via a timer; a pending timer keeps the query scheduling batches, so
     use it with a continuous trigger, not ``availableNow``.
     """
+    _require_rocksdb(clicks)
     src = clicks.select("user_id", "ad_id", "province", "city", to_micros(clicks, "ts").alias("ev_us"), "seq")
     proc = ClickCapProcessor(max_count, duration_us(reset) if reset else None, processing_reset)
     out = src.groupBy("user_id", "ad_id").transformWithStateInPandas(
@@ -157,6 +169,7 @@ class ConsecutiveFailProcessor(StatefulProcessor):
 
 
 def stream_login_fail_consecutive(login: DataFrame, within="2 seconds") -> DataFrame:
+    _require_rocksdb(login)
     src = login.select("user_id", to_micros(login, "ts").alias("ev_us"), "seq",
                        (F.col("event_type") == "fail").alias("fail"))
     out = src.groupBy("user_id").transformWithStateInPandas(
@@ -246,6 +259,7 @@ class OrderedLoginProcessor(StatefulProcessor):
 
 
 def _ordered_login(login: DataFrame, mode: str, within, delay, min_fails: int = 2) -> DataFrame:
+    _require_rocksdb(login)
     ev = as_event_time(login, "ts", "_et").withWatermark("_et", f"{duration_us(delay)} microseconds")
     src = ev.select("user_id", "_et", F.unix_micros("_et").alias("ev_us"), "seq",
                     (F.col("event_type") == "fail").alias("fail"))
