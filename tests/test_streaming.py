@@ -202,3 +202,21 @@ def test_kafka_without_connector(spark):
     from tidemark.sources.streams import read_kafka_lines
     with pytest.raises(RuntimeError, match="connector"):
         read_kafka_lines(spark, "localhost:9092", "hotitems")
+
+
+def test_stream_order_outcomes(spark):
+    from collections import Counter
+    od = _split_lines(os.path.join(DATA, "OrderLog.csv"), 3)
+    orders = text.accepted(text.parse(text.read_lines(spark, od, streaming=True), "order")) \
+        .withColumn("seq", F.lit(0).cast("long"))
+    creates = orders.where("event_type = 'create'").select("order_id", "ts", "seq")
+    pays = orders.where("event_type = 'pay'").select("order_id", "ts", F.lit(1).cast("long").alias("seq"))
+    _run_memory(SP.stream_order_outcomes(creates, pays, "match", "15 minutes"), "order_match")
+    c = Counter(r.result for r in spark.table("order_match").collect())
+    # Orders with both events are decided at once; the lone pay of 34768 waits for
+    # its timeout, which the final watermark has not passed.
+    assert c["payed successfully"] == 37 and c["payed but already timeout"] == 2
+    _run_memory(SP.stream_order_outcomes(creates, pays, "status", "15 minutes"), "order_status")
+    rows = spark.table("order_status").collect()
+    assert {r.result for r in rows} <= {"order payed successfully", "order timeout"}
+    assert sum(r.result == "order payed successfully" for r in rows) >= 30

@@ -35,7 +35,7 @@ def order_timeout_pattern(spark, sf_dir):
     return orders.order_timeout_pattern(views.order_events(spark, sf_dir), TIMEOUT)
 
 
-@register("order_timeout_status", O.with_views("order_events", extra=[_PATTERN, """pb AS (
+ORACLE_STATUS = (O.with_views("order_events", extra=[_PATTERN, """pb AS (
   SELECT DISTINCT c.order_id, c.seq FROM order_events c JOIN order_events p
     ON p.order_id = c.order_id AND p.event_type = 'pay'
    AND (p.ts < c.ts OR (p.ts = c.ts AND p.seq < c.seq))
@@ -44,6 +44,9 @@ def order_timeout_pattern(spark, sf_dir):
             f"epoch_us(np.pay_ts) <= epoch_us(np.create_ts) + {T} THEN 'order payed successfully' "
             "ELSE 'order timeout' END AS result FROM np ANTI JOIN pb ON np.order_id = pb.order_id "
             "AND np.seq = pb.seq")
+
+
+@register("order_timeout_status", ORACLE_STATUS)
 def order_timeout_status(spark, sf_dir):
     return orders.order_timeout_status(views.order_events(spark, sf_dir), TIMEOUT)
 

@@ -18,6 +18,7 @@ from ..streaming import sinks
 from ..streaming.runner import run_batches_to_table, run_to_table
 from . import oracle as O
 from .catalog import register
+from .q_orders import ORACLE_STATUS as _ORDER_STATUS_SQL
 from .q_sequences import _burst_sql, _pairs_sql
 
 HOUR_US = O.us("1 hour")
@@ -150,3 +151,47 @@ def stream_login_fail_pattern(spark, sf_dir):
 def stream_login_fail_burst(spark, sf_dir):
     return run_to_table(SP.stream_login_fail_burst(views.login(spark, sf_dir, streaming=True),
                                                    "1 day", 2, "5 seconds"), "login_fail_burst")
+
+
+ORDER_TIMEOUT_US = O.us("400 days")
+_ORDER_WM = ("(SELECT max(u) FROM (SELECT (epoch_us(max(o_orderdate)) // 1000) * 1000 AS u FROM orders "
+             "UNION ALL SELECT (epoch_us(max(l_shipdate)) // 1000) * 1000 FROM lineitem))")
+
+
+def _order_streams(spark, sf_dir):
+    from ..streaming.runner import stream_table
+    creates = (stream_table(spark, sf_dir, "orders").where(F.col("o_orderstatus") != "P")
+               .select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("ts"),
+                       (F.col("o_orderkey") * 2).alias("seq")))
+    # Every line item is a pay event; the processor keeps the first one per order.
+    pays = stream_table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").alias("ts"),
+        (F.col("l_orderkey") * 2 + 1).alias("seq"))
+    return creates, pays
+
+
+@register("stream_order_timeout_status", "SELECT * FROM (" + _ORDER_STATUS_SQL + ") s "
+          f"WHERE epoch_us(create_ts) + {ORDER_TIMEOUT_US} <= " + _ORDER_WM)
+def stream_order_timeout_status(spark, sf_dir):
+    creates, pays = _order_streams(spark, sf_dir)
+    return run_to_table(SP.stream_order_outcomes(creates, pays, "status", "400 days"), "order_status")
+
+
+@register("stream_order_pay_match", O.with_views("order_events", extra=[f"""po AS (
+  SELECT order_id,
+         min(CASE WHEN event_type = 'create' THEN epoch_us(ts) END) AS c,
+         min(CASE WHEN event_type = 'pay' THEN epoch_us(ts) END) AS p
+  FROM order_events GROUP BY order_id)""", f"""res AS (
+  SELECT order_id, CASE
+      WHEN c IS NOT NULL AND p IS NOT NULL AND p < c + {ORDER_TIMEOUT_US} THEN 'payed successfully'
+      WHEN c IS NOT NULL AND p IS NOT NULL THEN 'payed but already timeout'
+      WHEN c IS NOT NULL THEN 'time out'
+      ELSE 'already payed but not found create log' END AS result, c, p
+  FROM po)"""])
+          + "SELECT order_id, result, CASE WHEN result = 'payed successfully' THEN 'payed' "
+            "ELSE 'timeout' END AS output FROM res "
+            f"WHERE (c IS NOT NULL AND p IS NOT NULL) OR (p IS NULL AND c + {ORDER_TIMEOUT_US} <= {_ORDER_WM}) "
+            f"OR (c IS NULL AND p + {ORDER_TIMEOUT_US} <= {_ORDER_WM})")
+def stream_order_pay_match(spark, sf_dir):
+    creates, pays = _order_streams(spark, sf_dir)
+    return run_to_table(SP.stream_order_outcomes(creates, pays, "match", "400 days"), "order_match")

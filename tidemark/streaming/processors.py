@@ -283,3 +283,111 @@ def stream_login_fail_burst(login: DataFrame, window="2 seconds", min_fails: int
                       micros_to_ts(F.col("last_us")).alias("last_fail_ts"),
                       F.concat(F.lit(f"login fail in {secs} seconds "), F.col("n").cast("string"),
                                F.lit(" times")).alias("warning"))
+
+
+class OrderProcessor(StatefulProcessor):
+    """Event-time order outcomes per order id.
+
+    Input: order_id, ev_us, seq, is_create (bool).  State: the first create and the
+    first pay seen (by (us, seq)).
+    ``mode='status'``: when the watermark passes create + timeout, a create that no
+    pay preceded is 'order payed successfully' if the first pay is at or before
+    create + timeout, else 'order timeout'.
+    ``mode='match'``: one row per order -- as soon as both are known
+    ('payed successfully' if pay < create + timeout, else 'payed but already
+    timeout'), or when the watermark passes create + timeout ('time out') or
+    pay + timeout without a create ('already payed but not found create log').
+    Output: order_id, create_us, result.
+    """
+
+    STATE = "c_us long, c_seq long, p_us long, p_seq long, done boolean"
+
+    def __init__(self, mode: str, timeout_us: int):
+        self.mode, self.timeout_us = mode, timeout_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("order", self.STATE)
+
+    def _get(self):
+        return list(self.state.get()) if self.state.exists() else [None, None, None, None, False]
+
+    def _emit(self, key, c_us, result):
+        return pd.DataFrame({"order_id": [key[0]], "create_us": [c_us], "result": [result]})
+
+    def _match_result(self, c_us, p_us):
+        return "payed successfully" if p_us < c_us + self.timeout_us else "payed but already timeout"
+
+    def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        df = _concat(rows)
+        if df.empty:
+            return
+        c_us, c_seq, p_us, p_seq, done = self._get()
+        if done:
+            return
+        creates = df[df["is_create"]]
+        pays = df[~df["is_create"]]
+        if len(creates):
+            first = creates.sort_values(["ev_us", "seq"]).iloc[0]
+            if c_us is None or (first.ev_us, first.seq) < (c_us, c_seq):
+                c_us, c_seq = int(first.ev_us), int(first.seq)
+                self.handle.registerTimer((c_us + self.timeout_us) // 1000 + 1)
+        if len(pays):
+            first = pays.sort_values(["ev_us", "seq"]).iloc[0]
+            if p_us is None or (first.ev_us, first.seq) < (p_us, p_seq):
+                p_us, p_seq = int(first.ev_us), int(first.seq)
+                if self.mode == "match":
+                    self.handle.registerTimer((p_us + self.timeout_us) // 1000 + 1)
+        if self.mode == "match" and c_us is not None and p_us is not None:
+            done = True
+            yield self._emit(key, c_us, self._match_result(c_us, p_us))
+        self.state.update((c_us, c_seq, p_us, p_seq, done))
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues,
+                           expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        c_us, c_seq, p_us, p_seq, done = self._get()
+        wm_us = timerValues.getCurrentWatermarkInMs() * 1000
+        if done:
+            return
+        out = None
+        if self.mode == "status":
+            if c_us is not None and c_us + self.timeout_us <= wm_us:
+                done = True
+                preceded = p_us is not None and (p_us, p_seq) < (c_us, c_seq)
+                if not preceded:
+                    paid = p_us is not None and p_us <= c_us + self.timeout_us
+                    out = self._emit(key, c_us, "order payed successfully" if paid else "order timeout")
+        else:
+            if c_us is not None and p_us is None and c_us + self.timeout_us <= wm_us:
+                done, out = True, self._emit(key, c_us, "time out")
+            elif c_us is None and p_us is not None and p_us + self.timeout_us <= wm_us:
+                done, out = True, self._emit(key, None, "already payed but not found create log")
+        self.state.update((c_us, c_seq, p_us, p_seq, done))
+        if out is not None:
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+def stream_order_outcomes(creates: DataFrame, pays: DataFrame, mode: str, timeout="15 minutes",
+                          delay="0 seconds") -> DataFrame:
+    """Order status (``mode='status'``) or order match (``mode='match'``) over a create
+    stream and a pay stream (both: order_id, ts, seq; a pay stream may hold several
+    pays per order, the first one counts).  Columns: order_id, create_ts, result
+    (+ output 'payed' / 'timeout' for the match)."""
+    def prep(df, is_create):
+        return df.select("order_id", "ts", "seq", F.lit(is_create).alias("is_create"))
+    events = prep(creates, True).unionByName(prep(pays, False))
+    _require_rocksdb(events)
+    ev = as_event_time(events, "ts", "_et").withWatermark("_et", f"{duration_us(delay)} microseconds")
+    src = ev.select("order_id", F.unix_micros("_et").alias("ev_us"), "seq", "is_create")
+    out = src.groupBy("order_id").transformWithStateInPandas(
+        OrderProcessor(mode, duration_us(timeout)), "order_id long, create_us long, result string",
+        "append", "EventTime")
+    res = out.select("order_id", micros_to_ts(F.col("create_us")).alias("create_ts"), "result")
+    if mode == "match":
+        res = res.select("order_id", "result",
+                         F.when(F.col("result") == "payed successfully", F.lit("payed"))
+                          .otherwise(F.lit("timeout")).alias("output"))
+    return res
