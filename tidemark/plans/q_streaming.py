@@ -195,3 +195,36 @@ def stream_order_timeout_status(spark, sf_dir):
 def stream_order_pay_match(spark, sf_dir):
     creates, pays = _order_streams(spark, sf_dir)
     return run_to_table(SP.stream_order_outcomes(creates, pays, "match", "400 days"), "order_match")
+
+
+TX_BOUND_US = O.us("200 days")
+
+
+@register("stream_tx_matched", f"""
+WITH pays AS (
+  SELECT 'tx' || CAST(l_orderkey AS VARCHAR) AS tx_id, l_orderkey AS order_id, l_shipdate AS ts
+  FROM lineitem WHERE l_linenumber = 1),
+receipts AS (
+  SELECT 'tx' || CAST(l_orderkey AS VARCHAR) AS tx_id, l_returnflag AS pay_channel, l_shipdate AS ts
+  FROM lineitem WHERE l_linenumber = 2)
+SELECT p.tx_id, p.order_id, p.ts AS pay_ts, r.pay_channel, r.ts AS receipt_ts, 'matched' AS tag
+FROM pays p JOIN receipts r ON p.tx_id = r.tx_id
+ AND epoch_us(r.ts) BETWEEN epoch_us(p.ts) - {TX_BOUND_US} AND epoch_us(p.ts) + {TX_BOUND_US}""")
+def stream_tx_matched(spark, sf_dir):
+    """Stream-stream reconciliation (full outer join with a range condition); the
+    pays are the first line items (one stream), the receipts the second line items
+    (another stream).  Matched pairs are emitted as soon as both sides are in;
+    unmatched rows wait for the watermark, so only the matched output is compared."""
+    from ..streaming import joins as SJ
+    from ..streaming.runner import stream_table
+    li = stream_table(spark, sf_dir, "lineitem")
+    pays = li.where(F.col("l_linenumber") == 1).select(
+        F.concat(F.lit("tx"), F.col("l_orderkey").cast("string")).alias("tx_id"),
+        F.col("l_orderkey").alias("order_id"), F.lit("pay").alias("event_type"),
+        F.col("l_shipdate").alias("ts"))
+    li2 = stream_table(spark, sf_dir, "lineitem")
+    recs = li2.where(F.col("l_linenumber") == 2).select(
+        F.concat(F.lit("tx"), F.col("l_orderkey").cast("string")).alias("tx_id"),
+        F.col("l_returnflag").alias("pay_channel"), F.col("l_shipdate").alias("ts"))
+    out = run_to_table(SJ.stream_tx_reconcile(pays, recs, "200 days"), "tx_reconcile")
+    return out.where(F.col("tag") == "matched")
