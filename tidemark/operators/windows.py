@@ -3,13 +3,22 @@
 Windows are epoch-aligned and half-open ``[start, end)``; only non-empty
 (window, key) groups are emitted, as with ``F.window``.
 
-Sliding windows use *panes*: rows are first counted per (pane, key), where a pane
-is ``gcd(size, slide)`` wide, with Spark's partial (map-side) aggregation
-collapsing the raw rows before the first shuffle.  Each pane aggregate is then
-exploded into the ``size/slide`` windows that contain it and merged per
-(window, key).  The expansion works on pre-aggregated rows instead of raw rows,
-which matters at high overlap (1 h / 5 s is 720 windows per row).  A hot key
-does not concentrate in one task: both aggregations are partial + final.
+Sliding windows use *panes*: rows are first aggregated per (pane, key), where a
+pane is ``gcd(size, slide)`` wide, with Spark's partial (map-side) aggregation
+collapsing the raw rows before the first shuffle.  Window ends are grouped into
+*window buckets* of ``8 x overlap`` consecutive ends; each pane aggregate goes to
+the (at most two) buckets holding its windows and is shuffled once by
+(bucket, key).  Every later step is local to that partitioning:
+
+* counts and integral sums are rebuilt by a sweep over window ends (+value at a
+  pane's first window, -value after its last; constant segments of the running
+  total expand directly into output rows), so the expanded (window, key) rows are
+  never shuffled or hash-aggregated;
+* min/max and floating sums expand each pane into its windows and merge them with
+  an aggregation whose required clustering is already satisfied.
+
+A hot key is split across window buckets and a hot window across keys; nothing
+is proportional to the raw row count after the first partial aggregation.
 """
 
 from __future__ import annotations
