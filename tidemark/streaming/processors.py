@@ -57,6 +57,11 @@ def _require_rocksdb(df: DataFrame) -> None:
         spark.conf.set(PROVIDER, ROCKSDB)
 
 
+def _ceil_ms(us: int) -> int:
+    """Timer (ms) that fires once the watermark has reached ``us`` (inclusive)."""
+    return -(-us // 1000)
+
+
 def _concat(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     frames = [r for r in rows if len(r)]
     if not frames:
@@ -208,7 +213,7 @@ class OrderedLoginProcessor(StatefulProcessor):
             if len(df):
                 self.buf.appendList(list(zip(df["ev_us"].tolist(), df["seq"].tolist(), df["fail"].tolist())))
                 # Fire as soon as the earliest buffered event is behind the watermark.
-                self.handle.registerTimer(int(df["ev_us"].min()) // 1000 + 1)
+                self.handle.registerTimer(_ceil_ms(int(df["ev_us"].min())))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues: TimerValues,
@@ -248,9 +253,9 @@ class OrderedLoginProcessor(StatefulProcessor):
         self.buf.put(rest) if rest else self.buf.clear()
         self.run.update((in_run, open_, t0, n, last, prev_us, prev_fail))
         if rest:
-            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+            self.handle.registerTimer(_ceil_ms(rest[0][0]))
         if self.mode == "burst" and open_:
-            self.handle.registerTimer((t0 + self.within_us) // 1000 + 1)
+            self.handle.registerTimer(_ceil_ms(t0 + self.within_us))
         if out:
             yield pd.DataFrame(out, columns=["user_id", "first_us", "last_us", "n"])
 
@@ -331,13 +336,13 @@ class OrderProcessor(StatefulProcessor):
             first = creates.sort_values(["ev_us", "seq"]).iloc[0]
             if c_us is None or (first.ev_us, first.seq) < (c_us, c_seq):
                 c_us, c_seq = int(first.ev_us), int(first.seq)
-                self.handle.registerTimer((c_us + self.timeout_us) // 1000 + 1)
+                self.handle.registerTimer(_ceil_ms(c_us + self.timeout_us))
         if len(pays):
             first = pays.sort_values(["ev_us", "seq"]).iloc[0]
             if p_us is None or (first.ev_us, first.seq) < (p_us, p_seq):
                 p_us, p_seq = int(first.ev_us), int(first.seq)
                 if self.mode == "match":
-                    self.handle.registerTimer((p_us + self.timeout_us) // 1000 + 1)
+                    self.handle.registerTimer(_ceil_ms(p_us + self.timeout_us))
         if self.mode == "match" and c_us is not None and p_us is not None:
             done = True
             yield self._emit(key, c_us, self._match_result(c_us, p_us))
