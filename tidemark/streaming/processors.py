@@ -86,7 +86,7 @@ class ClickCapProcessor(StatefulProcessor):
         if df.empty:
             return
         df = df.sort_values(["ev_us", "seq"], kind="stable")
-        period, n, warned, timer = self.state.get() if self.state.exists() else (None, 0, False, 0)
+        period, n, warned, timer = self.state.get() or (None, 0, False, 0)
         tags = []
         for us in df["ev_us"].tolist():
             p = us // self.reset_us if (self.reset_us and not self.processing_reset) else 0
@@ -112,7 +112,8 @@ class ClickCapProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues: TimerValues,
                            expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists() and self.state.get()[3] == expiredTimerInfo.getExpiryTimeInMs():
+        st = self.state.get()
+        if st is not None and st[3] == expiredTimerInfo.getExpiryTimeInMs():
             self.state.clear()
         return iter([])
 
@@ -153,7 +154,8 @@ class ConsecutiveFailProcessor(StatefulProcessor):
         if df.empty:
             return
         df = df.sort_values(["ev_us", "seq"], kind="stable")
-        last = self.last.get()[0] if self.last.exists() else None
+        st = self.last.get()
+        last = st[0] if st is not None else None
         out = []
         for us, fail in zip(df["ev_us"].tolist(), df["fail"].tolist()):
             if fail:
@@ -219,10 +221,10 @@ class OrderedLoginProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues: TimerValues,
                            expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         wm_us = timerValues.getCurrentWatermarkInMs() * 1000
-        events = sorted(self.buf.get()) if self.buf.exists() else []
+        events = sorted(self.buf.get())
         ready = [e for e in events if e[0] <= wm_us]
         rest = [e for e in events if e[0] > wm_us]
-        st = self.run.get() if self.run.exists() else (False, False, 0, 0, 0, None, None)
+        st = self.run.get() or (False, False, 0, 0, 0, None, None)
         in_run, open_, t0, n, last, prev_us, prev_fail = st
         out = []
 
@@ -315,7 +317,8 @@ class OrderProcessor(StatefulProcessor):
         self.state = handle.getValueState("order", self.STATE)
 
     def _get(self):
-        return list(self.state.get()) if self.state.exists() else [None, None, None, None, False]
+        st = self.state.get()
+        return list(st) if st is not None else [None, None, None, None, False]
 
     def _emit(self, key, c_us, result):
         return pd.DataFrame({"order_id": [key[0]], "create_us": [c_us], "result": [result]})
@@ -332,20 +335,24 @@ class OrderProcessor(StatefulProcessor):
             return
         creates = df[df["is_create"]]
         pays = df[~df["is_create"]]
+        new_c = new_p = False
         if len(creates):
             first = creates.sort_values(["ev_us", "seq"]).iloc[0]
             if c_us is None or (first.ev_us, first.seq) < (c_us, c_seq):
-                c_us, c_seq = int(first.ev_us), int(first.seq)
-                self.handle.registerTimer(_ceil_ms(c_us + self.timeout_us))
+                c_us, c_seq, new_c = int(first.ev_us), int(first.seq), True
         if len(pays):
             first = pays.sort_values(["ev_us", "seq"]).iloc[0]
             if p_us is None or (first.ev_us, first.seq) < (p_us, p_seq):
-                p_us, p_seq = int(first.ev_us), int(first.seq)
-                if self.mode == "match":
-                    self.handle.registerTimer(_ceil_ms(p_us + self.timeout_us))
+                p_us, p_seq, new_p = int(first.ev_us), int(first.seq), True
         if self.mode == "match" and c_us is not None and p_us is not None:
-            done = True
+            # Decided now: no timer needed.
+            self.state.update((c_us, c_seq, p_us, p_seq, True))
             yield self._emit(key, c_us, self._match_result(c_us, p_us))
+            return
+        if new_c:
+            self.handle.registerTimer(_ceil_ms(c_us + self.timeout_us))
+        if new_p and self.mode == "match":
+            self.handle.registerTimer(_ceil_ms(p_us + self.timeout_us))
         self.state.update((c_us, c_seq, p_us, p_seq, done))
 
     def handleExpiredTimer(self, key, timerValues: TimerValues,
