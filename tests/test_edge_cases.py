@@ -78,14 +78,14 @@ def test_late_access_rows_inside_and_outside_the_delay(spark):
 
 
 def test_results_do_not_depend_on_input_order(spark):
-    lg = text.read_events(spark, os.path.join(DATA, "LoginLog.csv"), "login")
+    lg = text.read_events(spark, os.path.join(DATA, "login_events.csv"), "login")
     shuffled = lg.orderBy(F.rand(7)).repartition(5)
     for fn in (lambda d: login.login_fail_burst(d, "10 seconds", 2),
                lambda d: login.login_fail_pattern(d, "10 seconds"),
                lambda d: sequences.seq_times(d, "user_id", F.col("event_type") == "fail", 2)):
         assert sorted(map(tuple, fn(lg).collect())) == sorted(map(tuple, fn(shuffled).collect()))
-    od = text.read_events(spark, os.path.join(DATA, "OrderLog.csv"), "order")
-    rc = text.read_events(spark, os.path.join(DATA, "ReceiptLog.csv"), "receipt")
+    od = text.read_events(spark, os.path.join(DATA, "order_events.csv"), "order")
+    rc = text.read_events(spark, os.path.join(DATA, "receipt_events.csv"), "receipt")
     a = sorted(map(tuple, joins.tx_reconcile(od, rc, "5 seconds").collect()), key=repr)
     b = sorted(map(tuple, joins.tx_reconcile(od.orderBy(F.rand(3)), rc.orderBy(F.rand(4)),
                                              "5 seconds").collect()), key=repr)

@@ -9,7 +9,7 @@ from tidemark.sources.text import read_events
 
 @pytest.fixture(scope="module")
 def login_log(spark):
-    return read_events(spark, os.path.join(DATA, "LoginLog.csv"), "login").cache()
+    return read_events(spark, os.path.join(DATA, "login_events.csv"), "login").cache()
 
 
 def test_parsed_rows(login_log):

@@ -12,12 +12,12 @@ from tidemark.sources.text import read_events
 
 @pytest.fixture(scope="module")
 def orders(spark):
-    return read_events(spark, os.path.join(DATA, "OrderLog.csv"), "order").cache()
+    return read_events(spark, os.path.join(DATA, "order_events.csv"), "order").cache()
 
 
 @pytest.fixture(scope="module")
 def receipts(spark):
-    return read_events(spark, os.path.join(DATA, "ReceiptLog.csv"), "receipt").cache()
+    return read_events(spark, os.path.join(DATA, "receipt_events.csv"), "receipt").cache()
 
 
 def test_pattern_goldens(orders):

@@ -9,7 +9,7 @@ from tidemark.operators import sequences as S
 
 @pytest.fixture(scope="module")
 def readme_seq(spark):
-    # The pattern example of the reference README: a c b1 b2 (one key, one second apart).
+    # The documented pattern example: a c b1 b2 (one key, one second apart).
     rows = [(1, "a", "a", 100, 1), (1, "c", "c", 101, 2), (1, "b", "b1", 102, 3), (1, "b", "b2", 103, 4)]
     return frame(spark, rows, "k long, t string, name string, ts long, seq long")
 

@@ -5,7 +5,7 @@ from tidemark.sources import text
 
 
 def test_crlf_and_types(spark):
-    df = text.read_events(spark, os.path.join(DATA, "OrderLog.csv"), "order")
+    df = text.read_events(spark, os.path.join(DATA, "order_events.csv"), "order")
     assert df.count() == 79
     r = df.orderBy("seq").first()
     assert (r.order_id, r.event_type, r.tx_id, epoch(r.ts)) == (34729, "create", "", 1558430842)
@@ -34,6 +34,6 @@ def test_access_log(spark, tmp_path):
 
 
 def test_format_round_trip(spark):
-    df = text.read_events(spark, os.path.join(DATA, "ReceiptLog.csv"), "receipt").drop("seq")
+    df = text.read_events(spark, os.path.join(DATA, "receipt_events.csv"), "receipt").drop("seq")
     back = text.accepted(text.parse(text.format_lines(df, "receipt"), "receipt"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))

@@ -109,7 +109,7 @@ def test_stream_click_cap(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def login_stream(spark):
-    d = _split_lines(os.path.join(DATA, "LoginLog.csv"), 4)
+    d = _split_lines(os.path.join(DATA, "login_events.csv"), 4)
     lines = text.read_lines(spark, d, streaming=True)
     return text.accepted(text.parse(lines, "login")).withColumn("seq", F.lit(0).cast("long"))
 
@@ -131,8 +131,8 @@ def test_stream_login_pattern_and_burst(spark, login_stream):
 
 
 def test_stream_tx_reconcile(spark):
-    od = _split_lines(os.path.join(DATA, "OrderLog.csv"), 3)
-    rd = _split_lines(os.path.join(DATA, "ReceiptLog.csv"), 3)
+    od = _split_lines(os.path.join(DATA, "order_events.csv"), 3)
+    rd = _split_lines(os.path.join(DATA, "receipt_events.csv"), 3)
     orders = text.accepted(text.parse(text.read_lines(spark, od, streaming=True), "order"))
     recs = text.accepted(text.parse(text.read_lines(spark, rd, streaming=True), "receipt"))
     _run_memory(SJ.stream_tx_reconcile(orders, recs, "5 seconds"), "tx_stream")
@@ -145,7 +145,7 @@ def test_stream_tx_reconcile(spark):
 
 
 def test_stream_order_timeouts(spark):
-    od = _split_lines(os.path.join(DATA, "OrderLog.csv"), 3)
+    od = _split_lines(os.path.join(DATA, "order_events.csv"), 3)
     orders = text.accepted(text.parse(text.read_lines(spark, od, streaming=True), "order"))
     _run_memory(SJ.stream_order_timeouts(orders, "15 minutes"), "order_stream")
     rows = spark.table("order_stream").collect()
@@ -201,12 +201,12 @@ def test_stream_uv_running_update_mode(spark, event_stream):
 def test_kafka_without_connector(spark):
     from tidemark.sources.streams import read_kafka_lines
     with pytest.raises(RuntimeError, match="connector"):
-        read_kafka_lines(spark, "localhost:9092", "hotitems")
+        read_kafka_lines(spark, "localhost:9092", "events")
 
 
 def test_stream_order_outcomes(spark):
     from collections import Counter
-    od = _split_lines(os.path.join(DATA, "OrderLog.csv"), 3)
+    od = _split_lines(os.path.join(DATA, "order_events.csv"), 3)
     orders = text.accepted(text.parse(text.read_lines(spark, od, streaming=True), "order")) \
         .withColumn("seq", F.lit(0).cast("long"))
     creates = orders.where("event_type = 'create'").select("order_id", "ts", "seq")

@@ -10,7 +10,7 @@ from tidemark.operators.topn import topn_per_group
 from tidemark.operators.traffic import hot_items_topn
 from tidemark.operators.windows import sliding_count, tumbling_count, window_average
 
-# Hot-item sample of the reference README: (item, epoch seconds), all page views.
+# Published hot-item sample: (item, epoch seconds), all page views.
 README_VIEWS = [
     (1715, 1511658000), (2244074, 1511658060), (3611281, 1511658120), (3611281, 1511658300),
     (1715, 1511658301), (1715, 1511658330), (1256540, 1511658540), (2244074, 1511658600),
