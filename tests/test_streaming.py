@@ -220,3 +220,13 @@ def test_stream_order_outcomes(spark):
     rows = spark.table("order_status").collect()
     assert {r.result for r in rows} <= {"order payed successfully", "order timeout"}
     assert sum(r.result == "order payed successfully" for r in rows) >= 30
+
+
+def test_start_hot_items_topn(spark, event_stream):
+    from tidemark.streaming.sinks import start_hot_items_topn
+    ub = event_stream.select("user_id", F.get_json_object("props", "$.k").cast("long").alias("item_id"),
+                             F.when(F.col("event_type") == "view", "pv").otherwise("x").alias("behavior"), "ts")
+    out = tempfile.mkdtemp(prefix="tm-hot-")
+    start_hot_items_topn(ub, out, tempfile.mkdtemp(prefix="tm-ck-"), "1 day", "12 hours").awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.count() > 0 and got.agg(F.max("rank")).first()[0] <= 3

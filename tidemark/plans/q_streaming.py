@@ -228,3 +228,15 @@ def stream_tx_matched(spark, sf_dir):
         F.col("l_returnflag").alias("pay_channel"), F.col("l_shipdate").alias("ts"))
     out = run_to_table(SJ.stream_tx_reconcile(pays, recs, "200 days"), "tx_reconcile")
     return out.where(F.col("tag") == "matched")
+
+
+
+@register("stream_marketing_by_channel",
+          "SELECT * FROM (" + O.sliding_count_sql("marketing", "behavior NOT IN ('UNINSTALL')",
+                                                  ["channel", "behavior"], "1 hour", "5 minutes")
+          + ") c WHERE window_end <= " + _wm("events", "event_type <> 'error'"))
+def stream_marketing_by_channel(spark, sf_dir):
+    # Stream-static join with the customer table gives the channel.
+    mk = views.marketing(spark, sf_dir, streaming=True).where(F.col("behavior") != "UNINSTALL")
+    return run_to_table(SW.stream_window_count(mk, "ts", ["channel", "behavior"], "1 hour", "5 minutes"),
+                        "marketing_by_channel")

@@ -72,13 +72,13 @@ def access_log(spark: SparkSession, sf_dir: str, streaming: bool = False) -> Dat
     )
 
 
-def marketing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def marketing(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """MarketingUserBehavior(user_id, behavior, channel, ts, seq).
 
     behavior = upper(event_type) with 'error' standing for an uninstall;
     channel = the customer's market segment.
     """
-    ev = _events(spark, sf_dir).select("user_id", "event_type", "ts", "event_id")
+    ev = _events(spark, sf_dir, streaming).select("user_id", "event_type", "ts", "event_id")
     cust = read_table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("channel"))
     return ev.join(cust, "user_id").select(

@@ -57,3 +57,30 @@ def start_batches(df: DataFrame, fn, checkpoint: str, mode: str = "append",
                   trigger: dict | None = None) -> StreamingQuery:
     return (df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).foreachBatch(fn).start())
+
+
+def start_topn_report(events: DataFrame, key: str, path: str, checkpoint: str, size, slide, n: int,
+                      delay="0 seconds", trigger: dict | None = None) -> StreamingQuery:
+    """Start a top-n ranking per closed sliding window: counts per (window, key) with
+    a watermark, each micro-batch of closed windows ranked and written to ``path``."""
+    from .windows import stream_window_count
+    counts = stream_window_count(events, "ts", [key], size, slide, delay)
+    return start_batches(counts, topn_batches(path, "window_end", "cnt", key, n), checkpoint,
+                         trigger=trigger)
+
+
+def start_hot_items_topn(user_behavior: DataFrame, path: str, checkpoint: str, size="60 minutes",
+                         slide="5 minutes", n: int = 3, behavior: str = "pv",
+                         trigger: dict | None = None) -> StreamingQuery:
+    """Streaming hot items: top-n viewed items per window (ascending event time)."""
+    from pyspark.sql import functions as F
+    views = user_behavior.where(F.col("behavior") == behavior)
+    return start_topn_report(views, "item_id", path, checkpoint, size, slide, n, "0 seconds", trigger)
+
+
+def start_hot_urls_topn(access_log: DataFrame, path: str, checkpoint: str, size="10 minutes",
+                        slide="5 seconds", n: int = 5, delay="61 seconds",
+                        trigger: dict | None = None) -> StreamingQuery:
+    """Streaming hot URLs: 1 s out-of-orderness plus 60 s allowed lateness as the
+    watermark delay; each window is ranked once, after its lateness has passed."""
+    return start_topn_report(access_log, "url", path, checkpoint, size, slide, n, delay, trigger)
