@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.time import as_event_time, duration_us, to_ntz
+from ..functions.time import as_event_time, duration_us, micros_to_ts, to_ntz
 
 EXPLODE_ABOVE = 60
 
@@ -52,7 +52,7 @@ def stream_window_count(events: DataFrame, ts: str, keys, size, slide=None, dela
         start = F.col("window.start")
     return agg.select(
         to_ntz(start).alias("window_start"),
-        to_ntz((start + F.expr(f"INTERVAL {size_us} MICROSECONDS"))).alias("window_end"),
+        micros_to_ts(F.unix_micros(start) + F.lit(size_us)).alias("window_end"),
         *keys, count_col)
 
 
