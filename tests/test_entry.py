@@ -11,7 +11,8 @@ def test_registry_consistent():
     qs, sql = entry.queries(), entry.oracle_sql()
     assert len(qs) >= 55
     assert set(sql) <= set(qs)
-    no_oracle = sorted(set(qs) - set(sql))
+    # The optional training-data queries (op*, pipeline) are tested against brute force instead.
+    no_oracle = sorted(set(entry.catalog.QUERIES) - set(sql))
     assert no_oracle == ["uv_approx_hourly"]
 
 
@@ -25,5 +26,7 @@ def test_entry_runs(spark):
 def test_every_query_plans(spark):
     # Building each DataFrame resolves its plan (streaming ones run on the small data).
     for name, fn in entry.queries().items():
+        if name not in entry.catalog.QUERIES:
+            continue
         df = fn(spark, SF_SMALL)
         assert df.columns, name
