@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import langid, packing, sharding
+from . import langid, packing, sharding, simhash, toxicity
 from .common import id_crc
 from .registry import register
 
 
+@register("op1_simhash_near_dedup")
+def op1_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @register("op3_packing")
 def op3_packing(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents")).select(
@@ -24,6 +30,15 @@ def op5_sharding(spark, sf_dir):
         F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+@register("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(id_crc() % 4 == 2, F.lit(False))
+    train = docs.filter(F.col("doc_id").isNotNull() & ~held_out)
+    scored = toxicity.score_documents(docs, train, read_table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @register("op8_language_id")
 def op8_language_id(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
