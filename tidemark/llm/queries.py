@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import langid, packing, sharding, simhash, toxicity
+from . import langid, packing, sharding, simhash, substrings, toxicity
 from .common import id_crc
 from .registry import register
 
@@ -39,6 +39,12 @@ def op6_toxicity(spark, sf_dir):
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@register("op7_substring_dedup")
+def op7_substring_dedup(spark, sf_dir):
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op8_language_id")
 def op8_language_id(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
