@@ -19,6 +19,8 @@ come; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ END_ID = 1
 GROUP_SIZE = 8192
 VOCABULARY = "byte_bpe_50k"
 #: Chunks whose ids a Python worker keeps; beyond it the cache starts anew.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 
 PIECE_SCHEMA = "piece long, doc_id long, start long, length long, doc_tokens long, ids binary"
 
@@ -44,48 +46,43 @@ class ChunkEncoder:
     def __init__(self, vocabulary: str = VOCABULARY, cache_chunks: int = CACHE_CHUNKS):
         import public_tokenizers as P
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path = P.path(f"{vocabulary}.json")
+        with open(self.path) as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         with open(P.path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.plain = tiktoken.Encoding(vocabulary, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(P.path(f"{vocabulary}.json"))
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.exact = None
         self.cache_chunks = cache_chunks
-        self.clear()
+        #: Chunk (without its leading blank) -> packed ids; None for chunks that white space may join.
+        self.cache: dict[str, bytes | None] = {}
 
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids: list[list[int]] = []
+    def _packed(self, text: str) -> bytes:
+        return array("I", self.plain.encode_ordinary(text)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        if len(self.ids) >= self.cache_chunks:
-            self.clear()
+            if self.exact is None:
+                from tokenizers import Tokenizer
+                self.exact = Tokenizer.from_file(self.path)
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        if len(self.cache) >= self.cache_chunks:
+            self.cache.clear()
+        cache = self.cache
         first, *rest = text.split(" ")
-        if not rest or first[-1:].isspace() or not first:
-            return np.array(self.plain.encode_ordinary(text), dtype=np.uint32)
-        at = list(map(self.index.get, rest))
-        if None in at:
-            for k, w in enumerate(rest):
-                if at[k] is None:
-                    if (n := self.index.get(w)) is None:
-                        n = self.index[w] = -1 if self._uneven(w) else len(self.ids)
-                        if n >= 0:
-                            self.ids.append(self.plain.encode_ordinary(" " + w))
-                    at[k] = n
-        if min(at) < 0:
-            return np.array(self.plain.encode_ordinary(text), dtype=np.uint32)
-        out = self.plain.encode_ordinary(first)
-        for n in at:
-            out += self.ids[n]
-        return np.array(out, dtype=np.uint32)
+        if rest and not self._uneven(first):
+            for w in set(rest).difference(cache):
+                cache[w] = None if self._uneven(w) else self._packed(" " + w)
+            parts = list(map(cache.__getitem__, rest))
+            if None not in parts:
+                return np.frombuffer(self._packed(first) + b"".join(parts), dtype="<u4")
+        return np.frombuffer(self._packed(text), dtype="<u4")
 
     @staticmethod
     def _uneven(w: str) -> bool:
         """Whether white space beside a blank would join it in one pre-token."""
-        return not w or w[0].isspace() or w[-1].isspace() or "\x1c" <= w[0] <= "\x1f" or "\x1c" <= w[-1] <= "\x1f"
+        return not w or w[0].isspace() or w[-1].isspace()
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

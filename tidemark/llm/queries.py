@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import langid, packing, sharding, simhash, substrings, topk, toxicity
+from . import decontam, langid, packing, sharding, simhash, substrings, topk, toxicity
 from .common import id_crc
 from .registry import register
 
@@ -68,3 +68,10 @@ def op8_language_id(spark, sf_dir):
     held_out = F.coalesce(id_crc() % 3 == 1, F.lit(False))
     train = docs.filter(F.col("doc_id").isNotNull() & ~held_out)
     return langid.identify(docs, train).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@register("op9_benchmark_decontamination")
+def op9_benchmark_decontamination(spark, sf_dir):
+    """One row for each document and the benchmark item that contaminates it."""
+    found = decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "coverage", "exact")
