@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontam, langid, packing, sharding, simhash, substrings, topk, toxicity
+from . import decontam, langid, packing, pii, secrets, sharding, simhash, substrings, topk, toxicity
 from .common import id_crc
 from .registry import register
 
@@ -39,6 +39,11 @@ def op3_packing(spark, sf_dir):
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@register("op4_secret_scan")
+def op4_secret_scan(spark, sf_dir):
+    return secrets.summarise(secrets.scan_versions(read_table(spark, sf_dir, "documents")))
+
+
 @register("op5_sharding")
 def op5_sharding(spark, sf_dir):
     placed = sharding.shard_documents(read_table(spark, sf_dir, "documents"), n_shards=8)
@@ -75,3 +80,8 @@ def op9_benchmark_decontamination(spark, sf_dir):
     """One row for each document and the benchmark item that contaminates it."""
     found = decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_windows", "coverage", "exact")
+
+
+@register("op10_pii")
+def op10_pii(spark, sf_dir):
+    return pii.summarise(pii.find_personal_data(read_table(spark, sf_dir, "documents")))
