@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +14,9 @@ from ..session import checkpoint_root
 
 #: Bytes of text that a Python worker turns into arrays at a time.
 BATCH_BYTES = 4 << 20
+#: Largest Arrow batch between the JVM and a Python worker.
+ARROW_BYTES = 4 << 20
+ARROW_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -20,6 +24,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/llm-{uuid.uuid4().hex[:16]}/{name}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``ARROW_BYTES`` (a batch is held several times over, in
+    the JVM and in Python); very long texts then travel a few at a time.  A lower setting stays."""
+    now = re.match(r"\d+(?=b?$)", spark.conf.get(ARROW_CONF))
+    if not now or int(now[0]) > ARROW_BYTES:
+        spark.conf.set(ARROW_CONF, str(ARROW_BYTES))
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, so a
     lost executor costs a reread and never another run of what made the table."""

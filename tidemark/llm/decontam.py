@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, text_blocks
+from .common import as_text, save, small_batches, text_blocks
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -163,7 +163,7 @@ def bit_map(hashes: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, text_key, item_id, n_windows, coverage, exact) of every contaminated document and item;
     ``exact``: no slot has another value than in the item."""
-    from .common import save
+    small_batches(docs.sparkSession)
     bench = save(benchmark_windows(items, window), "benchmark_windows")
     lengths = sorted(r.length for r in bench.select("length").distinct().collect())  # 1 to window
     spark = docs.sparkSession

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, text_blocks
+from .common import as_text, small_batches, text_blocks
 
 N_BUCKETS = 1 << 15
 PER_LANGUAGE = 5000
@@ -77,6 +77,7 @@ def sample_rows(docs: DataFrame, per_language: int) -> DataFrame:
 
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE, n_buckets: int = N_BUCKETS) -> dict:
     """Model from (doc_id, text, lang) rows: languages in order and their log-probability matrix."""
+    small_batches(train.sparkSession)
     sample = sample_rows(train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
                          .select("doc_id", "text", "lang"), per_language)
 

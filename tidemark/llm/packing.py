@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, save
+from .common import as_text, save, small_batches
 
 CAPACITY = 2048
 END_ID = 1
@@ -97,6 +97,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCA
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)],
                                                  schema=schema)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE_SCHEMA)
 
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, save
+from .common import as_bytes, save, small_batches
 from .components import connected_components
 
 SHINGLE = 4
@@ -219,6 +219,7 @@ def classes(prints: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """(doc_id, text_key, fp, component_id) of every row."""
+    small_batches(docs.sparkSession)
     prints = save(docs.select("doc_id", F.xxhash64("text").alias("text_key"),
                               fingerprint_column("text", shingle).alias("fp")), "prints")
     return prints.join(classes(prints, block), "fp").select("doc_id", "text_key", "fp", "component_id")

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, save, text_blocks
+from .common import as_bytes, save, small_batches, text_blocks
 
 WINDOW = 20
 GRAM = 4
@@ -256,6 +256,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, buckets: int | None =
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row: ``kept`` holds the words left, one blank apart."""
+    small_batches(docs.sparkSession)
     ranges = save(repeated_ranges(docs, window, buckets), "repeats")
     marks = (ranges.distinct().groupBy("doc_id", "text_key")
              .agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("_r")))

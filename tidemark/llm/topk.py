@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, small_batches
 
 PIVOTS = 64
 SAMPLE = 4096
@@ -190,6 +190,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
     """(query_id, rank, vec_id, score): the k highest inner products of every row for which ``is_query``
     (a condition on ``vec_id``) holds, ties to the smaller vec_id."""
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")) \
         .filter(F.col("vec_id").isNotNull() & usable("embedding"))
     norm = F.aggregate(F.transform("embedding", lambda x: F.floor(x * SCALE).cast("double")), F.lit(0.0),

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text
+from .common import as_text, save, small_batches
 
 PER_CLASS = 10_000
 MAX_TERMS = 2000
@@ -223,7 +223,7 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
     """Model from documents and labels (doc_id, toxic)."""
-    from .common import save
+    small_batches(docs.sparkSession)
     sample, class_weight = training_sample(docs, labels, per_class)
     sample = save(sample, "toxic_sample")
     terms = learn_lexicon(sample)
@@ -266,6 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
 
 def scorer(spark, model: dict, text: str = "text") -> Column:
     """Score column (0 to 1) for a text column; the bounded model is broadcast."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
