@@ -197,7 +197,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple
         keep = keep | ((F.col("toxic") == y)
                        & (F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) < int(share * (1 << 30))))
     texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(marked.filter(keep), "doc_id"), weights
+    # The sample has about 2 * per_class rows (id, class) at any size, so it is broadcast and no text moves.
+    return texts.join(F.broadcast(marked.filter(keep)), "doc_id"), weights
 
 
 def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
