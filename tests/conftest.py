@@ -8,7 +8,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-DATA = os.path.join(ROOT, "tests", "data")
 SF_SMALL = "/root/testdata/sf0.001"
 
 

@@ -1,11 +1,13 @@
-"""Hand-made cases (FIXTURES.md §8) and order independence."""
+"""Hand-made cases and independence of the input order."""
 
 import os
 import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import DATA, epoch, frame
+import logs
+
+from conftest import epoch, frame
 from tidemark.operators import distinct, joins, login, market, orders, sequences, traffic
 from tidemark.operators.windows import sliding_count
 from tidemark.sources import text
@@ -78,14 +80,14 @@ def test_late_access_rows_inside_and_outside_the_delay(spark):
 
 
 def test_results_do_not_depend_on_input_order(spark):
-    lg = text.read_events(spark, os.path.join(DATA, "login_events.csv"), "login")
+    lg = frame(spark, [(u, k, t, n) for u, _, k, t, n in logs.login_rows()], LOGIN)
     shuffled = lg.orderBy(F.rand(7)).repartition(5)
     for fn in (lambda d: login.login_fail_burst(d, "10 seconds", 2),
                lambda d: login.login_fail_pattern(d, "10 seconds"),
                lambda d: sequences.seq_times(d, "user_id", F.col("event_type") == "fail", 2)):
         assert sorted(map(tuple, fn(lg).collect())) == sorted(map(tuple, fn(shuffled).collect()))
-    od = text.read_events(spark, os.path.join(DATA, "order_events.csv"), "order")
-    rc = text.read_events(spark, os.path.join(DATA, "receipt_events.csv"), "receipt")
+    od = frame(spark, logs.order_rows(), ORDER)
+    rc = frame(spark, logs.receipt_rows(logs.order_rows()), RECEIPT)
     a = sorted(map(tuple, joins.tx_reconcile(od, rc, "5 seconds").collect()), key=repr)
     b = sorted(map(tuple, joins.tx_reconcile(od.orderBy(F.rand(3)), rc.orderBy(F.rand(4)),
                                              "5 seconds").collect()), key=repr)

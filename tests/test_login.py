@@ -1,37 +1,40 @@
-import os
-
+import logs
 import pytest
 
-from conftest import DATA, epoch
+from conftest import epoch
 from tidemark.operators.login import login_fail_burst, login_fail_consecutive, login_fail_pattern
 from tidemark.sources.text import read_events
 
+ROWS = logs.login_rows()
+
 
 @pytest.fixture(scope="module")
-def login_log(spark):
-    return read_events(spark, os.path.join(DATA, "login_events.csv"), "login").cache()
+def login_log(spark, tmp_path_factory):
+    path = logs.write_csv(tmp_path_factory.mktemp("logs") / "login.csv", ROWS)
+    return read_events(spark, path, "login").cache()
 
 
 def test_parsed_rows(login_log):
-    assert login_log.count() == 48
-    assert login_log.where("event_type = 'fail'").count() == 8
-
+    got = sorted((r.user_id, r.ip, r.event_type, epoch(r.ts)) for r in login_log.collect())
+    assert got == sorted(r[:4] for r in ROWS)
 
-def test_pattern_golden(login_log):
-    rows = [(r.user_id, epoch(r.first_fail_ts), epoch(r.last_fail_ts), r.warning)
-            for r in login_fail_pattern(login_log, "2 seconds").collect()]
-    assert rows == [(1035, 1558430842, 1558430843, "login fail!")]
 
+@pytest.mark.parametrize("within", [2, 8])
+def test_pairs(login_log, within):
+    want = logs.fail_pairs(ROWS, within)
+    assert want
+    for fn in (login_fail_pattern, login_fail_consecutive):
+        got = sorted((r.user_id, epoch(r.first_fail_ts), epoch(r.last_fail_ts))
+                     for r in fn(login_log, f"{within} seconds").collect())
+        assert got == want
 
-def test_consecutive_golden(login_log):
-    rows = [(r.user_id, epoch(r.first_fail_ts), epoch(r.last_fail_ts))
-            for r in login_fail_consecutive(login_log, "2 seconds").collect()]
-    assert rows == [(1035, 1558430842, 1558430843)]
 
-
-def test_burst_golden_is_empty(login_log):
-    # The success at ...844 arrives inside the 2 s timer of the run started at ...842.
-    assert login_fail_burst(login_log, "2 seconds", 2).count() == 0
+@pytest.mark.parametrize("window,n", [(2, 2), (10, 2), (60, 3)])
+def test_bursts(login_log, window, n):
+    got = sorted((r.user_id, epoch(r.first_fail_ts), epoch(r.last_fail_ts), r.warning)
+                 for r in login_fail_burst(login_log, f"{window} seconds", n, bucket="7 seconds").collect())
+    assert got == [(*x[:3], f"login fail in {window} seconds {x[3]} times")
+                   for x in logs.fail_bursts(ROWS, window, n)]
 
 
 def test_burst_counts_and_suppression(spark):

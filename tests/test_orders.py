@@ -1,82 +1,69 @@
-import os
 from collections import Counter
 
+import logs
 import pytest
 
-from conftest import DATA
+from conftest import epoch
 from tidemark.operators.joins import tx_pairs, tx_reconcile, tx_unmatched_pays, tx_unmatched_receipts
-from tidemark.operators.orders import (order_pay_match, order_payed_pattern, order_timeout_pattern,
+from tidemark.operators.orders import (order_pattern, order_pay_match, order_payed_pattern, order_timeout_pattern,
                                        order_timeout_status)
 from tidemark.sources.text import read_events
 
+ORDERS = logs.order_rows()
+RECEIPTS = logs.receipt_rows(ORDERS)
+
 
 @pytest.fixture(scope="module")
-def orders(spark):
-    return read_events(spark, os.path.join(DATA, "order_events.csv"), "order").cache()
+def orders(spark, tmp_path_factory):
+    path = logs.write_csv(tmp_path_factory.mktemp("logs") / "order.csv", ORDERS)
+    return read_events(spark, path, "order").cache()
 
 
 @pytest.fixture(scope="module")
-def receipts(spark):
-    return read_events(spark, os.path.join(DATA, "receipt_events.csv"), "receipt").cache()
+def receipts(spark, tmp_path_factory):
+    path = logs.write_csv(tmp_path_factory.mktemp("logs") / "receipt.csv", RECEIPTS)
+    return read_events(spark, path, "receipt").cache()
 
 
-def test_pattern_goldens(orders):
-    payed = {r.order_id for r in order_payed_pattern(orders, "15 minutes").collect()}
-    assert payed == set(range(34729, 34767)) - {34756}
-    timeouts = sorted(r.order_id for r in order_timeout_pattern(orders, "15 minutes").collect())
-    assert timeouts == [34756, 34767]
+def test_pattern(orders):
+    want = logs.order_pattern(ORDERS, 900)
+    got = {(r.order_id, epoch(r.create_ts)): r.pay_ts and epoch(r.pay_ts)
+           for r in order_pattern(orders, "15 minutes").collect()}
+    assert got == want
+    assert {r.order_id for r in order_payed_pattern(orders, "15 minutes").collect()} \
+        == {o for (o, _), p in want.items() if p is not None}
+    assert {r.order_id for r in order_timeout_pattern(orders, "15 minutes").collect()} \
+        == {o for (o, _), p in want.items() if p is None}
 
 
-def test_status_golden(orders):
-    c = Counter(r.result for r in order_timeout_status(orders, "15 minutes").collect())
-    assert c == {"order payed successfully": 37, "order timeout": 2}
+def test_status(orders):
+    got = {(r.order_id, epoch(r.create_ts)): r.result == "order payed successfully"
+           for r in order_timeout_status(orders, "15 minutes").collect()}
+    assert got == logs.order_status(ORDERS, 900)
 
 
-def test_pay_match_golden(orders):
-    rows = order_pay_match(orders, "15 minutes").collect()
-    c = Counter(r.result for r in rows)
-    assert c == {"payed successfully": 37, "payed but already timeout": 2,
-                 "already payed but not found create log": 1}
-    assert [r.order_id for r in rows if r.result.startswith("already")] == [34768]
+@pytest.mark.parametrize("horizon", [None, 1000])
+def test_pay_match(orders, horizon):
+    rows = order_pay_match(orders, "15 minutes", None if horizon is None else f"{horizon} seconds").collect()
+    want = logs.order_match(ORDERS, 900, horizon)
+    assert {r.order_id: r.result for r in rows} == want
     assert {r.output for r in rows if r.result == "payed successfully"} == {"payed"}
+    assert len(set(want.values())) >= 3
 
 
-def test_reconciliation_goldens(orders, receipts):
-    pairs = sorted((r.tx_id, r.order_id, int((r.receipt_ts - r.pay_ts).total_seconds()))
-                   for r in tx_pairs(orders, receipts, "5 seconds").collect())
-    assert pairs == sorted([("sd76f87d6", 34729, 3), ("3hu3k2432", 34730, 3), ("435kjb45d", 34734, -4),
-                            ("3243hr9h9", 34746, -3), ("329d09f9f", 34747, 0)])
-    assert tx_unmatched_pays(orders, receipts, "5 seconds").count() == 35
-    assert tx_unmatched_receipts(orders, receipts, "5 seconds").count() == 35
-    tags = Counter(r.tag for r in tx_reconcile(orders, receipts, "5 seconds").collect())
-    assert tags == {"matched": 5, "unmatched_pay": 35, "unmatched_receipt": 35}
+def test_reconciliation(orders, receipts):
+    pairs, lone_pays, lone_receipts = logs.tx_pairs(ORDERS, RECEIPTS, 5)
+    got = sorted((r.tx_id, r.order_id, epoch(r.receipt_ts) - epoch(r.pay_ts))
+                 for r in tx_pairs(orders, receipts, "5 seconds").collect())
+    assert got == pairs and pairs and lone_pays and lone_receipts
+    assert sorted(r.tx_id for r in tx_unmatched_pays(orders, receipts, "5 seconds").collect()) == lone_pays
+    assert sorted(r.tx_id for r in tx_unmatched_receipts(orders, receipts, "5 seconds").collect()) == lone_receipts
+    rows = tx_reconcile(orders, receipts, "5 seconds").collect()
+    assert Counter(r.tag for r in rows) == {"matched": len(pairs), "unmatched_pay": len(lone_pays),
+                                            "unmatched_receipt": len(lone_receipts)}
 
 
 def test_key_only_matching(orders, receipts):
-    # With an unbounded interval every shared tx id matches: 38 of them.
-    pairs = tx_pairs(orders, receipts, "3650 days")
-    assert pairs.count() == 38
-    unmatched = {r.tx_id for r in tx_unmatched_pays(orders, receipts, "3650 days").collect()}
-    assert unmatched == {"35jue34we", "88snrn932"}
-    unmatched_r = {r.tx_id for r in tx_unmatched_receipts(orders, receipts, "3650 days").collect()}
-    assert unmatched_r == {"ewr342as4", "8fdsfae83"}
-
-
-def test_interval_bounds_inclusive(spark):
-    from conftest import frame
-    pays = frame(spark, [(1, "pay", "t1", 100, 1), (2, "pay", "t2", 100, 2)],
-                 "order_id long, event_type string, tx_id string, ts long, seq long")
-    recs = frame(spark, [("t1", "wechat", 105, 1), ("t2", "alipay", 106, 2)],
-                 "tx_id string, pay_channel string, ts long, seq long")
-    assert [r.tx_id for r in tx_pairs(pays, recs, "5 seconds").collect()] == ["t1"]
-
-
-def test_unmatched_receipts_do_not_need_unique_ids(spark):
-    from conftest import frame
-    pays = frame(spark, [(1, "pay", "t1", 100, 1)],
-                 "order_id long, event_type string, tx_id string, ts long, seq long")
-    # Two receipts of one tx share a seq: one inside the bound, one far outside.
-    recs = frame(spark, [("t1", "wechat", 103, 7), ("t1", "alipay", 900, 7)],
-                 "tx_id string, pay_channel string, ts long, seq long")
-    assert [r.pay_channel for r in tx_unmatched_receipts(pays, recs, "5 seconds").collect()] == ["alipay"]
-    assert tx_unmatched_pays(pays, recs, "5 seconds").count() == 0
+    pairs, lone_pays, _ = logs.tx_pairs(ORDERS, RECEIPTS, 3650 * 86400)
+    assert tx_pairs(orders, receipts, "3650 days").count() == len(pairs)
+    assert {r.tx_id for r in tx_unmatched_pays(orders, receipts, "3650 days").collect()} == set(lone_pays)

@@ -2,15 +2,17 @@
 a stream does not flush its open state at the end of the input)."""
 
 import os
+import random
 import tempfile
 
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import DATA, SF_SMALL, epoch
-from tidemark.operators import windows
-from tidemark.sources import text
+import logs
+
+from conftest import SF_SMALL, epoch, frame
+from tidemark.operators import market, windows
 from tidemark.streaming import joins as SJ
 from tidemark.streaming import processors as SP
 from tidemark.streaming import sinks
@@ -26,14 +28,15 @@ def _split_parquet(src: str, parts: int, sort_col: str) -> str:
     return d
 
 
-def _split_lines(src: str, parts: int) -> str:
-    lines = open(src, newline="").read().splitlines()
-    d = tempfile.mkdtemp(prefix="tm-lines-")
-    step = (len(lines) + parts - 1) // parts
+def _feed(spark, rows, schema, parts, name):
+    """A file stream whose ``parts`` batches hold consecutive rows; seq is part of the rows."""
+    d = tempfile.mkdtemp(prefix=f"tm-{name}-")
+    step = -(-len(rows) // parts)
     for i in range(parts):
-        with open(os.path.join(d, f"part-{i:03d}.csv"), "w") as f:
-            f.write("\n".join(lines[i * step:(i + 1) * step]))
-    return d
+        df = frame(spark, rows[i * step:(i + 1) * step], schema)
+        pq.write_table(df.toArrow(), os.path.join(d, f"part-{i:03d}.parquet"))
+        os.utime(os.path.join(d, f"part-{i:03d}.parquet"), (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(d)
 
 
 def _run_memory(df, name, mode="append"):
@@ -92,92 +95,126 @@ def test_stream_topn_foreach_batch(spark, event_stream):
     assert got.groupBy("window_end").count().where("count > 3").count() == 0
 
 
-def test_stream_click_cap(spark, tmp_path):
-    lines = [f"7,1,P,C,{1000 + i}" for i in range(102)] + [f"8,2,Q,D,{2000 + i}" for i in range(3)]
-    d = tmp_path / "clicks"
-    d.mkdir()
-    for i in range(3):
-        (d / f"part-{i}.csv").write_text("\n".join(lines[i::3]) + "\n")
-    clicks = text.accepted(text.parse(text.read_lines(spark, str(d), streaming=True), "ad_click")) \
-        .withColumn("seq", F.lit(0).cast("long"))
-    _run_memory(SP.stream_click_cap(clicks, 100, "1 day"), "capped")
-    rows = spark.table("capped").collect()
-    assert sum(r.tag == "main" for r in rows) == 103
-    bl = [r for r in rows if r.tag == "blacklist"]
-    assert len(bl) == 1 and bl[0].user_id == 7 and bl[0].message == "Click over 100 times"
-
-
-@pytest.fixture(scope="module")
-def login_stream(spark):
-    d = _split_lines(os.path.join(DATA, "login_events.csv"), 4)
-    lines = text.read_lines(spark, d, streaming=True)
-    return text.accepted(text.parse(lines, "login")).withColumn("seq", F.lit(0).cast("long"))
-
-
-def test_stream_login_consecutive(spark, login_stream):
-    _run_memory(SP.stream_login_fail_consecutive(login_stream, "2 seconds"), "login_consec")
-    rows = [(r.user_id, epoch(r.first_fail_ts), epoch(r.last_fail_ts))
-            for r in spark.table("login_consec").collect()]
-    assert rows == [(1035, 1558430842, 1558430843)]
-
-
-def test_stream_login_pattern_and_burst(spark, login_stream):
-    _run_memory(SP.stream_login_fail_pattern(login_stream, "2 seconds", "5 seconds"), "login_pat")
-    rows = [(r.user_id, epoch(r.first_fail_ts), epoch(r.last_fail_ts))
-            for r in spark.table("login_pat").collect()]
-    assert rows == [(1035, 1558430842, 1558430843)]
-    _run_memory(SP.stream_login_fail_burst(login_stream, "2 seconds", 2, "5 seconds"), "login_burst")
-    assert spark.table("login_burst").count() == 0
-
-
-def test_stream_tx_reconcile(spark):
-    od = _split_lines(os.path.join(DATA, "order_events.csv"), 3)
-    rd = _split_lines(os.path.join(DATA, "receipt_events.csv"), 3)
-    orders = text.accepted(text.parse(text.read_lines(spark, od, streaming=True), "order"))
-    recs = text.accepted(text.parse(text.read_lines(spark, rd, streaming=True), "receipt"))
-    _run_memory(SJ.stream_tx_reconcile(orders, recs, "5 seconds"), "tx_stream")
-    rows = spark.table("tx_stream").collect()
-    matched = sorted(r.tx_id for r in rows if r.tag == "matched")
-    assert matched == sorted(["sd76f87d6", "3hu3k2432", "435kjb45d", "3243hr9h9", "329d09f9f"])
-    # Unmatched rows appear once the watermark has passed them.
-    assert sum(r.tag == "unmatched_pay" for r in rows) <= 35
-    assert sum(r.tag == "unmatched_receipt" for r in rows) <= 35
-
-
-def test_stream_order_timeouts(spark):
-    od = _split_lines(os.path.join(DATA, "order_events.csv"), 3)
-    orders = text.accepted(text.parse(text.read_lines(spark, od, streaming=True), "order"))
-    _run_memory(SJ.stream_order_timeouts(orders, "15 minutes"), "order_stream")
-    rows = spark.table("order_stream").collect()
-    payed = {r.order_id for r in rows if r.result == "payed success"}
-    timeouts = {r.order_id for r in rows if r.result == "timeout"}
-    assert payed == set(range(34729, 34767)) - {34756}
-    # A create times out once the global watermark -- the minimum over the two
-    # inputs -- passes create + 15 min; here the creates' watermark stops earlier.
-    assert timeouts <= {34756, 34767}
-
-
-def test_click_cap_processing_time_reset(spark, tmp_path):
-    # A pending processing-time timer keeps the query scheduling batches until it
-    # fires (next midnight), so run on a trigger and stop once the rows are out.
+LOGIN = "user_id long, ip string, event_type string, ts long, seq long"
+ORDER = "order_id long, event_type string, tx_id string, ts long, seq long"
+RECEIPT = "tx_id string, pay_channel string, ts long, seq long"
+CLICK = "user_id long, ad_id long, province string, city string, ts long, seq long"
+FAR = 10_000_000  # a last event this much later closes everything before it
+
+
+def _rows(spark, df, name):
+    _run_memory(df, name)
+    return spark.table(name).collect()
+
+
+@pytest.mark.parametrize("parts", [1, 3, 10])
+def test_click_cap_equals_batch_for_any_split(spark, parts):
+    rnd = random.Random(4)
+    # Six days of clicks in disorder of up to an hour, so days overlap between batches.
+    clicks = [(u, 1, "P", "C", 1_700_000_000 + rnd.randrange(6 * 86_400), k)
+              for k, u in enumerate(rnd.choices([7, 8], k=120))]
+    clicks.sort(key=lambda r: r[4] + rnd.randrange(3600))
+    clicks.append((99, 1, "P", "C", clicks[-1][4] + FAR, 1000))
+    stream = _feed(spark, clicks, CLICK, parts, "clicks")
+    got = _rows(spark, SP.stream_click_cap(stream, 3, "1 day", delay="1 hour"), f"cap{parts}")
+    batch = frame(spark, clicks, CLICK)
+    main = {r.seq for r in market.ad_click_capped(batch, 3, "1 day").collect()} - {1000}
+    black = {(r.user_id, epoch(r.ts)) for r in market.ad_click_blacklist(batch, 3, "1 day").collect()}
+    assert {r.seq for r in got if r.tag == "main"} == main
+    assert {(r.user_id, epoch(r.ts)) for r in got if r.tag == "blacklist"} == black and black
+
+
+def test_late_click_of_the_day_before_does_not_reset_the_count(spark):
+    day = 86_400 * 20_000
+    clicks = [(1, 1, "P", "C", day + 10, 1), (1, 1, "P", "C", day + 20, 2), (1, 1, "P", "C", day - 5, 3),
+              (1, 1, "P", "C", day + 30, 4), (1, 1, "P", "C", day + 40, 5), (2, 1, "P", "C", day + FAR, 6)]
+    got = _rows(spark, SP.stream_click_cap(_feed(spark, clicks, CLICK, 6, "late"), 2, "1 day", delay="1 minute"), "lateday")
+    assert sorted(r.seq for r in got if r.tag == "main") == [1, 2, 3]
+    assert [r.seq for r in got if r.tag == "blacklist"] == [4]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 10])
+def test_logins_equal_batch_for_any_split(spark, parts):
+    rows = logs.login_rows(seed=parts)
+    stream = lambda: _feed(spark, [*rows, (999, "-", "success", rows[-1][3] + FAR, 10_000)], LOGIN, parts, "login")
+    pairs = logs.fail_pairs(rows, 8)
+    for k, fn in enumerate((SP.stream_login_fail_consecutive, SP.stream_login_fail_pattern)):
+        got = _rows(spark, fn(stream(), "8 seconds", "5 seconds"), f"pairs{parts}_{k}")
+        assert sorted((r.user_id, epoch(r.first_fail_ts), epoch(r.last_fail_ts)) for r in got) == pairs
+    got = _rows(spark, SP.stream_login_fail_burst(stream(), "10 seconds", 2, "5 seconds"), f"burst{parts}")
+    assert sorted((r.user_id, epoch(r.first_fail_ts), epoch(r.last_fail_ts)) for r in got) \
+        == [x[:3] for x in logs.fail_bursts(rows, 10, 2)]
+
+
+def test_failures_in_reverse_arrival_do_not_warn_backwards(spark):
+    rows = [(1, "-", "fail", 100, 1), (1, "-", "fail", 50, 2), (2, "-", "success", FAR, 3)]
+    got = _rows(spark, SP.stream_login_fail_consecutive(_feed(spark, rows, LOGIN, 3, "back"), "10 seconds", "60 seconds"),
+                "backwards")
+    assert got == []
+
+
+@pytest.mark.parametrize("parts", [1, 3, 10])
+def test_orders_equal_batch_for_any_split(spark, parts):
+    rows = logs.order_rows(seed=parts)
+    stream = lambda: _feed(spark, [*rows, (999, "create", "", rows[-1][3] + FAR, 10_000)], ORDER, parts, "order")
+    got = _rows(spark, SP.stream_order_pattern(stream(), "15 minutes", "5 seconds"), f"opat{parts}")
+    assert {(r.order_id, epoch(r.create_ts)): r.pay_ts and epoch(r.pay_ts) for r in got} == logs.order_pattern(rows, 900)
+    got = _rows(spark, SP.stream_order_status(stream(), "15 minutes", "5 seconds"), f"ostat{parts}")
+    assert {(r.order_id, epoch(r.create_ts)): r.result == "order payed successfully" for r in got} \
+        == logs.order_status(rows, 900)
+    got = _rows(spark, SP.stream_order_match(stream(), "15 minutes", "1000 seconds", "5 seconds"), f"omatch{parts}")
+    assert {r.order_id: r.result for r in got} == logs.order_match(rows, 900, 1000)
+
+
+def test_two_creates_and_two_pays(spark):
+    rows = [(1, "create", "", 100, 1), (1, "create", "", 200, 2), (1, "pay", "a", 300, 3), (1, "pay", "b", 350, 4),
+            (9, "create", "", FAR, 5)]
+    got = _rows(spark, SP.stream_order_status(_feed(spark, rows, ORDER, 5, "twice"), "15 minutes"), "twice_s")
+    assert sorted((epoch(r.create_ts), r.result) for r in got) == [(100, "order payed successfully"),
+                                                                   (200, "order payed successfully")]
+    got = _rows(spark, SP.stream_order_pattern(_feed(spark, rows, ORDER, 5, "twice"), "15 minutes"), "twice_p")
+    assert sorted((epoch(r.create_ts), epoch(r.pay_ts)) for r in got) == [(100, 300), (200, 300)]
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_stream_tx_reconcile(spark, parts):
+    rows = logs.order_rows(seed=7)
+    recs = logs.receipt_rows(rows)
+    end = max(r[3] for r in rows) + FAR
+    orders = _feed(spark, [*rows, (999, "pay", "end", end, 10_000)], ORDER, parts, "od")
+    receipts = _feed(spark, [*recs, ("other", "cash", end, 10_000)], RECEIPT, parts, "rc")
+    got = _rows(spark, SJ.stream_tx_reconcile(orders, receipts, "5 seconds", "1 hour"), f"tx{parts}")
+    pairs, lone_pays, lone_receipts = logs.tx_pairs(rows, recs, 5)
+    assert sorted((r.tx_id, r.order_id, epoch(r.receipt_ts) - epoch(r.pay_ts)) for r in got if r.tag == "matched") == pairs
+    assert sorted(r.tx_id for r in got if r.tag == "unmatched_pay") == lone_pays
+    assert sorted(r.tx_id for r in got if r.tag == "unmatched_receipt") == lone_receipts
+
+
+def test_click_cap_processing_time_reset(spark):
+    # The counter is cleared by a processing-time timer, after which the same user passes again.
     import time
-    d = tmp_path / "clicks"
-    d.mkdir()
-    (d / "a.csv").write_text("\n".join(f"9,1,P,C,{100 + i}" for i in range(4)) + "\n")
-    clicks = text.accepted(text.parse(text.read_lines(spark, str(d), streaming=True), "ad_click")) \
-        .withColumn("seq", F.lit(0).cast("long"))
-    q = (SP.stream_click_cap(clicks, 2, reset=None, processing_reset=True).writeStream
+    clicks = [(9, 1, "P", "C", 100 + i, i) for i in range(4)]
+    d = tempfile.mkdtemp(prefix="tm-reset-")
+    table = frame(spark, clicks, CLICK)
+    pq.write_table(table.toArrow(), os.path.join(d, "a.parquet"))
+    stream = spark.readStream.schema(table.schema).parquet(d)
+    q = (SP.stream_click_cap(stream, 2, reset=None, processing_reset="4 seconds").writeStream
          .format("memory").queryName("capped_pt").outputMode("append")
          .option("checkpointLocation", tempfile.mkdtemp(prefix="tm-ck-"))
          .trigger(processingTime="1 second").start())
-    try:
+
+    def wait(n):
         deadline = time.time() + 90
-        while time.time() < deadline and spark.table("capped_pt").count() < 3:
-            time.sleep(1)
+        while time.time() < deadline and spark.table("capped_pt").count() < n:
+            time.sleep(0.5)
+        return sorted(r.tag for r in spark.table("capped_pt").collect())
+    try:
+        assert wait(3) == ["blacklist", "main", "main"]
+        time.sleep(9)                                  # the timer has fired
+        pq.write_table(table.toArrow(), os.path.join(d, "b.parquet"))
+        assert wait(6) == ["blacklist"] * 2 + ["main"] * 4
     finally:
         q.stop()
-    tags = sorted(r.tag for r in spark.table("capped_pt").collect())
-    assert tags == ["blacklist", "main", "main"]
 
 
 def test_stream_uv_running_update_mode(spark, event_stream):
@@ -204,24 +241,6 @@ def test_kafka_without_connector(spark):
         read_kafka_lines(spark, "localhost:9092", "events")
 
 
-def test_stream_order_outcomes(spark):
-    from collections import Counter
-    od = _split_lines(os.path.join(DATA, "order_events.csv"), 3)
-    orders = text.accepted(text.parse(text.read_lines(spark, od, streaming=True), "order")) \
-        .withColumn("seq", F.lit(0).cast("long"))
-    creates = orders.where("event_type = 'create'").select("order_id", "ts", "seq")
-    pays = orders.where("event_type = 'pay'").select("order_id", "ts", F.lit(1).cast("long").alias("seq"))
-    _run_memory(SP.stream_order_outcomes(creates, pays, "match", "15 minutes"), "order_match")
-    c = Counter(r.result for r in spark.table("order_match").collect())
-    # Orders with both events are decided at once; the lone pay of 34768 waits for
-    # its timeout, which the final watermark has not passed.
-    assert c["payed successfully"] == 37 and c["payed but already timeout"] == 2
-    _run_memory(SP.stream_order_outcomes(creates, pays, "status", "15 minutes"), "order_status")
-    rows = spark.table("order_status").collect()
-    assert {r.result for r in rows} <= {"order payed successfully", "order timeout"}
-    assert sum(r.result == "order payed successfully" for r in rows) >= 30
-
-
 def test_start_hot_items_topn(spark, event_stream):
     from tidemark.streaming.sinks import start_hot_items_topn
     ub = event_stream.select("user_id", F.get_json_object("props", "$.k").cast("long").alias("item_id"),

@@ -10,13 +10,6 @@ from tidemark.operators.topn import topn_per_group
 from tidemark.operators.traffic import hot_items_topn
 from tidemark.operators.windows import sliding_count, tumbling_count, window_average
 
-# Published hot-item sample: (item, epoch seconds), all page views.
-README_VIEWS = [
-    (1715, 1511658000), (2244074, 1511658060), (3611281, 1511658120), (3611281, 1511658300),
-    (1715, 1511658301), (1715, 1511658330), (1256540, 1511658540), (2244074, 1511658600),
-    (1715, 1511661600), (1715, 1511665200),
-]
-
 
 def brute_sliding(rows, size, slide):
     """{(window_end_sec, key): count} by checking every aligned window."""
@@ -29,22 +22,20 @@ def brute_sliding(rows, size, slide):
     return out
 
 
-def test_readme_hot_items(spark):
-    df = frame(spark, [(1, i, 0, "pv", t, n) for n, (i, t) in enumerate(README_VIEWS)],
+def test_hot_items_rank(spark):
+    rnd = random.Random(11)
+    views = [(rnd.randrange(30), 1_700_000_000 + rnd.randrange(9000)) for _ in range(300)]
+    df = frame(spark, [(n, i, 0, "pv", t, n) for n, (i, t) in enumerate(views)],
                "user_id long, item_id long, category_id int, behavior string, ts long, seq long")
-    res = hot_items_topn(df, "60 minutes", "5 minutes", 3).collect()
-    ends = sorted({epoch(r.window_end) for r in res})
-    assert len(ends) == 36
-    assert ends[0] == 1511658300 and ends[-1] == 1511668800   # 09:05 .. 12:00 (UTC+8)
-    at = {(epoch(r.window_end), r.rank): (r.item_id, r.cnt) for r in res}
-    # 09:10 window: 1715 x3, 3611281 x2, then a tie at 1 broken by item id.
-    assert at[(1511658600, 1)] == (1715, 3)
-    assert at[(1511658600, 2)] == (3611281, 2)
-    assert at[(1511658600, 3)] == (1256540, 1)
-    # 09:15 .. 10:00: 1715:3, then 2244074:2 and 3611281:2 tied (item id ascending).
-    for e in range(1511658900, 1511661600 + 1, 300):
-        assert [at[(e, k)] for k in (1, 2, 3)] == [(1715, 3), (2244074, 2), (3611281, 2)]
-    assert at[(1511668800, 1)] == (1715, 1)
+    got = {}
+    for r in hot_items_topn(df, "60 minutes", "5 minutes", 3).collect():
+        got.setdefault(epoch(r.window_end), []).append((r.rank, r.item_id, r.cnt))
+    want = {}
+    for (end, item), n in brute_sliding(views, 3600, 300).items():
+        want.setdefault(end, []).append((-n, item))
+    # Ties go to the smaller item.
+    assert {e: sorted(v) for e, v in got.items()} \
+        == {e: [(k + 1, i, -n) for k, (n, i) in enumerate(sorted(v)[:3])] for e, v in want.items()}
 
 
 @pytest.mark.parametrize("size,slide", [(3600, 300), (600, 5), (3600, 10), (100, 30), (60, 60)])

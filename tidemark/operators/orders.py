@@ -65,26 +65,40 @@ def order_timeout_pattern(df: DataFrame, within=TIMEOUT, bucket=ORDER_BUCKET) ->
         .select("order_id", "create_ts", "result")
 
 
-def order_timeout_status(df: DataFrame, timeout=TIMEOUT, bucket=ORDER_BUCKET) -> DataFrame:
-    """(order_id, create_ts, result) for every create not preceded by a pay of the order."""
+def order_timeout_status(df: DataFrame, timeout=TIMEOUT, bucket=ORDER_BUCKET, memory=None) -> DataFrame:
+    """(order_id, create_ts, result) for every create not preceded by a pay of the order
+    (with ``memory``: by a pay at most that long before)."""
     limit = duration_us(timeout)
     is_pay = F.col("event_type") == PAY
     tl = Timeline(df, "order_id", bucket=bucket)
     tl.prior("_paid_before", pred=is_pay)
     tl.following("_pay", pred=is_pay)
-    c = tl.result().where((F.col("event_type") == CREATE) & F.col("_paid_before").isNull())
+    unpaid = F.col("_paid_before").isNull()
+    if memory is not None:
+        unpaid = unpaid | (F.col("_us") - F.col("_paid_before.us") > F.lit(duration_us(memory)))
+    c = tl.result().where((F.col("event_type") == CREATE) & unpaid)
     ok = F.col("_pay").isNotNull() & (F.col("_pay.us") <= F.col("_us") + F.lit(limit))
     return c.select("order_id", F.col("ts").alias("create_ts"),
                     F.when(ok, F.lit(STATUS_PAYED)).otherwise(F.lit(STATUS_TIMEOUT)).alias("result"))
 
 
-def order_pay_match(df: DataFrame, timeout=TIMEOUT) -> DataFrame:
-    """One row per order: (order_id, result, output) with output 'payed' or 'timeout'."""
+def order_pay_match(df: DataFrame, timeout=TIMEOUT, horizon=None) -> DataFrame:
+    """One row per order: (order_id, result, output) with output 'payed' or 'timeout'.
+
+    The first create and the first pay decide if they are at most ``horizon`` apart (no bound if
+    None); else the earlier of the two decides alone, as in a stream that waits that long.
+    """
     limit = duration_us(timeout)
     us = to_micros(df, "ts")
     per_order = df.groupBy("order_id").agg(
         F.min(F.when(F.col("event_type") == CREATE, us)).alias("_c"),
         F.min(F.when(F.col("event_type") == PAY, us)).alias("_p"))
+    if horizon is not None:
+        # The event that comes too late is not seen.
+        h = F.lit(duration_us(horizon))
+        c, p = F.col("_c"), F.col("_p")
+        per_order = per_order.select("order_id", F.when(p.isNull() | (c <= p + h), c).alias("_c"),
+                                     F.when(c.isNull() | (p <= c + h), p).alias("_p"))
     c, p = F.col("_c"), F.col("_p")
     result = (F.when(c.isNotNull() & p.isNotNull() & (p < c + F.lit(limit)), F.lit(MATCH_PAYED))
               .when(c.isNotNull() & p.isNotNull(), F.lit(MATCH_LATE))

@@ -26,7 +26,8 @@ VIEWS = {
     "access_log": f"""access_log AS (
   SELECT printf('10.0.%d.%d', (e.user_id // 256) % 256, e.user_id % 256) AS ip,
          CAST(e.user_id AS VARCHAR) AS user_id, e.ts, 'GET' AS method, p.url, e.event_id AS seq
-  FROM events e JOIN pages p ON p.page_id = {ITEM.format(a='e.')} % 50)""",
+  FROM events e JOIN pages p
+    ON p.page_id = ({ITEM.format(a='e.')} * {ITEM.format(a='e.')} + e.user_id) % (SELECT count(*) FROM pages))""",
     "marketing": """marketing AS (
   SELECT CAST(e.user_id AS VARCHAR) AS user_id,
          CASE WHEN e.event_type = 'error' THEN 'UNINSTALL' ELSE upper(e.event_type) END AS behavior,
@@ -45,15 +46,15 @@ VIEWS = {
   FROM events)""",
     "order_events": """order_events AS (
   SELECT o_orderkey AS order_id, 'create' AS event_type, '' AS tx_id, o_orderdate AS ts,
-         o_orderkey * 2 AS seq
-  FROM orders WHERE o_orderstatus <> 'P'
+         o_orderkey * 10 AS seq
+  FROM orders
   UNION ALL
-  SELECT l_orderkey, 'pay', 'tx' || CAST(l_orderkey AS VARCHAR), min(l_shipdate), l_orderkey * 2 + 1
-  FROM lineitem GROUP BY l_orderkey)""",
+  SELECT l_orderkey, 'pay', 'tx' || CAST(l_orderkey AS VARCHAR), l_shipdate, l_orderkey * 10 + l_linenumber
+  FROM lineitem)""",
     "receipts": """receipts AS (
   SELECT 'tx' || CAST(l_orderkey AS VARCHAR) AS tx_id, l_returnflag AS pay_channel,
-         l_shipdate AS ts, l_orderkey AS seq
-  FROM lineitem WHERE l_linenumber = 2)""",
+         l_shipdate + to_days(CAST(floor(l_quantity) AS INTEGER)) AS ts, l_orderkey * 10 + l_linenumber AS seq
+  FROM lineitem)""",
 }
 
 

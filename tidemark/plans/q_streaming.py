@@ -1,10 +1,11 @@
-"""Streaming forms run over the driver tables as file streams (``availableNow``).
-
-A stream emits a window or fires a timer only once the watermark has passed it,
-and it does not flush open state at the end of the input.  The oracle SQL is the
-batch result restricted by that rule: with the watermark ``wm = max(ts) - delay``
-(millisecond precision) a window is out iff ``window_end <= wm``.  Stateless-order
-processors see the whole table in one micro-batch and equal the batch results.
+"""Streaming forms over the driver tables, fed in several out-of-order micro-batches.
+
+Every query runs on a :class:`~tidemark.streaming.runner.Feed`: the tables arrive in three parts,
+with rows delayed by up to the feed's disorder, and the query restarts from its checkpoint after each.
+A stream emits a window or fires a timer only once the watermark has passed it, and
+it does not flush open state at the end of the input.  The oracle SQL is the batch result
+restricted by that rule: with the watermark ``wm = max(ts) - delay`` (millisecond precision) a
+window is out iff ``window_end <= wm``, and an event counts iff ``ts <= wm``.
 """
 
 from __future__ import annotations
@@ -12,25 +13,33 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import views
+from ..streaming import joins as SJ
 from ..streaming import processors as SP
-from ..streaming import windows as SW
 from ..streaming import sinks
-from ..streaming.runner import run_batches_to_table, run_to_table
+from ..streaming import windows as SW
+from ..streaming.runner import Feed, run_batches_to_table, run_to_table
 from . import oracle as O
 from .catalog import register
-from .q_orders import ORACLE_STATUS as _ORDER_STATUS_SQL
+from .q_orders import _PATTERN
 from .q_sequences import _burst_sql, _pairs_sql
 
 HOUR_US = O.us("1 hour")
+#: Rows of ``events`` come up to this late, and the streams wait as long.
+DELAY = "1 hour"
+DELAY_US = O.us(DELAY)
 
 
-def _wm(view: str, where: str = "", delay_us: int = 0) -> str:
+def _wm(view: str, where: str = "", delay_us: int = DELAY_US) -> str:
     w = f" WHERE {where}" if where else ""
     return f"(SELECT make_timestamp((epoch_us(max(ts)) // 1000) * 1000 - {delay_us}) FROM {view}{w})"
 
 
-def _views(spark, sf_dir):
-    return views.user_behavior(spark, sf_dir, streaming=True).where(F.col("behavior") == "pv")
+def _events(spark, sf_dir) -> Feed:
+    return Feed(spark, sf_dir, "events", disorder=DELAY)
+
+
+def _views(spark, sf_dir, feed):
+    return views.user_behavior(spark, sf_dir, streaming=feed).where(F.col("behavior") == "pv")
 
 
 @register("stream_page_views_hourly", O.with_views("user_behavior")
@@ -39,8 +48,9 @@ def _views(spark, sf_dir):
             f"WHERE behavior = 'pv' GROUP BY 1) t WHERE make_timestamp((w + 1) * {HOUR_US}) <= "
             + _wm("user_behavior", "behavior = 'pv'"))
 def stream_page_views_hourly(spark, sf_dir):
-    return run_to_table(SW.stream_window_count(_views(spark, sf_dir), "ts", [], "1 hour"),
-                        "page_views_hourly")
+    feed = _events(spark, sf_dir)
+    return run_to_table(SW.stream_window_count(_views(spark, sf_dir, feed), "ts", [], "1 hour", delay=DELAY),
+                        "page_views_hourly", feed)
 
 
 @register("stream_item_window_counts",
@@ -48,8 +58,9 @@ def stream_page_views_hourly(spark, sf_dir):
                                                   "60 minutes", "5 minutes")
           + ") c WHERE window_end <= " + _wm("events", "event_type = 'view'"))
 def stream_item_window_counts(spark, sf_dir):
-    return run_to_table(SW.stream_window_count(_views(spark, sf_dir), "ts", ["item_id"], "60 minutes",
-                                               "5 minutes"), "item_window_counts")
+    feed = _events(spark, sf_dir)
+    return run_to_table(SW.stream_window_count(_views(spark, sf_dir, feed), "ts", ["item_id"], "60 minutes",
+                                               "5 minutes", DELAY), "item_window_counts", feed)
 
 
 @register("stream_hot_items_topn",
@@ -59,38 +70,49 @@ def stream_item_window_counts(spark, sf_dir):
 def stream_hot_items_topn(spark, sf_dir):
     # Closed windows arrive complete in one micro-batch (append mode), so each batch
     # is ranked in batch mode by foreachBatch.
-    counts = SW.stream_window_count(_views(spark, sf_dir), "ts", ["item_id"], "60 minutes", "5 minutes")
+    feed = _events(spark, sf_dir)
+    counts = SW.stream_window_count(_views(spark, sf_dir, feed), "ts", ["item_id"], "60 minutes", "5 minutes", DELAY)
+    return run_batches_to_table(
+        counts, lambda path: sinks.topn_batches(path, "window_end", "cnt", "item_id", 3), "hot_items_topn", feed)
+
+
+def _hot_urls(spark, sf_dir, size, slide, delay):
+    # Out-of-orderness bound 1 s plus 60 s allowed lateness = a 61 s watermark delay;
+    # each window is ranked once, after its lateness has passed.
+    feed = Feed(spark, sf_dir, "events", disorder=delay)
+    access = views.access_log(spark, sf_dir, streaming=feed)
+    counts = SW.stream_window_count(access, "ts", ["url"], size, slide, delay=delay)
     return run_batches_to_table(
-        counts, lambda path: sinks.topn_batches(path, "window_end", "cnt", "item_id", 3), "hot_items_topn")
+        counts, lambda path: sinks.topn_batches(path, "window_end", "cnt", "url", 5), "hot_urls_topn", feed)
 
 
-LATE_US = O.us("61 seconds")
+LATE = "61 seconds"
+LATE_US = O.us(LATE)
 
 
 @register("stream_hot_urls_topn_hourly",
           "SELECT * FROM (" + O.topn_sql("access_log", "", "url", "1 day", "1 hour", 5)
           + ") t WHERE window_end <= " + _wm("events", "", LATE_US))
 def stream_hot_urls_topn_hourly(spark, sf_dir):
-    # Out-of-orderness bound 1 s plus 60 s allowed lateness = a 61 s watermark delay;
-    # each window is ranked once, after its lateness has passed.
-    access = views.access_log(spark, sf_dir, streaming=True)
-    counts = SW.stream_window_count(access, "ts", ["url"], "1 day", "1 hour", delay="61 seconds")
-    return run_batches_to_table(
-        counts, lambda path: sinks.topn_batches(path, "window_end", "cnt", "url", 5), "hot_urls_topn")
+    return _hot_urls(spark, sf_dir, "1 day", "1 hour", LATE)
 
 
-AD_SLIDE_US = O.us("30 seconds")
+@register("stream_hot_urls_topn",
+          "SELECT * FROM (" + O.topn_sql("access_log", "", "url", "10 minutes", "5 seconds", 5)
+          + ") t WHERE window_end <= " + _wm("events", "", LATE_US))
+def stream_hot_urls_topn(spark, sf_dir):
+    return _hot_urls(spark, sf_dir, "10 minutes", "5 seconds", LATE)
 
 
 @register("stream_ad_clicks_by_province",
-          "SELECT * FROM (" + O.sliding_count_sql("ad_click", "", ["province"], "1 hour", "30 seconds")
-          + f") c WHERE window_end <= (SELECT make_timestamp((epoch_us(max(ts)) // {AD_SLIDE_US}) * "
-            f"{AD_SLIDE_US}) FROM events WHERE event_type = 'click')")
+          "SELECT * FROM (" + O.sliding_count_sql("ad_click", "", ["province"], "1 hour", "5 seconds")
+          + ") c WHERE window_end <= " + _wm("ad_click"))
 def stream_ad_clicks_by_province(spark, sf_dir):
-    # 120 windows per row: the expanded-window-start form (window closes up to one slide later).
-    clicks = views.ad_click(spark, sf_dir, streaming=True)
-    return run_to_table(SW.stream_window_count(clicks, "ts", ["province"], "1 hour", "30 seconds"),
-                        "ad_clicks_by_province")
+    # 720 windows per row: the rows are counted per 5 s pane first.
+    feed = _events(spark, sf_dir)
+    clicks = views.ad_click(spark, sf_dir, streaming=feed)
+    return run_to_table(SW.stream_window_count(clicks, "ts", ["province"], "1 hour", "5 seconds", DELAY),
+                        "ad_clicks_by_province", feed)
 
 
 @register("stream_unique_visitors_hourly", O.with_views("user_behavior")
@@ -99,8 +121,9 @@ def stream_ad_clicks_by_province(spark, sf_dir):
             f"WHERE behavior = 'pv' GROUP BY 1) t WHERE make_timestamp((w + 1) * {HOUR_US}) <= "
             + _wm("user_behavior", "behavior = 'pv'"))
 def stream_unique_visitors_hourly(spark, sf_dir):
-    return run_to_table(SW.stream_unique_visitors(_views(spark, sf_dir), "ts", "1 hour"),
-                        "unique_visitors_hourly")
+    feed = _events(spark, sf_dir)
+    return run_to_table(SW.stream_unique_visitors(_views(spark, sf_dir, feed), "ts", "1 hour", DELAY),
+                        "unique_visitors_hourly", feed)
 
 
 CAP = 2
@@ -109,134 +132,149 @@ _RANKED = """r AS (
 
 
 def _capped_stream(spark, sf_dir):
-    clicks = views.ad_click(spark, sf_dir, streaming=True)
-    return run_to_table(SP.stream_click_cap(clicks, CAP, reset=None), "click_cap")
+    feed = _events(spark, sf_dir)
+    clicks = views.ad_click(spark, sf_dir, streaming=feed)
+    return run_to_table(SP.stream_click_cap(clicks, CAP, reset=None, delay=DELAY), "click_cap", feed)
 
 
 @register("stream_ad_click_capped", O.with_views("ad_click", extra=[_RANKED])
-          + f"SELECT user_id, ad_id, province, city, ts, seq FROM r WHERE rn <= {CAP}")
+          + f"SELECT user_id, ad_id, province, city, ts, seq FROM r WHERE rn <= {CAP} AND ts <= " + _wm("ad_click"))
 def stream_ad_click_capped(spark, sf_dir):
     return _capped_stream(spark, sf_dir).where("tag = 'main'") \
         .select("user_id", "ad_id", "province", "city", "ts", "seq")
 
 
 @register("stream_ad_click_blacklist", O.with_views("ad_click", extra=[_RANKED])
-          + f"SELECT user_id, ad_id, ts, 'Click over {CAP} times' AS message FROM r WHERE rn = {CAP + 1}")
+          + f"SELECT user_id, ad_id, ts, 'Click over {CAP} times' AS message FROM r WHERE rn = {CAP + 1} AND ts <= "
+          + _wm("ad_click"))
 def stream_ad_click_blacklist(spark, sf_dir):
     return _capped_stream(spark, sf_dir).where("tag = 'blacklist'") \
         .select("user_id", "ad_id", "ts", "message")
 
 
-@register("stream_login_fail_consecutive", _pairs_sql("1 day", "login fail in 2 seconds"))
-def stream_login_fail_consecutive(spark, sf_dir):
-    return run_to_table(SP.stream_login_fail_consecutive(views.login(spark, sf_dir, streaming=True), "1 day"),
-                        "login_fail_consecutive")
+def _logins(spark, sf_dir, start, name):
+    feed = _events(spark, sf_dir)
+    return run_to_table(start(views.login(spark, sf_dir, streaming=feed)), name, feed)
 
 
-DELAY_US = O.us("5 seconds")
-PATTERN_US = O.us("2 hours")
-BURST_US = O.us("1 day")
+@register("stream_login_fail_consecutive", "SELECT * FROM (" + _pairs_sql("1 day", "login fail in 2 seconds")
+          + ") p WHERE last_fail_ts <= " + _wm("events"))
+def stream_login_fail_consecutive(spark, sf_dir):
+    return _logins(spark, sf_dir, lambda d: SP.stream_login_fail_consecutive(d, "1 day", DELAY), "login_consecutive")
 
 
 @register("stream_login_fail_pattern", "SELECT * FROM (" + _pairs_sql("2 hours", "login fail!")
-          + ") p WHERE last_fail_ts <= " + _wm("events", "", DELAY_US))
+          + ") p WHERE last_fail_ts <= " + _wm("events"))
 def stream_login_fail_pattern(spark, sf_dir):
-    return run_to_table(SP.stream_login_fail_pattern(views.login(spark, sf_dir, streaming=True),
-                                                     "2 hours", "5 seconds"), "login_fail_pattern")
+    return _logins(spark, sf_dir, lambda d: SP.stream_login_fail_pattern(d, "2 hours", DELAY), "login_pattern")
+
+
+BURST_US = O.us("1 day")
 
 
 @register("stream_login_fail_burst", "SELECT * FROM (" + _burst_sql("1 day")
           + f") b WHERE epoch_us(first_fail_ts) + {BURST_US} <= (SELECT (epoch_us(max(ts)) // 1000) * 1000 "
             f"- {DELAY_US} FROM events)")
 def stream_login_fail_burst(spark, sf_dir):
-    return run_to_table(SP.stream_login_fail_burst(views.login(spark, sf_dir, streaming=True),
-                                                   "1 day", 2, "5 seconds"), "login_fail_burst")
-
-
-ORDER_TIMEOUT_US = O.us("400 days")
-_ORDER_WM = ("(SELECT max(u) FROM (SELECT (epoch_us(max(o_orderdate)) // 1000) * 1000 AS u FROM orders "
-             "UNION ALL SELECT (epoch_us(max(l_shipdate)) // 1000) * 1000 FROM lineitem))")
-
-
-def _order_streams(spark, sf_dir):
-    from ..streaming.runner import stream_table
-    creates = (stream_table(spark, sf_dir, "orders").where(F.col("o_orderstatus") != "P")
-               .select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("ts"),
-                       (F.col("o_orderkey") * 2).alias("seq")))
-    # Every line item is a pay event; the processor keeps the first one per order.
-    pays = stream_table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").alias("ts"),
-        (F.col("l_orderkey") * 2 + 1).alias("seq"))
-    return creates, pays
-
-
-@register("stream_order_timeout_status", "SELECT * FROM (" + _ORDER_STATUS_SQL + ") s "
-          f"WHERE epoch_us(create_ts) + {ORDER_TIMEOUT_US} <= " + _ORDER_WM)
+    return _logins(spark, sf_dir, lambda d: SP.stream_login_fail_burst(d, "1 day", 2, DELAY), "login_burst")
+
+
+ORDER_TIMEOUT = "400 days"
+ORDER_US = O.us(ORDER_TIMEOUT)
+HORIZON = "800 days"
+HORIZON_US = O.us(HORIZON)
+#: Orders and line items are dated by the day; the half day keeps watermarks off these dates.
+ORDER_DISORDER, ORDER_DELAY = "2 days", "60 hours"
+ORDER_DELAY_US = O.us(ORDER_DELAY)
+_ORDER_WM = f"(SELECT (epoch_us(max(ts)) // 1000) * 1000 - {ORDER_DELAY_US} FROM order_events)"
+
+
+def _orders(spark, sf_dir, start, name):
+    feed = Feed(spark, sf_dir, ("orders", "lineitem"), batches=2, disorder=ORDER_DISORDER)
+    return run_to_table(start(views.order_events(spark, sf_dir, streaming=feed)), name, feed)
+
+
+@register("stream_order_pattern", O.with_views("order_events", extra=[_PATTERN]) + f"""
+SELECT order_id, create_ts, CASE WHEN ok THEN pay_ts END AS pay_ts,
+       CASE WHEN ok THEN 'payed success' ELSE 'timeout' END AS result, CASE WHEN ok THEN 'payed' ELSE 'timeout' END AS output
+FROM (SELECT *, coalesce(epoch_us(pay_ts) - epoch_us(create_ts) < {ORDER_US}, false) AS ok FROM np) t
+WHERE CASE WHEN ok THEN epoch_us(pay_ts) ELSE epoch_us(create_ts) + {ORDER_US} END <= """ + _ORDER_WM)
+def stream_order_pattern(spark, sf_dir):
+    return _orders(spark, sf_dir, lambda d: SP.stream_order_pattern(d, ORDER_TIMEOUT, ORDER_DELAY), "order_pattern")
+
+
+@register("stream_order_timeout_status", O.with_views("order_events", extra=[_PATTERN, f"""pb AS (
+  SELECT DISTINCT c.order_id, c.seq FROM order_events c JOIN order_events p
+    ON p.order_id = c.order_id AND p.event_type = 'pay'
+   AND (p.ts < c.ts OR (p.ts = c.ts AND p.seq < c.seq)) AND epoch_us(c.ts) - epoch_us(p.ts) <= {HORIZON_US}
+  WHERE c.event_type = 'create')"""]) + f"""
+SELECT order_id, create_ts, CASE WHEN ok THEN 'order payed successfully' ELSE 'order timeout' END AS result
+FROM (SELECT np.*, coalesce(epoch_us(pay_ts) <= epoch_us(create_ts) + {ORDER_US}, false) AS ok
+      FROM np ANTI JOIN pb ON np.order_id = pb.order_id AND np.seq = pb.seq) t
+WHERE CASE WHEN ok THEN epoch_us(pay_ts) ELSE epoch_us(create_ts) + {ORDER_US} END <= """ + _ORDER_WM)
 def stream_order_timeout_status(spark, sf_dir):
-    creates, pays = _order_streams(spark, sf_dir)
-    return run_to_table(SP.stream_order_outcomes(creates, pays, "status", "400 days"), "order_status")
+    return _orders(spark, sf_dir, lambda d: SP.stream_order_status(d, ORDER_TIMEOUT, ORDER_DELAY, memory=HORIZON),
+                   "order_status")
 
 
-@register("stream_order_pay_match", O.with_views("order_events", extra=[f"""po AS (
+@register("stream_order_pay_match", O.with_views("order_events", extra=["""po AS (
   SELECT order_id,
-         min(CASE WHEN event_type = 'create' THEN epoch_us(ts) END) AS c,
-         min(CASE WHEN event_type = 'pay' THEN epoch_us(ts) END) AS p
-  FROM order_events GROUP BY order_id)""", f"""res AS (
+         min(CASE WHEN event_type = 'create' THEN epoch_us(ts) END) AS c0,
+         min(CASE WHEN event_type = 'pay' THEN epoch_us(ts) END) AS p0
+  FROM order_events GROUP BY order_id)""", f"""seen AS (
+  SELECT order_id, CASE WHEN p0 IS NULL OR c0 <= p0 + {HORIZON_US} THEN c0 END AS c,
+         CASE WHEN c0 IS NULL OR p0 <= c0 + {HORIZON_US} THEN p0 END AS p FROM po)""", f"""res AS (
   SELECT order_id, CASE
-      WHEN c IS NOT NULL AND p IS NOT NULL AND p < c + {ORDER_TIMEOUT_US} THEN 'payed successfully'
+      WHEN c IS NOT NULL AND p IS NOT NULL AND p < c + {ORDER_US} THEN 'payed successfully'
       WHEN c IS NOT NULL AND p IS NOT NULL THEN 'payed but already timeout'
       WHEN c IS NOT NULL THEN 'time out'
-      ELSE 'already payed but not found create log' END AS result, c, p
-  FROM po)"""])
+      ELSE 'already payed but not found create log' END AS result,
+    CASE WHEN c IS NOT NULL AND p IS NOT NULL THEN greatest(c, p) ELSE coalesce(c, p) + {HORIZON_US} END AS decided
+  FROM seen)"""])
           + "SELECT order_id, result, CASE WHEN result = 'payed successfully' THEN 'payed' "
-            "ELSE 'timeout' END AS output FROM res "
-            f"WHERE (c IS NOT NULL AND p IS NOT NULL) OR (p IS NULL AND c + {ORDER_TIMEOUT_US} <= {_ORDER_WM}) "
-            f"OR (c IS NULL AND p + {ORDER_TIMEOUT_US} <= {_ORDER_WM})")
+            "ELSE 'timeout' END AS output FROM res WHERE decided <= " + _ORDER_WM)
 def stream_order_pay_match(spark, sf_dir):
-    creates, pays = _order_streams(spark, sf_dir)
-    return run_to_table(SP.stream_order_outcomes(creates, pays, "match", "400 days"), "order_match")
+    return _orders(spark, sf_dir, lambda d: SP.stream_order_match(d, ORDER_TIMEOUT, HORIZON, ORDER_DELAY), "order_match")
 
 
-TX_BOUND_US = O.us("200 days")
+TX_BOUND = "200 days"
+TX_US = O.us(TX_BOUND)
+#: Receipts come up to 50 days after their line item's date, so their stream is that far out of order.
+TX_DELAY = "1260 hours"
+TX_DELAY_US = O.us(TX_DELAY)
+_TX_WM = ("(SELECT least((SELECT max(epoch_us(ts)) FROM pays), (SELECT max(epoch_us(ts)) FROM receipts)) "
+          f"- {TX_DELAY_US})")
+_NEAR = f"epoch_us(r.ts) BETWEEN epoch_us(p.ts) - {TX_US} AND epoch_us(p.ts) + {TX_US}"
 
 
-@register("stream_tx_matched", f"""
-WITH pays AS (
-  SELECT 'tx' || CAST(l_orderkey AS VARCHAR) AS tx_id, l_orderkey AS order_id, l_shipdate AS ts
-  FROM lineitem WHERE l_linenumber = 1),
-receipts AS (
-  SELECT 'tx' || CAST(l_orderkey AS VARCHAR) AS tx_id, l_returnflag AS pay_channel, l_shipdate AS ts
-  FROM lineitem WHERE l_linenumber = 2)
+@register("stream_tx_reconcile", O.with_views("order_events", "receipts", extra=[
+    "pays AS (SELECT * FROM order_events WHERE tx_id <> '')"]) + f"""
 SELECT p.tx_id, p.order_id, p.ts AS pay_ts, r.pay_channel, r.ts AS receipt_ts, 'matched' AS tag
-FROM pays p JOIN receipts r ON p.tx_id = r.tx_id
- AND epoch_us(r.ts) BETWEEN epoch_us(p.ts) - {TX_BOUND_US} AND epoch_us(p.ts) + {TX_BOUND_US}""")
-def stream_tx_matched(spark, sf_dir):
-    """Stream-stream reconciliation (full outer join with a range condition); the
-    pays are the first line items (one stream), the receipts the second line items
-    (another stream).  Matched pairs are emitted as soon as both sides are in;
-    unmatched rows wait for the watermark, so only the matched output is compared."""
-    from ..streaming import joins as SJ
-    from ..streaming.runner import stream_table
-    li = stream_table(spark, sf_dir, "lineitem")
-    pays = li.where(F.col("l_linenumber") == 1).select(
-        F.concat(F.lit("tx"), F.col("l_orderkey").cast("string")).alias("tx_id"),
-        F.col("l_orderkey").alias("order_id"), F.lit("pay").alias("event_type"),
-        F.col("l_shipdate").alias("ts"))
-    li2 = stream_table(spark, sf_dir, "lineitem")
-    recs = li2.where(F.col("l_linenumber") == 2).select(
-        F.concat(F.lit("tx"), F.col("l_orderkey").cast("string")).alias("tx_id"),
-        F.col("l_returnflag").alias("pay_channel"), F.col("l_shipdate").alias("ts"))
-    out = run_to_table(SJ.stream_tx_reconcile(pays, recs, "200 days"), "tx_reconcile")
-    return out.where(F.col("tag") == "matched")
-
+FROM pays p JOIN receipts r ON p.tx_id = r.tx_id AND {_NEAR}
+UNION ALL
+SELECT tx_id, order_id, ts, NULL, NULL, 'unmatched_pay' FROM pays p
+WHERE NOT EXISTS (SELECT 1 FROM receipts r WHERE r.tx_id = p.tx_id AND {_NEAR})
+  AND epoch_us(ts) + {TX_US} <= {_TX_WM}
+UNION ALL
+SELECT tx_id, NULL, NULL, pay_channel, ts, 'unmatched_receipt' FROM receipts r
+WHERE NOT EXISTS (SELECT 1 FROM pays p WHERE p.tx_id = r.tx_id AND {_NEAR})
+  AND epoch_us(ts) + {TX_US} <= {_TX_WM}""")
+def stream_tx_reconcile(spark, sf_dir):
+    """Stream-stream reconciliation (full outer join with a range condition) with all three outputs:
+    pairs as soon as both sides are in, unmatched rows once the watermark rules a partner out."""
+    pays = Feed(spark, sf_dir, ("orders", "lineitem"), disorder=ORDER_DISORDER)
+    out = SJ.stream_tx_reconcile(views.order_events(spark, sf_dir, streaming=pays),
+                                 views.receipts(spark, sf_dir, streaming=pays), TX_BOUND, TX_DELAY)
+    return run_to_table(out, "tx_reconcile", pays)
 
 
 @register("stream_marketing_by_channel",
           "SELECT * FROM (" + O.sliding_count_sql("marketing", "behavior NOT IN ('UNINSTALL')",
                                                   ["channel", "behavior"], "1 hour", "5 minutes")
-          + ") c WHERE window_end <= " + _wm("events", "event_type <> 'error'"))
+          + ") c WHERE window_end <= " + _wm("marketing", "behavior <> 'UNINSTALL'"))
 def stream_marketing_by_channel(spark, sf_dir):
     # Stream-static join with the customer table gives the channel.
-    mk = views.marketing(spark, sf_dir, streaming=True).where(F.col("behavior") != "UNINSTALL")
-    return run_to_table(SW.stream_window_count(mk, "ts", ["channel", "behavior"], "1 hour", "5 minutes"),
-                        "marketing_by_channel")
+    feed = _events(spark, sf_dir)
+    mk = views.marketing(spark, sf_dir, streaming=feed).where(F.col("behavior") != "UNINSTALL")
+    return run_to_table(SW.stream_window_count(mk, "ts", ["channel", "behavior"], "1 hour", "5 minutes", DELAY),
+                        "marketing_by_channel", feed)

@@ -27,6 +27,7 @@ def _epoch() -> Column:
 
 # Fixed values of the log formats.
 ACCESS_TIME_FORMAT = "dd/MM/yyyy:HH:mm:ss"
+ACCESS_TIME = r"^([0-9]{2})/([0-9]{2})/([0-9]{4}):([0-9]{2}):([0-9]{2}):([0-9]{2})$"
 
 
 @dataclass(frozen=True)
@@ -88,7 +89,9 @@ def _typed(raw: Column, kind: str) -> Column:
     if kind == "epoch_s":
         return F.timestamp_add("SECOND", v.try_cast("long"), _epoch())
     if kind == "access_time":
-        return F.try_to_timestamp(v, F.lit(ACCESS_TIME_FORMAT)).cast("timestamp_ntz")
+        # Built from its fields, so the session time zone (and its missing hours) plays no part.
+        day, month, year, hour, minute, sec = (F.regexp_extract(v, ACCESS_TIME, k).try_cast("int") for k in range(1, 7))
+        return F.try_make_timestamp_ntz(year, month, day, hour, minute, sec.cast("decimal(8,6)"))
     raise ValueError(kind)
 
 
@@ -164,7 +167,10 @@ def format_lines(df: DataFrame, kind: str) -> DataFrame:
             pieces.append(F.expr(
                 f"CAST(timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{fld.name}`) AS STRING)"))
         elif fld.kind == "access_time":
-            pieces.append(F.date_format(F.col(fld.name), ACCESS_TIME_FORMAT))
+            c = F.col(fld.name)
+            pieces.append(F.format_string("%02d/%02d/%04d:%02d:%02d:%02d", F.dayofmonth(c), F.month(c), F.year(c),
+                                          F.hour(c), F.minute(c), F.floor(F.second(c)).cast("int")))
         else:
             pieces.append(F.col(fld.name).cast("string"))
-    return df.select(F.concat_ws(fmt.sep, *pieces).alias("value"))
+    # A null field stays an empty field; concat_ws alone would shift the fields behind it.
+    return df.select(F.concat_ws(fmt.sep, *[F.coalesce(x, F.lit("")) for x in pieces]).alias("value"))

@@ -8,7 +8,7 @@ size is under ``spark.sql.autoBroadcastJoinThreshold`` (and AQE re-plans from
 runtime sizes); otherwise it shuffles.
 
 ``seq`` is the arrival number used as the tie-break after event time (unique
-except for receipts, where an order may have several second line items).
+except for receipts, where an order has one for each line item).
 """
 
 from __future__ import annotations
@@ -20,23 +20,29 @@ from .tables import read_table
 
 # Fixed values of the view derivations.
 ITEM_JSON_PATH = "$.k"
-PAGE_MODULUS = 50          # page_id = k % 50 (the smallest test set has 50 pages)
 AD_MODULUS = 5             # ad_id = k % 5
 CATEGORY_MODULUS = 10      # category_id = item_id % 10
 
 
-def _events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
-    if streaming:
+def _table(spark: SparkSession, sf_dir: str, name: str, streaming=False) -> DataFrame:
+    """A fact table: read whole, as a file stream (True), or as the stream of a ``runner.Feed``."""
+    if not streaming:
+        return read_table(spark, sf_dir, name)
+    if streaming is True:
         from ..streaming.runner import stream_table
-        return stream_table(spark, sf_dir, "events")
-    return read_table(spark, sf_dir, "events")
+        return stream_table(spark, sf_dir, name)
+    return streaming.stream(name)
+
+
+def _events(spark: SparkSession, sf_dir: str, streaming=False) -> DataFrame:
+    return _table(spark, sf_dir, "events", streaming)
 
 
 def _item(props_col: str = "props"):
     return F.get_json_object(F.col(props_col), ITEM_JSON_PATH).cast("long")
 
 
-def user_behavior(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
+def user_behavior(spark: SparkSession, sf_dir: str, streaming=False) -> DataFrame:
     """UserBehavior(user_id, item_id, category_id, behavior, ts, seq); views are 'pv'."""
     ev = _events(spark, sf_dir, streaming)
     item = _item()
@@ -56,11 +62,15 @@ def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id", "event_type", "value", "ts", F.col("event_id").alias("seq"))
 
 
-def access_log(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
-    """ApacheLogEvent(ip, user_id, ts, method, url, seq): every event is a GET of a page."""
-    ev = _events(spark, sf_dir, streaming).select(
-        "user_id", "ts", "event_id", (_item() % PAGE_MODULUS).alias("page_id"))
+def access_log(spark: SparkSession, sf_dir: str, streaming=False) -> DataFrame:
+    """ApacheLogEvent(ip, user_id, ts, method, url, seq): every event is a GET of a page.
+
+    page_id = (k squared + user_id) modulo the number of pages (counted in the plan), so all pages
+    are visited and small k are visited by more users."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    n_pages = pages.agg(F.count(F.lit(1)).alias("n")).scalar()
+    ev = _events(spark, sf_dir, streaming).select(
+        "user_id", "ts", "event_id", F.pmod(_item() * _item() + F.col("user_id"), n_pages).alias("page_id"))
     return ev.join(pages, "page_id").select(
         F.format_string("10.0.%d.%d", (F.col("user_id") / 256).cast("long") % 256,
                         F.col("user_id") % 256).alias("ip"),
@@ -72,7 +82,7 @@ def access_log(spark: SparkSession, sf_dir: str, streaming: bool = False) -> Dat
     )
 
 
-def marketing(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
+def marketing(spark: SparkSession, sf_dir: str, streaming=False) -> DataFrame:
     """MarketingUserBehavior(user_id, behavior, channel, ts, seq).
 
     behavior = upper(event_type) with 'error' standing for an uninstall;
@@ -91,7 +101,7 @@ def marketing(spark: SparkSession, sf_dir: str, streaming: bool = False) -> Data
     )
 
 
-def ad_click(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
+def ad_click(spark: SparkSession, sf_dir: str, streaming=False) -> DataFrame:
     """AdClickEvent(user_id, ad_id, province, city, ts, seq) from click events."""
     ev = (_events(spark, sf_dir, streaming)
           .where(F.col("event_type") == "click")
@@ -104,7 +114,7 @@ def ad_click(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataF
             .select("user_id", "ad_id", "province", "city", "ts", F.col("event_id").alias("seq")))
 
 
-def login(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
+def login(spark: SparkSession, sf_dir: str, streaming=False) -> DataFrame:
     """LoginEvent(user_id, ip, event_type in {fail, success}, ts, seq); errors are failures."""
     ev = _events(spark, sf_dir, streaming)
     return ev.select(
@@ -117,38 +127,36 @@ def login(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFram
     )
 
 
-def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_events(spark: SparkSession, sf_dir: str, streaming=False) -> DataFrame:
     """OrderEvent(order_id, event_type in {create, pay}, tx_id, ts, seq).
 
-    create = an order that is not pending, at its order date, with an empty tx id;
-    pay = the first ship date of the order's line items, tx id 'tx' + order key.
+    create = an order, at its order date, with an empty tx id; pay = each of its line items, at the
+    ship date, tx id 'tx' + order key.  Orders without line items are never paid.
     """
-    creates = (read_table(spark, sf_dir, "orders")
-               .where(F.col("o_orderstatus") != "P")
-               .select(F.col("o_orderkey").alias("order_id"),
-                       F.lit("create").alias("event_type"),
-                       F.lit("").alias("tx_id"),
-                       F.col("o_orderdate").alias("ts"),
-                       (F.col("o_orderkey") * 2).alias("seq")))
-    pays = (read_table(spark, sf_dir, "lineitem")
-            .groupBy(F.col("l_orderkey").alias("order_id"))
-            .agg(F.min("l_shipdate").alias("ts"))
-            .select("order_id",
-                    F.lit("pay").alias("event_type"),
-                    F.concat(F.lit("tx"), F.col("order_id").cast("string")).alias("tx_id"),
-                    "ts",
-                    (F.col("order_id") * 2 + 1).alias("seq")))
+    creates = _table(spark, sf_dir, "orders", streaming).select(
+        F.col("o_orderkey").alias("order_id"),
+        F.lit("create").alias("event_type"),
+        F.lit("").alias("tx_id"),
+        F.col("o_orderdate").alias("ts"),
+        (F.col("o_orderkey") * 10).alias("seq"))
+    pays = _table(spark, sf_dir, "lineitem", streaming).select(
+        F.col("l_orderkey").alias("order_id"),
+        F.lit("pay").alias("event_type"),
+        F.concat(F.lit("tx"), F.col("l_orderkey").cast("string")).alias("tx_id"),
+        F.col("l_shipdate").alias("ts"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     return creates.unionByName(pays)
 
 
-def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ReceiptEvent(tx_id, pay_channel, ts, seq): second line items acknowledge payment.
+def receipts(spark: SparkSession, sf_dir: str, streaming=False) -> DataFrame:
+    """ReceiptEvent(tx_id, pay_channel, ts, seq): every part sold acknowledges a payment of its order.
 
-    seq = the order key; it orders receipts but does not identify one.
+    The receipt of a line item comes its quantity in days after the ship date; seq = order
+    key * 10 + line number, which orders receipts but does not identify one.
     """
-    return (read_table(spark, sf_dir, "lineitem")
-            .where(F.col("l_linenumber") == 2)
-            .select(F.concat(F.lit("tx"), F.col("l_orderkey").cast("string")).alias("tx_id"),
-                    F.col("l_returnflag").alias("pay_channel"),
-                    F.col("l_shipdate").alias("ts"),
-                    F.col("l_orderkey").alias("seq")))
+    items = _table(spark, sf_dir, "lineitem", streaming)
+    return items.select(
+        F.concat(F.lit("tx"), F.col("l_orderkey").cast("string")).alias("tx_id"),
+        F.col("l_returnflag").alias("pay_channel"),
+        F.timestamp_add("DAY", F.col("l_quantity").cast("int"), F.col("l_shipdate")).alias("ts"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))

@@ -4,6 +4,9 @@ The time condition is written as a range on the other side's event time, which
 lets Spark evict join state once the watermark (the minimum over both inputs)
 passes ``ts + bound``.  Outer rows are emitted when their partners can no longer
 arrive.
+
+Spark adds the whole days of such an interval in the session time zone, so the join needs a zone
+without clock changes when its bound has days in it: it insists on UTC then.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.time import as_event_time, duration_us, to_ntz
 
+DAY_US = 86_400_000_000
+
 
 def _iv(us: int) -> str:
     return f"INTERVAL {us} MICROSECONDS"
@@ -26,6 +31,9 @@ def stream_tx_reconcile(order_events: DataFrame, receipts: DataFrame, bound="5 s
     ('matched' | 'unmatched_pay' | 'unmatched_receipt').
     """
     b, d = duration_us(bound), duration_us(delay)
+    zone = order_events.sparkSession.conf.get("spark.sql.session.timeZone")
+    if b >= DAY_US and zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"a bound of a day or more needs spark.sql.session.timeZone=UTC, not {zone}")
     pays = as_event_time(order_events.where(F.col("tx_id") != ""), "ts", "p_et") \
         .select(F.col("tx_id").alias("p_tx"), "order_id", "p_et") \
         .withWatermark("p_et", f"{d} microseconds")
@@ -40,23 +48,3 @@ def stream_tx_reconcile(order_events: DataFrame, receipts: DataFrame, bound="5 s
     return j.select(F.coalesce("p_tx", "r_tx").alias("tx_id"), "order_id",
                     to_ntz(F.col("p_et")).alias("pay_ts"), "pay_channel",
                     to_ntz(F.col("r_et")).alias("receipt_ts"), tag.alias("tag"))
-
-
-def stream_order_timeouts(order_events: DataFrame, within="15 minutes", delay="0 seconds") -> DataFrame:
-    """Create followed by a pay of the same order within the bound (left outer join):
-    (order_id, create_ts, pay_ts, result) with result 'payed success' or 'timeout'.
-
-    A create joins every pay inside its bound; orders with several pays inside
-    the bound produce one row per pay.
-    """
-    w, d = duration_us(within), duration_us(delay)
-    creates = as_event_time(order_events.where(F.col("event_type") == "create"), "ts", "c_et") \
-        .select(F.col("order_id").alias("c_id"), "c_et").withWatermark("c_et", f"{d} microseconds")
-    pays = as_event_time(order_events.where(F.col("event_type") == "pay"), "ts", "p_et") \
-        .select(F.col("order_id").alias("p_id"), "p_et").withWatermark("p_et", f"{d} microseconds")
-    cond = F.expr(f"c_id = p_id AND p_et >= c_et AND p_et < c_et + {_iv(w)}")
-    j = creates.join(pays, cond, "leftOuter")
-    return j.select(F.col("c_id").alias("order_id"), to_ntz(F.col("c_et")).alias("create_ts"),
-                    to_ntz(F.col("p_et")).alias("pay_ts"),
-                    F.when(F.col("p_id").isNotNull(), F.lit("payed success"))
-                     .otherwise(F.lit("timeout")).alias("result"))

@@ -3,24 +3,24 @@
 State lives in the RocksDB state store, partitioned by the grouping key, and is
 checkpointed with the query, so a lost executor replays from the checkpoint.
 
-* :class:`ClickCapProcessor` -- per (user, ad): pass the first ``max_count``
-  clicks per reset period, one warning at click ``max_count + 1``.  The period is
-  the event-time day (or a processing-time timer at the next midnight, like a
-  daily reset job).
-* :class:`ConsecutiveFailProcessor` -- per user, arrival order: a failure less
-  than ``within`` after the stored failure warns; a success clears the store.
-* :class:`OrderedLoginProcessor` -- per user, event-time order: events are
-  buffered until the watermark passes them, then evaluated in ``(ts, seq)`` order,
-  for the strict-next pattern and the failure-burst timer.
-
-Per-key work inside a micro-batch is a small sorted loop over that key's rows.
-Event times enter as epoch microseconds (``ev_us``; leading underscores are
-not kept in the pandas frames) and leave as ``*_us`` columns;
-the wrappers convert them back to timestamps.
+Every event-time operator works in event order ``(ts, seq)``, however the input is cut
+into micro-batches: rows wait in time slices until the watermark has passed them, and are then
+handed, in order, to a small state machine (:class:`OrderedProcessor`).  A slice is read once
+when it is due, so a busy key costs linear time and holds one slice in memory.  Rows that are
+late (at or before the watermark) are dropped.  The results equal those of the batch operators
+on the rows the watermark has passed, for any split into batches.
+
+State expires: a key's waiting rows go with their slice, and its machine's state is cleared by a
+timer once no later event can depend on it (see each class for the two cases in which
+only a bound given by the caller can say so).
+
+Event times enter as epoch microseconds (``ev_us``) and leave as ``*_us`` columns; the wrappers
+convert them back to timestamps.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,9 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import (ExpiredTimerInfo, StatefulProcessor,
                                                       StatefulProcessorHandle, TimerValues)
 
-from ..functions.time import as_event_time, duration_us, micros_to_ts, to_micros
+from ..functions.time import as_event_time, duration_us, micros_to_ts
+from ..operators.login import BURST_MESSAGE, CONSECUTIVE_MESSAGE, FAIL, PATTERN_MESSAGE, WITHIN
+from ..operators.market import BLACKLIST_MESSAGE, CLICK_CAP
+from ..operators.orders import (CREATE, MATCH_LATE, MATCH_NO_CREATE, MATCH_NO_PAY, MATCH_PAYED, PATTERN_TIMEOUT,
+                                PAYED_SUCCESS, STATUS_PAYED, STATUS_TIMEOUT, TIMEOUT)
 
 DAY_MS = 86_400_000
+HOUR_US = 3_600_000_000
 
 
 def _pickle_by_value() -> None:
@@ -50,11 +55,9 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def _require_rocksdb(df: DataFrame) -> None:
-    """``transformWithState`` needs the RocksDB state store (multiple column families);
-    the provider is read when a query starts, so set it for this session if needed."""
-    spark = df.sparkSession
-    if spark.conf.get(PROVIDER, None) != ROCKSDB:
-        spark.conf.set(PROVIDER, ROCKSDB)
+    """``transformWithState`` needs the RocksDB state store (multiple column families)."""
+    if df.sparkSession.conf.get(PROVIDER, None) != ROCKSDB:
+        raise RuntimeError(f"stateful processors need {PROVIDER}={ROCKSDB}; session.build_session sets it")
 
 
 def _ceil_ms(us: int) -> int:
@@ -62,344 +65,452 @@ def _ceil_ms(us: int) -> int:
     return -(-us // 1000)
 
 
-def _concat(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    frames = [r for r in rows if len(r)]
-    if not frames:
-        return pd.DataFrame()
-    return pd.concat(frames, ignore_index=True)
+class OrderedProcessor(StatefulProcessor):
+    """Hands each key's rows to :meth:`step` in the order of (ev_us, seq), behind the watermark.
 
+    Input columns: ``ev_us``, ``seq`` and ``payload``.  Subclasses keep their state in a
+    JSON-able list and give lists of output rows.
+    """
+
+    payload: tuple[str, ...] = ()
+    output: tuple[str, ...] = ()
+    #: Width of the time slices in which rows wait; subclasses take their bound.
+    slice_us: int = HOUR_US
+
+    def fresh(self) -> list:
+        """State of a key without history."""
+        raise NotImplementedError
+
+    def step(self, key, st: list, us: int, seq: int, row: tuple) -> list[tuple]:
+        """Output of one event; changes ``st`` in place."""
+        raise NotImplementedError
 
-class ClickCapProcessor(StatefulProcessor):
-    """Input columns: user_id, ad_id, province, city, ev_us, seq.  Output adds ``tag``."""
+    def advance(self, key, st: list, wm_us: int) -> list[tuple]:
+        """Output that is due because every event up to ``wm_us`` is in."""
+        return []
 
-    def __init__(self, max_count: int, reset_us: int | None, processing_reset: bool = False):
-        self.max_count = max_count
-        self.reset_us = reset_us
-        self.processing_reset = processing_reset
+    def wake_at(self, st: list) -> int | None:
+        """Next time at which :meth:`advance` has something to do."""
+        return None
+
+    def forget_at(self, st: list) -> int | None:
+        """Time from which the state equals a fresh one for all later events; None: never."""
+        return None
+
+    # -- plumbing ------------------------------------------------------------------
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("cap", "period long, n long, warned boolean, timer long")
+        self.waiting = handle.getMapState("waiting", "slice long", "rows string")
+        self.machine = handle.getValueState("machine", "st string")
 
     def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        df = _concat(rows)
-        if df.empty:
-            return
-        df = df.sort_values(["ev_us", "seq"], kind="stable")
-        period, n, warned, timer = self.state.get() or (None, 0, False, 0)
-        tags = []
-        for us in df["ev_us"].tolist():
-            p = us // self.reset_us if (self.reset_us and not self.processing_reset) else 0
-            if p != period:
-                period, n, warned = p, 0, False
-            if n < self.max_count:
-                n += 1
-                tags.append("main")
-            elif not warned:
-                warned = True
-                tags.append("blacklist")
-            else:
-                tags.append(None)
-        if self.processing_reset and not timer:
-            now = timerValues.getCurrentProcessingTimeInMs()
-            timer = (now // DAY_MS + 1) * DAY_MS
-            self.handle.registerTimer(timer)
-        self.state.update((period, n, warned, timer))
-        out = df.assign(tag=tags)
-        out = out[out["tag"].notna()]
-        if len(out):
-            yield out
+        wm_us = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000
+        first = None
+        for df in rows:
+            if wm_us > 0:
+                df = df[df["ev_us"] > wm_us]          # late rows are dropped
+            if not len(df):
+                continue
+            for part, g in df.groupby(df["ev_us"] // self.slice_us):
+                cells = [g[c].tolist() for c in ("ev_us", "seq", *self.payload)]
+                new = [list(r) for r in zip(*cells)]
+                slot = (int(part),)
+                if self.waiting.containsKey(slot):
+                    new = json.loads(self.waiting.getValue(slot)[0]) + new
+                self.waiting.updateValue(slot, (json.dumps(new),))
+            low = int(df["ev_us"].min())
+            first = low if first is None else min(first, low)
+        if first is not None:
+            self.handle.registerTimer(_ceil_ms(first))
+        return iter([])
 
     def handleExpiredTimer(self, key, timerValues: TimerValues,
                            expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        st = self.state.get()
-        if st is not None and st[3] == expiredTimerInfo.getExpiryTimeInMs():
-            self.state.clear()
-        return iter([])
+        wm_us = timerValues.getCurrentWatermarkInMs() * 1000
+        held = self.machine.get()
+        st = json.loads(held[0]) if held is not None else self.fresh()
+        out: list[tuple] = []
+        upcoming = None
+        for part in sorted(k[0] for k in self.waiting.keys()):
+            if part * self.slice_us > wm_us:
+                upcoming = part * self.slice_us
+                break
+            events = sorted(json.loads(self.waiting.getValue((part,))[0]), key=lambda e: (e[0], e[1]))
+            rest = [e for e in events if e[0] > wm_us]
+            for us, seq, *row in events[:len(events) - len(rest)]:
+                out += self.advance(key, st, us - 1)
+                out += self.step(key, st, us, seq, tuple(row))
+            if rest:
+                self.waiting.updateValue((part,), (json.dumps(rest),))
+                upcoming = rest[0][0]
+                break
+            self.waiting.removeKey((part,))
+        out += self.advance(key, st, wm_us)
+        forget = self.forget_at(st)
+        if st == self.fresh() or (forget is not None and forget <= wm_us):
+            self.machine.clear()
+            later = [upcoming]
+        else:
+            self.machine.update((json.dumps(st),))
+            later = [upcoming, self.wake_at(st), forget]
+        later = [t for t in later if t is not None]
+        if later:
+            self.handle.registerTimer(max(_ceil_ms(min(later)), timerValues.getCurrentWatermarkInMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=list(self.output))
 
     def close(self) -> None:
         pass
 
 
-def stream_click_cap(clicks: DataFrame, max_count: int = 100, reset="1 day",
-                     processing_reset: bool = False) -> DataFrame:
-    """Both click-cap outputs, tagged 'main' / 'blacklist' (fan out with ``sinks.fan_out``).
+def _ordered(events: DataFrame, keys: list[str], proc: OrderedProcessor, schema: str, delay) -> DataFrame:
+    """Run an ordered processor over ``events`` (ts, seq, keys and payload columns)."""
+    _require_rocksdb(events)
+    ev = as_event_time(events, "ts", "_et").withWatermark("_et", f"{duration_us(delay)} microseconds")
+    src = ev.select(*keys, "_et", F.unix_micros("_et").alias("ev_us"), "seq", *proc.payload)
+    return src.groupBy(*keys).transformWithStateInPandas(proc, schema, "append", "EventTime")
 
-    ``processing_reset=True`` clears the counters at the next processing-time
-    midnight via a timer; a pending timer keeps the query scheduling batches, so
-    use it with a continuous trigger, not ``availableNow``.
-    """
-    _require_rocksdb(clicks)
-    src = clicks.select("user_id", "ad_id", "province", "city", to_micros(clicks, "ts").alias("ev_us"), "seq")
-    proc = ClickCapProcessor(max_count, duration_us(reset) if reset else None, processing_reset)
-    out = src.groupBy("user_id", "ad_id").transformWithStateInPandas(
-        proc, "user_id long, ad_id long, province string, city string, ev_us long, seq long, tag string",
-        "append", "ProcessingTime" if processing_reset else "None")
-    return out.select("user_id", "ad_id", "province", "city", micros_to_ts(F.col("ev_us")).alias("ts"), "seq",
-                      "tag", F.when(F.col("tag") == "blacklist",
-                                    F.lit(f"Click over {max_count} times")).alias("message"))
 
+# ------------------------------------------------------------------ click cap
 
-class ConsecutiveFailProcessor(StatefulProcessor):
-    """Input: user_id, ev_us, seq, fail (bool).  Output: user_id, first_us, last_us."""
+class ClickCapProcessor(OrderedProcessor):
+    """The first ``max_count`` clicks of a (user, ad) in each period pass; click ``max_count + 1`` warns.
 
-    def __init__(self, within_us: int):
-        self.within_us = within_us
+    State: [period, clicks].  It goes when the watermark has passed the period; without a reset period
+    the count holds for ever, by definition."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last_fail", "us long")
+    payload = ("province", "city")
+    output = ("user_id", "ad_id", "province", "city", "ev_us", "seq", "tag")
 
-    def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        df = _concat(rows)
-        if df.empty:
-            return
-        df = df.sort_values(["ev_us", "seq"], kind="stable")
-        st = self.last.get()
-        last = st[0] if st is not None else None
-        out = []
-        for us, fail in zip(df["ev_us"].tolist(), df["fail"].tolist()):
-            if fail:
-                if last is not None and us - last < self.within_us:
-                    out.append((key[0], last, us))
-                last = us
-            else:
-                last = None
-        if last is None:
-            self.last.clear()
-        else:
-            self.last.update((last,))
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "first_us", "last_us"])
-
-    def close(self) -> None:
-        pass
+    def __init__(self, max_count: int, reset_us: int | None):
+        self.max_count, self.reset_us = max_count, reset_us
+        self.slice_us = max(HOUR_US, reset_us or DAY_MS * 1000)
 
+    def fresh(self) -> list:
+        return [None, 0]
 
-def stream_login_fail_consecutive(login: DataFrame, within="2 seconds") -> DataFrame:
-    _require_rocksdb(login)
-    src = login.select("user_id", to_micros(login, "ts").alias("ev_us"), "seq",
-                       (F.col("event_type") == "fail").alias("fail"))
-    out = src.groupBy("user_id").transformWithStateInPandas(
-        ConsecutiveFailProcessor(duration_us(within)), "user_id long, first_us long, last_us long",
-        "append", "None")
-    return out.select("user_id", micros_to_ts(F.col("first_us")).alias("first_fail_ts"),
-                      micros_to_ts(F.col("last_us")).alias("last_fail_ts"),
-                      F.lit("login fail in 2 seconds").alias("warning"))
+    def step(self, key, st, us, seq, row):
+        period = us // self.reset_us if self.reset_us else 0
+        if period != st[0]:
+            st[:] = [period, 0]
+        if st[1] > self.max_count:                    # warned already
+            return []
+        st[1] += 1
+        return [(*key, *row, us, seq, "main" if st[1] <= self.max_count else "blacklist")]
 
+    def forget_at(self, st):
+        return (st[0] + 1) * self.reset_us if self.reset_us and st[0] is not None else None
 
-class OrderedLoginProcessor(StatefulProcessor):
-    """Event-time ordered evaluation of one user's login events.
 
-    ``mode='pattern'``: fail strictly followed by fail within ``within_us``.
-    ``mode='burst'``: per failure run, warn at t0 + window if >= min_fails failures
-    arrived by then and no success did.
-    Output: user_id, first_us, last_us, n.
-    """
+class ProcessingResetCapProcessor(StatefulProcessor):
+    """The cap in arrival order, reset by a processing-time timer at the next midnight (or after
+    ``reset_ms``), like a daily reset job.  State: clicks so far and the pending timer."""
 
-    BUF = "us long, seq long, fail boolean"
-    RUN = "in_run boolean, open boolean, t0 long, n long, last long, prev_us long, prev_fail boolean"
+    output = ClickCapProcessor.output
 
-    def __init__(self, mode: str, within_us: int, min_fails: int = 2):
-        self.mode, self.within_us, self.min_fails = mode, within_us, min_fails
+    def __init__(self, max_count: int, reset_ms: int = DAY_MS):
+        self.max_count, self.reset_ms = max_count, reset_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buf = handle.getListState("buf", self.BUF)
-        self.run = handle.getValueState("run", self.RUN)
+        self.state = handle.getValueState("cap", "n long, timer long")
 
     def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        df = _concat(rows)
-        if not df.empty:
-            wm_us = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000
-            df = df[df["ev_us"] > wm_us] if wm_us > 0 else df   # late rows are dropped
-            if len(df):
-                self.buf.appendList(list(zip(df["ev_us"].tolist(), df["seq"].tolist(), df["fail"].tolist())))
-                # Fire as soon as the earliest buffered event is behind the watermark.
-                self.handle.registerTimer(_ceil_ms(int(df["ev_us"].min())))
-        return iter([])
+        n, timer = self.state.get() or (0, 0)
+        for df in rows:
+            if not len(df):
+                continue
+            df = df.sort_values(["ev_us", "seq"], kind="stable")
+            number = pd.Series(range(n + 1, n + 1 + len(df)), index=df.index)
+            n += len(df)
+            tag = number.map(lambda k: "main" if k <= self.max_count else "blacklist")
+            out = df.assign(tag=tag)[number <= self.max_count + 1]
+            if len(out):
+                yield out[list(self.output)]
+        if not timer:
+            timer = (timerValues.getCurrentProcessingTimeInMs() // self.reset_ms + 1) * self.reset_ms
+            self.handle.registerTimer(timer)
+        self.state.update((n, timer))
 
     def handleExpiredTimer(self, key, timerValues: TimerValues,
                            expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        wm_us = timerValues.getCurrentWatermarkInMs() * 1000
-        events = sorted(self.buf.get())
-        ready = [e for e in events if e[0] <= wm_us]
-        rest = [e for e in events if e[0] > wm_us]
-        st = self.run.get() or (False, False, 0, 0, 0, None, None)
-        in_run, open_, t0, n, last, prev_us, prev_fail = st
-        out = []
-
-        def close():
-            nonlocal open_
-            if open_ and n >= self.min_fails:
-                out.append((key[0], t0, last, n))
-            open_ = False
-
-        for us, _seq, fail in ready:
-            if self.mode == "pattern":
-                if fail and prev_fail and us - prev_us < self.within_us:
-                    out.append((key[0], prev_us, us, 2))
-                prev_us, prev_fail = us, fail
-                continue
-            if open_ and us > t0 + self.within_us:
-                close()
-            if fail:
-                if not in_run:
-                    in_run, open_, t0, n, last = True, True, us, 1, us
-                elif open_:
-                    n, last = n + 1, us
-            else:
-                open_ = False          # a success inside the timer suppresses the warning
-                in_run = False
-        if self.mode == "burst" and open_ and t0 + self.within_us <= wm_us:
-            close()
-        self.buf.put(rest) if rest else self.buf.clear()
-        self.run.update((in_run, open_, t0, n, last, prev_us, prev_fail))
-        if rest:
-            self.handle.registerTimer(_ceil_ms(rest[0][0]))
-        if self.mode == "burst" and open_:
-            self.handle.registerTimer(_ceil_ms(t0 + self.within_us))
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "first_us", "last_us", "n"])
+        self.state.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def _ordered_login(login: DataFrame, mode: str, within, delay, min_fails: int = 2) -> DataFrame:
-    _require_rocksdb(login)
-    ev = as_event_time(login, "ts", "_et").withWatermark("_et", f"{duration_us(delay)} microseconds")
-    src = ev.select("user_id", "_et", F.unix_micros("_et").alias("ev_us"), "seq",
-                    (F.col("event_type") == "fail").alias("fail"))
-    return src.groupBy("user_id").transformWithStateInPandas(
-        OrderedLoginProcessor(mode, duration_us(within), min_fails),
-        "user_id long, first_us long, last_us long, n long", "append", "EventTime")
+CAP_SCHEMA = "user_id long, ad_id long, province string, city string, ev_us long, seq long, tag string"
+
+
+def stream_click_cap(clicks: DataFrame, max_count: int = CLICK_CAP, reset="1 day",
+                     processing_reset=False, delay="0 seconds") -> DataFrame:
+    """Both click-cap outputs, tagged 'main' / 'blacklist' (fan out with ``sinks.fan_out``).
+
+    ``processing_reset=True`` (or a duration) counts in arrival order and clears the counters at the
+    next processing-time midnight (multiple of the duration) by a timer; a pending timer keeps
+    the query scheduling batches, so use it with a continuous trigger, not ``availableNow``.
+    """
+    if processing_reset:
+        _require_rocksdb(clicks)
+        reset_ms = DAY_MS if processing_reset is True else duration_us(processing_reset) // 1000
+        src = as_event_time(clicks, "ts", "_et").select(
+            "user_id", "ad_id", "province", "city", F.unix_micros("_et").alias("ev_us"), "seq")
+        out = src.groupBy("user_id", "ad_id").transformWithStateInPandas(
+            ProcessingResetCapProcessor(max_count, reset_ms), CAP_SCHEMA, "append", "ProcessingTime")
+    else:
+        out = _ordered(clicks, ["user_id", "ad_id"],
+                       ClickCapProcessor(max_count, duration_us(reset) if reset else None), CAP_SCHEMA, delay)
+    return out.select("user_id", "ad_id", "province", "city", micros_to_ts(F.col("ev_us")).alias("ts"), "seq", "tag",
+                      F.when(F.col("tag") == "blacklist",
+                             F.lit(BLACKLIST_MESSAGE.format(n=max_count))).alias("message"))
+
+
+# ------------------------------------------------------------------ logins
+
+class FailPairProcessor(OrderedProcessor):
+    """A failure whose previous event is a failure less than ``within`` before.
+
+    State: [time of the previous event if it failed].  It goes ``within`` after that event."""
+
+    payload = ("fail",)
+    output = ("user_id", "first_us", "last_us", "n")
+
+    def __init__(self, within_us: int):
+        self.within_us = within_us
+        self.slice_us = max(HOUR_US, within_us)
+
+    def fresh(self) -> list:
+        return [None]
+
+    def step(self, key, st, us, seq, row):
+        hit = row[0] and st[0] is not None and us - st[0] < self.within_us
+        out = [(key[0], st[0], us, 2)] if hit else []
+        st[0] = us if row[0] else None
+        return out
+
+    def forget_at(self, st):
+        return None if st[0] is None else st[0] + self.within_us
+
 
+class BurstProcessor(OrderedProcessor):
+    """Per run of failures: a warning at t0 + window if enough failures and no success came by then.
 
-def stream_login_fail_pattern(login: DataFrame, within="2 seconds", delay="5 seconds") -> DataFrame:
-    out = _ordered_login(login, "pattern", within, delay)
+    State: [in run, timer open, t0, failures, last failure].  A run ends at a success only, so the
+    state of a user whose last event is a failure is one row that stays."""
+
+    payload = ("fail",)
+    output = ("user_id", "first_us", "last_us", "n")
+
+    def __init__(self, window_us: int, min_fails: int):
+        self.window_us, self.min_fails = window_us, min_fails
+        self.slice_us = max(HOUR_US, window_us)
+
+    def fresh(self) -> list:
+        return [False, False, 0, 0, 0]
+
+    def step(self, key, st, us, seq, row):
+        in_run, is_open, t0, n, last = st
+        if not row[0]:
+            st[:] = self.fresh()                      # a success inside the window suppresses the warning
+        elif not in_run:
+            st[:] = [True, True, us, 1, us]
+        elif is_open:
+            st[3:] = [n + 1, us]
+        return []
+
+    def advance(self, key, st, wm_us):
+        if not st[1] or st[2] + self.window_us > wm_us:
+            return []
+        st[1] = False
+        return [(key[0], st[2], st[4], st[3])] if st[3] >= self.min_fails else []
+
+    def wake_at(self, st):
+        return st[2] + self.window_us if st[1] else None
+
+
+def _login_stream(login: DataFrame, proc: OrderedProcessor, delay) -> DataFrame:
+    src = login.withColumn("fail", F.col("event_type") == FAIL)
+    out = _ordered(src, ["user_id"], proc, "user_id long, first_us long, last_us long, n long", delay)
     return out.select("user_id", micros_to_ts(F.col("first_us")).alias("first_fail_ts"),
-                      micros_to_ts(F.col("last_us")).alias("last_fail_ts"), F.lit("login fail!").alias("warning"))
+                      micros_to_ts(F.col("last_us")).alias("last_fail_ts"), "n")
+
+
+def stream_login_fail_consecutive(login: DataFrame, within=WITHIN, delay="5 seconds") -> DataFrame:
+    return _login_stream(login, FailPairProcessor(duration_us(within)), delay).drop("n") \
+        .withColumn("warning", F.lit(CONSECUTIVE_MESSAGE))
 
 
-def stream_login_fail_burst(login: DataFrame, window="2 seconds", min_fails: int = 2,
+def stream_login_fail_pattern(login: DataFrame, within=WITHIN, delay="5 seconds") -> DataFrame:
+    return _login_stream(login, FailPairProcessor(duration_us(within)), delay).drop("n") \
+        .withColumn("warning", F.lit(PATTERN_MESSAGE))
+
+
+def stream_login_fail_burst(login: DataFrame, window=WITHIN, min_fails: int = 2,
                             delay="5 seconds") -> DataFrame:
     w = duration_us(window)
     secs = w // 1_000_000 if w % 1_000_000 == 0 else w / 1_000_000
-    out = _ordered_login(login, "burst", window, delay, min_fails)
-    return out.select("user_id", micros_to_ts(F.col("first_us")).alias("first_fail_ts"),
-                      micros_to_ts(F.col("last_us")).alias("last_fail_ts"),
-                      F.concat(F.lit(f"login fail in {secs} seconds "), F.col("n").cast("string"),
-                               F.lit(" times")).alias("warning"))
-
-
-class OrderProcessor(StatefulProcessor):
-    """Event-time order outcomes per order id.
-
-    Input: order_id, ev_us, seq, is_create (bool).  State: the first create and the
-    first pay seen (by (us, seq)).
-    ``mode='status'``: when the watermark passes create + timeout, a create that no
-    pay preceded is 'order payed successfully' if the first pay is at or before
-    create + timeout, else 'order timeout'.
-    ``mode='match'``: one row per order -- as soon as both are known
-    ('payed successfully' if pay < create + timeout, else 'payed but already
-    timeout'), or when the watermark passes create + timeout ('time out') or
-    pay + timeout without a create ('already payed but not found create log').
-    Output: order_id, create_us, result.
-    """
+    head, tail = BURST_MESSAGE.split("{n}")
+    return _login_stream(login, BurstProcessor(w, min_fails), delay).select(
+        "user_id", "first_fail_ts", "last_fail_ts",
+        F.concat(F.lit(head.format(secs=secs)), F.col("n").cast("string"), F.lit(tail)).alias("warning"))
 
-    STATE = "c_us long, c_seq long, p_us long, p_seq long, done boolean"
 
-    def __init__(self, mode: str, timeout_us: int):
-        self.mode, self.timeout_us = mode, timeout_us
+# ------------------------------------------------------------------ orders
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("order", self.STATE)
+class OrderPatternProcessor(OrderedProcessor):
+    """Each create with the first later pay less than ``within`` after it, else a timeout.
 
-    def _get(self):
-        st = self.state.get()
-        return list(st) if st is not None else [None, None, None, None, False]
+    State: [times of undecided creates]; empty once all are decided."""
 
-    def _emit(self, key, c_us, result):
-        return pd.DataFrame({"order_id": [key[0]], "create_us": [c_us], "result": [result]})
+    payload = ("is_create",)
+    output = ("order_id", "create_us", "pay_us", "result")
 
-    def _match_result(self, c_us, p_us):
-        return "payed successfully" if p_us < c_us + self.timeout_us else "payed but already timeout"
+    def __init__(self, within_us: int):
+        self.within_us = within_us
+        self.slice_us = max(HOUR_US, within_us)
 
-    def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        df = _concat(rows)
-        if df.empty:
-            return
-        c_us, c_seq, p_us, p_seq, done = self._get()
-        if done:
-            return
-        creates = df[df["is_create"]]
-        pays = df[~df["is_create"]]
-        new_c = new_p = False
-        if len(creates):
-            first = creates.sort_values(["ev_us", "seq"]).iloc[0]
-            if c_us is None or (first.ev_us, first.seq) < (c_us, c_seq):
-                c_us, c_seq, new_c = int(first.ev_us), int(first.seq), True
-        if len(pays):
-            first = pays.sort_values(["ev_us", "seq"]).iloc[0]
-            if p_us is None or (first.ev_us, first.seq) < (p_us, p_seq):
-                p_us, p_seq, new_p = int(first.ev_us), int(first.seq), True
-        if self.mode == "match" and c_us is not None and p_us is not None:
-            # Decided now: no timer needed.
-            self.state.update((c_us, c_seq, p_us, p_seq, True))
-            yield self._emit(key, c_us, self._match_result(c_us, p_us))
-            return
-        if new_c:
-            self.handle.registerTimer(_ceil_ms(c_us + self.timeout_us))
-        if new_p and self.mode == "match":
-            self.handle.registerTimer(_ceil_ms(p_us + self.timeout_us))
-        self.state.update((c_us, c_seq, p_us, p_seq, done))
+    def fresh(self) -> list:
+        return [[]]
 
-    def handleExpiredTimer(self, key, timerValues: TimerValues,
-                           expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        c_us, c_seq, p_us, p_seq, done = self._get()
-        wm_us = timerValues.getCurrentWatermarkInMs() * 1000
-        if done:
-            return
-        out = None
-        if self.mode == "status":
-            if c_us is not None and c_us + self.timeout_us <= wm_us:
-                done = True
-                preceded = p_us is not None and (p_us, p_seq) < (c_us, c_seq)
-                if not preceded:
-                    paid = p_us is not None and p_us <= c_us + self.timeout_us
-                    out = self._emit(key, c_us, "order payed successfully" if paid else "order timeout")
+    def step(self, key, st, us, seq, row):
+        out = self.advance(key, st, us)               # a pay at the bound itself is too late
+        if row[0]:
+            st[0].append(us)
         else:
-            if c_us is not None and p_us is None and c_us + self.timeout_us <= wm_us:
-                done, out = True, self._emit(key, c_us, "time out")
-            elif c_us is None and p_us is not None and p_us + self.timeout_us <= wm_us:
-                done, out = True, self._emit(key, None, "already payed but not found create log")
-        self.state.update((c_us, c_seq, p_us, p_seq, done))
-        if out is not None:
-            yield out
+            out += [(key[0], c, us, PAYED_SUCCESS) for c in st[0]]
+            st[0] = []
+        return out
 
-    def close(self) -> None:
-        pass
+    def advance(self, key, st, wm_us):
+        out = [(key[0], c, None, PATTERN_TIMEOUT) for c in st[0] if c + self.within_us <= wm_us]
+        st[0] = [c for c in st[0] if c + self.within_us > wm_us]
+        return out
 
+    def wake_at(self, st):
+        return min(st[0]) + self.within_us if st[0] else None
 
-def stream_order_outcomes(creates: DataFrame, pays: DataFrame, mode: str, timeout="15 minutes",
-                          delay="0 seconds") -> DataFrame:
-    """Order status (``mode='status'``) or order match (``mode='match'``) over a create
-    stream and a pay stream (both: order_id, ts, seq; a pay stream may hold several
-    pays per order, the first one counts).  Columns: order_id, create_ts, result
-    (+ output 'payed' / 'timeout' for the match)."""
-    def prep(df, is_create):
-        return df.select("order_id", "ts", "seq", F.lit(is_create).alias("is_create"))
-    events = prep(creates, True).unionByName(prep(pays, False))
-    _require_rocksdb(events)
-    ev = as_event_time(events, "ts", "_et").withWatermark("_et", f"{duration_us(delay)} microseconds")
-    src = ev.select("order_id", F.unix_micros("_et").alias("ev_us"), "seq", "is_create")
-    out = src.groupBy("order_id").transformWithStateInPandas(
-        OrderProcessor(mode, duration_us(timeout)), "order_id long, create_us long, result string",
-        "append", "EventTime")
-    res = out.select("order_id", micros_to_ts(F.col("create_us")).alias("create_ts"), "result")
-    if mode == "match":
-        res = res.select("order_id", "result",
-                         F.when(F.col("result") == "payed successfully", F.lit("payed"))
-                          .otherwise(F.lit("timeout")).alias("output"))
-    return res
+
+class OrderStatusProcessor(OrderedProcessor):
+    """Each create that no pay preceded: paid if a pay comes by create + timeout (inclusive), else timeout.
+
+    State: [times of undecided creates, time of the latest pay].  A pay is remembered for ``memory``
+    (for ever if None, as the batch form does by default): only the caller can know how much
+    later a create may still come."""
+
+    payload = ("is_create",)
+    output = ("order_id", "create_us", "pay_us", "result")
+
+    def __init__(self, timeout_us: int, memory_us: int | None):
+        self.timeout_us, self.memory_us = timeout_us, memory_us
+        self.slice_us = max(HOUR_US, timeout_us)
+
+    def fresh(self) -> list:
+        return [[], None]
+
+    def step(self, key, st, us, seq, row):
+        if not row[0]:
+            out = [(key[0], c, us, STATUS_PAYED) for c in st[0]]
+            st[:] = [[], us]
+            return out
+        known = st[1] is not None and (self.memory_us is None or us - st[1] <= self.memory_us)
+        if not known:
+            st[0].append(us)
+        return []
+
+    def advance(self, key, st, wm_us):
+        out = [(key[0], c, None, STATUS_TIMEOUT) for c in st[0] if c + self.timeout_us <= wm_us]
+        st[0] = [c for c in st[0] if c + self.timeout_us > wm_us]
+        return out
+
+    def wake_at(self, st):
+        return min(st[0]) + self.timeout_us if st[0] else None
+
+    def forget_at(self, st):
+        if st[0] or st[1] is None or self.memory_us is None:
+            return None
+        return st[1] + self.memory_us + 1
+
+
+class OrderMatchProcessor(OrderedProcessor):
+    """One row per order, decided by its first create and first pay within ``horizon`` of each other.
+
+    State: [create, pay, done].  An order that is done is remembered for ``memory`` more (for ever if
+    None), so that its later events make no second row."""
+
+    payload = ("is_create",)
+    output = ("order_id", "create_us", "pay_us", "result")
+
+    def __init__(self, timeout_us: int, horizon_us: int, memory_us: int | None):
+        self.timeout_us, self.horizon_us, self.memory_us = timeout_us, horizon_us, memory_us
+        self.slice_us = max(HOUR_US, timeout_us)
+
+    def fresh(self) -> list:
+        return [None, None, None]
+
+    def _decide(self, key, st, us, result):
+        st[2] = us
+        return [(key[0], st[0], st[1], result)]
+
+    def step(self, key, st, us, seq, row):
+        if st[2] is not None:
+            return []
+        at = 0 if row[0] else 1
+        if st[at] is None:
+            st[at] = us
+        if st[0] is None or st[1] is None:
+            return []
+        in_time = st[1] < st[0] + self.timeout_us
+        return self._decide(key, st, us, MATCH_PAYED if in_time else MATCH_LATE)
+
+    def advance(self, key, st, wm_us):
+        if st[2] is not None or (st[0] is None and st[1] is None):
+            return []
+        end = (st[0] if st[1] is None else st[1]) + self.horizon_us
+        if end > wm_us:
+            return []
+        return self._decide(key, st, end, MATCH_NO_PAY if st[1] is None else MATCH_NO_CREATE)
+
+    def wake_at(self, st):
+        known = [t for t in st[:2] if t is not None]
+        return min(known) + self.horizon_us if known and st[2] is None else None
+
+    def forget_at(self, st):
+        return None if st[2] is None or self.memory_us is None else st[2] + self.memory_us
+
+
+ORDER_SCHEMA = "order_id long, create_us long, pay_us long, result string"
+
+
+def _order_stream(order_events: DataFrame, proc: OrderedProcessor, delay) -> DataFrame:
+    src = order_events.withColumn("is_create", F.col("event_type") == CREATE)
+    out = _ordered(src, ["order_id"], proc, ORDER_SCHEMA, delay)
+    return out.select("order_id", micros_to_ts(F.col("create_us")).alias("create_ts"),
+                      micros_to_ts(F.col("pay_us")).alias("pay_ts"), "result")
+
+
+def stream_order_pattern(order_events: DataFrame, within=TIMEOUT, delay="0 seconds") -> DataFrame:
+    """Both outputs of the create-followed-by-pay pattern, as ``orders.order_pattern``."""
+    out = _order_stream(order_events, OrderPatternProcessor(duration_us(within)), delay)
+    return out.withColumn("output", F.when(F.col("result") == PAYED_SUCCESS, F.lit("payed"))
+                          .otherwise(F.lit("timeout")))
+
+
+def stream_order_status(order_events: DataFrame, timeout=TIMEOUT, delay="0 seconds", memory=None) -> DataFrame:
+    """(order_id, create_ts, result) as ``orders.order_timeout_status``."""
+    memory_us = None if memory is None else duration_us(memory)
+    return _order_stream(order_events, OrderStatusProcessor(duration_us(timeout), memory_us), delay).drop("pay_ts")
+
+
+def stream_order_match(order_events: DataFrame, timeout=TIMEOUT, horizon=None, delay="0 seconds",
+                       memory=None) -> DataFrame:
+    """(order_id, result, output) as ``orders.order_pay_match`` with the same ``horizon`` (default: twice
+    the timeout; a stream cannot wait for ever)."""
+    t = duration_us(timeout)
+    proc = OrderMatchProcessor(t, 2 * t if horizon is None else duration_us(horizon),
+                               None if memory is None else duration_us(memory))
+    out = _order_stream(order_events, proc, delay)
+    return out.select("order_id", "result", F.when(F.col("result") == MATCH_PAYED, F.lit("payed"))
+                      .otherwise(F.lit("timeout")).alias("output"))

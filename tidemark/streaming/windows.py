@@ -4,23 +4,20 @@ Event time must be a ``timestamp`` (LTZ) column for ``withWatermark``; parquet
 ``timestamp_ntz`` is cast first.  Windows close -- and append-mode rows are
 emitted -- when the watermark (max event time - delay) passes their end.
 
-Overlap above ``EXPLODE_ABOVE`` windows per row uses explicit window starts: each
-row is expanded to the starts of the windows containing it and grouped by a
-tumbling window of width ``slide`` over the start, which holds exactly one
-sliding window.  The watermark is set on the start column with the delay
-widened by ``size - slide``, so a window closes at most one slide later than
-with ``F.window``; counts are unchanged.
+Sliding windows are two chained aggregations with one watermark rule for every shape: rows are
+counted per tumbling pane of gcd(size, slide), and the closed panes (one row per pane and key)
+are summed per sliding window.  A row touches one state entry however many windows hold it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import as_event_time, duration_us, micros_to_ts, to_ntz
 
-EXPLODE_ABOVE = 60
-
 
 def _interval(us: int) -> str:
     return f"{us} microseconds"
@@ -33,23 +30,13 @@ def stream_window_count(events: DataFrame, ts: str, keys, size, slide=None, dela
     size_us = duration_us(size)
     slide_us = duration_us(slide) if slide is not None else size_us
     delay_us = duration_us(delay)
-    ev = as_event_time(events, ts, "_et")
-    if size_us // slide_us <= EXPLODE_ABOVE or size_us % slide_us:
-        ev = ev.withWatermark("_et", _interval(delay_us))
-        agg = ev.groupBy(F.window("_et", _interval(size_us), _interval(slide_us)), *keys) \
-                .agg(F.count(F.lit(1)).alias(count_col))
-        start = F.col("window.start")
-    else:
-        n = size_us // slide_us
-        base = F.timestamp_micros(
-            (F.unix_micros("_et") - F.pmod(F.unix_micros("_et"), F.lit(slide_us))))
-        starts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                             lambda i: F.timestamp_micros(F.unix_micros(base) - i.cast("long") * F.lit(slide_us).cast("long")))
-        ev = ev.select(*keys, F.explode(starts).alias("_ws"))
-        ev = ev.withWatermark("_ws", _interval(size_us - slide_us + delay_us))
-        agg = ev.groupBy(F.window("_ws", _interval(slide_us)), *keys) \
-                .agg(F.count(F.lit(1)).alias(count_col))
-        start = F.col("window.start")
+    pane_us = math.gcd(size_us, slide_us)
+    ev = as_event_time(events, ts, "_et").withWatermark("_et", _interval(delay_us))
+    agg = ev.groupBy(F.window("_et", _interval(pane_us)), *keys).agg(F.count(F.lit(1)).alias(count_col))
+    if slide_us != size_us:
+        agg = agg.groupBy(F.window(F.window_time("window"), _interval(size_us), _interval(slide_us)).alias("w"), *keys) \
+            .agg(F.sum(count_col).alias(count_col)).withColumnRenamed("w", "window")
+    start = F.col("window.start")
     return agg.select(
         to_ntz(start).alias("window_start"),
         micros_to_ts(F.unix_micros(start) + F.lit(size_us)).alias("window_end"),
