@@ -33,7 +33,11 @@ from .common import as_text, save, small_batches
 
 PER_CLASS = 10_000
 MAX_TERMS = 2000
-MIN_GROUPS = 3
+MIN_GROUPS = 5
+#: Standard deviations by which a term's toxic count exceeds chance, so that small samples teach no noise.
+MIN_DEVIATION = 6.0
+#: Short quoted passages, which are left out when the lexicon is learned.
+QUOTED = "[\"“„«][^\"“”„«»]{1,200}[\"”“»]"
 MIN_LOG_ODDS = math.log(8.0)
 DISTANCE, MIN_FUZZY = 1, 5
 WINDOW = 6
@@ -202,10 +206,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple
 
 
 def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
-    """Words far likelier in toxic texts, counted over groups of near copies.
+    """Words far likelier in toxic texts outside quotation marks, counted over groups of near copies.
 
     A group is named by the smallest hash of a text's long words, which near copies share."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}@$]+"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.lower("text"), QUOTED, " "), F.lit(r"[\p{L}\p{N}@$]+"), F.lit(0)))
     long_words = F.filter("w", lambda x: F.length(x) >= 9)
     group = F.coalesce(F.array_min(F.transform(long_words, lambda x: F.xxhash64(x))), F.xxhash64("text"))
     rows = sample.withColumn("w", words).withColumn("g", group)
@@ -216,7 +220,9 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
                 .distinct().groupBy("word")
                 .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
     odds = F.log((F.col("t") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("c") + 0.5) / (totals[0] + 1.0))
-    top = (per_word.filter(F.col("t") >= MIN_GROUPS).withColumn("odds", odds)
+    n, base = F.col("t") + F.col("c"), totals[1] / (totals[1] + totals[0])
+    above = (F.col("t") - n * base) / F.sqrt(n * base * (1 - base))
+    top = (per_word.filter((F.col("t") >= MIN_GROUPS) & (above >= MIN_DEVIATION)).withColumn("odds", odds)
            .filter(F.col("odds") >= MIN_LOG_ODDS)
            .orderBy((F.col("odds") * F.log1p("t")).desc(), "word").limit(max_terms))
     return sorted(r.word for r in top.select("word").collect())
@@ -253,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
     n1, n0 = row_weight[y == 1].sum(), row_weight[y == 0].sum()
     seen: dict[tuple[int, int], list[float]] = {}
     for m, label, w in zip(matches, y, row_weight):
-        for key in {(t, e) for t, e, _ in m}:
+        for key in {(t, e) for t, e, quoted in m if not quoted}:
             seen.setdefault(key, [0.0, 0.0])[int(label)] += w
     weights = {k: math.log((t + 0.5) / (n1 + 1)) - math.log((c + 0.5) / (n0 + 1)) for k, (c, t) in seen.items()}
     for t in range(len(terms)):
