@@ -208,10 +208,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple
 def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     """Words far likelier in toxic texts outside quotation marks, counted over groups of near copies.
 
-    A group is named by the smallest hash of a text's long words, which near copies share."""
+    A group is named by the six smallest word hashes of a text, which near copies mostly share."""
     words = F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.lower("text"), QUOTED, " "), F.lit(r"[\p{L}\p{N}@$]+"), F.lit(0)))
-    long_words = F.filter("w", lambda x: F.length(x) >= 9)
-    group = F.coalesce(F.array_min(F.transform(long_words, lambda x: F.xxhash64(x))), F.xxhash64("text"))
+    group = F.xxhash64(F.slice(F.array_sort(F.transform("w", lambda x: F.xxhash64(x))), 1, 6))
     rows = sample.withColumn("w", words).withColumn("g", group)
     totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.countDistinct("g").alias("n")).collect()}
     if len(totals) < 2:
