@@ -70,3 +70,16 @@ def test_uv_bitmap_counts_collisions_once(spark):
     df = _ub(spark, [(a, 1, 1, "pv", 10, 1), (b, 1, 1, "pv", 20, 2)])
     assert uv_bitmap_hourly(df, bits=4).collect()[0].uv == 1
     assert unique_visitors_hourly(df).collect()[0].uv == 2
+
+
+def test_large_caps_take_the_two_level_rank(spark):
+    rnd = random.Random(6)
+    rows = [(u, 1, "P", "C", 1_700_000_000 + rnd.randrange(40_000), k) for k, u in enumerate(rnd.choices([1, 1, 1, 2], k=200))]
+    df = frame(spark, rows, "user_id long, ad_id long, province string, city string, ts long, seq long")
+    small = [sorted(map(tuple, f(df, 20, "1 day").collect())) for f in (market.ad_click_capped, market.ad_click_blacklist)]
+    try:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
+        large = [sorted(map(tuple, f(df, 20, "1 day").collect())) for f in (market.ad_click_capped, market.ad_click_blacklist)]
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    assert small == large and small[1]

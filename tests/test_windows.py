@@ -8,7 +8,7 @@ from conftest import epoch, frame, ntz
 from tidemark.functions.time import duration_us
 from tidemark.operators.topn import topn_per_group
 from tidemark.operators.traffic import hot_items_topn
-from tidemark.operators.windows import sliding_count, tumbling_count, window_average
+from tidemark.operators.windows import Agg, sliding_count, tumbling_count, window_aggregate, window_average
 
 
 def brute_sliding(rows, size, slide):
@@ -90,3 +90,14 @@ def test_results_do_not_depend_on_session_time_zone(spark):
         assert sorted(epoch(r.ts) for r in df.collect()) == [7199, 7200]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_sums_and_averages_of_nulls(spark):
+    df = frame(spark, [(1, None, 100), (1, None, 130), (2, 4, 100), (2, None, 130), (2, 6, 130)], "k long, v long, ts long")
+    rows = window_aggregate(df, "ts", ["k"], "60 seconds", "30 seconds", {"s": Agg("sum", "v"), "n": Agg("count")}).collect()
+    got = {(r.k, epoch(r.window_end)): (r.s, r.n) for r in rows}
+    assert got == {(1, 120): (None, 1), (1, 150): (None, 2), (1, 180): (None, 1),
+                   (2, 120): (4, 1), (2, 150): (10, 3), (2, 180): (6, 2)}
+    avg = {(r.k, epoch(r.window_end)): r.avg_value
+           for r in window_average(df, "ts", "v", ["k"], "60 seconds", "30 seconds", exact=True).collect()}
+    assert avg[(2, 150)] == 5.0 and avg[(2, 180)] == 6.0 and avg[(1, 150)] is None

@@ -95,7 +95,7 @@ def uv_running(user_behavior: DataFrame, size=UV_WINDOW, behavior: str = PAGE_VI
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (both.repartitionByRange(n, "_w", "ts", "seq", "_neg_mark")
               .withColumn("_part", F.spark_partition_id())
-              .checkpoint(eager=True))
+              .checkpoint(eager=False))
     totals = ranged.groupBy("_w", "_part").agg(F.sum("_mark").alias("_tot"))
     offsets = totals.select(
         "_w", "_part",

@@ -32,7 +32,7 @@ WITHIN = "2 seconds"
 
 
 def _pairs(df: DataFrame, within, bucket) -> DataFrame:
-    tl = Timeline(df, "user_id", bucket=bucket)
+    tl = Timeline(df, "user_id", bucket=bucket, halo=within, look="prior")
     tl.prior("_prev", fields=["event_type", "ts"])
     d = tl.result()
     limit = duration_us(within)

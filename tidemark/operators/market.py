@@ -60,8 +60,28 @@ def _period(df: DataFrame, reset):
 
 
 def ranked_clicks(df: DataFrame, max_count: int = CLICK_CAP, reset=CLICK_RESET) -> DataFrame:
-    """Clicks numbered per (user, ad, period) in (ts, seq) order, cut at max_count + 1."""
+    """Clicks numbered per (user, ad, period) in (ts, seq) order, cut at max_count + 1.
+
+    Up to the planner's group-limit threshold, map tasks keep max_count + 1 clicks of a group.  Larger
+    caps number the clicks of each hour first and add the clicks of the hours before (one row an
+    hour), so no task holds a hot group either way."""
     ranked = df.withColumn("_period", _period(df, reset))
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if max_count + 1 > threshold:
+        keys = ["user_id", "ad_id", "_period", "_hour"]
+        ranked = ranked.withColumn("_hour", ifloor(to_micros(df, "ts"), duration_us("1 hour")))
+        before = Window.partitionBy(*keys[:3]).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+        hours = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        hours = hours.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        open_hours = hours.where(F.col("_before") <= max_count)
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "seq"))
+        return (ranked.join(open_hours, same).withColumn("_click_no", F.col("_before") + number)
+                .where(F.col("_click_no") <= max_count + 1)
+                .drop("_hour", "_before", *[f"_k{i}" for i in range(4)]))
     w = Window.partitionBy("user_id", "ad_id", "_period").orderBy("ts", "seq")
     return ranked.withColumn("_click_no", F.row_number().over(w)) \
                  .where(F.col("_click_no") <= max_count + 1)

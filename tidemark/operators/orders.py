@@ -34,8 +34,8 @@ MATCH_NO_CREATE = "already payed but not found create log"
 ORDER_BUCKET = "1 day"
 
 
-def _create_with_next_pay(df: DataFrame, bucket) -> DataFrame:
-    tl = Timeline(df, "order_id", bucket=bucket)
+def _create_with_next_pay(df: DataFrame, within, bucket) -> DataFrame:
+    tl = Timeline(df, "order_id", bucket=bucket, halo=within)
     tl.following("_pay", fields=["ts"], pred=F.col("event_type") == PAY)
     return tl.result().where(F.col("event_type") == CREATE)
 
@@ -46,7 +46,7 @@ def order_pattern(df: DataFrame, within=TIMEOUT, bucket=ORDER_BUCKET) -> DataFra
     Columns: order_id, create_ts, pay_ts (null on timeout), result, output.
     """
     limit = duration_us(within)
-    c = _create_with_next_pay(df, bucket)
+    c = _create_with_next_pay(df, within, bucket)
     ok = F.col("_pay").isNotNull() & (F.col("_pay.us") - F.col("_us") < F.lit(limit))
     return c.select(
         "order_id", F.col("ts").alias("create_ts"),

@@ -44,7 +44,7 @@ def seq_next(df: DataFrame, keys, first: Column, second: Column, within=None,
              bucket=DEFAULT_BUCKET) -> DataFrame:
     """Strict contiguity: ``a`` immediately followed by ``b`` (no event between)."""
     keys = _keys(keys)
-    tl = Timeline(df.withColumn("_is_b", second), keys, bucket=bucket)
+    tl = Timeline(df.withColumn("_is_b", second), keys, bucket=bucket, halo=within)
     tl.following("_nx", fields=["ts", "_is_b"])
     d = tl.result().where(first & F.col("_nx._is_b") & _within(F.col("_us"), F.col("_nx.us"), within))
     return _pair(d, keys, "_nx")
@@ -54,7 +54,7 @@ def seq_followed_by(df: DataFrame, keys, first: Column, second: Column, within=N
                     bucket=DEFAULT_BUCKET) -> DataFrame:
     """Relaxed contiguity: ``a`` with the first later ``b`` (other events may lie between)."""
     keys = _keys(keys)
-    tl = Timeline(df, keys, bucket=bucket)
+    tl = Timeline(df, keys, bucket=bucket, halo=within)
     tl.following("_nb", fields=["ts"], pred=second)
     d = tl.result().where(first & F.col("_nb").isNotNull()
                           & _within(F.col("_us"), F.col("_nb.us"), within))
@@ -90,12 +90,13 @@ def seq_followed_by_any(df: DataFrame, keys, first: Column, second: Column, with
 
 
 def seq_not_next(df: DataFrame, keys, first: Column, not_next: Column,
-                 bucket=DEFAULT_BUCKET) -> DataFrame:
-    """``a`` whose immediately next event exists and does not satisfy ``not_next``."""
+                 bucket=DEFAULT_BUCKET, within=None) -> DataFrame:
+    """``a`` whose immediately next event exists (less than ``within`` later) and does not satisfy ``not_next``."""
     keys = _keys(keys)
-    tl = Timeline(df.withColumn("_is_x", not_next), keys, bucket=bucket)
+    tl = Timeline(df.withColumn("_is_x", not_next), keys, bucket=bucket, halo=within)
     tl.following("_nx", fields=["ts", "_is_x"])
-    d = tl.result().where(first & F.col("_nx").isNotNull() & ~F.col("_nx._is_x"))
+    d = tl.result().where(first & F.col("_nx").isNotNull() & ~F.col("_nx._is_x")
+                          & _within(F.col("_us"), F.col("_nx.us"), within))
     return _pair(d, keys, "_nx")
 
 
@@ -103,7 +104,7 @@ def seq_not_followed_by(df: DataFrame, keys, first: Column, not_between: Column,
                         within=None, bucket=DEFAULT_BUCKET) -> DataFrame:
     """``a`` followed by the first later ``b`` with no ``x`` strictly between them."""
     keys = _keys(keys)
-    tl = Timeline(df, keys, bucket=bucket)
+    tl = Timeline(df, keys, bucket=bucket, halo=within)
     tl.following("_nb", fields=["ts"], pred=second)
     tl.following("_nx", pred=not_between)
     d = tl.result()

@@ -25,7 +25,12 @@ the level's input a second time -- a column-pruned pass, not a second shuffle of
 the frame.  The operators use at most two levels.
 
 Results are exact for any bucket width; the width only trades task size
-against summary size.
+against summary size.  Null keys form one group, like any other key.
+
+Where a bound says how far a scan may look (``halo``), nothing is carried: buckets are at least
+as wide as twice the bound, and rows within the bound of a bucket's edge are copied to the
+neighbour that may look at them.  That is one pass and one shuffle.  A neighbour that a scan
+does not find is then farther away than the bound.
 """
 
 from __future__ import annotations
@@ -57,12 +62,25 @@ class Timeline:
     """
 
     def __init__(self, df: DataFrame, keys, ts: str = "ts", seq: str = "seq",
-                 bucket=DEFAULT_BUCKET):
+                 bucket=DEFAULT_BUCKET, halo=None, look: str = "following"):
+        """``halo``: scans find neighbours at most this far away (None: any distance); they all look
+        in the direction ``look``."""
         self.keys = [keys] if isinstance(keys, str) else list(keys)
         self.ts, self.seq = ts, seq
         self.bucket_us = duration_us(bucket)
+        self.halo = None if halo is None else duration_us(halo)
         us = to_micros(df, ts)
-        self._df = df.withColumn(US, us).withColumn("_b", ifloor(F.col(US), self.bucket_us))
+        if self.halo is None:
+            self._df = df.withColumn(US, us).withColumn("_b", ifloor(F.col(US), self.bucket_us))
+        else:
+            self.bucket_us = max(self.bucket_us, 2 * self.halo)
+            own = ifloor(F.col(US), self.bucket_us)
+            # A following scan of the bucket before, or a prior scan of the bucket behind, sees this row too.
+            reach = -self.halo if look == "following" else self.halo
+            other = ifloor(F.col(US) + F.lit(reach), self.bucket_us)
+            self._df = (df.withColumn(US, us)
+                        .withColumn("_b", F.explode(F.array_distinct(F.array(own, other))))
+                        .withColumn("_home", F.col("_b") == own))
         self._pending: list[_Scan] = []
 
     @property
@@ -100,7 +118,8 @@ class Timeline:
         return self
 
     def result(self) -> DataFrame:
-        return self.df.drop("_b")
+        done = self.df
+        return done.drop("_b") if self.halo is None else done.where("_home").drop("_b", "_home")
 
     # -- resolution ----------------------------------------------------------------
 
@@ -138,12 +157,24 @@ class Timeline:
                 local.append((t, F.sum(sc.value).over(
                     asc.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
 
+        if self.halo is not None:
+            if any(sc.kind == "running" for sc in scans):
+                raise ValueError("a running sum has no bound")
+            for (t, expr), sc in zip(local, scans):
+                base = base.withColumn(sc.out, expr)
+            self._df = base
+            return
         summary = base.groupBy(*keys, "_b").agg(*summary_aggs)
         carried = summary.select(*keys, "_b", *shifted)
         main = base
         for t, expr in local:
             main = main.withColumn(t, expr)
-        main = main.join(carried, [*keys, "_b"], "left")
+        carried = carried.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_b"])],
+                                 *[f"_c{i}" for i in range(len(scans))])
+        same = F.lit(True)
+        for i, k in enumerate([*keys, "_b"]):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        main = main.join(carried, same, "left").drop(*[f"_k{i}" for i in range(len(keys) + 1)])
         for i, sc in enumerate(scans):
             t, c = F.col(f"_t{i}"), F.col(f"_c{i}")
             if sc.kind == "running":

@@ -76,6 +76,10 @@ def window_aggregate(df: DataFrame, ts: str, keys, size, slide=None, aggs: dict
         raise ValueError("window size and slide must be positive")
     like = ts_type(df, ts)
     us = to_micros(df, ts)
+    wanted = list(aggs)
+    if slide_us != size_us and _sweepable(df, aggs):
+        # The sweep adds numbers; how many of them there were tells a sum of nothing (null) from zero.
+        aggs = {**aggs, **{f"_n_{n}": Agg("count", a.column) for n, a in aggs.items() if a.kind == "sum"}}
 
     if slide_us == size_us:
         # Tumbling: one window per row, a single aggregation.
@@ -120,7 +124,7 @@ def window_aggregate(df: DataFrame, ts: str, keys, size, slide=None, aggs: dict
         micros_to_ts(end_us - F.lit(size_us), like).alias(start_col),
         micros_to_ts(end_us, like).alias(end_col),
         *keys,
-        *[F.col(n) for n in aggs],
+        *[F.col(n) for n in wanted],
     )
 
 
@@ -149,9 +153,9 @@ def _sweep(panes: DataFrame, keys: list[str], names: list[str], count_name: str)
     """
     deltas = panes.select(
         "_wb", *keys,
-        F.explode(F.array(
-            F.struct(F.col("_lo").alias("_e"), *[F.col(n).cast("long").alias(n) for n in names]),
-            F.struct((F.col("_hi") + 1).alias("_e"), *[(-F.col(n)).cast("long").alias(n) for n in names]),
+        F.explode(F.array(  # a pane without numbers adds nothing
+            F.struct(F.col("_lo").alias("_e"), *[F.coalesce(F.col(n).cast("long"), F.lit(0)).alias(n) for n in names]),
+            F.struct((F.col("_hi") + 1).alias("_e"), *[F.coalesce((-F.col(n)).cast("long"), F.lit(0)).alias(n) for n in names]),
         )).alias("_d"))
     deltas = deltas.select("_wb", *keys, "_d.*")
     per_point = deltas.groupBy("_wb", *keys, "_e").agg(*[F.sum(n).alias(n) for n in names])
@@ -162,7 +166,8 @@ def _sweep(panes: DataFrame, keys: list[str], names: list[str], count_name: str)
         *[F.sum(n).over(running).alias(n) for n in names])
     live = levels.where(F.col("_next").isNotNull() & (F.col(count_name) > 0))
     return live.select(F.explode(F.sequence(F.col("_e"), F.col("_next") - 1)).alias("_w"), *keys,
-                       *[F.col(n) for n in names])
+                       *[F.when(F.col(f"_n_{n}") > 0, F.col(n)).alias(n) if f"_n_{n}" in names else F.col(n)
+                         for n in names])
 
 
 def sliding_count(df: DataFrame, ts: str, keys, size, slide, *, count_col: str = "cnt") -> DataFrame:
@@ -177,17 +182,18 @@ def window_average(df: DataFrame, ts: str, value: str, keys, size, slide=None, *
                    exact: bool = False, out_col: str = "avg_value") -> DataFrame:
     """Per-window average of ``value`` from a (sum, count) accumulator.
 
+    Null values do not count; a window without values has a null average.
     ``exact=False`` reproduces the integer-division accumulator (sum div count,
     then widened to double); ``exact=True`` gives the true mean.
     """
     agg = window_aggregate(df, ts, keys, size, slide,
-                           {"_sum": Agg("sum", value), "_n": Agg("count")})
+                           {"_sum": Agg("sum", value), "_n": Agg("count", value), "_rows": Agg("count")})
     if exact:
         avg = F.col("_sum").cast("double") / F.col("_n")
     else:
         # `div` truncates toward zero, as long division on the JVM does.
         avg = F.expr("CAST(CAST(`_sum` AS BIGINT) div `_n` AS DOUBLE)")
-    cols = [c for c in agg.columns if c not in ("_sum", "_n")]
+    cols = [c for c in agg.columns if c not in ("_sum", "_n", "_rows")]
     return agg.select(*cols, avg.alias(out_col))
 
 

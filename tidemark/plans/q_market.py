@@ -76,3 +76,17 @@ def ad_click_blacklist_daily(spark, sf_dir):
     + f"SELECT {O.window_bounds('e', SIZE, SLIDE)}, province, count(*) AS cnt FROM w GROUP BY e, province")
 def ad_clicks_by_province_capped(spark, sf_dir):
     return market.ad_clicks_by_province_capped(views.ad_click(spark, sf_dir), SIZE, SLIDE, CAP, reset=None)
+
+
+# The window shapes of the reports themselves.
+
+@register("marketing_total_1h_10s",
+          "SELECT window_start, window_end, 'app marketing' AS channel, 'total' AS behavior, cnt FROM ("
+          + O.sliding_count_sql("marketing", "behavior NOT IN ('UNINSTALL')", [], "1 hour", "10 seconds") + ") t")
+def marketing_total_1h_10s(spark, sf_dir):
+    return market.marketing_total(views.marketing(spark, sf_dir), "1 hour", "10 seconds")
+
+
+@register("ad_clicks_by_province_1h_5s", O.sliding_count_sql("ad_click", "", ["province"], "1 hour", "5 seconds"))
+def ad_clicks_by_province_1h_5s(spark, sf_dir):
+    return market.ad_clicks_by_province(views.ad_click(spark, sf_dir), "1 hour", "5 seconds")

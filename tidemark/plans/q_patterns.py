@@ -118,3 +118,32 @@ def seq_until(spark, sf_dir):
             "CAST(pc AS BIGINT) AS prior_count FROM p WHERE pc = 0 OR v * pc > ps")
 def seq_iterative(spark, sf_dir):
     return S.seq_iterative(_ev(spark, sf_dir), "user_id", et("purchase"), "value")
+
+
+_OR_AND = """nb AS (
+  SELECT a.user_id, a.ts, a.seq,
+         arg_min(b.ts, (b.ts, b.seq)) AS bts, arg_min(b.seq, (b.ts, b.seq)) AS bseq
+  FROM user_events a JOIN user_events b
+    ON a.user_id = b.user_id AND b.event_type = 'purchase' AND b.value > 50
+   AND (b.ts > a.ts OR (b.ts = a.ts AND b.seq > a.seq))
+  WHERE a.event_type = 'view' OR a.event_type = 'click'
+  GROUP BY a.user_id, a.ts, a.seq)"""
+
+
+@register("seq_or_and", O.with_views("user_events", extra=[_OR_AND])
+          + f"SELECT {PAIR.format(t='bts', s='bseq')} FROM nb WHERE epoch_us(bts) - epoch_us(ts) < {W}")
+def seq_or_and(spark, sf_dir):
+    """Steps with or / and conditions: a view or a click, then a purchase of more than 50."""
+    return S.seq_followed_by(_ev(spark, sf_dir), "user_id", et("view") | et("click"),
+                             et("purchase") & (F.col("value") > 50), WITHIN)
+
+
+@register("seq_flat_select", O.with_views("user_events", extra=[_FIRST_PURCHASE_AFTER_VIEW])
+          + f"SELECT user_id, 'view' AS step, ts, seq FROM nb WHERE epoch_us(bts) - epoch_us(ts) < {W} UNION ALL "
+            f"SELECT user_id, 'purchase', bts, bseq FROM nb WHERE epoch_us(bts) - epoch_us(ts) < {W}")
+def seq_flat_select(spark, sf_dir):
+    """Flat selection: one output row for every step of every match."""
+    pairs = S.seq_followed_by(_ev(spark, sf_dir), "user_id", et("view"), et("purchase"), WITHIN)
+    steps = F.array(F.struct(F.lit("view").alias("step"), F.col("first_ts").alias("ts"), F.col("first_seq").alias("seq")),
+                    F.struct(F.lit("purchase").alias("step"), F.col("second_ts").alias("ts"), F.col("second_seq").alias("seq")))
+    return pairs.select("user_id", F.explode(steps).alias("s")).select("user_id", "s.*")

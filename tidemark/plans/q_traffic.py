@@ -92,10 +92,17 @@ def uv_bitmap_hourly(spark, sf_dir):
     return distinct.uv_bitmap_hourly(views.user_behavior(spark, sf_dir), "1 hour")
 
 
-# Approximate by design: no exact oracle, the driver checks rows only.
-@register("uv_approx_hourly")
+@register("uv_approx_hourly", O.with_views("user_behavior")
+          + f"SELECT {O.tumbling_bounds('w', '1 hour')}, uv, true AS within_error FROM ("
+            f"SELECT epoch_us(ts) // {HOUR_US} AS w, count(DISTINCT user_id) AS uv FROM user_behavior "
+            "WHERE behavior = 'pv' GROUP BY 1) t")
 def uv_approx_hourly(spark, sf_dir):
-    return distinct.uv_approx_hourly(views.user_behavior(spark, sf_dir), "1 hour", rsd=0.01)
+    """The estimate beside the exact count: both per hour, and whether they agree within 5 deviations."""
+    ub = views.user_behavior(spark, sf_dir)
+    estimate = distinct.uv_approx_hourly(ub, "1 hour", rsd=0.01).withColumnRenamed("uv", "estimate")
+    exact = distinct.unique_visitors_hourly(ub, "1 hour")
+    return exact.join(estimate, ["window_start", "window_end"]).select(
+        "window_start", "window_end", "uv", (F.abs(F.col("estimate") - F.col("uv")) <= 0.05 * F.col("uv")).alias("within_error"))
 
 
 @register("uv_running", O.with_views("user_behavior", extra=[f"""v AS (
