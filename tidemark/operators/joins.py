@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import duration_us, ifloor, to_micros
+from .timeline import Timeline
 
 # The reconciliation bound and the receipt-less transaction filter.
 RECONCILE_BOUND = "5 seconds"
@@ -107,13 +108,30 @@ def tx_reconcile(order_events: DataFrame, receipts: DataFrame, bound=RECONCILE_B
     """All three outputs in one frame with a ``tag`` column:
     'matched', 'unmatched_pay', 'unmatched_receipt'."""
     pairs = tx_pairs(order_events, receipts, bound).withColumn("tag", F.lit("matched"))
-    up = tx_unmatched_pays(order_events, receipts, bound).select(
-        "tx_id", "order_id", F.col("ts").alias("pay_ts"), F.col("seq").alias("pay_seq"),
-        F.lit("unmatched_pay").alias("tag"))
-    ur = tx_unmatched_receipts(order_events, receipts, bound).select(
-        "tx_id", "pay_channel", F.col("ts").alias("receipt_ts"), F.col("seq").alias("receipt_seq"),
-        F.lit("unmatched_receipt").alias("tag"))
-    return pairs.unionByName(up, allowMissingColumns=True).unionByName(ur, allowMissingColumns=True)
+    # Both sides in one timeline: a row whose nearest neighbours of the other side are out of reach is
+    # unmatched.  One shuffle by (tx id, time bucket) decides that for pays and receipts together.
+    pays = _pays(order_events).select("tx_id", "ts", "seq", "order_id", F.lit(None).cast("string").alias("pay_channel"),
+                                      F.lit(0).alias("_side"))
+    recs = receipts.select("tx_id", "ts", "seq", F.lit(None).cast(pays.schema["order_id"].dataType).alias("order_id"),
+                           "pay_channel", F.lit(1).alias("_side"))
+    both = pays.unionByName(recs).withColumn("_order", F.col("seq") * 2 + F.col("_side"))
+    tl = Timeline(both, "tx_id", seq="_order", halo=bound, look="both")
+    for side in (0, 1):
+        tl.prior(f"_before{side}", pred=F.col("_side") == side)
+        tl.following(f"_after{side}", pred=F.col("_side") == side)
+    limit = F.lit(duration_us(bound))
+
+    def far(side: int) -> Column:
+        near = (F.col("_us") - F.col(f"_before{side}.us") <= limit) | (F.col(f"_after{side}.us") - F.col("_us") <= limit)
+        return ~F.coalesce(near, F.lit(False))
+
+    is_pay = F.col("_side") == 0
+    lone = tl.result().where(F.when(is_pay, far(1)).otherwise(far(0)))
+    rest = lone.select(
+        "tx_id", "order_id", F.when(is_pay, F.col("ts")).alias("pay_ts"), F.when(is_pay, F.col("seq")).alias("pay_seq"),
+        "pay_channel", F.when(~is_pay, F.col("ts")).alias("receipt_ts"), F.when(~is_pay, F.col("seq")).alias("receipt_seq"),
+        F.when(is_pay, F.lit("unmatched_pay")).otherwise(F.lit("unmatched_receipt")).alias("tag"))
+    return pairs.unionByName(rest)
 
 
 def tx_window_join(order_events: DataFrame, receipts: DataFrame, size) -> DataFrame:

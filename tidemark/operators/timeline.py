@@ -64,7 +64,7 @@ class Timeline:
     def __init__(self, df: DataFrame, keys, ts: str = "ts", seq: str = "seq",
                  bucket=DEFAULT_BUCKET, halo=None, look: str = "following"):
         """``halo``: scans find neighbours at most this far away (None: any distance); they all look
-        in the direction ``look``."""
+        in the direction ``look`` ("prior", "following" or "both")."""
         self.keys = [keys] if isinstance(keys, str) else list(keys)
         self.ts, self.seq = ts, seq
         self.bucket_us = duration_us(bucket)
@@ -76,10 +76,10 @@ class Timeline:
             self.bucket_us = max(self.bucket_us, 2 * self.halo)
             own = ifloor(F.col(US), self.bucket_us)
             # A following scan of the bucket before, or a prior scan of the bucket behind, sees this row too.
-            reach = -self.halo if look == "following" else self.halo
-            other = ifloor(F.col(US) + F.lit(reach), self.bucket_us)
+            reach = {"following": [-self.halo], "prior": [self.halo], "both": [-self.halo, self.halo]}[look]
+            others = [ifloor(F.col(US) + F.lit(r), self.bucket_us) for r in reach]
             self._df = (df.withColumn(US, us)
-                        .withColumn("_b", F.explode(F.array_distinct(F.array(own, other))))
+                        .withColumn("_b", F.explode(F.array_distinct(F.array(own, *others))))
                         .withColumn("_home", F.col("_b") == own))
         self._pending: list[_Scan] = []
 
