@@ -24,9 +24,10 @@ def test_entry_runs(spark):
 
 
 def test_every_query_plans(spark):
-    # Building each DataFrame resolves its plan (streaming ones run on the small data).
+    # Building each DataFrame resolves its plan.
     for name, fn in entry.queries().items():
-        if name not in entry.catalog.QUERIES:
+        # Building a stream_* query runs it; tests/test_streaming.py and the oracle check do that.
+        if name not in entry.catalog.QUERIES or name.startswith("stream_"):
             continue
         df = fn(spark, SF_SMALL)
         assert df.columns, name
