@@ -39,7 +39,33 @@ def op3_packing(spark, sf_dir):
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-@register("op4_secret_scan")
+def _spans_sql(order: int, kind: str, pattern: str, keep: str) -> str:
+    """Matches of one kind with code-point positions: gaps and matches before each one are added up."""
+    pattern = pattern.replace("'", "''")
+    return f"""
+SELECT doc_id, {order} AS ord, '{kind}' AS kind, v, s, s + length(v) AS e FROM (
+  SELECT doc_id, m[i] AS v,
+         list_sum(list_transform(g[1:i], lambda x: length(x)))
+         + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
+  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM d) x,
+       unnest(range(1, len(m) + 1)) u(i)) y
+WHERE {keep}"""
+
+
+_ASSIGN = secrets.ASSIGN.replace("\\x20", " ")
+_SECRETS_SQL = ("WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS ("
+                + _spans_sql(0, "assign", _ASSIGN, "length(regexp_extract(v, '{}', 2)) >= 8".format(_ASSIGN.replace("'", "''")))
+                + " UNION ALL " + _spans_sql(1, "access", "AKIA[A-Z0-9]{12,}", "true")
+                + " UNION ALL " + _spans_sql(2, "hex", "[0-9a-f]{32,}", "true") + """),
+f AS (SELECT doc_id, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, ord) AS a,
+             count(*) FILTER (ord = 0) AS n0, count(*) FILTER (ord = 1) AS n1, count(*) FILTER (ord = 2) AS n2
+      FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
+       sha256(coalesce(a, '')) AS base_sha256, coalesce(a, '') AS spans
+FROM d LEFT JOIN f USING (doc_id)""")
+
+
+@register("op4_secret_scan", _SECRETS_SQL)
 def op4_secret_scan(spark, sf_dir):
     return secrets.summarise(secrets.scan_versions(read_table(spark, sf_dir, "documents")))
 
@@ -61,7 +87,18 @@ def op6_toxicity(spark, sf_dir):
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-@register("op7_substring_dedup")
+@register("op7_substring_dedup", """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i AS s, array_to_string(ws[i:i + 19], ' ') AS k FROM w, unnest(range(1, len(ws) - 18)) t(i)),
+f AS (SELECT k, min((doc_id, s)) AS first FROM g GROUP BY k),
+c AS (SELECT DISTINCT g.doc_id, g.s + j AS p FROM g JOIN f USING (k), range(20) r(j) WHERE (g.doc_id, g.s) <> f.first),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+r AS (SELECT x.doc_id, count(c.p) AS n_removed,
+             string_agg(word, ' ' ORDER BY x.p) FILTER (c.p IS NULL) AS kept
+      FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.p = x.p GROUP BY x.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)""")
 def op7_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
