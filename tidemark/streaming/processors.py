@@ -108,19 +108,17 @@ class OrderedProcessor(StatefulProcessor):
         wm_us = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000
         first = None
         for df in rows:
-            if wm_us > 0:
-                df = df[df["ev_us"] > wm_us]          # late rows are dropped
-            if not len(df):
-                continue
-            for part, g in df.groupby(df["ev_us"] // self.slice_us):
-                cells = [g[c].tolist() for c in ("ev_us", "seq", *self.payload)]
-                new = [list(r) for r in zip(*cells)]
-                slot = (int(part),)
+            # Most keys have a few rows in a batch, so plain lists beat frame operations here.
+            parts: dict[int, list[list]] = {}
+            for row in zip(*(df[c].tolist() for c in ("ev_us", "seq", *self.payload))):
+                if row[0] > wm_us or wm_us == 0:      # late rows are dropped
+                    parts.setdefault(row[0] // self.slice_us, []).append(list(row))
+                    first = row[0] if first is None else min(first, row[0])
+            for part, new in parts.items():
+                slot = (part,)
                 if self.waiting.containsKey(slot):
                     new = json.loads(self.waiting.getValue(slot)[0]) + new
                 self.waiting.updateValue(slot, (json.dumps(new),))
-            low = int(df["ev_us"].min())
-            first = low if first is None else min(first, low)
         if first is not None:
             self.handle.registerTimer(_ceil_ms(first))
         return iter([])
