@@ -142,6 +142,17 @@ def test_decontamination_cases(spark):
     assert decontam.contaminated(C.frame(spark, []), items).count() == 0
 
 
+def test_copies_in_any_casing_and_lists_of_numbers_are_found(spark):
+    numbers = "Sort the numbers 12, 5, 9, 33, 7, 81, 4, 62, 18, 27, 3, 45"
+    titled = "The Old Mill Near The River Turns Slowly All Day Long And Night"
+    items = spark.createDataFrame([(1, numbers), (2, ITEMS[1][1]), (3, titled)], "item_id long, text string")
+    rows = [(1, "so then: " + numbers + ". thanks"), (2, ITEMS[1][1].upper()), (3, "see " + ITEMS[1][1].title()),
+            (4, titled.upper()), (5, titled.lower()), (6, "1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14"), (7, titled)]
+    got = {(r.doc_id, r.item_id): r.exact for r in decontam.contaminated(C.frame(spark, rows), items).collect()}
+    assert got == {k: True for k in [(1, 1), (2, 2), (3, 2), (4, 3), (5, 3), (7, 3)]}
+    assert [r.doc_id for r in decontam.remove_contaminated(C.frame(spark, rows), items).collect()] == [6]
+
+
 def test_inconsistent_slots_are_no_match(spark):
     item = "Add 3 to the first box and 3 to the second box and then count 3 again slowly"
     same = item.replace("3", "8")

@@ -3,7 +3,9 @@
 Words lose the marks at their edges and become template tokens: numbers, units and names turn into
 typed placeholders, others are lower-cased.  A name is a capitalised word that does not
 begin a sentence.  Windows of ``WINDOW`` tokens are hash-joined with the benchmark's windows on the
-template text itself, so a question asked again with other numbers or names still meets its item.
+template text itself, so a question asked again with other numbers or names still meets its item.  Windows
+with placeholders are joined by their plain case-folded words too: a copy in any casing and a list of
+numbers or names are found as they stand.
 
 A join row is judged with the others on its diagonal (place in the document minus place in the
 item): each slot value of the item must always become the same value, and no two item values
@@ -16,7 +18,7 @@ benchmark's windows (``BITMAP_BITS``, the only thing broadcast, whatever the ben
 the join settles them exactly.  Items shorter than a window are one window of their own length.
 
 Edge cases: null and empty texts, and items without words, match nothing; windows of placeholders
-only are no evidence and are skipped; an item text that repeats is judged under each of its
+only are no evidence as templates and count by their plain words alone; an item text that repeats is judged under each of its
 ids; rows equal in id and text are one document; null ids are kept as such; empty tables give
 no rows; other columns are ignored.
 """
@@ -24,6 +26,7 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,24 +55,25 @@ NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 
 
 class Tokens(dict):
-    """Raw word -> (plain token, its hash, kind: 0 word, 1 number or unit, 2 capitalised, ends a sentence)."""
+    """Raw word -> packed (hash of the plain token, hash of the template token, flags: 1 number or unit,
+    2 capitalised, 4 ends a sentence)."""
 
-    def __missing__(self, raw: str) -> tuple[str, int, int, bool]:
+    def __missing__(self, raw: str) -> bytes:
         if len(self) >= CACHE_TOKENS:
             self.clear()
         word = raw.strip(EDGES)
-        low = word.lower()
-        ends = raw.rstrip("\"'”’»)]").endswith((".", "!", "?"))
-        if NUMBER.match(word) or low in NUMBER_WORDS:
-            token, kind = NUM, 1
-        elif low in UNITS:
-            token, kind = UNIT, 1
-        else:
-            token, kind = low, 2 if word[:1].isupper() else 0
-        got = self[raw] = (token, hash64(token), kind, ends)
+        low = word.casefold()
+        typed = placeholder(word, low)
+        flags = (1 if typed else 2 if word[:1].isupper() else 0) + 4 * raw.rstrip("\"'”’»)]").endswith((".", "!", "?"))
+        got = self[raw] = struct.pack("<QQQ", hash64(low), hash64(typed or low), flags)
         return got
 
 
+def placeholder(word: str, low: str) -> str | None:
+    """Placeholder of a number or unit, None for other words."""
+    return NUM if NUMBER.match(word) or low in NUMBER_WORDS else UNIT if low in UNITS else None
+
+
 def hash64(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
 
@@ -79,18 +83,15 @@ _FACTORS = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0
                                         0xD6E8FEB86659FD93, 0x27D4EB2F165667C5)]
 
 
-def template(words: list[str], cache: Tokens) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Template tokens of a text's words, their hashes, and which are placeholders."""
-    got = [cache[w] for w in words]
-    n = len(got)
-    hashes = np.fromiter((g[1] for g in got), dtype=np.uint64, count=n)
-    kind = np.fromiter((g[2] for g in got), dtype=np.int8, count=n)
-    ends = np.fromiter((g[3] for g in got), dtype=bool, count=n)
-    begins = np.concatenate([[True], ends[:-1]]) if n else ends
-    name = (kind == 2) & ~begins
+def template(words: list[str], cache: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a text's plain tokens and of its template tokens, which are placeholders, and which names."""
+    got = np.frombuffer(b"".join([cache[w] for w in words]), dtype="<u8").reshape(-1, 3)
+    plain, hashes, flags = got[:, 0].copy(), got[:, 1].copy(), got[:, 2]
+    name = flags & np.uint64(2) > 0
+    name[:1] = False
+    name[1:] &= flags[:-1] < 4
     hashes[name] = np.uint64(NAME_HASH)
-    tokens = [NAME if is_name else g[0] for g, is_name in zip(got, name.tolist())]
-    return tokens, hashes, name | (kind == 1)
+    return plain, hashes, name | (flags & np.uint64(1) > 0), name
 
 
 def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -101,21 +102,34 @@ def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
-def windows(words: list[str], lengths: list[int], cache: Tokens, keep=None) -> Iterator[tuple[int, str, list[str]]]:
-    """(place, template text, slot values) of the windows of each length that have a plain word
-    and pass ``keep`` (a test on an array of window hashes)."""
-    tokens, hashes, slot = template(words, cache)
+def windows(words: list[str], lengths: list[int], cache: Tokens, keep=None) -> Iterator[tuple[int, int, str, list[str]]]:
+    """(place, hash, text, slot values) of the windows of each length that pass ``keep`` (a test on an array
+    of window hashes): as templates where they have a plain word, and where they have a placeholder also as
+    plain tokens, without slots.  Plain tokens have no angle brackets at their edges, so the two never meet."""
+    if not words:
+        return
+    plain, hashes, slot, name = template(words, cache)
     before = np.concatenate([[0], np.cumsum(slot)])
     for length in lengths:
         if len(words) < length:
             continue
-        h = window_hashes(hashes, length)
-        ok = before[length:] - before[:-length] < length
+        filled = before[length:] - before[:-length]
+        h, ok = window_hashes(hashes, length), filled < length
         if keep is not None:
             ok &= keep(h)
         for i in np.flatnonzero(ok).tolist():
-            values = [words[j].strip(EDGES).lower() for j in range(i, i + length) if slot[j]]
-            yield i, " ".join(tokens[i:i + length]), values
+            tokens = [w.strip(EDGES) for w in words[i:i + length]]
+            low = [w.casefold() for w in tokens]
+            shown = [NAME if name[i + k] else placeholder(w, x) if slot[i + k] else x
+                     for k, (w, x) in enumerate(zip(tokens, low))]
+            yield i, int(h[i]), " ".join(shown), [x for k, x in enumerate(low) if slot[i + k]]
+        at = np.flatnonzero(filled)
+        if not len(at):
+            continue
+        h = window_hashes(plain, length)[at]
+        ok = np.ones(len(at), dtype=bool) if keep is None else keep(h)
+        for i, x in zip(at[ok].tolist(), h[ok].tolist()):
+            yield i, x, " ".join([w.strip(EDGES).casefold() for w in words[i:i + length]]), []
 
 
 WINDOW_SCHEMA = "place int, template string, slots array<string>"
@@ -136,8 +150,8 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                 length = min(window, len(words))
                 if not length:
                     continue
-                h = window_hashes(template(words, cache)[1], length).view(np.int64)
-                rows += [(item, len(words), i, length, int(h[i]), t, s) for i, t, s in windows(words, [length], cache)]
+                rows += [(item, len(words), i, length, h - (h >> 63 << 64), t, s)
+                         for i, h, t, s in windows(words, [length], cache)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
@@ -181,7 +195,8 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, covera
         for batch in batches:
             ids, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_text(batch.column(2))
             for i, j in text_blocks(texts):
-                rows = [(ids[k], keys[k], *w) for k in range(i, j) for w in windows(texts[k].split(), lengths, cache, keep)]
+                rows = [(ids[k], keys[k], at, t, s) for k in range(i, j)
+                        for at, _, t, s in windows(texts[k].split(), lengths, cache, keep)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
