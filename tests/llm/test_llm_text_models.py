@@ -162,6 +162,17 @@ def test_inconsistent_slots_are_no_match(spark):
     assert got == {1, 3}
 
 
+def test_one_changed_value_and_merged_values_are_found(spark):
+    rnd = random.Random(9)
+    long = f"{C.words(rnd, 20)} in 1990 {C.words(rnd, 15)} until 1990 {C.words(rnd, 12)}"
+    merged = "Add 3 red balls to the first box and 5 green balls to the second one slowly"
+    items = spark.createDataFrame([(1, long), (2, merged)], "item_id long, text string")
+    rows = [(1, long.replace("until 1990", "until 1987")), (2, merged.replace("3", "4").replace("5", "4")), (3, long),
+            (None, long.replace("in 1990", "in 2003"))]
+    got = {(r.doc_id, r.item_id): r.exact for r in decontam.contaminated(C.frame(spark, rows), items).collect()}
+    assert got == {(1, 1): False, (2, 2): False, (3, 1): True, (None, 1): False}
+
+
 def test_planted_passages_are_found(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = spark.read.parquet(f"{SF}/benchmark.parquet")

@@ -8,10 +8,10 @@ with placeholders are joined by their plain case-folded words too: a copy in any
 numbers or names are found as they stand.
 
 A join row is judged with the others on its diagonal (place in the document minus place in the
-item): each slot value of the item must always become the same value, and no two item values
-the same one; a diagonal that breaks this is no re-asked question and is dropped.  The item
-tokens covered by the diagonals left decide: a document is contaminated by an item if at least
-``COVERAGE`` of them are covered.
+item).  A slot value of the item has one main value there, the one that most windows give it;
+windows that give it another are dropped, and windows of equal text always count.  Different item
+values may become the same one.  The item tokens covered by the windows left decide: a document
+is contaminated by an item if at least ``COVERAGE`` of them are covered.
 
 Scale: one map pass reads the texts and passes on windows that hit a fixed-size bit map of the
 benchmark's windows (``BITMAP_BITS``, the only thing broadcast, whatever the benchmark's size);
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_text, save, small_batches, text_blocks
@@ -203,20 +203,29 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, covera
     hits = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string")) \
         .mapInArrow(run, "doc_id long, text_key long, " + WINDOW_SCHEMA)
     met = hits.join(bench.select("item_id", "n_tokens", F.col("place").alias("item_place"), "length", "template",
-                                 F.col("slots").alias("item_slots")), "template").distinct()
+                                 F.col("slots").alias("item_slots")), "template") \
+        .withColumn("diagonal", F.col("place") - F.col("item_place"))
     doc = ["doc_id", "text_key", "item_id", "n_tokens"]
-    pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("was"), b.alias("is")))
-    diagonal = (met.groupBy(*doc, (F.col("place") - F.col("item_place")).alias("diagonal"))
-                .agg(F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
-                     F.array_distinct(F.flatten(F.collect_set(
-                         F.sequence("item_place", F.col("item_place") + F.col("length") - 1)))).alias("covered"),
-                     F.countDistinct("item_place").alias("windows")))
-    n = F.size("pairs")
-    consistent = (F.size(F.array_distinct(F.col("pairs.was"))) == n) & (F.size(F.array_distinct(F.col("pairs.is"))) == n)
-    exact = F.forall("pairs", lambda p: p["was"].eqNullSafe(p["is"]))
-    found = (diagonal.filter(consistent).withColumn("same", exact)
-             .groupBy(*doc).agg(F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered"),
-                                F.sum("windows").alias("n_windows"), F.min("same").alias("exact")))
+    key = [*doc, "diagonal"]
+    pairs = F.array_distinct(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("was"), b.alias("is"))))
+    # All that follows up to the diagonals is dealt by ``key``; a diagonal has at most an item's windows.
+    votes = (met.repartition(*key).distinct().withColumn("plain", F.size("item_slots") == 0)
+             .select(*key, "item_place", "length", "plain", F.explode_outer(pairs).alias("p"))
+             .select(*key, "item_place", "length", "plain", "p.was", "p.is")
+             .withColumn("votes", F.count("*").over(Window.partitionBy(*key, "was", "is"))))
+    best = Window.partitionBy(*key, "was").orderBy(F.desc("votes"), F.desc(F.col("is") == F.col("was")), "is")
+    judged = (votes.withColumn("main", F.first("is").over(best))
+              .groupBy(*key, "item_place", "length", "plain")
+              .agg(F.min(F.col("is").eqNullSafe(F.col("main"))).alias("ok"),
+                   F.min(F.col("is").eqNullSafe(F.col("was"))).alias("same")))
+    diagonal = (judged.groupBy(*key)
+                .agg(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("ok"), F.sequence(
+                         "item_place", F.col("item_place") + F.col("length") - 1))))).alias("covered"),
+                     F.countDistinct(F.when(F.col("ok"), F.col("item_place"))).alias("windows"),
+                     F.min("same").alias("same")))
+    found = (diagonal.filter("windows > 0").groupBy(*doc)
+             .agg(F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered"),
+                  F.sum("windows").alias("n_windows"), F.min("same").alias("exact")))
     return (found.withColumn("coverage", F.size("covered") / F.col("n_tokens")).filter(F.col("coverage") >= coverage)
             .select("doc_id", "text_key", "item_id", "n_windows", "coverage", "exact"))
 
