@@ -154,5 +154,29 @@ def test_remove_repeats_equals_brute_force(spark, window, vocabulary, buckets):
     assert sum(x[2] for x in want)
 
 
+@pytest.mark.parametrize("hot_words", [0, 3000])
+def test_windows_of_a_common_line_are_spread(spark, hot_words):
+    rnd = random.Random(5)
+    line = "licensed to you under the usual terms of this site"
+    rows = [(k, f"{C.words(rnd, 30, 4000)} {line} {C.words(rnd, 30, 4000)}") for k in range(300)]
+    rows += [(1000 + k, rows[k][1]) for k in range(0, 300, 7)] + C.awkward(4)
+    docs = C.frame(spark, rows).repartition(5)
+    sizes = {}
+    for r in substrings.super_kmers(docs, 16, hot_words=hot_words).filter("bucket >= 0").collect():
+        sizes[r.bucket] = sizes.get(r.bucket, 0) + len(substrings._unpack(r.packed)[1])
+    assert max(sizes.values()) < 2 * sum(sizes.values()) / 16
+    got = substrings.remove_repeats(docs, buckets=16, hot_words=hot_words).collect()
+    want = [(str(d), *x) for (d, _), x in zip(rows, brute_kept(rows, 20))]
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in got) == sorted(want)
+
+
+def test_texts_that_share_an_id_and_a_passage_each_lose_it(spark):
+    passage = C.words(random.Random(6), 25, 4000)
+    rows = [(1, passage), (5, passage + " a b"), (5, passage + " c d"), (None, passage + " e"), (None, passage + " f")]
+    docs = C.frame(spark, rows[:1]).coalesce(1).union(C.frame(spark, rows[1:]).coalesce(1))
+    got = substrings.remove_repeats(docs).collect()
+    assert sorted(r.kept for r in got) == sorted([passage, "a b", "c d", "e", "f"])
+
+
 def test_remove_repeats_of_nothing(spark):
     assert substrings.remove_repeats(C.frame(spark, [])).count() == 0

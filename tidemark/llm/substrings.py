@@ -11,6 +11,11 @@ block of texts first looks for repeats in itself and ships only the first of equ
 common passages are combined before they travel; a bucket opens only minimisers that came
 more than once.  Buckets follow the session's shuffle partitions, so they grow in number, not size.
 
+Hot minimisers: a short common line gives every document windows of its own with one minimiser.  A
+first pass counts the words of super-k-mers by slots of minimisers (``SLOTS`` a bucket), and windows of a slot
+with more than ``HOT_WORDS`` words travel one by one to the bucket of their own hash, where equal ones
+meet all the same.
+
 Repeats come back as word ranges keyed by (doc_id, content key), and one join brings them to the
 texts.  The first occurrence is the one with the smallest (doc_id, start); windows are judged on
 the input.
@@ -36,6 +41,8 @@ from .common import as_bytes, save, small_batches, text_blocks
 WINDOW = 20
 GRAM = 4
 NULL_ID = (1 << 63) - 1
+SLOTS = 16
+HOT_WORDS = 1 << 21
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                                0x27D4EB2F165667C5)]
 
@@ -74,14 +81,14 @@ def _minimisers(grams: np.ndarray, window: int) -> np.ndarray:
 
 
 def _repeats(order: np.ndarray, hashes: np.ndarray, place: np.ndarray, words: list[bytes], window: int,
-             rank: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Of windows sorted by (hash, id, start): which repeat an earlier one, and which equal one at
-    the same id and start.  ``place`` is a window's first word in ``words``."""
+             rank: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows sorted by (hash, id, start): which repeat an earlier one, and which equal the first one
+    in id, start and content key.  ``place`` is a window's first word in ``words``."""
     repeat, same = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
     sorted_hash = hashes[order]
     new = np.concatenate([[True], sorted_hash[1:] != sorted_hash[:-1]])
     head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    ids, starts = rank
+    ids, starts, keys = rank
     firsts: dict[int, dict[tuple, int]] = {}
     for k in np.flatnonzero(~new):
         i, first = int(order[k]), int(order[head[k]])
@@ -92,7 +99,7 @@ def _repeats(order: np.ndarray, hashes: np.ndarray, place: np.ndarray, words: li
             if first == i:
                 continue
         if ids[i] == ids[first] and starts[i] == starts[first]:
-            same[i] = True
+            same[i] = keys[i] == keys[first]
         else:
             repeat[i] = True
     return repeat, same
@@ -126,9 +133,41 @@ def _unpack(packed: bytes) -> tuple[list[np.ndarray], bytes]:
     return out, raw[at:]
 
 
-def super_kmers(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
+def hot_slots(docs: DataFrame, buckets: int, window: int = WINDOW, hot_words: int = HOT_WORDS) -> np.ndarray:
+    """Sorted slots of minimisers whose super-k-mers have more than ``hot_words`` words in all texts."""
+    slots = buckets * SLOTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, dtype=np.int64)
+        for batch in batches:
+            texts = as_bytes(batch.column(0))
+            for i, j in text_blocks(texts):
+                per_doc = [t.split() for t in texts[i:j]]
+                words = [w for x in per_doc for w in x]
+                if len(words) < window:
+                    continue
+                doc = np.repeat(np.arange(j - i), [len(x) for x in per_doc])
+                minima = _minimisers(_gram_hashes(words), window)[:len(words) - window + 1]
+                whole = np.flatnonzero(doc[:len(minima)] == doc[window - 1:])
+                if not len(whole):
+                    continue
+                minima = minima[whole]
+                new = np.concatenate([[True], (np.diff(whole) != 1) | (minima[1:] != minima[:-1])])
+                # A super-k-mer has its windows' number of words and ``window`` - 1 more.
+                total += np.bincount((minima % np.uint64(slots)).astype(np.int64), 1 + new * (window - 1),
+                                     minlength=slots).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "n"])
+
+    found = (docs.select(F.col("text").cast("string")).mapInArrow(run, "slot long, n long")
+             .groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") > hot_words).select("slot").collect())
+    return np.array(sorted(r.slot for r in found), dtype=np.uint64)
+
+
+def super_kmers(docs: DataFrame, buckets: int, window: int = WINDOW, hot_words: int = HOT_WORDS) -> DataFrame:
     """(bucket, ids, ranges): compressed super-k-mers of a block of texts for one bucket, or (bucket -1)
     the repeats that a block found in itself."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot_slots(docs, buckets, window, hot_words))
 
     def block(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], tool) -> Iterator[tuple]:
         per_doc = [t.split() for t in texts]
@@ -147,15 +186,17 @@ def super_kmers(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFram
         start = whole - first[doc]
         # Texts come in the order of their ids, so a stable sort by hash keeps (id, start).
         order = np.argsort(hashes, kind="stable")
-        repeat, same = _repeats(order, hashes, whole, words, window, (ids[doc], start))
+        repeat, same = _repeats(order, hashes, whole, words, window, (ids[doc], start, keys[doc]))
         d, lo, hi = _ranges(repeat, doc, start, window)
         if len(d):
             yield -1, _pack([ids[d], keys[d], lo, hi, lo[:0]], b"", tool)
         keep = np.flatnonzero(~repeat & ~same)
         if not len(keep):
             return
+        hot = np.isin(minima % np.uint64(buckets * SLOTS), shared.value)
+        minima = np.where(hot, hashes, minima)
         cut = np.flatnonzero((np.diff(whole[keep]) != 1) | (np.diff(doc[keep]) != 0)
-                             | (minima[keep][1:] != minima[keep][:-1])) + 1
+                             | (minima[keep][1:] != minima[keep][:-1]) | hot[keep][1:]) + 1
         begin = keep[np.concatenate([[0], cut])]
         end = keep[np.concatenate([cut, [len(keep)]]) - 1]
         low = minima[begin]
@@ -215,12 +256,13 @@ def _bucket_repeats(blocks: list[bytes], window: int) -> list[tuple[np.ndarray,
     hashes, row = hashes[place], row[place]
     begin = start[row] + place - (np.cumsum(counts) - counts)[row]
     order = np.lexsort((begin, ids[row], hashes))
-    repeat, _ = _repeats(order, hashes, place, words, window, (ids[row], begin))
+    repeat, _ = _repeats(order, hashes, place, words, window, (ids[row], begin, keys[row]))
     r, lo, hi = _ranges(repeat, row, begin, window)
     return [(ids[r], keys[r], lo, hi)] if len(r) else []
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW, buckets: int | None = None) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, buckets: int | None = None,
+                    hot_words: int = HOT_WORDS) -> DataFrame:
     """(doc_id, text_key, first, end): word ranges covered by windows that occur earlier."""
     buckets = buckets or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -247,17 +289,18 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, buckets: int | None =
         if held:
             yield from emit(_bucket_repeats(held, window))
 
-    packed = super_kmers(docs, buckets, window)
+    packed = super_kmers(docs, buckets, window, hot_words)
     # Repeats found within a block (bucket -1) spread by content; they need no meeting place.
     spread = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.xxhash64("packed"))
     return packed.repartition(buckets, spread).sortWithinPartitions("bucket") \
         .mapInArrow(run, "doc_id long, text_key long, first int, end int")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = None,
+                   hot_words: int = HOT_WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row: ``kept`` holds the words left, one blank apart."""
     small_batches(docs.sparkSession)
-    ranges = save(repeated_ranges(docs, window, buckets), "repeats")
+    ranges = save(repeated_ranges(docs, window, buckets, hot_words), "repeats")
     marks = (ranges.distinct().groupBy("doc_id", "text_key")
              .agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("_r")))
     marks = marks.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"),
