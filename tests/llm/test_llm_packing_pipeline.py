@@ -48,6 +48,13 @@ def test_tokens_equal_the_tokenizer(spark):
         assert [*enc.encode(s), 1] == tokens(s), repr(s)
 
 
+def test_long_white_space_equals_the_tokenizer():
+    enc, exact = packing.Encoder(), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for text in (" " * 1_500_000 + "x", "a b" + "\n" * 1_500_000, "x" + " " * 99_999 + "y", "x" + " \t" * 60_000 + "y"):
+        assert enc.encode(text) == exact.encode(text, add_special_tokens=False).ids
+    assert not packing.LONG_SPACE.search(("x" + " " * 99_999) * 20)
+
+
 def test_first_fit_decreasing_equals_a_plain_one():
     rnd = random.Random(2)
     for n in (0, 1, 2, 7, 300):

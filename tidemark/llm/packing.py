@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +32,17 @@ CAPACITY = 2048
 END_ID = 1
 GROUP_SIZE = 8192
 VOCABULARY = "byte_bpe_50k"
+#: Characters of white space in a row that are safe with the rank file (it fails at about a million).
+SAFE_SPACE = 100_000
+LONG_SPACE = re.compile(r"\S\s{%d}|^\s{%d}" % (SAFE_SPACE, SAFE_SPACE))
 
 PIECE_SCHEMA = "piece long, doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
 class Encoder:
     """Token ids of whole texts.  The rank file has the vocabulary of the tokenizer file and is several
-    times faster; texts that spell a special token go to the tokenizer itself, loaded when one comes."""
+    times faster; texts that spell a special token, or have more white space in a row than its pattern
+    matcher has stack for, go to the tokenizer itself, loaded when one comes."""
 
     def __init__(self, vocabulary: str = VOCABULARY):
         import public_tokenizers as P
@@ -52,7 +57,7 @@ class Encoder:
         self.exact = None
 
     def encode(self, text: str) -> list[int]:
-        if not any(s in text for s in self.special):
+        if not any(s in text for s in self.special) and not (len(text) > SAFE_SPACE and LONG_SPACE.search(text)):
             return self.plain.encode_ordinary(text)
         if self.exact is None:
             from tokenizers import Tokenizer
