@@ -68,6 +68,22 @@ def test_toxicity_learns_misspellings_and_spares_quotation(spark):
     assert toxicity.score_documents(C.frame(spark, []), C.frame(spark, docs), lab).count() == 0
 
 
+def test_lexicon_is_alike_whether_clean_texts_are_sampled(spark):
+    rnd = random.Random(3)
+    docs, labels = [], []
+    for k in range(900):
+        toxic = k % 9 == 0
+        extra = ("grumblefoo" if k % 8 == 0 else "snarkwit") if toxic else "" if k % 7 else "mildword"
+        docs.append((k, f"{C.words(rnd, 25)} {extra}"))
+        labels.append((k, int(toxic)))
+    labels += [(5000 + k, k % 2) for k in range(600)]  # labels of rows that are not learned from
+    frames = C.frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")
+    for per_class in (10_000, 110):
+        assert toxicity.fit(*frames, per_class)["terms"] == ["grumblefoo", "snarkwit"]
+    _, weights, _ = toxicity.training_sample(*frames, 110)
+    assert weights == {0: 800 / 110, 1: 1.0}
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")

@@ -2,6 +2,8 @@
 
 * The lexicon is learned from labelled rows: words that are far likelier in toxic texts than in
   clean ones, counted over groups of near copies (not rows), so a much copied text counts once.
+  Toxic use is counted in the sample and clean use in all clean texts, brought to the sample's share
+  of toxic texts: the test against chance has the class balance of the corpus at every size.
 * The trie of the lexicon is intersected with the Levenshtein automaton of at most ``distance``
   edits.  The product is made deterministic as it is used: a state is the set of
   (trie node, edits so far), and its transitions are kept, so a token costs one lookup a letter
@@ -10,7 +12,7 @@
   behind a reporting verb, it counts as quotation, else as abuse.  The two have features of
   their own, and a logistic model weighs them; with no evidence for it, quotation adds nothing.
 
-All fitting is on a bounded sample: at most about ``PER_CLASS`` labelled texts of each class,
+Other fitting is on a bounded sample: at most about ``PER_CLASS`` labelled texts of each class,
 by id hash.  The model (a lexicon of at most ``MAX_TERMS`` terms and a few weights) is broadcast.
 Scoring is one map pass over whole texts.
 
@@ -188,11 +190,12 @@ def score_matches(matches: list[tuple[int, int, bool]], model: dict) -> float:
     return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, float]]:
-    """(doc_id, text, toxic) of at most about ``per_class`` texts of each class, and the row weight
-    of each class that makes up for the sampling."""
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, float], DataFrame]:
+    """(doc_id, text, toxic) of at most about ``per_class`` texts of each class, the row weight
+    of each class that makes up for the sampling, and (doc_id, toxic) of all of ``docs`` with a label."""
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)) \
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = save(marked.join(docs.select("doc_id"), "doc_id", "left_semi"), "labelled_ids")
     counts = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
     keep, weights = F.lit(False), {}
     for y, n in sorted(counts.items()):
@@ -202,26 +205,46 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple
                        & (F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) < int(share * (1 << 30))))
     texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # The sample has about 2 * per_class rows (id, class) at any size, so it is broadcast and no text moves.
-    return texts.join(F.broadcast(marked.filter(keep)), "doc_id"), weights
+    return texts.join(F.broadcast(marked.filter(keep)), "doc_id"), weights, marked
 
 
-def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
-    """Words far likelier in toxic texts outside quotation marks, counted over groups of near copies.
-
-    A group is named by the six smallest word hashes of a text, which near copies mostly share."""
+def _words_and_group(rows: DataFrame) -> DataFrame:
+    """Adds ``w``, the words outside quotation marks, and ``g``, which near copies mostly share: the six
+    smallest word hashes of a text."""
     words = F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.lower("text"), QUOTED, " "), F.lit(r"[\p{L}\p{N}@$]+"), F.lit(0)))
     group = F.xxhash64(F.slice(F.array_sort(F.transform("w", lambda x: F.xxhash64(x))), 1, 6))
-    rows = sample.withColumn("w", words).withColumn("g", group)
+    return rows.withColumn("w", words).withColumn("g", group)
+
+
+def learn_lexicon(sample: DataFrame, weights: dict[int, float], docs: DataFrame, marked: DataFrame,
+                  max_terms: int = MAX_TERMS) -> list[str]:
+    """Words far likelier in toxic texts outside quotation marks, counted over groups of near copies."""
+    rows = _words_and_group(sample)
     totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.countDistinct("g").alias("n")).collect()}
     if len(totals) < 2:
         return []
+
+    def odds(clean: float) -> Column:
+        return F.log((F.col("t") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
+
     per_word = (rows.select("toxic", "g", F.explode("w").alias("word")).filter(F.length("word") >= 3)
                 .distinct().groupBy("word")
-                .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
-    odds = F.log((F.col("t") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("c") + 0.5) / (totals[0] + 1.0))
-    n, base = F.col("t") + F.col("c"), totals[1] / (totals[1] + totals[0])
+                .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+                .filter(F.col("t") >= MIN_GROUPS))
+    clean = totals[0] * weights[0] / weights[1]
+    if max(weights.values()) > 1.0:
+        # Clean use in all texts, of words that the sample leaves far from out of question.
+        per_word = save(per_word.filter(odds(totals[0]) >= F.when(F.col("t") < 50, 0.0).otherwise(math.log(2.0))),
+                        "toxic_words")
+        used = (_words_and_group(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+                .select("doc_id", "g", F.explode("w").alias("word"))
+                .join(F.broadcast(per_word.select("word")), "word")
+                .join(marked.filter("toxic = 0").select("doc_id"), "doc_id", "left_semi")
+                .select("word", "g").distinct().groupBy("word").agg(F.count("*").alias("used")))
+        per_word = per_word.join(used, "word", "left").withColumn("c", F.coalesce("used", F.lit(0)) / weights[1])
+    n, base = F.col("t") + F.col("c"), totals[1] / (totals[1] + clean)
     above = (F.col("t") - n * base) / F.sqrt(n * base * (1 - base))
-    top = (per_word.filter((F.col("t") >= MIN_GROUPS) & (above >= MIN_DEVIATION)).withColumn("odds", odds)
+    top = (per_word.filter(above >= MIN_DEVIATION).withColumn("odds", odds(clean))
            .filter(F.col("odds") >= MIN_LOG_ODDS)
            .orderBy((F.col("odds") * F.log1p("t")).desc(), "word").limit(max_terms))
     return sorted(r.word for r in top.select("word").collect())
@@ -230,9 +253,9 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
     """Model from documents and labels (doc_id, toxic)."""
     small_batches(docs.sparkSession)
-    sample, class_weight = training_sample(docs, labels, per_class)
+    sample, class_weight, marked = training_sample(docs, labels, per_class)
     sample = save(sample, "toxic_sample")
-    terms = learn_lexicon(sample)
+    terms = learn_lexicon(sample, class_weight, docs, marked)
     empty = {"terms": terms, "weights": {}, "beta": None}
     if not terms:
         return empty
