@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontam, langid, merkle, packing, pii, secrets, sharding, simhash, substrings, topk, toxicity
+from . import ann, decontam, langid, merkle, packing, pii, secrets, sharding, simhash, substrings, topk, toxicity
 from .common import id_crc
 from .registry import register
 
@@ -182,3 +182,8 @@ crcs AS (SELECT doc_id, xor(crc, CAST(4294967295 AS BIGINT)) AS crc FROM steps W
 @register("op13_merkle_manifest", _MERKLE_SQL)
 def op13_merkle_manifest(spark, sf_dir):
     return merkle.audit(merkle.prove(read_table(spark, sf_dir, "documents")))
+
+
+@register("op12_ann_search")
+def op12_ann_search(spark, sf_dir):
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
