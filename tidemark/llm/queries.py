@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import ann, decontam, langid, merkle, packing, pii, secrets, sharding, simhash, substrings, topk, toxicity
+from . import ann, decontam, langid, merkle, packing, phrases, pii, secrets, sharding, simhash, substrings, topk, toxicity
 from .common import id_crc
 from .registry import register
 
@@ -187,3 +187,30 @@ def op13_merkle_manifest(spark, sf_dir):
 @register("op12_ann_search")
 def op12_ann_search(spark, sf_dir):
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+_PHRASE_SQL = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, doc_id, row_number() OVER () AS r,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS ws FROM d),
+w AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p),
+g AS (SELECT lang, ws[i:i + m - 1] AS ph FROM w, range(1, 5) x(m) WHERE i + m - 1 <= len(ws)),
+f AS (SELECT lang, ph, count(*) AS f FROM g GROUP BY lang, ph HAVING count(*) >= 30),
+n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+cuts AS (SELECT c.lang, c.ph, c.f AS a, a.f AS l, b.f AS r, k,
+                CAST(2000000::HUGEINT * c.f // (a.f + b.f) AS BIGINT) AS score
+         FROM f c, range(1, 4) x(k), f a, f b
+         WHERE len(c.ph) >= 2 AND k < len(c.ph) AND a.lang = c.lang AND b.lang = c.lang
+           AND a.ph = c.ph[1:k] AND b.ph = c.ph[k + 1:]),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+sub AS (SELECT lang, ph[s:s + m - 1] AS ph, max(f) AS longer FROM f, range(2, 4) x(m), range(1, 4) y(s)
+        WHERE m < len(ph) AND s + m - 1 <= len(ph) GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN sub USING (lang, ph) WHERE longer IS NULL OR 100 * longer < 80 * a),
+best AS (SELECT lang, array_to_string(ph, ' ') AS phrase, a, l, r, score FROM kept)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM best JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+
+@register("op11_phrase_collocations", _PHRASE_SQL)
+def op11_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
