@@ -249,3 +249,29 @@ def test_start_hot_items_topn(spark, event_stream):
     start_hot_items_topn(ub, out, tempfile.mkdtemp(prefix="tm-ck-"), "1 day", "12 hours").awaitTermination()
     got = spark.read.parquet(out)
     assert got.count() > 0 and got.agg(F.max("rank")).first()[0] <= 3
+
+
+def test_registered_streams_run_with_the_default_state_store(spark):
+    """A caller's session has Spark's default store; a registered query brings its own and puts it back."""
+    import __spark_entry__ as entry
+    default = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before = spark.conf.get(SP.PROVIDER)
+    spark.conf.set(SP.PROVIDER, default)
+    try:
+        assert entry.queries()["stream_ad_click_blacklist"](spark, SF_SMALL).count() >= 0
+        assert spark.conf.get(SP.PROVIDER) == default
+        with pytest.raises(RuntimeError, match="RocksDB"):
+            SP.stream_click_cap(_feed(spark, [(1, 1, "P", "C", 5, 1)], CLICK, 1, "plain"), 2, "1 day")
+    finally:
+        spark.conf.set(SP.PROVIDER, before)
+
+
+def test_oracles_name_no_view_they_do_not_define():
+    import duckdb
+    import __spark_entry__ as entry
+    con = duckdb.connect()
+    for t in ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
+              "labels conversations").split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    for name, sql in entry.catalog.ORACLE.items():
+        con.execute(f"EXPLAIN {sql}")

@@ -17,7 +17,7 @@ from ..streaming import joins as SJ
 from ..streaming import processors as SP
 from ..streaming import sinks
 from ..streaming import windows as SW
-from ..streaming.runner import Feed, run_batches_to_table, run_to_table
+from ..streaming.runner import Feed, run_batches_to_table, run_to_table, state_store
 from . import oracle as O
 from .catalog import register
 from .q_orders import _PATTERN
@@ -105,7 +105,7 @@ def stream_hot_urls_topn(spark, sf_dir):
 
 
 @register("stream_ad_clicks_by_province",
-          "SELECT * FROM (" + O.sliding_count_sql("ad_click", "", ["province"], "1 hour", "5 seconds")
+          O.with_views("ad_click") + "SELECT * FROM (" + O.sliding_count_sql("ad_click", "", ["province"], "1 hour", "5 seconds")
           + ") c WHERE window_end <= " + _wm("ad_click"))
 def stream_ad_clicks_by_province(spark, sf_dir):
     # 720 windows per row: the rows are counted per 5 s pane first.
@@ -134,7 +134,8 @@ _RANKED = """r AS (
 def _capped_stream(spark, sf_dir):
     feed = _events(spark, sf_dir)
     clicks = views.ad_click(spark, sf_dir, streaming=feed)
-    return run_to_table(SP.stream_click_cap(clicks, CAP, reset=None, delay=DELAY), "click_cap", feed)
+    with state_store(spark):
+        return run_to_table(SP.stream_click_cap(clicks, CAP, reset=None, delay=DELAY), "click_cap", feed)
 
 
 @register("stream_ad_click_capped", O.with_views("ad_click", extra=[_RANKED])
@@ -154,7 +155,8 @@ def stream_ad_click_blacklist(spark, sf_dir):
 
 def _logins(spark, sf_dir, start, name):
     feed = _events(spark, sf_dir)
-    return run_to_table(start(views.login(spark, sf_dir, streaming=feed)), name, feed)
+    with state_store(spark):
+        return run_to_table(start(views.login(spark, sf_dir, streaming=feed)), name, feed)
 
 
 @register("stream_login_fail_consecutive", "SELECT * FROM (" + _pairs_sql("1 day", "login fail in 2 seconds")
@@ -191,7 +193,8 @@ _ORDER_WM = f"(SELECT (epoch_us(max(ts)) // 1000) * 1000 - {ORDER_DELAY_US} FROM
 
 def _orders(spark, sf_dir, start, name):
     feed = Feed(spark, sf_dir, ("orders", "lineitem"), batches=2, disorder=ORDER_DISORDER)
-    return run_to_table(start(views.order_events(spark, sf_dir, streaming=feed)), name, feed)
+    with state_store(spark):
+        return run_to_table(start(views.order_events(spark, sf_dir, streaming=feed)), name, feed)
 
 
 @register("stream_order_pattern", O.with_views("order_events", extra=[_PATTERN]) + f"""
@@ -269,7 +272,7 @@ def stream_tx_reconcile(spark, sf_dir):
 
 
 @register("stream_marketing_by_channel",
-          "SELECT * FROM (" + O.sliding_count_sql("marketing", "behavior NOT IN ('UNINSTALL')",
+          O.with_views("marketing") + "SELECT * FROM (" + O.sliding_count_sql("marketing", "behavior NOT IN ('UNINSTALL')",
                                                   ["channel", "behavior"], "1 hour", "5 minutes")
           + ") c WHERE window_end <= " + _wm("marketing", "behavior <> 'UNINSTALL'"))
 def stream_marketing_by_channel(spark, sf_dir):

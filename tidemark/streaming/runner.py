@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.time import duration_us, to_micros
 from ..session import checkpoint_root
 from ..sources.tables import read_table, table_path
+from .processors import PROVIDER, ROCKSDB
 
 #: Event-time column of each table that can be fed.
 EVENT_TIME = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
@@ -64,6 +67,21 @@ class Feed:
             part.drop("_arrival").write.mode("append").parquet(self.path(name))
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The state store that the stateful processors need, for queries built and started inside; the
+    session's own setting comes back afterwards.  A running query keeps the store it started with."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
 def _folders(spark: SparkSession, name: str) -> tuple[str, str]:
     base = os.path.join(checkpoint_root(spark), "streams", f"{name}-{uuid.uuid4().hex}")
     return os.path.join(base, "out"), os.path.join(base, "checkpoint")
