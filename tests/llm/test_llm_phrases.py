@@ -79,26 +79,34 @@ def test_scores_are_exact_beyond_64_bits(spark):
 
 
 def test_index_counts_and_intervals():
-    """Every phrase of 2 .. 4 words, by repeated extension, has its count and its interval in either index."""
+    """Every phrase of 2 .. 4 words, by extension in both directions, has its count, and search steps find its intervals."""
     rnd = np.random.default_rng(0)
     seq = np.concatenate([[0], *[np.append(rnd.integers(1, 5, size=rnd.integers(1, 9)), 0) for _ in range(60)]])
-    forward, reverse = phrases.transform(seq), phrases.transform(seq[::-1])
-    ids, first, size = phrases.words_as_nodes(seq)
-    back, names = first, [(int(k),) for k in ids]
+    forward, reverse = phrases.Index(phrases.transform(seq)), phrases.Index(phrases.transform(seq[::-1]))
+    local = np.arange(1, 5)
+    nodes, names = phrases.word_nodes(forward.bwt, local, local * 10), [(int(k),) for k in local]
     for d in range(2, 5):
-        p, s, n, first, back = phrases.phrases_of_next_depth(forward, reverse, first, back, size)
+        p, s, n = phrases.next_depth(forward, reverse, nodes)
         assert all(names[a][1:] == names[b][:-1] for a, b in zip(p, s))
         names = [names[a] + names[b][-1:] for a, b in zip(p, s)]
-        size = n
         text = seq.tolist()
         want = Counter(tuple(text[i:i + d]) for i in range(len(text) - d + 1) if 0 not in text[i:i + d])
         assert dict(zip(names, n.tolist())) == want
-        for index, rows, key in ((seq, first, lambda x: x), (seq[::-1], back, lambda x: x[::-1])):
+        nodes = phrases.find_nodes(forward, reverse, nodes, np.arange(len(p)) * 7, nodes.ids[p], nodes.ids[s])
+        assert nodes.size.tolist() == n.tolist()
+        for index, rows, key in ((seq, nodes.first, lambda x: x), (seq[::-1], nodes.back, lambda x: x[::-1])):
             at = phrases.order_by_words(index, 4)
             for name, row, m in zip(names, rows, n):
                 assert all(tuple(index[i:i + d]) == key(name) for i in at[row:row + m])
 
 
-def test_ids_are_packed_by_need():
-    for values in ([], [3, 65_535], [65_536, 0]):
+def test_numbers_are_packed_by_need():
+    for values in ([], [3, 65_535], [65_536, 0], [2 ** 40]):
         assert phrases.unpacked(phrases.packed(np.array(values, dtype=np.int64))).tolist() == values
+    columns = [np.array(c, dtype=np.int64) for c in ([2 ** 33, 2 ** 33, 2 ** 50], [5, 2 ** 41, 0], [1, 2, 3])]
+    assert [c.tolist() for c in phrases.unpack_phrases(phrases.pack_phrases(*columns))] == [c.tolist() for c in columns]
+
+
+def test_large_ids_sort_by_digits():
+    keys = np.random.default_rng(0).integers(0, 2 ** 40, size=500)
+    assert (phrases.stable_order(keys) == np.argsort(keys, kind="stable")).all()
