@@ -36,6 +36,59 @@ def test_automaton_equals_edit_distance(distance, min_fuzzy):
             assert got[1] == min(fits) == edit_distance(token, terms[got[0]])
 
 
+def test_long_terms_take_two_edits_and_stretched_letters_none():
+    terms = ["a$$", "idiot", "moron", "pathetic", "stupid"]
+    cache = toxicity.TokenMatches(toxicity.LexiconAutomaton(terms, toxicity.DISTANCE, toxicity.MIN_FUZZY, toxicity.LONG))
+    hits = lambda s: [(terms[t], e) for t, e, _ in toxicity.text_matches(s, cache)]
+    assert hits("you,idiot") == [("idiot", 0)]
+    assert hits("stupid/moron") == [("stupid", 0), ("moron", 0)]
+    assert hits("scum...moron, _moron_") == [("moron", 0)] * 2
+    assert hits("an a$$!") == [("a$$", 0)]
+    assert hits("stuuupid") == [("stupid", 0)]
+    assert hits("patthetyc") == [("pathetic", 2)]
+    assert hits("ass stpd idt mor pattheetyc") == []
+
+
+def test_automaton_gives_each_term_its_own_number_of_edits():
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choice("ab") for _ in range(n))
+    terms = sorted({word(rnd.randrange(2, 11)) for _ in range(40)})
+    machine = toxicity.LexiconAutomaton(terms, 2, 5, 8)
+    for _ in range(3000):
+        token = word(rnd.randrange(0, 12))
+        fits = [edit_distance(token, t) for t in terms if edit_distance(token, t) <= (len(t) >= 5) + (len(t) >= 8)]
+        got = machine.match(token)
+        assert (got and got[1]) == min(fits, default=None), token
+
+
+def test_no_text_is_shuffled_while_learning(spark, monkeypatch):
+    """With broadcast joins off but for the bounded sample, no exchange carries a text or its words."""
+    plans = []
+    real = toxicity.save
+    monkeypatch.setattr(toxicity, "save", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs, labels = ([(k, f"plain words {k} {'grumblefoo' if k % 4 == 0 else ''}") for k in range(200)], [(k, int(k % 4 == 0)) for k in range(200)])
+        model = toxicity.fit(C.frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert model["terms"] == ["grumblefoo"]
+    for name, plan in plans:
+        for line in plan.split("\n"):
+            assert not ("Exchange" in line and "Broadcast" not in line and "text" in line), (name, line)
+    by = dict(plans)
+    assert "Exchange" not in by["word_facts"] and "text" not in by["clean_words"]
+
+
+def test_toxicity_of_very_long_texts(spark):
+    model = {"terms": ["grumblefoo"], "weights": {(0, 0): 5.0}, "beta": np.array([1.0, 0, 0, 0, 0, 0, -2.0])}
+    long = "plain " * 400_000
+    rows = spark.createDataFrame([(1, long + "grumblefoo"), (2, long), (3, "grumblefoo" * 50_000)], "doc_id long, text string")
+    got = {r.doc_id: r.s for r in rows.select("doc_id", toxicity.scorer(spark, model).alias("s")).collect()}
+    assert got[1] > 0.9 and got[2] < 0.2 and got[3] < 0.2
+
+
 def test_quotation_and_abuse_are_told_apart():
     quoted = lambda s, k: toxicity.is_quoted(s.split(), k)
     assert quoted('they put "you utter moron" on the wall', 4)

@@ -2,18 +2,21 @@
 
 * The lexicon is learned from labelled rows: words that are far likelier in toxic texts than in
   clean ones, counted over groups of near copies (not rows), so a much copied text counts once.
-  Toxic use is counted in the sample and clean use in all clean texts, brought to the sample's share
+  Toxic use is counted in the sample, and clean use in all clean texts, brought to the sample's share
   of toxic texts: the test against chance has the class balance of the corpus at every size.
+  Clean use is gathered in one pass: of each text only its group and the few words in question leave the task.
+* Learning and scoring take the same words: runs of letters, digits, @ and $, wherever they touch.
 * The trie of the lexicon is intersected with the Levenshtein automaton of at most ``distance``
-  edits.  The product is made deterministic as it is used: a state is the set of
+  edits (one, from eight letters on two).  The product is made deterministic as it is used: a state is the set of
   (trie node, edits so far), and its transitions are kept, so a token costs one lookup a letter
-  and most tokens die after two or three letters.  Terms shorter than ``min_fuzzy`` match exactly.
+  and most tokens die after two or three letters.  Terms shorter than ``min_fuzzy`` match exactly.  Letters
+  repeated three times and more are tried as one.
 * Every match is judged in a window of ``WINDOW`` tokens on both sides: between quote marks, or
   behind a reporting verb, it counts as quotation, else as abuse.  The two have features of
   their own, and a logistic model weighs them; with no evidence for it, quotation adds nothing.
 
 Other fitting is on a bounded sample: at most about ``PER_CLASS`` labelled texts of each class,
-by id hash.  The model (a lexicon of at most ``MAX_TERMS`` terms and a few weights) is broadcast.
+by id hash.  The model (a lexicon out of the sample's words and a few weights) is broadcast.
 Scoring is one map pass over whole texts.
 
 Edge cases: null and empty texts score as a text without matches; without labelled rows of both
@@ -24,7 +27,10 @@ null labels are not fitted on; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
+import zlib
 from collections.abc import Iterator
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +40,16 @@ from pyspark.sql import functions as F
 from .common import as_text, save, small_batches
 
 PER_CLASS = 10_000
-MAX_TERMS = 2000
 MIN_GROUPS = 5
 #: Standard deviations by which a term's toxic count exceeds chance, so that small samples teach no noise.
 MIN_DEVIATION = 6.0
-#: Short quoted passages, which are left out when the lexicon is learned.
-QUOTED = "[\"“„«][^\"“”„«»]{1,200}[\"”“»]"
+#: Quoted passages of a line, which are left out when the lexicon is learned.
+QUOTED = re.compile("[\"“„«][^\"“”„«»\n]+[\"”“»]")
+WORD = re.compile(r"[\w@$]+")
+STRETCHED = re.compile(r"(.)\1{2,}")
 MIN_LOG_ODDS = math.log(8.0)
-DISTANCE, MIN_FUZZY = 1, 5
+#: Edits of terms from LONG letters on, of which shorter ones get one and those below MIN_FUZZY none.
+DISTANCE, MIN_FUZZY, LONG = 2, 5, 8
 WINDOW = 6
 THRESHOLD = 0.3
 CACHE_TOKENS = 300_000
@@ -59,18 +67,23 @@ FEATURES = 6
 class LexiconAutomaton:
     """Deterministic product of a lexicon trie and a Levenshtein automaton, made as it is used."""
 
-    def __init__(self, terms: list[str], distance: int = DISTANCE, min_fuzzy: int = MIN_FUZZY):
-        self.terms, self.distance, self.min_fuzzy = terms, distance, min_fuzzy
+    def __init__(self, terms: list[str], distance: int = DISTANCE, min_fuzzy: int = MIN_FUZZY, long: int = 0):
+        self.terms = terms
+        self.allowed = [0 if len(t) < min_fuzzy else distance if len(t) >= long else min(1, distance) for t in terms]
         self.children: list[dict[str, int]] = [{}]
         self.term_at: list[int] = [-1]
+        self.reach = [0]  # most edits that a term below the node allows
         for k, term in enumerate(terms):
             node = 0
+            self.reach[0] = max(self.reach[0], self.allowed[k])
             for ch in term:
                 if ch not in self.children[node]:
                     self.children[node][ch] = len(self.children)
                     self.children.append({})
                     self.term_at.append(-1)
+                    self.reach.append(0)
                 node = self.children[node][ch]
+                self.reach[node] = max(self.reach[node], self.allowed[k])
             self.term_at[node] = k
         self.states: dict[frozenset, int] = {}
         self.members: list[dict[int, int]] = []
@@ -84,8 +97,8 @@ class LexiconAutomaton:
         todo = list(nodes)
         while todo:
             node = todo.pop()
-            for child in self.children[node].values() if nodes[node] < self.distance else ():
-                if nodes.get(child, self.distance + 1) > nodes[node] + 1:
+            for child in self.children[node].values():
+                if nodes[node] < self.reach[child] and nodes.get(child, nodes[node] + 2) > nodes[node] + 1:
                     nodes[child] = nodes[node] + 1
                     todo.append(child)
         key = frozenset(nodes.items())
@@ -93,8 +106,7 @@ class LexiconAutomaton:
             self.states[key] = len(self.members)
             self.members.append(nodes)
             self.moves.append({})
-            found = [(e, self.term_at[n]) for n, e in nodes.items() if self.term_at[n] >= 0
-                     and (e == 0 or len(self.terms[self.term_at[n]]) >= self.min_fuzzy)]
+            found = [(e, self.term_at[n]) for n, e in nodes.items() if self.term_at[n] >= 0 and e <= self.allowed[self.term_at[n]]]
             best = min(found, default=None)
             self.accepts.append(None if best is None else (best[1], best[0]))
         return self.states[key]
@@ -103,7 +115,7 @@ class LexiconAutomaton:
         out: dict[int, int] = {}
 
         def add(node: int, edits: int) -> None:
-            if edits <= self.distance and out.get(node, edits + 1) > edits:
+            if edits <= self.reach[node] and out.get(node, edits + 1) > edits:
                 out[node] = edits
 
         for node, edits in self.members[state].items():
@@ -124,8 +136,12 @@ class LexiconAutomaton:
         return self.accepts[state]
 
 
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.lower().replace("_", " "))
+
+
 class TokenMatches(dict):
-    """Raw token -> match, filled on demand and emptied when it has grown too large."""
+    """Blank-separated token -> matches of its words, filled on demand and emptied when it has grown too large."""
 
     def __init__(self, automaton: LexiconAutomaton):
         super().__init__()
@@ -134,8 +150,9 @@ class TokenMatches(dict):
     def __missing__(self, token: str):
         if len(self) >= CACHE_TOKENS:
             self.clear()
-        found = self[token] = self.automaton.match(token.strip(STRIP).lower())
-        return found
+        found = [self.automaton.match(w) or self.automaton.match(STRETCHED.sub(r"\1", w)) for w in words_of(token)]
+        out = self[token] = tuple(m for m in found if m)
+        return out
 
 
 def is_quoted(tokens: list[str], k: int) -> bool:
@@ -151,7 +168,7 @@ def text_matches(text: str, cache: TokenMatches) -> list[tuple[int, int, bool]]:
     """(term, edits, quoted) of every match in a text."""
     tokens = text.split()
     found = list(map(cache.__getitem__, tokens))
-    return [(m[0], m[1], is_quoted(tokens, k)) for k, m in enumerate(found) if m]
+    return [(t, e, quoted) for k, hits in enumerate(found) if hits for quoted in [is_quoted(tokens, k)] for t, e in hits]
 
 
 # ---------------------------------------------------------------- model
@@ -208,46 +225,52 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple
     return texts.join(F.broadcast(marked.filter(keep)), "doc_id"), weights, marked
 
 
-def _words_and_group(rows: DataFrame) -> DataFrame:
-    """Adds ``w``, the words outside quotation marks, and ``g``, which near copies mostly share: the six
-    smallest word hashes of a text."""
-    words = F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.lower("text"), QUOTED, " "), F.lit(r"[\p{L}\p{N}@$]+"), F.lit(0)))
-    group = F.xxhash64(F.slice(F.array_sort(F.transform("w", lambda x: F.xxhash64(x))), 1, 6))
-    return rows.withColumn("w", words).withColumn("g", group)
+def group_of(words: set[str]) -> int:
+    """A number that near copies mostly share: from the six smallest word hashes of a text."""
+    small = nsmallest(6, {zlib.crc32(w.encode("utf-8", "replace")) for w in words})
+    return zlib.crc32(repr(small).encode()) << 31 | len(small) << 28 | (small[0] if small else 0) >> 4
+
 
+def word_facts(rows: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """(key, g, words) of each row of (key, text): its group, and its distinct words outside quotation marks (of the bounded
+    list ``wanted`` only, where given)."""
+    keep = None if wanted is None else rows.sparkSession.sparkContext.broadcast(frozenset(wanted))
 
-def learn_lexicon(sample: DataFrame, weights: dict[int, float], docs: DataFrame, marked: DataFrame,
-                  max_terms: int = MAX_TERMS) -> list[str]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups, words = [], []
+            for text in as_text(batch.column(1)):
+                found = set(words_of(QUOTED.sub(" ", text)))
+                groups.append(group_of(found))
+                words.append([w for w in found if len(w) >= 3] if keep is None else list(found & keep.value))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(groups, pa.int64()), pa.array(words, pa.list_(pa.string()))],
+                                             names=["key", "g", "words"])
+
+    return rows.mapInArrow(run, "key long, g long, words array<string>")
+
+
+def learn_lexicon(sample: DataFrame, weights: dict[int, float], docs: DataFrame, marked: DataFrame) -> list[str]:
     """Words far likelier in toxic texts outside quotation marks, counted over groups of near copies."""
-    rows = _words_and_group(sample)
-    totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.countDistinct("g").alias("n")).collect()}
+    rows = save(word_facts(sample.select("toxic", "text")), "sample_words")
+    totals = {r.key: r.n for r in rows.groupBy("key").agg(F.countDistinct("g").alias("n")).collect()}
     if len(totals) < 2:
         return []
-
-    def odds(clean: float) -> Column:
-        return F.log((F.col("t") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-
-    per_word = (rows.select("toxic", "g", F.explode("w").alias("word")).filter(F.length("word") >= 3)
-                .distinct().groupBy("word")
-                .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-                .filter(F.col("t") >= MIN_GROUPS))
-    clean = totals[0] * weights[0] / weights[1]
-    if max(weights.values()) > 1.0:
-        # Clean use in all texts, of words that the sample leaves far from out of question.
-        per_word = save(per_word.filter(odds(totals[0]) >= F.when(F.col("t") < 50, 0.0).otherwise(math.log(2.0))),
-                        "toxic_words")
-        used = (_words_and_group(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-                .select("doc_id", "g", F.explode("w").alias("word"))
-                .join(F.broadcast(per_word.select("word")), "word")
-                .join(marked.filter("toxic = 0").select("doc_id"), "doc_id", "left_semi")
-                .select("word", "g").distinct().groupBy("word").agg(F.count("*").alias("used")))
-        per_word = per_word.join(used, "word", "left").withColumn("c", F.coalesce("used", F.lit(0)) / weights[1])
+    per_word = (rows.select("key", "g", F.explode("words").alias("word")).distinct().groupBy("word")
+                .agg(F.sum("key").alias("t"), F.sum(1 - F.col("key")).alias("c")).filter(F.col("t") >= MIN_GROUPS))
+    # A term's clean use is at most ``most`` groups of the sample; four deviations more leave no doubt.
+    most = (F.col("t") + 0.5) / (totals[1] + 1.0) * (totals[0] + 1.0) / math.exp(MIN_LOG_ODDS)
+    per_word = save(per_word.filter(F.col("c") <= most + 4 * F.sqrt(most) + 4).select("word", "t"), "toxic_words")
+    in_question = [r.word for r in per_word.select("word").collect()]  # words of the bounded sample
+    facts = save(word_facts(docs.select("doc_id", "text"), in_question), "word_facts")
+    clean_rows = save(facts.join(marked.filter("toxic = 0").select(F.col("doc_id").alias("key")), "key", "left_semi")
+                      .select("g", "words"), "clean_words")
+    clean = clean_rows.agg(F.countDistinct("g")).first()[0] / weights[1]
+    used = clean_rows.select("g", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("used"))
+    per_word = per_word.join(used, "word", "left").withColumn("c", F.coalesce("used", F.lit(0)) / weights[1])
     n, base = F.col("t") + F.col("c"), totals[1] / (totals[1] + clean)
     above = (F.col("t") - n * base) / F.sqrt(n * base * (1 - base))
-    top = (per_word.filter(above >= MIN_DEVIATION).withColumn("odds", odds(clean))
-           .filter(F.col("odds") >= MIN_LOG_ODDS)
-           .orderBy((F.col("odds") * F.log1p("t")).desc(), "word").limit(max_terms))
-    return sorted(r.word for r in top.select("word").collect())
+    odds = F.log((F.col("t") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
+    return sorted(r.word for r in per_word.filter((above >= MIN_DEVIATION) & (odds >= MIN_LOG_ODDS)).select("word").collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
@@ -262,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = TokenMatches(LexiconAutomaton(shared.value))
+        cache = TokenMatches(LexiconAutomaton(shared.value, DISTANCE, MIN_FUZZY, LONG))
         for batch in batches:
             hits = [text_matches(t, cache) for t in as_text(batch.column(0))]
             yield pa.RecordBatch.from_arrays(
@@ -285,10 +308,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
             seen.setdefault(key, [0.0, 0.0])[int(label)] += w
     weights = {k: math.log((t + 0.5) / (n1 + 1)) - math.log((c + 0.5) / (n0 + 1)) for k, (c, t) in seen.items()}
     for t in range(len(terms)):
-        # An edit that the sample never shows counts for half of the term itself.
+        # Edits that the sample never shows count for half of the term itself each.
         weights.setdefault((t, 0), MIN_LOG_ODDS)
         for e in range(1, DISTANCE + 1):
-            weights.setdefault((t, e), 0.5 * weights[t, 0])
+            weights.setdefault((t, e), 0.5 ** e * weights[t, 0])
     x = np.stack([features(m, weights) for m in matches])
     return {"terms": terms, "weights": weights, "beta": fit_logistic(x, y, row_weight)}
 
@@ -300,7 +323,7 @@ def scorer(spark, model: dict, text: str = "text") -> Column:
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cache = TokenMatches(LexiconAutomaton(shared.value["terms"]))
+        cache = TokenMatches(LexiconAutomaton(shared.value["terms"], DISTANCE, MIN_FUZZY, LONG))
         for col in batches:
             yield pa.array([score_matches(text_matches(t, cache), shared.value) for t in as_text(col)], pa.float64())
 
