@@ -98,16 +98,22 @@ def test_spark_hash_is_the_contract_hash(spark):
 
 def test_deduplicate_keeps_one_row_of_each_component(spark):
     rows = near_rows()
-    found = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(C.frame(spark, rows)).collect()}
+    found = {r.root: r.component_id for r in simhash.near_duplicates(C.frame(spark, rows)).collect()}
     docs = C.clashing(spark, rows)
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     named = sorted(x for x in ids if x is not None)
-    assert named == sorted({c for c in found.values() if c is not None})
+    assert named == sorted(c for c in found.values() if c is not None)
     assert simhash.deduplicate(C.frame(spark, [])).count() == 0
 
 
+def test_deduplicate_keeps_a_component_whose_id_is_used_elsewhere(spark):
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    kept = simhash.deduplicate(C.frame(spark, [(4, a), (4, b), (7, b), (None, "p q r s t"), (None, "p q r s t")])).collect()
+    assert sorted(str(tuple(r)) for r in kept) == sorted(str(x) for x in [(4, a), (4, b), (None, "p q r s t")])
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(60)] + [(1000, 2000 + k) for k in range(50)] + [(5, 5)]
     root = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -208,32 +208,31 @@ def near_links(fingerprints: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def classes(prints: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint of ``prints`` (doc_id, fp)."""
+    """(fp, root, component_id) of each distinct fingerprint of ``prints`` (doc_id, fp); ``root`` names its component."""
     first = save(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
     roots = connected_components(near_links(first.select("fp"), block))
     rooted = save(first.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
                   .select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted")
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(ids, "root").select("fp", "component_id")
+    return rooted.join(ids, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """(doc_id, text_key, fp, component_id) of every row."""
+    """(doc_id, text_key, fp, root, component_id) of every row."""
     small_batches(docs.sparkSession)
     prints = save(docs.select("doc_id", F.xxhash64("text").alias("text_key"),
                               fingerprint_column("text", shingle).alias("fp")), "prints")
-    return prints.join(classes(prints, block), "fp").select("doc_id", "text_key", "fp", "component_id")
+    return prints.join(classes(prints, block), "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Rows of ``docs`` with one document of each component kept: the one with the smallest id.
 
-    Of rows equal in id and text one stays.  Where ids repeat over different texts, the text with the
-    smallest content key stays.  Components whose ids are all null keep one row of each fingerprint."""
+    Null ids come last.  Of rows equal in id and text one stays; where an id repeats over different texts of a
+    component, the text with the smallest content key stays."""
     found = near_duplicates(docs, shingle)
-    best = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("fp"))
-            .agg(F.min("text_key").alias("text_key")))
+    best = (found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("b"))
+            .select("b.doc_id", "b.text_key"))
     keys = ["__tm_id", "__tm_null", "__tm_key"]
 
     def keyed(df: DataFrame, key: Column) -> DataFrame:
