@@ -51,6 +51,10 @@ VIEWS = {
   UNION ALL
   SELECT l_orderkey, 'pay', 'tx' || CAST(l_orderkey AS VARCHAR), l_shipdate, l_orderkey * 10 + l_linenumber
   FROM lineitem)""",
+    "invoice_events": """invoice_events AS (
+  SELECT o_orderkey AS order_id, 'create' AS event_type, o_orderdate AS ts FROM orders WHERE o_orderstatus <> 'P'
+  UNION ALL
+  SELECT o_orderkey, 'pay', o_orderdate + to_days(CAST(o_custkey % 60 AS INTEGER)) FROM orders WHERE o_orderstatus <> 'F')""",
     "receipts": """receipts AS (
   SELECT 'tx' || CAST(l_orderkey AS VARCHAR) AS tx_id, l_returnflag AS pay_channel,
          l_shipdate + to_days(CAST(floor(l_quantity) AS INTEGER)) AS ts, l_orderkey * 10 + l_linenumber AS seq

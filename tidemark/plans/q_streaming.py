@@ -17,7 +17,8 @@ from ..streaming import joins as SJ
 from ..streaming import processors as SP
 from ..streaming import sinks
 from ..streaming import windows as SW
-from ..streaming.runner import Feed, run_batches_to_table, run_to_table, state_store
+from ..streaming.runner import (Feed, run_batches_to_table, run_side_outputs, run_to_table, run_upserts_to_table,
+                                state_store)
 from . import oracle as O
 from .catalog import register
 from .q_orders import _PATTERN
@@ -250,7 +251,7 @@ _TX_WM = ("(SELECT least((SELECT max(epoch_us(ts)) FROM pays), (SELECT max(epoch
 _NEAR = f"epoch_us(r.ts) BETWEEN epoch_us(p.ts) - {TX_US} AND epoch_us(p.ts) + {TX_US}"
 
 
-@register("stream_tx_reconcile", O.with_views("order_events", "receipts", extra=[
+_TX_RECONCILE_SQL = O.with_views("order_events", "receipts", extra=[
     "pays AS (SELECT * FROM order_events WHERE tx_id <> '')"]) + f"""
 SELECT p.tx_id, p.order_id, p.ts AS pay_ts, r.pay_channel, r.ts AS receipt_ts, 'matched' AS tag
 FROM pays p JOIN receipts r ON p.tx_id = r.tx_id AND {_NEAR}
@@ -261,7 +262,10 @@ WHERE NOT EXISTS (SELECT 1 FROM receipts r WHERE r.tx_id = p.tx_id AND {_NEAR})
 UNION ALL
 SELECT tx_id, NULL, NULL, pay_channel, ts, 'unmatched_receipt' FROM receipts r
 WHERE NOT EXISTS (SELECT 1 FROM pays p WHERE p.tx_id = r.tx_id AND {_NEAR})
-  AND epoch_us(ts) + {TX_US} <= {_TX_WM}""")
+  AND epoch_us(ts) + {TX_US} <= {_TX_WM}"""
+
+
+@register("stream_tx_reconcile", _TX_RECONCILE_SQL)
 def stream_tx_reconcile(spark, sf_dir):
     """Stream-stream reconciliation (full outer join with a range condition) with all three outputs:
     pairs as soon as both sides are in, unmatched rows once the watermark rules a partner out."""
@@ -281,3 +285,136 @@ def stream_marketing_by_channel(spark, sf_dir):
     mk = views.marketing(spark, sf_dir, streaming=feed).where(F.col("behavior") != "UNINSTALL")
     return run_to_table(SW.stream_window_count(mk, "ts", ["channel", "behavior"], "1 hour", "5 minutes", DELAY),
                         "marketing_by_channel", feed)
+
+
+# -- cancelled timers ------------------------------------------------------------
+
+INVOICE_TIMEOUT = "30 days"
+#: Payments are up to 60 days ahead of the invoices around them.
+INVOICE_DELAY = "1500 hours"
+_INVOICE_DELAY_US = O.us(INVOICE_DELAY)
+_INVOICE_US = O.us(INVOICE_TIMEOUT)
+
+
+@register("stream_open_orders", O.with_views("invoice_events", extra=["""o AS (
+  SELECT order_id, min(CASE WHEN event_type = 'create' THEN ts END) AS c, min(CASE WHEN event_type = 'pay' THEN ts END) AS p
+  FROM invoice_events GROUP BY order_id)""", f"""w AS (
+  SELECT (epoch_us(max(ts)) // 1000) * 1000 - {_INVOICE_DELAY_US} AS wm FROM invoice_events)""", f"""x AS (
+  SELECT *, coalesce(epoch_us(p) < epoch_us(c) + {_INVOICE_US}, false) AS paid FROM o, w)"""]) + f"""
+SELECT order_id, c AS create_ts, p AS pay_ts, 'payed successfully' AS result, 'payed' AS output FROM x WHERE paid
+UNION ALL
+SELECT order_id, c, NULL, 'time out', 'timeout' FROM x WHERE NOT paid AND epoch_us(c) + {_INVOICE_US} <= wm
+UNION ALL
+SELECT order_id, NULL, p, 'already payed but not found create log', 'timeout' FROM x WHERE NOT paid AND epoch_us(p) <= wm""")
+def stream_open_orders(spark, sf_dir):
+    """Invoices and payments meet at once and cancel their timers; what is left is reported when its timer fires."""
+    feed = Feed(spark, sf_dir, "orders", batches=2, disorder=ORDER_DISORDER)
+    with state_store(spark):
+        out = SP.stream_open_orders(views.invoice_events(spark, sf_dir, streaming=feed), INVOICE_TIMEOUT, INVOICE_DELAY)
+        return run_to_table(out, "open_orders", feed)
+
+
+# -- late rows inside the grace ----------------------------------------------------
+
+GRACE_BATCHES, GRACE_MAX_MS = 6, 10_800_001
+_LATE_SQL = f"(event_id * 7919 % {GRACE_MAX_MS}) * 1000"
+_WAIT_US = O.us("10 minutes") + O.us("1 hour")
+
+
+@register("stream_url_counts_updated", f"""
+WITH a AS (
+  SELECT *, epoch_us(ts) + {_LATE_SQL} AS arrival FROM events),
+e AS (SELECT min(arrival) AS lo, max(arrival) + 1 AS hi FROM a),
+cut AS (SELECT k, lo + (hi - lo) * k // {GRACE_BATCHES} AS start FROM e, range(0, {GRACE_BATCHES}) r(k)),
+b AS (SELECT a.*, (SELECT max(k) FROM cut WHERE start <= arrival) AS k FROM a),
+m AS (SELECT k, max(epoch_us(ts)) AS top FROM b GROUP BY k),
+wm AS (SELECT cut.k, max(top) // 1000 * 1000 - {_WAIT_US} AS wm FROM cut LEFT JOIN m ON m.k < cut.k GROUP BY cut.k),
+v AS (SELECT b.k, b.ts, p.url FROM b JOIN pages p
+      ON p.page_id = ({O.ITEM.format(a='b.')} * {O.ITEM.format(a='b.')} + b.user_id) % (SELECT count(*) FROM pages)),
+x AS (SELECT v.url, v.k, epoch_us(v.ts) // {O.us('15 minutes')} + g.s AS e FROM v, generate_series(1, 4) g(s)),
+y AS (SELECT x.* FROM x JOIN wm USING (k) WHERE wm IS NULL OR e * {O.us('15 minutes')} > wm)
+SELECT {O.window_bounds('e', '1 hour', '15 minutes')}, url, count(*) AS cnt, count(DISTINCT k) AS versions FROM y GROUP BY e, url""")
+def stream_url_counts_updated(spark, sf_dir):
+    """URL counts with 10 minutes of disorder and an hour of grace, rows up to three hours late: rows in the grace
+    replace their window's count, later ones are dropped."""
+    late = F.pmod(F.col("event_id") * 7919, F.lit(GRACE_MAX_MS)) * 1000
+    feed = Feed(spark, sf_dir, "events", batches=GRACE_BATCHES, late_us=late)
+    counts = SW.stream_window_updates(views.access_log(spark, sf_dir, streaming=feed), "ts", ["url"], "1 hour", "15 minutes",
+                                      delay="10 minutes", lateness="1 hour")
+    return run_upserts_to_table(counts, ["window_start", "window_end", "url"], "url_counts", feed)
+
+
+# -- one row per view, and its last value per window --------------------------------
+
+_PER_VIEW = O.with_views("user_behavior", extra=[f"""v AS (
+  SELECT user_id, ts, seq, epoch_us(ts) // {HOUR_US} AS w, {O.slot_sql('user_id')} AS slot
+  FROM user_behavior WHERE behavior = 'pv')""", """f AS (
+  SELECT *, CASE WHEN row_number() OVER (PARTITION BY w, slot ORDER BY ts, seq) = 1 THEN 1 ELSE 0 END AS first_view FROM v)""",
+    f"""r AS (
+  SELECT {O.tumbling_bounds('w', '1 hour')}, ts, seq, user_id,
+         CAST(sum(first_view) OVER (PARTITION BY w ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS uv
+  FROM f)""", "wm AS (SELECT " + _wm("user_behavior", "behavior = 'pv'") + " AS wm)"])
+
+
+def _uv_per_view(spark, sf_dir, run):
+    feed = _events(spark, sf_dir)
+    with state_store(spark):
+        return run(SP.stream_uv_per_view(_views(spark, sf_dir, feed), "1 hour", DELAY), feed)
+
+
+@register("stream_uv_per_view", _PER_VIEW + "SELECT r.* FROM r, wm WHERE ts <= wm")
+def stream_uv_per_view(spark, sf_dir):
+    return _uv_per_view(spark, sf_dir, lambda df, feed: run_to_table(df, "uv_per_view", feed))
+
+
+@register("stream_uv_latest", _PER_VIEW + """
+SELECT window_start, window_end, max(uv) AS uv FROM r, wm WHERE ts <= wm GROUP BY window_start, window_end""")
+def stream_uv_latest(spark, sf_dir):
+    """The running count written under its window's key, the last value staying."""
+    keys = ["window_start", "window_end"]
+    return _uv_per_view(spark, sf_dir, lambda df, feed: run_upserts_to_table(
+        df.select(*keys, "uv"), keys, "uv_latest", feed, "append", order="uv")).drop("versions")
+
+
+# -- ranking inside the streaming plan ----------------------------------------------
+
+@register("stream_hot_items_ranked",
+          "SELECT * FROM (" + O.topn_sql("user_behavior", "behavior = 'pv'", "item_id", "60 minutes", "5 minutes", 3)
+          + ") t WHERE window_end <= " + _wm("events", "event_type = 'view'"))
+def stream_hot_items_ranked(spark, sf_dir):
+    feed = _events(spark, sf_dir)
+    with state_store(spark):
+        return run_to_table(SP.stream_topn(_views(spark, sf_dir, feed), "item_id", "60 minutes", "5 minutes", 3, DELAY),
+                            "hot_items_ranked", feed)
+
+
+@register("stream_hot_urls_ranked",
+          "SELECT * FROM (" + O.topn_sql("access_log", "", "url", "1 day", "1 hour", 5)
+          + ") t WHERE window_end <= " + _wm("events", "", LATE_US))
+def stream_hot_urls_ranked(spark, sf_dir):
+    feed = Feed(spark, sf_dir, "events", disorder=LATE)
+    with state_store(spark):
+        return run_to_table(SP.stream_topn(views.access_log(spark, sf_dir, streaming=feed), "url", "1 day", "1 hour", 5, LATE),
+                            "hot_urls_ranked", feed)
+
+
+# -- side outputs into their own sinks ------------------------------------------------
+
+@register("stream_tx_side_outputs", _TX_RECONCILE_SQL)
+def stream_tx_side_outputs(spark, sf_dir):
+    """Matched pairs and both unmatched sides, each in a sink of its own."""
+    pays = Feed(spark, sf_dir, ("orders", "lineitem"), disorder=ORDER_DISORDER)
+    out = SJ.stream_tx_reconcile(views.order_events(spark, sf_dir, streaming=pays),
+                                 views.receipts(spark, sf_dir, streaming=pays), TX_BOUND, TX_DELAY)
+    return run_side_outputs(out, ["matched", "unmatched_pay", "unmatched_receipt"], "tx_side_outputs", pays)
+
+
+@register("stream_ad_click_side_outputs", O.with_views("ad_click", extra=[_RANKED])
+          + f"SELECT user_id, ad_id, ts, seq, CASE WHEN rn <= {CAP} THEN 'main' ELSE 'blacklist' END AS tag FROM r "
+            f"WHERE rn <= {CAP + 1} AND ts <= " + _wm("ad_click"))
+def stream_ad_click_side_outputs(spark, sf_dir):
+    """Clicks under the cap and the blacklist warnings, each in a sink of its own."""
+    feed = _events(spark, sf_dir)
+    with state_store(spark):
+        out = SP.stream_click_cap(views.ad_click(spark, sf_dir, streaming=feed), CAP, reset=None, delay=DELAY)
+        return run_side_outputs(out.select("user_id", "ad_id", "ts", "seq", "tag"), ["main", "blacklist"], "click_sides", feed)

@@ -116,3 +116,33 @@ def uv_approx_hourly(spark, sf_dir):
       "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS uv FROM f")
 def uv_running(spark, sf_dir):
     return distinct.uv_running(views.user_behavior(spark, sf_dir), "1 hour")
+
+
+# -- sliding unique visitors from partial results that merge --------------------------
+
+def _sliding_uv_sql(value: str, more: str = "") -> str:
+    return (O.with_views("user_behavior", extra=[O.sliding_windows_cte(
+        "w", "(SELECT * FROM user_behavior WHERE behavior = 'pv')", "user_id, ts", "1 hour", "15 minutes")])
+        + f"SELECT {O.window_bounds('e', '1 hour', '15 minutes')}, count(DISTINCT {value}) AS uv{more} FROM w GROUP BY e")
+
+
+@register("uv_bitmap_sliding", _sliding_uv_sql(O.slot_sql("user_id")))
+def uv_bitmap_sliding(spark, sf_dir):
+    return distinct.uv_bitmap_sliding(views.user_behavior(spark, sf_dir), "1 hour", "15 minutes")
+
+
+@register("unique_visitors_sliding", _sliding_uv_sql("user_id"))
+def unique_visitors_sliding(spark, sf_dir):
+    return distinct.unique_visitors_sliding(views.user_behavior(spark, sf_dir), "1 hour", "15 minutes")
+
+
+@register("uv_sketch_sliding", _sliding_uv_sql("user_id", ", true AS within_error"))
+def uv_sketch_sliding(spark, sf_dir):
+    """Unions of stored pane sketches beside the exact count, and whether they agree within 5 deviations."""
+    ub = views.user_behavior(spark, sf_dir)
+    estimate = distinct.uv_sketch_sliding(ub, "1 hour", "15 minutes").withColumnRenamed("uv", "estimate")
+    exact = distinct.unique_visitors_sliding(ub, "1 hour", "15 minutes")
+    error = 5 * 0.83 / 2 ** (distinct.SKETCH_BITS / 2)
+    return exact.join(estimate, ["window_start", "window_end"], "full").select(
+        "window_start", "window_end", "uv", F.coalesce(F.abs(F.col("estimate") - F.col("uv")) <= F.greatest(F.lit(0.5), error * F.col("uv")),
+                                                      F.lit(False)).alias("within_error"))

@@ -4,20 +4,20 @@
 ``parse_*`` functions split, trim and ``try_cast`` each field.  A line that does
 not parse (missing field, non-numeric number, bad date) is not dropped silently:
 ``_error`` names the first failing field, and :func:`accepted` / :func:`rejected`
-split the frame into the good rows and the reject rows.  Carriage returns of
-CRLF files are stripped.
+split the frame into the good rows and the reject rows (:func:`tagged` keeps both, for two sinks).  Carriage
+returns of CRLF files are stripped.
 
 Event times of the logs are epoch seconds (``ts``) or a ``dd/MM/yyyy:HH:mm:ss``
-wall-clock string; both become ``timestamp_ntz``.  ``seq`` is the line's position
-(``monotonically_increasing_id``: increasing in file order, stable for a given
-file split).
+wall-clock string; both become ``timestamp_ntz``.  ``seq`` is the line's position (see :func:`read_lines`).
 """
 
 from __future__ import annotations
 
-import datetime as _dt
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,13 +69,26 @@ FORMATS = {
 
 
 def read_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Text lines of a file or folder as ``value``; ``\\r`` stripped, ``seq`` added."""
-    reader = spark.readStream if streaming else spark.read
-    df = reader.text(path)
-    df = df.select(F.regexp_replace("value", "\r$", "").alias("value"))
-    if not streaming:
-        df = df.withColumn("seq", F.monotonically_increasing_id())
-    return df
+    """Text lines of a file or folder as ``value`` (``\\r`` stripped), with ``seq``, batch or stream.
+
+    ``seq`` orders lines as they were written: by the file's modification second, then by the place in the
+    file.  Place = start of the file's block + row number in its task: a block has at least as many bytes
+    as lines, so places rise along a file however it is split (files up to 4 GB)."""
+    df = (spark.readStream if streaming else spark.read).text(path)
+    df = df.select(F.regexp_replace("value", "\r$", "").alias("value"),
+                   (F.unix_seconds("_metadata.file_modification_time") * (1 << 32) + F.col("_metadata.file_block_start")).alias("seq"))
+    if streaming:
+        return df.mapInArrow(_number_rows, "value string, seq long")
+    return df.withColumn("seq", F.col("seq") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+
+
+def _number_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the row number in the task to ``seq`` (a stream has no built-in for it)."""
+    n = 0
+    for batch in batches:
+        seq = pc.add(batch.column(1), pa.array(range(n, n + batch.num_rows), pa.int64()))
+        n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([batch.column(0), seq], names=["value", "seq"])
 
 
 def _typed(raw: Column, kind: str) -> Column:
@@ -89,32 +102,33 @@ def _typed(raw: Column, kind: str) -> Column:
     if kind == "epoch_s":
         return F.timestamp_add("SECOND", v.try_cast("long"), _epoch())
     if kind == "access_time":
-        # Built from its fields, so the session time zone (and its missing hours) plays no part.
-        day, month, year, hour, minute, sec = (F.regexp_extract(v, ACCESS_TIME, k).try_cast("int") for k in range(1, 7))
-        return F.try_make_timestamp_ntz(year, month, day, hour, minute, sec.cast("decimal(8,6)"))
+        # Built from its fields as a wall clock, so the session time zone (and its missing hours) plays no part.
+        part = lambda at, n: F.substring(v, at, n)
+        iso = F.concat(part(7, 4), F.lit("-"), part(4, 2), F.lit("-"), part(1, 2), F.lit(" "), part(12, 8))
+        return F.when(v.rlike(ACCESS_TIME), iso.try_cast("timestamp_ntz"))
     raise ValueError(kind)
 
 
+def _once(df: DataFrame, keep: list[str], name: str, value: Column) -> DataFrame:
+    """``value`` as a column that is evaluated once a row: filters and later columns on it are not pushed below the
+    generator, where they would evaluate the expression again."""
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
+
+
 def parse(lines: DataFrame, kind: str, value: str = "value") -> DataFrame:
     """Typed columns of format ``kind`` plus ``_error`` (null when the line parsed)."""
     fmt = FORMATS[kind]
-    parts = F.split(F.col(value), fmt.sep if fmt.sep != " " else " ", -1)
-    n = F.size(parts)
-    cols, checks = [], []
-    for fld in fmt.fields:
-        raw = F.when(n > fld.index, parts.getItem(fld.index))
-        typed = _typed(raw, fld.kind)
-        cols.append(typed.alias(fld.name))
-        if fld.kind != "string":
-            checks.append((fld.name, typed.isNull()))
-        else:
-            checks.append((fld.name, raw.isNull()))
-    error = F.lit(None).cast("string")
-    for name, bad in reversed(checks):
-        error = F.when(bad, F.lit(f"bad {name}")).otherwise(error)
-    error = F.when(n < fmt.width, F.lit("too few fields")).otherwise(error)
     keep = [c for c in lines.columns if c != value]
-    return lines.select(*cols, *keep, error.alias("_error"), F.col(value).alias("_line"))
+    lines = _once(lines.withColumnRenamed(value, "_line"), keep, "_l",
+                  F.struct("_line", F.split(F.coalesce("_line", F.lit("")), fmt.sep, -1).alias("parts")))
+    raw = {f.name: F.get(F.col("_l.parts"), F.lit(f.index)) for f in fmt.fields}
+    typed = _once(lines, [*keep, "_l"], "_t", F.struct(*[_typed(raw[f.name], f.kind).alias(f.name) for f in fmt.fields]))
+    error = F.lit(None).cast("string")
+    for f in reversed(fmt.fields):
+        bad = F.col(f"_t.{f.name}").isNull()
+        error = F.when(bad, F.lit(f"bad {f.name}")).otherwise(error)
+    error = F.when(F.size("_l.parts") < fmt.width, F.lit("too few fields")).otherwise(error)
+    return typed.select(*[F.col(f"_t.{f.name}").alias(f.name) for f in fmt.fields], *keep, error.alias("_error"), F.col("_l._line").alias("_line"))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
@@ -125,6 +139,11 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("_error").isNotNull()).select("_line", "_error")
 
 
+def tagged(parsed: DataFrame) -> DataFrame:
+    """All rows with ``tag`` 'accepted' or 'rejected', for ``sinks.fan_out``: one pass, two sinks."""
+    return parsed.withColumn("tag", F.when(F.col("_error").isNull(), F.lit("accepted")).otherwise(F.lit("rejected")))
+
+
 def parse_user_behavior(lines: DataFrame) -> DataFrame:
     return accepted(parse(lines, "user_behavior"))
 

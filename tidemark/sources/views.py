@@ -22,6 +22,7 @@ from .tables import read_table
 ITEM_JSON_PATH = "$.k"
 AD_MODULUS = 5             # ad_id = k % 5
 CATEGORY_MODULUS = 10      # category_id = item_id % 10
+PAY_DAYS = 60              # an invoice is paid customer key % 60 days later
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, streaming=False) -> DataFrame:
@@ -160,3 +161,16 @@ def receipts(spark: SparkSession, sf_dir: str, streaming=False) -> DataFrame:
         F.col("l_returnflag").alias("pay_channel"),
         F.timestamp_add("DAY", F.col("l_quantity").cast("int"), F.col("l_shipdate")).alias("ts"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+
+
+def invoice_events(spark: SparkSession, sf_dir: str, streaming=False) -> DataFrame:
+    """OrderEvent rows with at most one create and one pay of an order.
+
+    An order of status O or F is invoiced at its order date (create); one of status O or P is paid, its customer key
+    modulo 60 in days after that date.  So O is paid in time or late, F never, and P without an invoice."""
+    orders = _table(spark, sf_dir, "orders", streaming).withColumn("order_id", F.col("o_orderkey"))
+    create = F.when(F.col("o_orderstatus") != "P", F.struct(F.lit("create").alias("event_type"), F.col("o_orderdate").alias("ts")))
+    pay = F.when(F.col("o_orderstatus") != "F", F.struct(
+        F.lit("pay").alias("event_type"), F.timestamp_add("DAY", (F.col("o_custkey") % PAY_DAYS).cast("int"), F.col("o_orderdate")).alias("ts")))
+    return orders.select("order_id", F.explode(F.filter(F.array(create, pay), lambda e: e.isNotNull())).alias("e")) \
+        .select("order_id", "e.event_type", F.lit("").alias("tx_id"), "e.ts", F.col("order_id").alias("seq"))

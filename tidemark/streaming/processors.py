@@ -10,6 +10,9 @@ when it is due, so a busy key costs linear time and holds one slice in memory.
 late (at or before the watermark) are dropped.  The results equal those of the batch operators
 on the rows the watermark has passed, for any split into batches.
 
+A key holds one timer, for its next due time: when that time changes, the old timer is deleted, so no
+stale timer wakes a key.
+
 State expires: a key's waiting rows go with their slice, and its machine's state is cleared by a
 timer once no later event can depend on it (see each class for the two cases in which
 only a bound given by the caller can say so).
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import (ExpiredTimerInfo, StatefulProcessor,
                                                       StatefulProcessorHandle, TimerValues)
 
-from ..functions.time import as_event_time, duration_us, micros_to_ts
+from ..functions.hashing import DEFAULT_BITS, DEFAULT_SEED
+from ..functions.time import as_event_time, duration_us, ifloor, micros_to_ts, to_micros
+from ..operators.distinct import user_slot
 from ..operators.login import BURST_MESSAGE, CONSECUTIVE_MESSAGE, FAIL, PATTERN_MESSAGE, WITHIN
 from ..operators.market import BLACKLIST_MESSAGE, CLICK_CAP
 from ..operators.orders import (CREATE, MATCH_LATE, MATCH_NO_CREATE, MATCH_NO_PAY, MATCH_PAYED, PATTERN_TIMEOUT,
@@ -65,6 +70,16 @@ def _ceil_ms(us: int) -> int:
     return -(-us // 1000)
 
 
+def rearm(handle: StatefulProcessorHandle, *times: int | None) -> None:
+    """The key's timers (ms) become ``times``: pending others are deleted, missing ones registered."""
+    pending = {t[0] if isinstance(t, tuple) else t for t in handle.listTimers()}
+    wanted = {t for t in times if t is not None}
+    for t in pending - wanted:
+        handle.deleteTimer(t)
+    for t in wanted - pending:
+        handle.registerTimer(t)
+
+
 class OrderedProcessor(StatefulProcessor):
     """Hands each key's rows to :meth:`step` in the order of (ev_us, seq), behind the watermark.
 
@@ -120,7 +135,8 @@ class OrderedProcessor(StatefulProcessor):
                     new = json.loads(self.waiting.getValue(slot)[0]) + new
                 self.waiting.updateValue(slot, (json.dumps(new),))
         if first is not None:
-            self.handle.registerTimer(_ceil_ms(first))
+            due = [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]
+            rearm(self.handle, min([_ceil_ms(first), *due]))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues: TimerValues,
@@ -153,8 +169,7 @@ class OrderedProcessor(StatefulProcessor):
             self.machine.update((json.dumps(st),))
             later = [upcoming, self.wake_at(st), forget]
         later = [t for t in later if t is not None]
-        if later:
-            self.handle.registerTimer(max(_ceil_ms(min(later)), timerValues.getCurrentWatermarkInMs() + 1))
+        rearm(self.handle, max(_ceil_ms(min(later)), timerValues.getCurrentWatermarkInMs() + 1) if later else None)
         if out:
             yield pd.DataFrame(out, columns=list(self.output))
 
@@ -512,3 +527,211 @@ def stream_order_match(order_events: DataFrame, timeout=TIMEOUT, horizon=None, d
     out = _order_stream(order_events, proc, delay)
     return out.select("order_id", "result", F.when(F.col("result") == MATCH_PAYED, F.lit("payed"))
                       .otherwise(F.lit("timeout")).alias("output"))
+
+
+class OpenOrderProcessor(StatefulProcessor):
+    """Create and pay of an order meet as soon as both are in; an order that is still half open has a timer.
+
+    The first of the two to arrive is stored with a timer: a create's fires at create + timeout (no pay came in
+    time), a pay's at the pay itself (by then its create would have come).  When the other arrives in time, the row is
+    emitted at once, the timers are deleted and the key holds nothing.  A pay at or after create + timeout meets no
+    create: both ends of the order are then reported on their own.  An order has one create and one pay; the result is
+    the same for any split into batches.
+
+    State: create and pay times (null: not seen), only of half-open orders."""
+
+    output = ("order_id", "create_us", "pay_us", "result")
+
+    def __init__(self, timeout_us: int):
+        self.timeout_us = timeout_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "create_us long, pay_us long")
+
+    def _due(self, create, pay):
+        return (None if create is None else _ceil_ms(create + self.timeout_us)), (None if pay is None else _ceil_ms(pay))
+
+    def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        create, pay = self.open.get() or (None, None)
+        for df in rows:
+            for us, is_create in zip(df["ev_us"].tolist(), df["is_create"].tolist()):
+                if is_create:
+                    create = us if create is None else create
+                else:
+                    pay = us if pay is None else pay
+        if create is not None and pay is not None and pay < create + self.timeout_us:
+            rearm(self.handle)                            # paid: no timer is left
+            self.open.clear()
+            yield pd.DataFrame([(*key, create, pay, MATCH_PAYED)], columns=list(self.output))
+        else:
+            self.open.update((create, pay))
+            now = timerValues.getCurrentWatermarkInMs()
+            rearm(self.handle, *(None if t is None else max(t, now + 1) for t in self._due(create, pay)))
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues,
+                           expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        create, pay = self.open.get() or (None, None)
+        out = []
+        ends = self._due(create, pay)
+        if ends[0] is not None and ends[0] <= now:
+            out.append((*key, create, None, MATCH_NO_PAY))
+            create = None
+        if ends[1] is not None and ends[1] <= now:
+            out.append((*key, None, pay, MATCH_NO_CREATE))
+            pay = None
+        if create is None and pay is None:
+            self.open.clear()
+        else:
+            self.open.update((create, pay))
+        if out:
+            yield pd.DataFrame(out, columns=list(self.output))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_open_orders(order_events: DataFrame, timeout=TIMEOUT, delay="0 seconds",
+                       processor: type[OpenOrderProcessor] = OpenOrderProcessor) -> DataFrame:
+    """(order_id, create_ts, pay_ts, result, output): paid orders as soon as both events are in, the rest when
+    their timers fire.  For orders with one create and one pay; ``seq`` is not needed."""
+    _require_rocksdb(order_events)
+    ev = as_event_time(order_events, "ts", "_et").withWatermark("_et", f"{duration_us(delay)} microseconds")
+    src = ev.select("order_id", "_et", F.unix_micros("_et").alias("ev_us"), (F.col("event_type") == CREATE).alias("is_create"))
+    out = src.groupBy("order_id").transformWithStateInPandas(processor(duration_us(timeout)), ORDER_SCHEMA, "append", "EventTime")
+    return out.select("order_id", micros_to_ts(F.col("create_us")).alias("create_ts"),
+                      micros_to_ts(F.col("pay_us")).alias("pay_ts"), "result",
+                      F.when(F.col("result") == MATCH_PAYED, F.lit("payed")).otherwise(F.lit("timeout")).alias("output"))
+
+
+# ------------------------------------------------------------------ unique visitors, one row per view
+
+class RunningUvProcessor(OrderedProcessor):
+    """Every view with the bitmap count of its window after it, in event order.
+
+    The key is the window.  Its bitmap is kept in pages of ``PAGE_BITS`` slots in a map state; a page is read when a
+    view of a due slice falls into it, and written back once when the slices are done.  Everything goes when
+    the watermark has passed the window.  Unknown users share a slot of their own, as in the batch form.
+    State: [views seen, bits set]."""
+
+    payload = ("user_id", "known", "slot")
+    output = ("window_us", "ev_us", "seq", "user_id", "known", "uv")
+    PAGE_BITS = 1 << 15
+
+    def __init__(self, size_us: int, slice_us: int):
+        self.size_us, self.slice_us = size_us, slice_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.pages = handle.getMapState("pages", "page long", "bits binary")
+        self.held: dict[int, bytearray] = {}
+
+    def fresh(self) -> list:
+        return [0, 0]
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues,
+                           expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held = {}
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        if timerValues.getCurrentWatermarkInMs() * 1000 >= key[0] + self.size_us:
+            self.pages.clear()
+        else:
+            for page, bits in self.held.items():
+                self.pages.updateValue((page,), (bytes(bits),))
+
+    def step(self, key, st, us, seq, row):
+        user, known, slot = row
+        st[0] += 1
+        page, bit = divmod(slot, self.PAGE_BITS)
+        if page not in self.held:
+            stored = self.pages.getValue((page,)) if self.pages.containsKey((page,)) else None
+            self.held[page] = bytearray(stored[0]) if stored else bytearray(self.PAGE_BITS // 8)
+        bits, mask = self.held[page], 1 << (bit & 7)
+        if not bits[bit >> 3] & mask:
+            bits[bit >> 3] |= mask
+            st[1] += 1
+        return [(key[0], us, seq, user, known, st[1])]
+
+    def forget_at(self, st):
+        return self.end
+
+    def advance(self, key, st, wm_us):
+        self.end = key[0] + self.size_us
+        return []
+
+
+def stream_uv_per_view(views: DataFrame, size="1 hour", delay="0 seconds", user: str = "user_id",
+                       seed: int = DEFAULT_SEED, bits: int = DEFAULT_BITS) -> DataFrame:
+    """The rows of ``distinct.uv_running`` as a stream: window_start, window_end, ts, seq, user_id, uv."""
+    size_us = duration_us(size)
+    src = views.withColumn("slot", F.coalesce(user_slot(views, user, seed, bits), F.lit(-1))).withColumn("known", F.col(user).isNotNull()) \
+        .withColumn("user_id", F.coalesce(F.col(user).cast("long"), F.lit(0)))
+    src = src.withColumn("window_us", ifloor(to_micros(views, "ts"), size_us) * F.lit(size_us))
+    out = _ordered(src, ["window_us"], RunningUvProcessor(size_us, max(1, size_us // 60)),
+                   "window_us long, ev_us long, seq long, user_id long, known boolean, uv long", delay)
+    return out.select(micros_to_ts(F.col("window_us")).alias("window_start"),
+                      micros_to_ts(F.col("window_us") + F.lit(size_us)).alias("window_end"),
+                      micros_to_ts(F.col("ev_us")).alias("ts"), "seq", F.when(F.col("known"), F.col("user_id")).alias("user_id"), "uv")
+
+
+# ------------------------------------------------------------------ top-n of closed windows
+
+class TopNProcessor(StatefulProcessor):
+    """The n best rows of a window's counts.
+
+    State: at most n (count, key) entries a window, however many keys it has; it is emitted and
+    cleared by a timer at the end of the window."""
+
+    output = ("window_end_us", "key", "cnt", "rank")
+
+    def __init__(self, n: int, number: bool):
+        self.n, self.number = n, number
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", "entries string")
+
+    def _order(self, e):
+        return -e[0], (e[1] is not None, e[1] if self.number else (e[1] or "").encode())
+
+    def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = self.best.get()
+        best = json.loads(held[0]) if held is not None else []
+        for df in rows:
+            top = df.nlargest(self.n, "cnt", keep="all") if len(df) > self.n else df
+            keys = [None if k is None or k != k else int(k) if self.number else k for k in top["key"].tolist()]
+            best = sorted([*best, *([c, k] for c, k in zip(top["cnt"].tolist(), keys))], key=self._order)[:self.n]
+        self.best.update((json.dumps(best),))
+        rearm(self.handle, _ceil_ms(key[0]))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues,
+                           expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.best.get()
+        self.best.clear()
+        if held is not None:
+            rows = [(key[0], k, c, r) for r, (c, k) in enumerate(json.loads(held[0]), 1)]
+            yield pd.DataFrame(rows, columns=list(self.output))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_topn(events: DataFrame, key: str, size, slide, n: int, delay="0 seconds") -> DataFrame:
+    """(window_start, window_end, key, cnt, rank): the n keys with the highest counts of each closed window, ties to
+    the smaller key.  The ranking is a stateful operator behind the window count, in one streaming plan."""
+    from pyspark.sql import types as T
+    from .windows import window_counts
+    _require_rocksdb(events)
+    dtype = events.schema[key].dataType
+    number = isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    counts = window_counts(events, "ts", [key], size, slide, delay)
+    src = counts.select(F.unix_micros("window.end").alias("window_end_us"),
+                        F.col(key).cast("long" if number else "string").alias("key"), "cnt")
+    kind = "long" if number else "string"
+    out = src.groupBy("window_end_us").transformWithStateInPandas(
+        TopNProcessor(n, number), f"window_end_us long, key {kind}, cnt long, rank int", "append", "EventTime")
+    end = F.col("window_end_us")
+    return out.select(micros_to_ts(end - F.lit(duration_us(size))).alias("window_start"), micros_to_ts(end).alias("window_end"),
+                      F.col("key").cast(dtype).alias(key), "cnt", "rank")

@@ -35,9 +35,10 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Feed:
-    """Tables that arrive in ``batches`` parts, in event-time order but for delays up to ``disorder``."""
+    """Tables that arrive in ``batches`` parts, in event-time order but for delays up to ``disorder``, random by
+    row (or ``late_us``, a column of delays in microseconds)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, tables, batches: int = 3, disorder="1 hour"):
+    def __init__(self, spark: SparkSession, sf_dir: str, tables, batches: int = 3, disorder="1 hour", late_us=None):
         self.spark, self.batches = spark, batches
         self.base = os.path.join(checkpoint_root(spark), "feeds", uuid.uuid4().hex)
         self.rows: dict[str, DataFrame] = {}
@@ -45,7 +46,7 @@ class Feed:
         for name in [tables] if isinstance(tables, str) else tables:
             df = read_table(spark, sf_dir, name)
             us = to_micros(df, EVENT_TIME[name])
-            late = F.pmod(F.xxhash64(*df.columns), F.lit(max(1, duration_us(disorder))))
+            late = F.pmod(F.xxhash64(*df.columns), F.lit(max(1, duration_us(disorder)))) if late_us is None else late_us
             self.rows[name] = df.withColumn("_arrival", us + late)
             ends.append(self.rows[name].agg(F.min("_arrival").alias("lo"), F.max("_arrival").alias("hi")).first())
             df.limit(0).write.parquet(self.path(name))
@@ -89,12 +90,12 @@ def _folders(spark: SparkSession, name: str) -> tuple[str, str]:
 
 def run_to_table(df: DataFrame, name: str, feed: Feed | None = None, mode: str = "append") -> DataFrame:
     """Run ``df`` to the end of its input (after each batch of ``feed``) and return what it wrote."""
+    from .sinks import write_stream
     out, ck = _folders(df.sparkSession, name)
     for k in range(feed.batches if feed else 1):
         if feed:
             feed.push(k)
-        (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-         .outputMode(mode).trigger(availableNow=True).start().awaitTermination())
+        write_stream(df, out, ck, mode).awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
@@ -108,3 +109,27 @@ def run_batches_to_table(df: DataFrame, make_fn, name: str, feed: Feed | None =
             feed.push(k)
         start_batches(df, make_fn(out), ck, mode).awaitTermination()
     return df.sparkSession.read.parquet(out).drop("batch_id")
+
+
+def run_upserts_to_table(df: DataFrame, keys: list[str], name: str, feed: Feed | None = None, mode: str = "update",
+                         order: str | None = None) -> DataFrame:
+    """Run ``df`` into a keyed table (see ``sinks.upsert_batches``) and return its last values with ``versions``."""
+    from .sinks import read_upserts, start_batches, upsert_batches
+    out, ck = _folders(df.sparkSession, name)
+    for k in range(feed.batches if feed else 1):
+        if feed:
+            feed.push(k)
+        start_batches(df, upsert_batches(out, keys, order), ck, mode).awaitTermination()
+    return read_upserts(df.sparkSession, out, keys)
+
+
+def run_side_outputs(df: DataFrame, tags: list[str], name: str, feed: Feed | None = None, tag_col: str = "tag") -> DataFrame:
+    """Run ``df`` into one sink for each tag (see ``sinks.fan_out``) and read them all back."""
+    from .sinks import fan_out, read_fan_out, start_batches
+    out, ck = _folders(df.sparkSession, name)
+    paths = {t: os.path.join(out, t) for t in tags}
+    for k in range(feed.batches if feed else 1):
+        if feed:
+            feed.push(k)
+        start_batches(df, fan_out(paths, tag_col), ck).awaitTermination()
+    return read_fan_out(df.sparkSession, paths, tag_col)

@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.topn import topn_per_group
@@ -41,7 +44,9 @@ def topn_batches(path: str, group_col: str, order_col: str, tie_col: str, n: int
 
 
 def fan_out(paths: dict[str, str], tag_col: str = "tag"):
-    """foreachBatch function: one sink per tag value (side outputs), reading the batch once."""
+    """foreachBatch function: one sink per tag value (side outputs), reading the batch once.
+
+    Rows with a tag that has no path are not written."""
     def run(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
@@ -53,6 +58,54 @@ def fan_out(paths: dict[str, str], tag_col: str = "tag"):
     return run
 
 
+def read_fan_out(spark: SparkSession, paths: dict[str, str], tag_col: str = "tag") -> DataFrame:
+    """The rows of all sinks of a :func:`fan_out`, with their tags."""
+    out = None
+    for tag, path in paths.items():
+        rows = spark.read.parquet(path).drop("batch_id").withColumn(tag_col, F.lit(tag))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+# ---------------------------------------------------------------- keyed table, last value wins
+
+def _last(df: DataFrame, keys: Sequence[str], order: str, more: Sequence = ()) -> DataFrame:
+    """One row a key: the one with the greatest ``order`` (null keys are keys)."""
+    rest = [c for c in df.columns if c not in keys and c != order]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest, order), F.col(order)).alias("_v"), *more) \
+        .select(*keys, "_v.*", *[c for c in ("versions",) if more])
+
+
+def upsert_batches(path: str, keys: Sequence[str], order: str | None = None):
+    """foreachBatch function: a keyed table in which a later batch replaces the rows of its keys.
+
+    Each micro-batch is one version, written to its own ``batch_id`` folder with overwrite: a batch that is
+    replayed after a failure replaces itself, so it changes nothing.  ``order`` picks the last row of a key
+    inside a batch (not needed in ``update`` mode, which has one)."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows = batch if order is None else _last(batch, keys, order)
+        rows.select(*batch.columns).write.mode("overwrite").parquet(_batch_dir(path, batch_id))
+    return run
+
+
+def read_upserts(spark: SparkSession, path: str, keys: Sequence[str], as_of: int | None = None) -> DataFrame:
+    """The table's rows (at version ``as_of``): the last value of each key, and ``versions``, how often it was written."""
+    log = spark.read.parquet(path)
+    if as_of is not None:
+        log = log.where(F.col("batch_id") <= as_of)
+    return _last(log, keys, "batch_id", [F.count(F.lit(1)).alias("versions")]).drop("batch_id")
+
+
+def compact_upserts(spark: SparkSession, path: str, target: str, keys: Sequence[str]) -> int | None:
+    """Write the table's last values as one version of ``target`` (its number is the last batch's), so a reader need
+    not go through all versions; returns that number."""
+    log = spark.read.parquet(path)
+    upto = log.agg(F.max("batch_id")).first()[0]
+    if upto is not None:
+        _last(log, keys, "batch_id").drop("batch_id").write.mode("overwrite").parquet(_batch_dir(target, upto))
+    return upto
+
+
 def start_batches(df: DataFrame, fn, checkpoint: str, mode: str = "append",
                   trigger: dict | None = None) -> StreamingQuery:
     return (df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)

@@ -23,9 +23,9 @@ def _interval(us: int) -> str:
     return f"{us} microseconds"
 
 
-def stream_window_count(events: DataFrame, ts: str, keys, size, slide=None, delay="0 seconds",
-                        *, count_col: str = "cnt") -> DataFrame:
-    """Watermarked sliding/tumbling count per (window, keys): window_start, window_end, *keys, cnt."""
+def window_counts(events: DataFrame, ts: str, keys, size, slide=None, delay="0 seconds",
+                  *, count_col: str = "cnt") -> DataFrame:
+    """(window, *keys, cnt) of closed windows; further stateful operators can follow."""
     keys = [keys] if isinstance(keys, str) else list(keys or [])
     size_us = duration_us(size)
     slide_us = duration_us(slide) if slide is not None else size_us
@@ -36,13 +36,38 @@ def stream_window_count(events: DataFrame, ts: str, keys, size, slide=None, dela
     if slide_us != size_us:
         agg = agg.groupBy(F.window(F.window_time("window"), _interval(size_us), _interval(slide_us)).alias("w"), *keys) \
             .agg(F.sum(count_col).alias(count_col)).withColumnRenamed("w", "window")
+    return agg
+
+
+def stream_window_count(events: DataFrame, ts: str, keys, size, slide=None, delay="0 seconds",
+                        *, count_col: str = "cnt") -> DataFrame:
+    """Watermarked sliding/tumbling count per (window, keys): window_start, window_end, *keys, cnt."""
+    keys = [keys] if isinstance(keys, str) else list(keys or [])
+    size_us = duration_us(size)
     start = F.col("window.start")
-    return agg.select(
+    return window_counts(events, ts, keys, size, slide, delay, count_col=count_col).select(
         to_ntz(start).alias("window_start"),
         micros_to_ts(F.unix_micros(start) + F.lit(size_us)).alias("window_end"),
         *keys, count_col)
 
 
+def stream_window_updates(events: DataFrame, ts: str, keys, size, slide=None, delay="0 seconds",
+                          lateness="0 seconds", *, count_col: str = "cnt") -> DataFrame:
+    """Counts per (window, keys) for ``update`` mode: a row that comes late, but within ``delay`` + ``lateness``
+    of its window's end, emits its window again.  Later rows are dropped.
+
+    A sink that keeps the last row of each key (``sinks.upsert_batches``) then holds every window's
+    current result.  Each window counts rows on its own, so a row can be too late for one window
+    and in time for the next; that is why rows are expanded into their windows here instead of panes."""
+    keys = [keys] if isinstance(keys, str) else list(keys or [])
+    size_us = duration_us(size)
+    wait = _interval(duration_us(delay) + duration_us(lateness))
+    ev = as_event_time(events, ts, "_et").withWatermark("_et", wait)
+    window = F.window("_et", _interval(size_us), None if slide is None else _interval(duration_us(slide)))
+    agg = ev.groupBy(window, *keys).agg(F.count(F.lit(1)).alias(count_col))
+    return agg.select(to_ntz(F.col("window.start")).alias("window_start"), to_ntz(F.col("window.end")).alias("window_end"), *keys, count_col)
+
+
 def stream_unique_visitors(views: DataFrame, ts: str = "ts", size="1 hour", delay="0 seconds",
                            user: str = "user_id") -> DataFrame:
     """Exact distinct users per tumbling window, as two chained aggregations:
