@@ -16,6 +16,8 @@ the bound, which is a bounded interval self-join.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,3 +182,91 @@ def seq_iterative(df: DataFrame, keys, pred: Column, value: str, bucket=DEFAULT_
         *keys, "ts", "seq", F.col(value).alias(value),
         F.when(earlier_c > 0, earlier_s.cast("double")).alias("prior_sum"),
         earlier_c.cast("long").alias("prior_count"))
+
+
+@dataclass(frozen=True)
+class Step:
+    """One step of a :func:`seq_chain`: ``link`` says how its first event follows the step before
+    ("next": immediately, "followed_by": the first later match).  ``times`` = n or (least, most) makes it a loop; its
+    events are consecutive, or, with ``relaxed`` and a fixed n, each the first later match."""
+
+    name: str
+    cond: Column
+    link: str = "followed_by"
+    times: int | tuple[int, int] = 1
+    relaxed: bool = False
+
+    @property
+    def least(self) -> int:
+        return self.times if isinstance(self.times, int) else self.times[0]
+
+    @property
+    def most(self) -> int:
+        return self.times if isinstance(self.times, int) else self.times[1]
+
+    def check(self) -> None:
+        if self.link not in ("next", "followed_by"):
+            raise ValueError(f"unknown link {self.link!r}")
+        if not 1 <= self.least <= self.most:
+            raise ValueError(f"a step takes at least one event, and at most as many as its bound: {self.times}")
+        if self.relaxed and self.least != self.most:
+            raise ValueError("a relaxed loop needs a fixed number of events")
+
+
+def seq_chain(df: DataFrame, keys, steps: Sequence[Step], within, bucket=DEFAULT_BUCKET) -> DataFrame:
+    """A pattern of any number of steps, with bounded loops, inside ``within`` from the first event to the last.
+
+    Every event that satisfies the first step starts at most one match.  Loops are greedy: of the matches
+    inside ``within``, the one whose first loop is longest is taken, then the second, and so on.  Columns: *keys, and for each step <name>_ts and
+    <name>_seq of its first event, for loops also <name>_last_ts and <name>_n.
+
+    Matches are built from the last step to the first: an event of a step holds the possible rests of the match (as
+    many as the loops have lengths), which it reads from the event that follows it.  All these scans share one partitioning and one sort (time buckets with
+    a halo of ``within``), so a pattern of any length is one shuffle, and a hot key is split by time."""
+    keys = _keys(keys)
+    if not steps:
+        raise ValueError("a pattern has at least one step")
+    for st in steps:
+        st.check()
+    for i, st in enumerate(steps):
+        df = df.withColumn(f"_is{i}", F.coalesce(st.cond, F.lit(False)))
+    tl = Timeline(df, keys, bucket=bucket, halo=within)
+    event = "struct<step:int,us:bigint,seq:bigint,ts:" + df.schema["ts"].dataType.simpleString() + ">"
+    scans = 0
+
+    def rest_after(link: str, flag: str, rest: str) -> Column:
+        """The rest of the match held by the event that follows."""
+        nonlocal scans
+        scans += 1
+        out = f"_f{scans}"
+        tl.following(out, fields=[flag, rest], pred=None if link == "next" else F.col(flag))
+        tl.df = tl.df  # resolve: the next scan reads it
+        return F.coalesce(F.when(F.col(f"{out}.{flag}"), F.col(f"{out}.{rest}")), F.array().cast(f"array<array<{event}>>"))
+
+    leave = F.array(F.array().cast(f"array<{event}>"))  # behind the last step nothing is needed
+    for i in range(len(steps) - 1, -1, -1):
+        st, flag = steps[i], f"_is{i}"
+        here = F.array(F.struct(F.lit(i).alias("step"), F.col("_us").alias("us"), F.col("seq").cast("bigint").alias("seq"), F.col("ts").alias("ts")))
+        if st.most > 1:
+            tl.df = tl.df.withColumn(f"_leave{i}", leave)
+            leave = F.col(f"_leave{i}")
+        for n in range(st.most, 0, -1):
+            options = []
+            if n < st.most:
+                options.append(rest_after("followed_by" if st.relaxed else "next", flag, f"_m{i}_{n + 1}"))
+            if n >= st.least:
+                options.append(leave)
+            tl.df = tl.df.withColumn(f"_m{i}_{n}", F.when(F.col(flag), F.transform(F.concat(*options), lambda x: F.concat(here, x))))
+        if i:
+            leave = rest_after(st.link, flag, f"_m{i}_1")
+    best = F.filter("_m0_1", lambda x: _within(F.col("_us"), F.element_at(x, -1)["us"], within))
+    match = F.col("_match")
+    d = tl.result().withColumn("_match", F.get(best, 0)).where(match.isNotNull())
+    cols = []
+    for i, st in enumerate(steps):
+        number = F.lit(i)
+        mine = F.filter(match, lambda e: e["step"] == number)
+        cols += [F.get(mine, 0)["ts"].alias(f"{st.name}_ts"), F.get(mine, 0)["seq"].alias(f"{st.name}_seq")]
+        if st.most > 1:
+            cols += [F.element_at(mine, -1)["ts"].alias(f"{st.name}_last_ts"), F.size(mine).alias(f"{st.name}_n")]
+    return d.select(*keys, *cols)

@@ -147,3 +147,44 @@ def seq_flat_select(spark, sf_dir):
     steps = F.array(F.struct(F.lit("view").alias("step"), F.col("first_ts").alias("ts"), F.col("first_seq").alias("seq")),
                     F.struct(F.lit("purchase").alias("step"), F.col("second_ts").alias("ts"), F.col("second_seq").alias("seq")))
     return pairs.select("user_id", F.explode(steps).alias("s")).select("user_id", "s.*")
+
+
+# -- longer patterns and bounded loops ----------------------------------------------
+
+@register("seq_three_steps", O.with_views("user_events", extra=["""v AS (
+  SELECT a.user_id, a.ts, a.seq, min((c.ts, c.seq)) AS c FROM user_events a JOIN user_events c
+    ON c.user_id = a.user_id AND c.event_type = 'click' AND (c.ts, c.seq) > (a.ts, a.seq)
+  WHERE a.event_type = 'view' GROUP BY ALL)""", """p AS (
+  SELECT v.user_id, v.ts, v.seq, v.c, min((b.ts, b.seq)) AS p FROM v JOIN user_events b
+    ON b.user_id = v.user_id AND b.event_type = 'purchase' AND (b.ts, b.seq) > v.c
+  GROUP BY ALL)"""]) + f"""
+SELECT user_id, ts AS view_ts, seq AS view_seq, c[1] AS click_ts, c[2] AS click_seq, p[1] AS buy_ts, p[2] AS buy_seq
+FROM p WHERE epoch_us(p[1]) - epoch_us(ts) < {W}""")
+def seq_three_steps(spark, sf_dir):
+    """A view, the first click after it, the first purchase after that, within a day."""
+    return S.seq_chain(_ev(spark, sf_dir), "user_id",
+                       [S.Step("view", et("view")), S.Step("click", et("click")), S.Step("buy", et("purchase"))], WITHIN)
+
+
+LOOP_WITHIN = "3 days"
+_LOOP_US = O.us(LOOP_WITHIN)
+
+
+@register("seq_bounded_loop", O.with_views("user_events", extra=["""o AS (
+  SELECT user_id, ts, seq, event_type IN ('view', 'click') AS hit,
+         [lead(CASE WHEN event_type IN ('view', 'click') THEN (ts, seq) END, 1) OVER w,
+          lead(CASE WHEN event_type IN ('view', 'click') THEN (ts, seq) END, 2) OVER w,
+          lead(CASE WHEN event_type IN ('view', 'click') THEN (ts, seq) END, 3) OVER w] AS nx
+  FROM user_events WINDOW w AS (PARTITION BY user_id ORDER BY ts, seq))""", """l AS (
+  SELECT user_id, ts, seq, n, nx[n - 1] AS z FROM o, range(2, 5) r(n)
+  WHERE hit AND len(list_filter(nx[1:n - 1], lambda x: x IS NOT NULL)) = n - 1)""", """b AS (
+  SELECT l.user_id, l.ts, l.seq, l.n, l.z, min((b.ts, b.seq)) AS p FROM l JOIN user_events b
+    ON b.user_id = l.user_id AND b.event_type = 'purchase' AND (b.ts, b.seq) > l.z
+  GROUP BY ALL)"""]) + f"""
+SELECT user_id, ts AS look_ts, seq AS look_seq, z[1] AS look_last_ts, CAST(n AS INTEGER) AS look_n, p[1] AS buy_ts, p[2] AS buy_seq
+FROM b WHERE epoch_us(p[1]) - epoch_us(ts) < {_LOOP_US}
+QUALIFY row_number() OVER (PARTITION BY user_id, ts, seq ORDER BY n DESC) = 1""")
+def seq_bounded_loop(spark, sf_dir):
+    """Two to four views or clicks in a row, then the first purchase, within three days."""
+    return S.seq_chain(_ev(spark, sf_dir), "user_id",
+                       [S.Step("look", et("view") | et("click"), times=(2, 4)), S.Step("buy", et("purchase"))], LOOP_WITHIN)
