@@ -70,13 +70,20 @@ def order_timeout_status(df: DataFrame, timeout=TIMEOUT, bucket=ORDER_BUCKET, me
     (with ``memory``: by a pay at most that long before)."""
     limit = duration_us(timeout)
     is_pay = F.col("event_type") == PAY
-    tl = Timeline(df, "order_id", bucket=bucket)
-    tl.prior("_paid_before", pred=is_pay)
+    # Pays after the create matter within the timeout only, pays before it within the memory: bounded scans.
+    known = 0 if memory is None else duration_us(memory)
+    tl = Timeline(df, "order_id", bucket=bucket, halo=max(limit, known) / 1e6, look="following" if memory is None else "both")
     tl.following("_pay", pred=is_pay)
-    unpaid = F.col("_paid_before").isNull()
     if memory is not None:
-        unpaid = unpaid | (F.col("_us") - F.col("_paid_before.us") > F.lit(duration_us(memory)))
-    c = tl.result().where((F.col("event_type") == CREATE) & unpaid)
+        tl.prior("_paid_before", pred=is_pay)
+        c = tl.result().where(F.col("event_type") == CREATE)
+        c = c.where(F.col("_paid_before").isNull() | (F.col("_us") - F.col("_paid_before.us") > F.lit(known)))
+    else:
+        # Without a bound, a pay came before iff the order's first pay did: a partial aggregation.
+        first = df.where(is_pay).groupBy(F.col("order_id").alias("_order")) \
+            .agg(F.min(F.struct(to_micros(df, "ts").alias("us"), F.col("seq").alias("seq"))).alias("_first"))
+        c = tl.result().where(F.col("event_type") == CREATE).join(first, F.col("order_id").eqNullSafe(F.col("_order")), "left")
+        c = c.where(F.col("_first").isNull() | ~(F.col("_first") < F.struct(F.col("_us").alias("us"), F.col("seq").alias("seq"))))
     ok = F.col("_pay").isNotNull() & (F.col("_pay.us") <= F.col("_us") + F.lit(limit))
     return c.select("order_id", F.col("ts").alias("create_ts"),
                     F.when(ok, F.lit(STATUS_PAYED)).otherwise(F.lit(STATUS_TIMEOUT)).alias("result"))

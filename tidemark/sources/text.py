@@ -73,10 +73,10 @@ def read_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataF
 
     ``seq`` orders lines as they were written: by the file's modification second, then by the place in the
     file.  Place = start of the file's block + row number in its task: a block has at least as many bytes
-    as lines, so places rise along a file however it is split (files up to 4 GB)."""
+    as lines, so places rise along a file however it is split (files up to 2 GB)."""
     df = (spark.readStream if streaming else spark.read).text(path)
     df = df.select(F.regexp_replace("value", "\r$", "").alias("value"),
-                   (F.unix_seconds("_metadata.file_modification_time") * (1 << 32) + F.col("_metadata.file_block_start")).alias("seq"))
+                   (F.unix_seconds("_metadata.file_modification_time") * (1 << 31) + F.col("_metadata.file_block_start")).alias("seq"))
     if streaming:
         return df.mapInArrow(_number_rows, "value string, seq long")
     return df.withColumn("seq", F.col("seq") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
