@@ -6,10 +6,11 @@ then learns where personal data stands:
 * Occurrences: every seed, and every other identifier-like token (at least ``MIN_DIGITS`` digits),
   with the words before it.  Its lexical patterns are the two words before it, and the word before
   it alone where that is a label (it ends in ``:``, ``=`` or ``#``).
-* The pattern-instance graph (pattern, instance, count) is aggregated over the corpus.  In each of
-  ``ROUNDS`` rounds a pattern's confidence is the share of its instances that are known, and it counts as
+* The pattern-instance graph (pattern, instance, count) is aggregated over the corpus.  In each
+  round a pattern's confidence is the share of its instances that are known, and it counts as
   reliable with ``MIN_CONFIDENCE`` and at least ``MIN_SUPPORT`` known instances; an unknown instance is
   accepted if the noisy-or of its reliable patterns reaches ``MIN_BELIEF``, and is known in the next round.
+  Accepted instances only ever become more, and the rounds end when one accepts nothing new.
 * Accepted instances become spans of kind ``context`` wherever they follow a reliable pattern.
 
 All of it is DataFrame work: one pass over the texts, then joins and partial aggregations on patterns
@@ -28,13 +29,13 @@ from pyspark.sql import functions as F
 from .common import save
 from .spans import SPAN_TYPE, Rule, count_kind, find, joined
 
-ROUNDS = 2
 MIN_DIGITS = 4
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.5
 MIN_BELIEF = 0.5
 CONTEXT = "context"
-#: Characters before an occurrence that can hold its two context words.
+#: Characters before an occurrence in which its context words are looked for first; where they hold less than two
+#: whole words, all of the text before it is taken.
 REACH = 120
 
 
@@ -81,9 +82,14 @@ def base_spans(text: Column) -> Column:
 
 def _contexts(text: Column, start: Column) -> Column:
     """Lexical patterns of an occurrence that starts at ``start``."""
-    low = F.greatest(start - REACH, F.lit(0))
-    before = F.substring(text, (low + 1).cast("int"), (start - low).cast("int"))
-    words = F.filter(F.split(F.lower(before), r"\s+"), lambda w: F.regexp_replace(w, r"[\"'(\[{]+$", "") != "")
+    def words_from(low: Column) -> Column:
+        before = F.substring(text, (low + 1).cast("int"), (start - low).cast("int"))
+        return F.filter(F.split(F.lower(before), r"\s+"), lambda w: F.regexp_replace(w, r"[\"'(\[{]+$", "") != "")
+
+    low = F.greatest(start - REACH, F.lit(0).cast("long"))
+    near = words_from(low)
+    # The first word of the window may be cut.
+    words = F.when((low == 0) | (F.size(near) > 2), near).otherwise(words_from(F.lit(0).cast("long")))
     n = F.size(words)
     two = F.when(n >= 2, F.concat_ws(" ", F.element_at(words, -2), F.element_at(words, -1)))
     one = F.when((n >= 1) & F.element_at(words, -1).rlike("[:=#]$"), F.element_at(words, -1))
@@ -103,15 +109,16 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_key", "base", F.when(F.size("base") + F.size(free) > 0, marks).alias("marks"))
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(pattern) that are reliable and (instance) that they let in, after the last round."""
+def bootstrap(found: DataFrame, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pattern) that are reliable and (instance) that they let in, when nothing new comes in (or after ``rounds``)."""
     spark = found.sparkSession
     graph = save(found.select(F.explode("marks").alias("m"))
                  .select(F.explode("m.patterns").alias("pattern"), "m.instance", "m.known")
                  .groupBy("pattern", "instance").agg(F.max("known").alias("known")), "pattern_graph")
     accepted = spark.createDataFrame([], "instance string")
     reliable = spark.createDataFrame([], "pattern string, confidence double")
-    for _ in range(rounds):
+    known = done = 0
+    while rounds is None or done < rounds:
         marked = graph.join(accepted.withColumn("new", F.lit(True)), "instance", "left") \
             .withColumn("is_known", (F.col("known") | F.coalesce("new", F.lit(False))).cast("long"))
         scores = marked.groupBy("pattern").agg(F.sum("is_known").alias("hits"), F.count("*").alias("n"))
@@ -122,10 +129,13 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
         accepted = save(graph.filter(~F.col("known")).join(reliable, "pattern").groupBy("instance")
                         .agg((1 - doubt).alias("belief")).filter(F.col("belief") >= MIN_BELIEF)
                         .select("instance"), "accepted_instances")
+        done, before, known = done + 1, known, accepted.count()
+        if known == before:
+            break
     return reliable.select("pattern"), accepted
 
 
-def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def find_personal_data(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """(doc_id, text_key, base, extra) of every row: fixed spans, and the spans that contexts add."""
     found = save(occurrences(docs), "occurrences")
     patterns, instances = bootstrap(found, rounds)
@@ -153,7 +163,7 @@ def summarise(found: DataFrame) -> DataFrame:
                         joined(F.concat("base", "extra")).alias("spans"))
 
 
-def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def redact(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets (``n_chars``, if there, follows).
 
     Of overlapping spans the one that starts first (then the longer one) is replaced, and the rest of the

@@ -4,13 +4,14 @@ Versions of files (here: documents) are content-addressed: a version names the b
 its text (SHA-256).  The ledger, a parquet table in a folder of its own, has one entry for each
 scan of a blob: its address, the rule versions that were run, and what they found.  A scan
 
-1. lists the distinct blobs of the versions and subtracts the (blob, rule version) pairs that
-   the ledger has;
-2. runs the pending rules on each unseen blob once, and appends the entries (one atomic write);
+1. lists the distinct addresses of the versions and subtracts the (blob, rule version) pairs that
+   the ledger has, without a text;
+2. runs the pending rules on each unseen blob once, and appends the entries (one atomic write).  Only texts of
+   pending blobs are moved; where nothing is pending, no text is;
 3. joins the findings of the wanted rule versions back to all versions.
 
-A second scan with the same rules reads no text twice; a new version of one rule runs that rule
-alone.  Everything is built-in functions: no Python runs on the executors.
+A second scan with the same rules scans no text twice; a new version of one rule runs that rule
+alone.  The ledger says where a secret is and of what kind, and never holds the secret itself.  Everything is built-in functions: no Python runs on the executors.
 
 Equal blobs are reduced to one in the map tasks before the shuffle, so a hot blob costs one row a
 task; joining findings back moves (version, address) rows, never texts.
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import save, scratch_path
-from .spans import SPAN_TYPE, Rule, count_kind, find, joined
+from .spans import Rule, count_kind, find, joined
 
 #: Fixed patterns.  Runs are maximal, so a least length in the pattern drops the same matches as a
 #: check behind it; the value of an assignment is checked behind it.
@@ -41,7 +42,9 @@ RULES: tuple[Rule, ...] = (
     Rule("hex", 1, r"(?<![0-9a-f])[0-9a-f]{32,}", lambda t: t.rlike(r"(?<![0-9a-f])[0-9a-f]{32}"), lambda v: F.lit(True)),
 )
 
-ENTRY_SCHEMA = f"blob binary, rules array<string>, spans {SPAN_TYPE}"
+#: Places and kinds only.
+PLACE_TYPE = "array<struct<start:long,order:int,end:long,kind:string>>"
+ENTRY_SCHEMA = f"blob binary, rules array<string>, spans {PLACE_TYPE}"
 
 
 def rule_name(rule: Rule) -> str:
@@ -62,23 +65,32 @@ def read_ledger(spark, path: str) -> DataFrame | None:
         raise
 
 
-def pending_blobs(docs: DataFrame, ledger: DataFrame | None, names: Sequence[str]) -> DataFrame:
-    """(blob, text, pending): distinct blobs with the rule versions that the ledger has not run on them."""
+def pending_pairs(addresses: DataFrame, ledger: DataFrame | None, names: Sequence[str]) -> DataFrame:
+    """(blob, pending): distinct addresses with the rule versions that the ledger has not run on them."""
     wanted = F.array(*[F.lit(n) for n in names])
-    blobs = docs.select(address().alias("blob"), F.coalesce("text", F.lit("")).alias("text")) \
-        .groupBy("blob").agg(F.first("text").alias("text"))
+    blobs = addresses.select("blob").distinct()
     if ledger is None:
         return blobs.withColumn("pending", wanted)
-    known = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("known"))
+    done = ledger.select("blob", F.explode("rules").alias("rule")).filter(F.col("rule").isin(list(names)))
+    known = done.groupBy("blob").agg(F.collect_set("rule").alias("known"))   # at most one entry a rule
     return (blobs.join(known, "blob", "left")
             .withColumn("pending", F.array_except(wanted, F.coalesce("known", F.array().cast("array<string>"))))
             .filter(F.size("pending") > 0).drop("known"))
 
 
+def pending_texts(docs: DataFrame, pending: DataFrame, everything: bool) -> DataFrame:
+    """(blob, text, pending): one text of each pending blob.  ``everything``: all blobs of ``docs`` are pending."""
+    texts = docs.select(address().alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    if everything:  # copies meet in the map tasks, and the join finds the rows dealt already
+        return texts.groupBy("blob").agg(F.first("text").alias("text")).join(pending, "blob")
+    return texts.join(pending, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("pending").alias("pending"))
+
+
 def scan_blobs(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Ledger entries of blobs: the rules run and their spans."""
+    """Ledger entries of blobs: the rules run and the places of what they found."""
     parts = [find(F.col("text"), r, k, F.array_contains("pending", rule_name(r))) for k, r in enumerate(rules)]
-    return blobs.select("blob", F.col("pending").alias("rules"), F.concat(*parts).alias("spans"))
+    places = F.transform(F.concat(*parts), lambda s: F.struct(s["start"], s["order"], s["end"], s["kind"]))
+    return blobs.select("blob", F.col("pending").alias("rules"), places.alias("spans"))
 
 
 def scan_versions(docs: DataFrame, ledger_path: str | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -90,7 +102,12 @@ def scan_versions(docs: DataFrame, ledger_path: str | None = None, rules: Sequen
     path = ledger_path or scratch_path(spark, "blob_ledger")
     names = [rule_name(r) for r in rules]
     versions = save(docs.select("doc_id", address().alias("blob")), "versions")
-    scan_blobs(pending_blobs(docs, read_ledger(spark, path), names), rules).write.mode("append").parquet(path)
+    ledger = read_ledger(spark, path)
+    pending = save(pending_pairs(versions, ledger, names), "pending")
+    todo = pending.count()
+    if todo or ledger is None:
+        everything = ledger is None or todo == versions.select("blob").distinct().count()
+        scan_blobs(pending_texts(docs, pending, everything), rules).write.mode("append").parquet(path)
 
     rank = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(k))])
     found = (read_ledger(spark, path).filter(F.size("spans") > 0)
@@ -98,14 +115,14 @@ def scan_versions(docs: DataFrame, ledger_path: str | None = None, rules: Sequen
              .filter("_ours").groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     ordered = F.array_sort(F.array_distinct(F.transform(
         F.filter("spans", lambda s: rank[s["kind"]].isNotNull()),
-        lambda s: F.struct(s["start"], rank[s["kind"]].alias("order"), s["end"], s["kind"], s["value"]))))
+        lambda s: F.struct(s["start"], rank[s["kind"]].alias("order"), s["end"], s["kind"]))))
     return versions.join(found.select("blob", ordered.alias("spans")), "blob", "left") \
         .select("doc_id", F.col("spans").alias("spans"))
 
 
 def summarise(findings: DataFrame) -> DataFrame:
     """Counts, digest and list of the spans of each row."""
-    spans = F.coalesce("spans", F.array().cast("array<struct<start:long,order:int,end:long,kind:string,value:string>>"))
+    spans = F.coalesce("spans", F.array().cast(PLACE_TYPE))
     rows = findings.select("doc_id", spans.alias("s"))
     text = joined(F.col("s"))
     return rows.select("doc_id", *[count_kind(F.col("s"), r.kind).alias(f"n_{r.kind}") for r in RULES],
