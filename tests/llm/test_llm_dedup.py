@@ -186,3 +186,28 @@ def test_texts_that_share_an_id_and_a_passage_each_lose_it(spark):
 
 def test_remove_repeats_of_nothing(spark):
     assert substrings.remove_repeats(C.frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("copies", [1, 12])
+def test_hot_slots_are_told_by_their_share_at_any_size(spark, copies):
+    """The same texts again and again make no slot hot: the line moves with the mean bucket."""
+    rnd = random.Random(4)
+    texts = [" ".join(str(rnd.random()) for _ in range(60)) for _ in range(40)]
+    line = "this very line is in each and every one of the documents of the corpus"
+    docs = C.frame(spark, [(k, f"{rnd.random()} {rnd.random()} {line} {rnd.random()} {t}") for k, t in enumerate(texts * copies)])
+    counted = {r.slot: r.n for r in substrings.slot_words(docs, 8).collect()}
+    hot = substrings.hot_slots(docs, 8)
+    mean = sum(counted.values()) / 8
+    assert set(hot.tolist()) == {s for s, n in counted.items() if n > int(mean * substrings.HOT_SHARE)}
+    assert len(hot) < 8 / substrings.HOT_SHARE
+    plain = substrings.hot_slots(C.frame(spark, list(enumerate(texts * copies))), 8)
+    assert len(plain) == 0
+
+
+def test_buckets_follow_the_size_of_the_texts(spark, monkeypatch):
+    docs = C.frame(spark, [(k, "w " * 500) for k in range(200)] + [(None, None)])
+    least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert substrings.bucket_count(docs) == least
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 1000)
+    assert substrings.bucket_count(docs) == 200
+    assert substrings.bucket_count(C.frame(spark, [])) == least

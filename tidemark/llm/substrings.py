@@ -9,12 +9,13 @@ word for word, and every one but the first is a repeat.
 What keeps it small: super-k-mers for one bucket are compressed together before the shuffle; a
 block of texts first looks for repeats in itself and ships only the first of equal windows, so copies and
 common passages are combined before they travel; a bucket opens only minimisers that came
-more than once.  Buckets follow the session's shuffle partitions, so they grow in number, not size.
+more than once.  There is a bucket for every ``BUCKET_BYTES`` of text (and two a shuffle partition at least), so
+buckets grow in number and not in size, whatever the partitions are.
 
 Hot minimisers: a short common line gives every document windows of its own with one minimiser.  A
 first pass counts the words of super-k-mers by slots of minimisers (``SLOTS`` a bucket), and windows of a slot
-with more than ``HOT_WORDS`` words travel one by one to the bucket of their own hash, where equal ones
-meet all the same.
+with more words than ``HOT_SHARE`` of a mean bucket travel one by one to the bucket of their own hash, where equal ones
+meet all the same.  There are less than buckets / ``HOT_SHARE`` such slots; their numbers (8 bytes each) are broadcast.
 
 Repeats come back as word ranges keyed by (doc_id, content key), and one join brings them to the
 texts.  The first occurrence is the one with the smallest (doc_id, start); windows are judged on
@@ -42,7 +43,8 @@ WINDOW = 20
 GRAM = 4
 NULL_ID = (1 << 63) - 1
 SLOTS = 16
-HOT_WORDS = 1 << 21
+BUCKET_BYTES = 8 << 20
+HOT_SHARE = 0.5
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                                0x27D4EB2F165667C5)]
 
@@ -133,12 +135,17 @@ def _unpack(packed: bytes) -> tuple[list[np.ndarray], bytes]:
     return out, raw[at:]
 
 
-def hot_slots(docs: DataFrame, buckets: int, window: int = WINDOW, hot_words: int = HOT_WORDS) -> np.ndarray:
-    """Sorted slots of minimisers whose super-k-mers have more than ``hot_words`` words in all texts."""
+def slot_words(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
+    """(slot, n): words of the super-k-mers of each slot of minimisers, in all texts."""
     slots = buckets * SLOTS
 
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        at, back = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        return at, np.bincount(back, np.concatenate([n for _, n in parts]), minlength=len(at)).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, dtype=np.int64)
+        parts = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+        waiting = 0
         for batch in batches:
             texts = as_bytes(batch.column(0))
             for i, j in text_blocks(texts):
@@ -154,17 +161,30 @@ def hot_slots(docs: DataFrame, buckets: int, window: int = WINDOW, hot_words: in
                 minima = minima[whole]
                 new = np.concatenate([[True], (np.diff(whole) != 1) | (minima[1:] != minima[:-1])])
                 # A super-k-mer has its windows' number of words and ``window`` - 1 more.
-                total += np.bincount((minima % np.uint64(slots)).astype(np.int64), 1 + new * (window - 1),
-                                     minlength=slots).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "n"])
+                parts.append(summed([((minima % np.uint64(slots)).astype(np.int64), 1 + new * (window - 1))]))
+                waiting += len(parts[-1][0])
+                if waiting > 1 << 21:
+                    parts, waiting = [summed(parts)], 0
+        at, n = summed(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["slot", "n"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+
+
+def hot_slots(docs: DataFrame, buckets: int, window: int = WINDOW, hot_words: int | None = None) -> np.ndarray:
+    """Sorted slots with more than ``hot_words`` words (default: ``HOT_SHARE`` of a mean bucket)."""
+    counted = save(slot_words(docs, buckets, window), "slot_words")
+    if hot_words is None:
+        hot_words = int(HOT_SHARE * (counted.agg(F.sum("n")).first()[0] or 0) / buckets)
+    return np.array(sorted(r.slot for r in counted.filter(F.col("n") > hot_words).select("slot").collect()), dtype=np.uint64)
+
 
-    found = (docs.select(F.col("text").cast("string")).mapInArrow(run, "slot long, n long")
-             .groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") > hot_words).select("slot").collect())
-    return np.array(sorted(r.slot for r in found), dtype=np.uint64)
+def bucket_count(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
 
-def super_kmers(docs: DataFrame, buckets: int, window: int = WINDOW, hot_words: int = HOT_WORDS) -> DataFrame:
+def super_kmers(docs: DataFrame, buckets: int, window: int = WINDOW, hot_words: int | None = None) -> DataFrame:
     """(bucket, ids, ranges): compressed super-k-mers of a block of texts for one bucket, or (bucket -1)
     the repeats that a block found in itself."""
     shared = docs.sparkSession.sparkContext.broadcast(hot_slots(docs, buckets, window, hot_words))
@@ -262,9 +282,9 @@ def _bucket_repeats(blocks: list[bytes], window: int) -> list[tuple[np.ndarray,
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, buckets: int | None = None,
-                    hot_words: int = HOT_WORDS) -> DataFrame:
+                    hot_words: int | None = None) -> DataFrame:
     """(doc_id, text_key, first, end): word ranges covered by windows that occur earlier."""
-    buckets = buckets or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or bucket_count(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +317,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, buckets: int | None =
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = None,
-                   hot_words: int = HOT_WORDS) -> DataFrame:
+                   hot_words: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row: ``kept`` holds the words left, one blank apart."""
     small_batches(docs.sparkSession)
     ranges = save(repeated_ranges(docs, window, buckets, hot_words), "repeats")
