@@ -7,10 +7,15 @@ template text itself, so a question asked again with other numbers or names stil
 with placeholders are joined by their plain case-folded words too: a copy in any casing and a list of
 numbers or names are found as they stand.
 
+Items whose whole templates are equal, and whose slots repeat alike, are one *class*: a document is joined with
+classes, so a question that the benchmark asks in a thousand variants is one row for a document and not a thousand.
+``item_classes`` says which items a class has; its smallest item id represents it.  The plain windows of all its
+items belong to the class.
+
 A join row is judged with the others on its diagonal (place in the document minus place in the
-item).  A slot value of the item has one main value there, the one that most windows give it;
-windows that give it another are dropped, and windows of equal text always count.  Different item
-values may become the same one.  The item tokens covered by the windows left decide: a document
+item).  A slot of the item has one main value there, the one that most windows give it;
+windows that give it another are dropped, and windows of equal text always count.  Different slots
+may get the same value.  The item tokens covered by the windows left decide: a document
 is contaminated by an item if at least ``COVERAGE`` of them are covered.
 
 Scale: one map pass reads the texts and passes on windows that hit a fixed-size bit map of the
@@ -18,13 +23,14 @@ benchmark's windows (``BITMAP_BITS``, the only thing broadcast, whatever the ben
 the join settles them exactly.  Items shorter than a window are one window of their own length.
 
 Edge cases: null and empty texts, and items without words, match nothing; windows of placeholders
-only are no evidence as templates and count by their plain words alone; an item text that repeats is judged under each of its
-ids; rows equal in id and text are one document; null ids are kept as such; empty tables give
+only are no evidence as templates and count by their plain words alone; an item text that repeats is one class with all of
+its ids; rows equal in id and text are one document; null ids are kept as such; empty tables give
 no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from collections.abc import Iterator
@@ -135,28 +141,51 @@ def windows(words: list[str], lengths: list[int], cache: Tokens, keep=None) -> I
 WINDOW_SCHEMA = "place int, template string, slots array<string>"
 
 
+def signature(words: list[str], cache: Tokens) -> tuple[str, dict[str, str]]:
+    """Digest of an item's whole template with the pattern in which its slot values repeat, and each value's label."""
+    _, _, slot, name = template(words, cache)
+    labels: dict[str, str] = {}
+    shown = []
+    for k, w in enumerate(words):
+        token = w.strip(EDGES)
+        low = token.casefold()
+        if slot[k]:
+            shown.append((NAME if name[k] else placeholder(token, low)) + labels.setdefault(low, str(len(labels))))
+        else:
+            shown.append(low)
+    return hashlib.sha256(" ".join(shown).encode("utf-8", "surrogatepass")).hexdigest(), labels
+
+
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, n_tokens, place, length, hash, template, slots) of every item's windows."""
-    schema = pa.schema([("item_id", pa.int64()), ("n_tokens", pa.int32()), ("place", pa.int32()),
+    """(item_id, class, n_tokens, place, length, hash, template, slots) of every item's windows; ``slots`` are labels that
+    number the item's slot values."""
+    schema = pa.schema([("item_id", pa.int64()), ("class", pa.string()), ("n_tokens", pa.int32()), ("place", pa.int32()),
                         ("length", pa.int32()), ("hash", pa.int64()), ("template", pa.string()),
                         ("slots", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Tokens()
         for batch in batches:
-            rows = []
-            for item, text in zip(batch.column(0).to_pylist(), as_text(batch.column(1))):
-                words = text.split()
-                length = min(window, len(words))
-                if not length:
-                    continue
-                rows += [(item, len(words), i, length, h - (h >> 63 << 64), t, s)
-                         for i, h, t, s in windows(words, [length], cache)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+            for i, j in text_blocks(texts := as_text(batch.column(1))):
+                rows = []
+                for item, text in zip(batch.column(0).slice(i, j - i).to_pylist(), texts[i:j]):
+                    words = text.split()
+                    length = min(window, len(words))
+                    if not length:
+                        continue
+                    name, labels = signature(words, cache)
+                    rows += [(item, name, len(words), at, length, h - (h >> 63 << 64), t, [labels[x] for x in s])
+                             for at, h, t, s in windows(words, [length], cache)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().mapInArrow(
-        run, "item_id long, n_tokens int, place int, length int, hash long, template string, slots array<string>")
+        run, "item_id long, class string, n_tokens int, place int, length int, hash long, template string, slots array<string>")
+
+
+def item_classes(windows_of_items: DataFrame) -> DataFrame:
+    """(class, item_id): the items of each class of :func:`benchmark_windows`."""
+    return windows_of_items.select("class", "item_id").distinct()
 
 
 def bit_map(hashes: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
@@ -175,10 +204,12 @@ def bit_map(hashes: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, text_key, item_id, n_windows, coverage, exact) of every contaminated document and item;
-    ``exact``: no slot has another value than in the item."""
+    """(doc_id, text_key, item_id, n_items, n_windows, coverage, exact) of every contaminated document and class of items:
+    ``item_id`` represents the class, ``n_items`` is its size; ``exact``: no slot has another value than in its items."""
     small_batches(docs.sparkSession)
-    bench = save(benchmark_windows(items, window), "benchmark_windows")
+    by_item = save(benchmark_windows(items, window), "benchmark_windows")
+    classes = item_classes(by_item).groupBy("class").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
+    bench = save(by_item.drop("item_id").distinct(), "class_windows")
     lengths = sorted(r.length for r in bench.select("length").distinct().collect())  # 1 to window
     spark = docs.sparkSession
     seen = spark.sparkContext.broadcast(bit_map(bench))
@@ -202,10 +233,10 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, covera
 
     hits = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string")) \
         .mapInArrow(run, "doc_id long, text_key long, " + WINDOW_SCHEMA)
-    met = hits.join(bench.select("item_id", "n_tokens", F.col("place").alias("item_place"), "length", "template",
+    met = hits.join(bench.select("class", "n_tokens", F.col("place").alias("item_place"), "length", "template",
                                  F.col("slots").alias("item_slots")), "template") \
         .withColumn("diagonal", F.col("place") - F.col("item_place"))
-    doc = ["doc_id", "text_key", "item_id", "n_tokens"]
+    doc = ["doc_id", "text_key", "class", "n_tokens"]
     key = [*doc, "diagonal"]
     pairs = F.array_distinct(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("was"), b.alias("is"))))
     # All that follows up to the diagonals is dealt by ``key``; a diagonal has at most an item's windows.
@@ -213,21 +244,20 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, covera
              .select(*key, "item_place", "length", "plain", F.explode_outer(pairs).alias("p"))
              .select(*key, "item_place", "length", "plain", "p.was", "p.is")
              .withColumn("votes", F.count("*").over(Window.partitionBy(*key, "was", "is"))))
-    best = Window.partitionBy(*key, "was").orderBy(F.desc("votes"), F.desc(F.col("is") == F.col("was")), "is")
+    best = Window.partitionBy(*key, "was").orderBy(F.desc("votes"), "is")
     judged = (votes.withColumn("main", F.first("is").over(best))
-              .groupBy(*key, "item_place", "length", "plain")
-              .agg(F.min(F.col("is").eqNullSafe(F.col("main"))).alias("ok"),
-                   F.min(F.col("is").eqNullSafe(F.col("was"))).alias("same")))
+              .groupBy(*key, "item_place", "length", "plain").agg(F.min(F.col("is").eqNullSafe(F.col("main"))).alias("ok")))
     diagonal = (judged.groupBy(*key)
                 .agg(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("ok"), F.sequence(
                          "item_place", F.col("item_place") + F.col("length") - 1))))).alias("covered"),
                      F.countDistinct(F.when(F.col("ok"), F.col("item_place"))).alias("windows"),
-                     F.min("same").alias("same")))
+                     F.size(F.array_except(F.collect_set(F.when(~F.col("plain"), F.col("item_place"))),
+                                           F.collect_set(F.when(F.col("plain"), F.col("item_place"))))).alias("other")))
     found = (diagonal.filter("windows > 0").groupBy(*doc)
              .agg(F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered"),
-                  F.sum("windows").alias("n_windows"), F.min("same").alias("exact")))
+                  F.sum("windows").alias("n_windows"), (F.sum("other") == 0).alias("exact")))
     return (found.withColumn("coverage", F.size("covered") / F.col("n_tokens")).filter(F.col("coverage") >= coverage)
-            .select("doc_id", "text_key", "item_id", "n_windows", "coverage", "exact"))
+            .join(classes, "class").select("doc_id", "text_key", "item_id", "n_items", "n_windows", "coverage", "exact"))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -114,9 +114,9 @@ def op8_language_id(spark, sf_dir):
 
 @register("op9_benchmark_decontamination")
 def op9_benchmark_decontamination(spark, sf_dir):
-    """One row for each document and the benchmark item that contaminates it."""
+    """One row for each document and class of benchmark items that contaminates it; the smallest item id stands for the class."""
     found = decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", "n_windows", "coverage", "exact")
+    return found.select("doc_id", "item_id", "n_items", "n_windows", "coverage", "exact")
 
 
 @register("op10_pii")
