@@ -89,7 +89,7 @@ class OrderedProcessor(StatefulProcessor):
 
     payload: tuple[str, ...] = ()
     output: tuple[str, ...] = ()
-    #: Width of the time slices in which rows wait; subclasses take their bound.
+    #: Width of the time slices in which rows wait: what is read at once when the watermark moves.
     slice_us: int = HOUR_US
 
     def fresh(self) -> list:
@@ -116,7 +116,8 @@ class OrderedProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slice long", "rows string")
+        # One entry for what a micro-batch brings to a slice, named by its first row: nothing is rewritten as more comes.
+        self.waiting = handle.getMapState("waiting", "slice long, us long, seq long", "rows string")
         self.machine = handle.getValueState("machine", "st string")
 
     def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
@@ -130,8 +131,8 @@ class OrderedProcessor(StatefulProcessor):
                     parts.setdefault(row[0] // self.slice_us, []).append(list(row))
                     first = row[0] if first is None else min(first, row[0])
             for part, new in parts.items():
-                slot = (part,)
-                if self.waiting.containsKey(slot):
+                slot = (part, new[0][0], new[0][1])
+                if self.waiting.containsKey(slot):            # the same event again
                     new = json.loads(self.waiting.getValue(slot)[0]) + new
                 self.waiting.updateValue(slot, (json.dumps(new),))
         if first is not None:
@@ -146,20 +147,25 @@ class OrderedProcessor(StatefulProcessor):
         st = json.loads(held[0]) if held is not None else self.fresh()
         out: list[tuple] = []
         upcoming = None
-        for part in sorted(k[0] for k in self.waiting.keys()):
+        slots: dict[int, list[tuple]] = {}
+        for slot in self.waiting.keys():
+            slots.setdefault(slot[0], []).append(tuple(slot))
+        for part in sorted(slots):
             if part * self.slice_us > wm_us:
                 upcoming = part * self.slice_us
                 break
-            events = sorted(json.loads(self.waiting.getValue((part,))[0]), key=lambda e: (e[0], e[1]))
+            events = [e for slot in slots[part] for e in json.loads(self.waiting.getValue(slot)[0])]
+            events.sort(key=lambda e: (e[0], e[1]))
             rest = [e for e in events if e[0] > wm_us]
             for us, seq, *row in events[:len(events) - len(rest)]:
                 out += self.advance(key, st, us - 1)
                 out += self.step(key, st, us, seq, tuple(row))
+            for slot in slots[part]:
+                self.waiting.removeKey(slot)
             if rest:
-                self.waiting.updateValue((part,), (json.dumps(rest),))
+                self.waiting.updateValue((part, rest[0][0], rest[0][1]), (json.dumps(rest),))
                 upcoming = rest[0][0]
                 break
-            self.waiting.removeKey((part,))
         out += self.advance(key, st, wm_us)
         forget = self.forget_at(st)
         if st == self.fresh() or (forget is not None and forget <= wm_us):
@@ -198,7 +204,6 @@ class ClickCapProcessor(OrderedProcessor):
 
     def __init__(self, max_count: int, reset_us: int | None):
         self.max_count, self.reset_us = max_count, reset_us
-        self.slice_us = max(HOUR_US, reset_us or DAY_MS * 1000)
 
     def fresh(self) -> list:
         return [None, 0]
@@ -293,7 +298,6 @@ class FailPairProcessor(OrderedProcessor):
 
     def __init__(self, within_us: int):
         self.within_us = within_us
-        self.slice_us = max(HOUR_US, within_us)
 
     def fresh(self) -> list:
         return [None]
@@ -319,7 +323,6 @@ class BurstProcessor(OrderedProcessor):
 
     def __init__(self, window_us: int, min_fails: int):
         self.window_us, self.min_fails = window_us, min_fails
-        self.slice_us = max(HOUR_US, window_us)
 
     def fresh(self) -> list:
         return [False, False, 0, 0, 0]
@@ -383,7 +386,6 @@ class OrderPatternProcessor(OrderedProcessor):
 
     def __init__(self, within_us: int):
         self.within_us = within_us
-        self.slice_us = max(HOUR_US, within_us)
 
     def fresh(self) -> list:
         return [[]]
@@ -418,7 +420,6 @@ class OrderStatusProcessor(OrderedProcessor):
 
     def __init__(self, timeout_us: int, memory_us: int | None):
         self.timeout_us, self.memory_us = timeout_us, memory_us
-        self.slice_us = max(HOUR_US, timeout_us)
 
     def fresh(self) -> list:
         return [[], None]
@@ -458,7 +459,6 @@ class OrderMatchProcessor(OrderedProcessor):
 
     def __init__(self, timeout_us: int, horizon_us: int, memory_us: int | None):
         self.timeout_us, self.horizon_us, self.memory_us = timeout_us, horizon_us, memory_us
-        self.slice_us = max(HOUR_US, timeout_us)
 
     def fresh(self) -> list:
         return [None, None, None]
