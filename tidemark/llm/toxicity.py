@@ -257,9 +257,10 @@ def learn_lexicon(sample: DataFrame, weights: dict[int, float], docs: DataFrame,
         return []
     per_word = (rows.select("key", "g", F.explode("words").alias("word")).distinct().groupBy("word")
                 .agg(F.sum("key").alias("t"), F.sum(1 - F.col("key")).alias("c")).filter(F.col("t") >= MIN_GROUPS))
-    # The mean clean use of a term is at most ``most`` groups of the sample; three deviations and one more are out of question.
+    # The mean clean use of a term is at most ``most`` groups of the sample; three deviations and one more are out of question,
+    # and so is a word that is not even twice as frequent in the toxic part.
     most = (F.col("t") + 0.5) / (totals[1] + 1.0) * (totals[0] + 1.0) / math.exp(MIN_LOG_ODDS)
-    per_word = save(per_word.filter(F.col("c") <= most + 3 * F.sqrt(most) + 1).select("word", "t"), "toxic_words")
+    per_word = save(per_word.filter(F.col("c") <= F.least(most + 3 * F.sqrt(most) + 1, (F.col("t") + 0.5) * totals[0] / totals[1] / 2)).select("word", "t"), "toxic_words")
     in_question = [r.word for r in per_word.select("word").collect()]  # words of the bounded sample
     facts = save(word_facts(docs.select("doc_id", "text"), in_question), "word_facts")
     clean_rows = save(facts.join(marked.filter("toxic = 0").select(F.col("doc_id").alias("key")), "key", "left_semi")
