@@ -173,5 +173,5 @@ def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path):
 def test_registered_queries_of_the_subpackage(spark):
     import __spark_entry__ as entry
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", x)[0] for x in names if x.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", x)[0] for x in names if x.startswith("op")}
     assert "pipeline" in names and "op2_top_k_search" in entry.oracle_sql()
