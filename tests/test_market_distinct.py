@@ -3,11 +3,18 @@ import random
 from pyspark.sql import functions as F
 
 from conftest import frame
-from tidemark.functions.hashing import slot_hash_long, slot_hash_py, slot_hash_string
+from tidemark.functions.hashing import DEFAULT_BITS, DEFAULT_SEED, slot_hash_long, slot_hash_string
 from tidemark.operators import market
 from tidemark.operators.distinct import uv_bitmap_hourly, uv_running, unique_visitors_hourly
 
 
+def slot_hash_py(value, seed=DEFAULT_SEED, bits=DEFAULT_BITS):
+    h = 0
+    for ch in str(value):
+        h = (h * seed + ord(ch)) & ((1 << bits) - 1)
+    return h
+
+
 def test_click_cap_boundaries(spark):
     day = 86_400
     rows = [(7, 1, "P", "C", 1_000 + i, i) for i in range(102)] + [(7, 1, "P", "C", 1_000 + day, 500)]

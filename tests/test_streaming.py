@@ -176,14 +176,14 @@ def test_two_creates_and_two_pays(spark):
     assert sorted((epoch(r.create_ts), epoch(r.pay_ts)) for r in got) == [(100, 300), (200, 300)]
 
 
-@pytest.mark.parametrize("parts", [1, 4])
-def test_stream_tx_reconcile(spark, parts):
+@pytest.mark.parametrize("parts,bucket", [(1, None), (4, None), (4, "10 seconds"), (2, "1 hour")])
+def test_stream_tx_reconcile(spark, parts, bucket):
     rows = logs.order_rows(seed=7)
     recs = logs.receipt_rows(rows)
     end = max(r[3] for r in rows) + FAR
     orders = _feed(spark, [*rows, (999, "pay", "end", end, 10_000)], ORDER, parts, "od")
     receipts = _feed(spark, [*recs, ("other", "cash", end, 10_000)], RECEIPT, parts, "rc")
-    got = _rows(spark, SJ.stream_tx_reconcile(orders, receipts, "5 seconds", "1 hour"), f"tx{parts}")
+    got = _rows(spark, SJ.stream_tx_reconcile(orders, receipts, "5 seconds", "1 hour", bucket), f"tx{parts}{(bucket or '')[:2].strip()}")
     pairs, lone_pays, lone_receipts = logs.tx_pairs(rows, recs, 5)
     assert sorted((r.tx_id, r.order_id, epoch(r.receipt_ts) - epoch(r.pay_ts)) for r in got if r.tag == "matched") == pairs
     assert sorted(r.tx_id for r in got if r.tag == "unmatched_pay") == lone_pays

@@ -51,11 +51,3 @@ def slot_hash_long(c: Column, seed: int = DEFAULT_SEED, bits: int = DEFAULT_BITS
         total = term if total is None else total + term
     arithmetic = F.pmod(total, F.lit(mod))
     return F.when(v >= 0, arithmetic).otherwise(slot_hash_string(v.cast("string"), seed, bits))
-
-
-def slot_hash_py(value, seed: int = DEFAULT_SEED, bits: int = DEFAULT_BITS) -> int:
-    """Plain-Python form, for tests."""
-    h = 0
-    for ch in str(value):
-        h = (h * seed + ord(ch)) & ((1 << bits) - 1)
-    return h

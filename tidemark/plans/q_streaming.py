@@ -402,10 +402,10 @@ def stream_hot_urls_ranked(spark, sf_dir):
 
 @register("stream_tx_side_outputs", _TX_RECONCILE_SQL)
 def stream_tx_side_outputs(spark, sf_dir):
-    """Matched pairs and both unmatched sides, each in a sink of its own."""
+    """Matched pairs and both unmatched sides, each in a sink of its own, with state by (tx id, time bucket)."""
     pays = Feed(spark, sf_dir, ("orders", "lineitem"), disorder=ORDER_DISORDER)
     out = SJ.stream_tx_reconcile(views.order_events(spark, sf_dir, streaming=pays),
-                                 views.receipts(spark, sf_dir, streaming=pays), TX_BOUND, TX_DELAY)
+                                 views.receipts(spark, sf_dir, streaming=pays), TX_BOUND, TX_DELAY, bucket="400 days")
     return run_side_outputs(out, ["matched", "unmatched_pay", "unmatched_receipt"], "tx_side_outputs", pays)
 
 
