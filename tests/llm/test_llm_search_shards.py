@@ -12,14 +12,12 @@ from tidemark.llm import sharding, topk
 
 def brute_top(rows, is_query, k):
     """rows: (vec_id, list); exact integers."""
-    use = {(i, tuple(v)): [math.floor(256 * float(np.float32(x))) for x in v] for i, v in rows
-           if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    use = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows
+           if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for (i, raw), q in use.items():
-        if not is_query(i):
-            continue
-        scored = [(-sum(a * b for a, b in zip(q, x)), j) for (j, _), x in use.items() if j != i]
-        scored = [(max(-2 ** 63, min(2 ** 63 - 1, -s)), j) for s, j in scored]
+    for i in {i for i, _ in use if is_query(i)}:
+        scored = [(sum(a * b for a, b in zip(q, x)), j) for own, q in use if own == i for j, x in use if j != i]
+        scored = [(max(-2 ** 63, min(2 ** 63 - 1, s)), j) for s, j in scored]
         out += [(i, n + 1, j, s) for n, (s, j) in enumerate(sorted(scored, key=lambda x: (-x[0], x[1]))[:k])]
     return sorted(out)
 
@@ -36,7 +34,9 @@ def test_top_k_equals_brute_force(spark, pivots, chunk):
     centres = rnd.normal(size=(6, 8))
     rows = [(k, (centres[k % 6] + 0.2 * rnd.normal(size=8)).astype(np.float32).tolist()) for k in range(400)]
     rows += [(500 + k, rows[7][1]) for k in range(60)]                    # one hot vector
-    rows += [(600, rows[1][1]), (600, rows[1][1])]                        # a row again
+    rows += [(600, rows[1][1]), (600, rows[1][1])]                        # a query again
+    rows += [(601, rows[5][1])] * 3                                       # a candidate again
+    rows += [(15, rows[8][1])]                                            # an id of two vectors
     rows += [(700, None), (701, []), (702, [1.0, 2.0]), (703, [float("nan")] * 8), (704, [float("inf")] * 8),
              (705, [None] * 8), (None, rows[2][1]), (710, [0.0] * 8)]
     assert run(spark, rows, k=5, pivots=pivots, chunk=chunk) == brute_top(rows, lambda i: i % 5 == 0, 5)
@@ -49,6 +49,40 @@ def test_top_k_with_large_components_and_few_candidates(spark):
     assert run(spark, [], k=5) == []
 
 
+def test_repeated_rows_agree_with_the_query_s_sql(spark, tmp_path):
+    import duckdb
+
+    from tidemark.llm import queries, registry
+    rnd = np.random.default_rng(9)
+    rows = [(k, rnd.normal(size=6).astype(np.float32).tolist()) for k in range(150)]
+    rows += [rows[3]] * 4 + [rows[50]] * 2 + [(100, rows[7][1])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2).write.parquet(
+        str(tmp_path / "embeddings.parquet"))
+    got = sorted(tuple(r) for r in queries.op2_top_k_search(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(con.execute(registry.ORACLE["op2_top_k_search"]).fetchall())
+
+
+def test_routing_opens_few_annuli_of_clustered_vectors(spark):
+    """Every annulus that meets a query's interval is met once, and buckets keep the far ones away."""
+    rnd = np.random.default_rng(2)
+    shells = [(c, c * 100 + n, float(10 * n + c), float(10 * n + c + rnd.integers(0, 9))) for c in range(3) for n in range(40)]
+    df = spark.createDataFrame(shells, "cell int, shell long, near double, far double")
+    buckets = topk.Buckets(df, 4)
+    placed = buckets.place(df).collect()
+    assert len(placed) <= 3 * len(shells)
+    for low, high in ((-5.0, 2.0), (33.0, 34.0), (100.5, 262.0), (0.0, 1e9)):
+        for c in range(3):
+            a, b = (int(buckets.of(np.array([c]), np.array([x]))[0]) for x in (low, high))
+            met = sorted(r.shell for r in placed if r.cell == c and a <= r.bucket <= b and r.bucket == max(a, r.first)
+                         and r.far >= low and r.near <= high)
+            assert met == sorted(s for cell, s, near, far in shells if cell == c and far >= low and near <= high)
+        if high < 50:
+            assert sum(a <= r.bucket <= b for r in placed if r.cell == 2) <= 4
+    assert topk.pivot_count(10_000) == topk.PIVOTS and topk.pivot_count(10 ** 6) > topk.PIVOTS
+
+
 def test_index_holds_every_row(spark):
     rnd = np.random.default_rng(1)
     df = spark.createDataFrame([(k, rnd.normal(size=4).tolist()) for k in range(200)], "vec_id long, embedding array<double>")

@@ -4,8 +4,8 @@ Vectors are quantised to integers and get one more coordinate that brings all of
 largest norm M, so the highest inner product is the smallest Euclidean distance: for a query q
 (extra coordinate 0) and a vector x, |q - x|^2 = |q|^2 + M^2 - 2 <q, x>.
 
-* Index: at most ``SAMPLE`` vectors (by id hash) give ``PIVOTS`` pivots by a few k-means steps.
-  Every vector is keyed by its nearest pivot and its distance to it, rows are range-partitioned by
+* Index: at most ``SAMPLE`` vectors (by id hash) give the pivots by a few k-means steps; their number
+  grows with the rows (``pivot_count``).  Every vector is keyed by its nearest pivot and its distance to it, rows are range-partitioned by
   (pivot, distance, id), and runs of at most ``CHUNK`` rows become *annuli*: packed matrices with
   their least and largest distance.  A hot cell is cut into as many annuli as its rows need.
 * First expansion: a query scores the annulus nearest to its own distance in each of its ``PROBES``
@@ -14,14 +14,20 @@ largest norm M, so the highest inner product is the smallest Euclidean distance:
   inequality its pivot distance is in [s - D, s + D] for the query's pivot distance s.  Only annuli
   that meet this interval are opened; all others are proven to hold nothing.
 
+Queries find their annuli by a join on (cell, distance bucket): a cell's range of distances is cut into
+as many buckets as it has annuli, and an annulus stands in each bucket up to the start of the next
+one.  So no query is compared with a whole cell, and a hot cell is many join keys.
+
 Queries meet annuli in blocks of at most about ``QUERY_BLOCK``, so a task holds one annulus and one
 block.  Scores are exact: products that fit are multiplied in float64 (exact below 2^53), others
 as Python integers, cut to the range of a long.
 
 Edge cases: vectors that are null, hold null or non-finite components, or have a null id take no
-part; shorter vectors count as padded with zeros (an empty one is all zeros); rows equal in id and
-vector count once; rows sharing a query's id are never its candidates; fewer than k
-candidates give fewer rows; an empty table gives none; other columns are ignored.
+part; shorter vectors count as padded with zeros (an empty one is all zeros); every row is a
+candidate, repeated ones each time; rows sharing a query's id are never its candidates; rows that
+share an id and are queries are ranked together, pairs of repeated rows each time (as in a join of
+the table with itself); fewer than k candidates give fewer rows; an empty table gives none; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,6 +111,11 @@ def pick_pivots(sample: np.ndarray, pivots: int, steps: int = 6) -> np.ndarray:
     return centres
 
 
+def pivot_count(rows: int, chunk: int = CHUNK) -> int:
+    """Pivots for so many rows: cells of about 16 annuli, as far as the bounded sample can place them."""
+    return max(PIVOTS, min(SAMPLE // 4, rows // (16 * chunk)))
+
+
 def build_index(vectors: DataFrame, dim: int, norm2: float, centres: np.ndarray, chunk: int = CHUNK) -> DataFrame:
     """Annuli (cell, annulus, near, far, ids, vecs) over every row of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -126,7 +137,7 @@ def build_index(vectors: DataFrame, dim: int, norm2: float, centres: np.ndarray,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        number, held, last = TaskContext.get().partitionId() << 32, [], None
+        number, held = TaskContext.get().partitionId() << 32, []
 
         def emit() -> pa.RecordBatch:
             nonlocal number, held
@@ -143,12 +154,9 @@ def build_index(vectors: DataFrame, dim: int, norm2: float, centres: np.ndarray,
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (row[0], row[3]) == last:
-                    continue  # the same id and vector again
                 if held and (held[0][1] != row[1] or len(held) == chunk):
                     yield emit()
                 held.append(row)
-                last = row[0], row[3]
         if held:
             yield emit()
 
@@ -186,9 +194,39 @@ def score_annuli(routed: DataFrame, annuli: DataFrame, dim: int, k: int, blocks:
         run, "query long, query_id long, vec_id long, score long")
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS, chunk: int = CHUNK) -> DataFrame:
+class Buckets:
+    """Distance buckets of the cells: as many of one width as the cell has annuli.  A few numbers a cell."""
+
+    def __init__(self, shells: DataFrame, cells: int):
+        self.start, self.width, self.count = np.zeros(cells), np.ones(cells), np.zeros(cells, dtype=np.int64)
+        for r in shells.groupBy("cell").agg(F.min("near").alias("start"), F.max("far").alias("end"),
+                                            F.count("*").alias("n")).collect():
+            self.start[r.cell], self.count[r.cell] = r.start, r.n
+            self.width[r.cell] = (r.end - r.start) / r.n or 1.0
+
+    def of(self, cell: np.ndarray, dist: np.ndarray) -> np.ndarray:
+        at = np.floor((dist - self.start[cell]) / self.width[cell])
+        return np.clip(at, 0, np.maximum(0, self.count[cell] - 1)).astype(np.int64)
+
+    def place(self, shells: DataFrame) -> DataFrame:
+        """(cell, shell, near, far, first, bucket) for each bucket from an annulus's start to the next one's."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cell, near, until = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "near", "until"))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(n) for n in ("cell", "shell", "near", "far")),
+                     pa.array(self.of(cell, near)), pa.array(self.of(cell, until))],
+                    names=["cell", "shell", "near", "far", "first", "last"])
+
+        following = F.lead("near").over(Window.partitionBy("cell").orderBy("near", "far", "shell"))
+        return (shells.withColumn("until", F.greatest(F.col("far"), F.coalesce(following, F.lit(math.inf))))
+                .mapInArrow(run, "cell int, shell long, near double, far double, first long, last long")
+                .withColumn("bucket", F.explode(F.sequence("first", "last"))).drop("last"))
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of every row for which ``is_query``
-    (a condition on ``vec_id``) holds, ties to the smaller vec_id."""
+    (a condition on ``vec_id``) holds, ties to the smaller vec_id.  ``pivots``: ``pivot_count`` if not given."""
     spark = vectors.sparkSession
     small_batches(spark)
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")) \
@@ -196,15 +234,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
     norm = F.aggregate(F.transform("embedding", lambda x: F.floor(x * SCALE).cast("double")), F.lit(0.0),
                        lambda a, x: a + x * x)
     facts = rows.agg(F.max(norm).alias("norm2"), F.max(F.size("embedding")).alias("dim"),
-                     F.sum(is_query.cast("long")).alias("queries")).first()
+                     F.count("*").alias("rows"), F.sum(is_query.cast("long")).alias("queries")).first()
     out = "query_id long, rank int, vec_id long, score long"
     if not facts.queries:
         return spark.createDataFrame([], out)
     dim, norm2 = max(1, facts.dim), facts.norm2
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    centres = pick_pivots(lift(quantise([r.embedding for r in sample], dim), norm2), pivots)
+    centres = pick_pivots(lift(quantise([r.embedding for r in sample], dim), norm2),
+                          pivots or pivot_count(facts.rows, chunk))
     annuli = save(build_index(rows, dim, norm2, centres, chunk), "annuli")
     shells = annuli.select("cell", F.col("annulus").alias("shell"), "near", "far")
+    buckets = Buckets(shells, len(centres))
+    placed = save(buckets.place(shells), "shells")
 
     blocks = max(1, -(-facts.queries // QUERY_BLOCK))
     centre_var = spark.sparkContext.broadcast(centres)
@@ -216,11 +257,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
                 names=["query_id", "vec"])
 
     # ``query`` tells rows with one id but different vectors apart.
-    queries = save(rows.filter(is_query).mapInArrow(read, "query_id long, vec binary").distinct()
+    queries = save(rows.filter(is_query).mapInArrow(read, "query_id long, vec binary")
+                   .groupBy("query_id", "vec").agg(F.count("*").alias("copies"))
                    .withColumn("query", F.xxhash64("query_id", "vec")), "queries")
 
     def route(nearest: int | None):
-        """Cells of each query with the interval of pivot distances that can hold an answer."""
+        """Cells of each query with the interval of pivot distances that can hold an answer; in its
+        ``nearest`` cells, where given, the interval is the query's own distance."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
@@ -231,17 +274,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
                 reach = np.sqrt(np.maximum(0.0, (points ** 2).sum(axis=1) + norm2 - 2 * bound)) + SLACK * math.sqrt(norm2) + SLACK
                 cells = np.argsort(dist, axis=1)[:, :nearest]
                 q = np.repeat(np.arange(len(points)), cells.shape[1])
-                s = dist[q, cells.ravel()]
+                cell, s = cells.ravel(), dist[q, cells.ravel()]
+                low, high = (s, s) if nearest else (s - reach[q], s + reach[q])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("query").take(pa.array(q)), pa.array(cells.ravel().astype(np.int32)),
-                     pa.array(s), pa.array(s - reach[q]), pa.array(s + reach[q])],
-                    names=["query", "cell", "s", "low", "high"])
+                    [batch.column("query").take(pa.array(q)), pa.array(cell.astype(np.int32)),
+                     pa.array(s), pa.array(low), pa.array(high),
+                     pa.array(buckets.of(cell, low)), pa.array(buckets.of(cell, high))],
+                    names=["query", "cell", "s", "low", "high", "from", "to"])
         return run
 
-    route_schema = "query long, cell int, s double, low double, high double"
+    def meet(bounded: DataFrame, nearest: int | None) -> DataFrame:
+        """Queries with the annuli in their buckets; a pair stands in the first bucket that both have."""
+        return (bounded.mapInArrow(route(nearest), "query long, cell int, s double, low double, high double, "
+                                                   "from long, to long")
+                .withColumn("bucket", F.explode(F.sequence("from", "to"))).join(placed, ["cell", "bucket"])
+                .filter(F.col("bucket") == F.greatest("from", "first")))
+
     open_bound = queries.withColumn("bound", F.lit(None).cast("long"))
     gap = F.greatest(F.lit(0.0), F.col("near") - F.col("s"), F.col("s") - F.col("far"))
-    seeds = (open_bound.mapInArrow(route(PROBES), route_schema).join(shells, "cell")
+    seeds = (meet(open_bound, PROBES)
              .groupBy("query", "cell").agg(F.min_by("shell", F.struct(gap, F.col("shell"))).alias("annulus")))
     seeded = score_annuli(seeds.select("query", "annulus").join(open_bound, "query"), annuli, dim, k, blocks)
     by_score = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
@@ -249,9 +300,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
                .select("query", F.col("score").alias("bound")), "bounds")
     bounded = save(queries.join(kth, "query", "left"), "bounded")
 
-    spans = bounded.mapInArrow(route(None), route_schema)
-    sent = (spans.join(shells, "cell").filter((F.col("far") >= F.col("low")) & (F.col("near") <= F.col("high")))
+    sent = (meet(bounded, None).filter((F.col("far") >= F.col("low")) & (F.col("near") <= F.col("high")))
             .select("query", F.col("shell").alias("annulus")).join(bounded, "query"))
     found = score_annuli(sent, annuli, dim, k, blocks)
-    return (found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+    by_id = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return (best.join(queries.select("query", F.least(F.col("copies"), F.lit(k)).alias("copies")), "query")
+            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+            .withColumn("rank", F.row_number().over(by_id)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
