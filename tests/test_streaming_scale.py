@@ -1,10 +1,14 @@
 """The cost of the streaming operators: calls to the state store and rows between operators, not seconds."""
 
+import json
+import random
+
 import pandas as pd
+import pytest
 
 from tidemark.streaming import processors as SP
 
-DAY = 86_400_000_000
+MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000
 
 
 class Store:
@@ -120,3 +124,45 @@ def test_null_keys_and_numbers_stay_null():
     assert [r[-1] for r in got] == ["main", "blacklist", "main"]
     assert got[0][0] == got[1][0] == big and got[2][0] is None
     assert got[0][5] == 7 and got[1][5] is None and got[2][2:4] == (None, "c")
+
+
+def _sliding(seed, number):
+    """Closed panes in batches with the watermark that closed them, and the counts of each window that starts in the hour."""
+    rnd = random.Random(seed)
+    panes, want = {}, {}
+    for _ in range(300):
+        at = HOUR + rnd.choice([rnd.randrange(60), 40 + rnd.randrange(3)]) * MINUTE
+        panes.setdefault(at, {})
+        k = rnd.choice([None, *(["3", "10", "200"] if number else ["a", "B", "ü", "zz"])])
+        panes[at][k] = panes[at].get(k, 0) + 1
+        for start in range(at - 9 * MINUTE, at + 1, MINUTE):
+            if HOUR <= start < 2 * HOUR:
+                want[start, k] = want.get((start, k), 0) + 1
+    cuts = [0, 67, 67, 91, 93, 130, 140]
+    batches = [(pd.DataFrame([(at, k, c) for at in sorted(panes) if lo < at // MINUTE + 1 <= hi for k, c in panes[at].items()],
+                             columns=["pane_us", "key", "cnt"]), hi * 60_000) for lo, hi in zip(cuts, cuts[1:])]
+    return batches, want
+
+
+@pytest.mark.parametrize("top, number", [(None, False), (2, False), (2, True)])
+def test_sliding_sums_of_one_block(top, number):
+    """A pane is held once in its block, not once for each window; windows come once, with all or the highest counts."""
+    batches, want = _sliding(3, number)
+    now, got = 0, []
+    proc, store = SP.SlidingProcessor(10 * MINUTE, MINUTE, HOUR, top, number), Store()
+    proc.init(store)
+    for frame, then in batches:                           # the panes come in the batch whose watermark closes them
+        list(proc.handleInputRows((1, 0), iter([frame] if len(frame) else []), At(then)))
+        now = then
+        assert sum(len(json.loads(rows)[0]) for (rows,) in proc.panes.cells.values()) <= len(want) // 2
+        due = {t for t in store.timers if t <= now}
+        store.timers -= due
+        for _ in due:
+            out = [r for df in proc.handleExpiredTimer((1, 0), At(now), None) for r in df.itertuples(index=False, name=None)]
+            assert all(now * 1000 - r[0] >= 10 * MINUTE for r in out)
+            got += out
+    if top is not None:
+        order = lambda w: (-w[1], w[0][1] is not None, (int(w[0][1]) if number else w[0][1].encode()) if w[0][1] is not None else 0)
+        want = {k: c for s in {s for s, _ in want} for k, c in sorted((w for w in want.items() if w[0][0] == s), key=order)[:top]}
+    assert sorted(map(str, got)) == sorted(str((s, k, c)) for (s, k), c in want.items())
+    assert not store.timers and not proc.panes.cells and store.calls < 100
