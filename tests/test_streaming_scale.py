@@ -6,6 +6,8 @@ import random
 import pandas as pd
 import pytest
 
+from conftest import frame
+from tidemark.operators import topn, windows
 from tidemark.streaming import processors as SP
 
 MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000
@@ -166,3 +168,18 @@ def test_sliding_sums_of_one_block(top, number):
         want = {k: c for s in {s for s, _ in want} for k, c in sorted((w for w in want.items() if w[0][0] == s), key=order)[:top]}
     assert sorted(map(str, got)) == sorted(str((s, k, c)) for (s, k), c in want.items())
     assert not store.timers and not proc.panes.cells and store.calls < 100
+
+
+@pytest.mark.parametrize("key", ["url", "item"])
+def test_batch_ranking_expands_no_windows(spark, key):
+    """The ranking sees a few rows for each window, however many keys it has, and gives the rows of the plain counts."""
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, *(f"ü{k}" for k in range(60))]), rnd.randrange(9, 200), 1_700_000_000 + rnd.randrange(5000)) for _ in range(2000)]
+    df = frame(spark, rows, "url string, item long, ts long")
+    top = windows.sliding_top(df, "ts", key, "10 minutes", "5 seconds", 2).cache()
+    plain = windows.sliding_count(df, "ts", [key], "10 minutes", "5 seconds")
+    per_window = top.groupBy("window_end").count().agg({"count": "max"}).first()[0]
+    assert per_window <= 2 * windows.TOP_PARTS and top.count() * 2 < plain.count()
+    ranked = [sorted(map(str, topn.topn_per_group(c, "window_end", "cnt", key, 2).collect())) for c in (top, plain)]
+    assert ranked[0] == ranked[1] and ranked[0]
+    top.unpersist()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .topn import topn_per_group
-from .windows import sliding_count, tumbling_count
+from .windows import sliding_count, sliding_top, tumbling_count
 
 # Window shapes and list sizes of the traffic reports.
 HOT_ITEMS_SIZE, HOT_ITEMS_SLIDE, HOT_ITEMS_N = "60 minutes", "5 minutes", 3
@@ -40,7 +40,7 @@ def hot_urls_topn(access_log: DataFrame, size=HOT_URLS_SIZE, slide=HOT_URLS_SLID
     In batch every row counts (no row is late); the streaming form applies the
     out-of-orderness bound plus allowed lateness as its watermark delay.
     """
-    counts = url_window_counts(access_log, size, slide)
+    counts = sliding_top(access_log, "ts", "url", size, slide, n)
     return topn_per_group(counts, "window_end", "cnt", "url", n)
 
 

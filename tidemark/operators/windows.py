@@ -174,6 +174,45 @@ def sliding_count(df: DataFrame, ts: str, keys, size, slide, *, count_col: str =
     return window_aggregate(df, ts, keys, size, slide, {count_col: Agg("count")})
 
 
+#: Groups of keys that a block of time is split into.
+TOP_PARTS = 8
+TOP_BLOCK = 3_600_000_000
+
+
+def sliding_top(df: DataFrame, ts: str, key: str, size, slide, n: int, *, count_col: str = "cnt") -> DataFrame:
+    """The rows of :func:`sliding_count` that may be among the ``n`` highest counts of a window (ties to the smaller
+    key, a number or string): at most ``n`` for each of ``TOP_PARTS`` groups of keys.
+
+    Panes are shuffled by (block of time, group) and a running count goes through a block's windows, so the
+    expanded (window, key) rows are never made; a group holds the panes of a block."""
+    size_us, slide_us = duration_us(size), duration_us(slide)
+    pane_us = math.gcd(size_us, slide_us)
+    like, kind = ts_type(df, ts), df.schema[key].dataType
+    number = isinstance(kind, T.IntegralType)
+    width = max(-(-size_us // slide_us), -(-TOP_BLOCK // slide_us)) * slide_us
+    panes = df.groupBy((ifloor(to_micros(df, ts), pane_us) * F.lit(pane_us)).alias("pane_us"), key).agg(F.count(F.lit(1)).alias("cnt"))
+    pane = F.col("pane_us")
+    first = ifloor((ifloor(pane - F.lit(size_us), slide_us) + 1) * F.lit(slide_us), width)
+    last = ifloor(ifloor(pane, slide_us) * F.lit(slide_us), width)
+    panes = panes.where(pane.isNotNull()).select(
+        F.explode(F.sequence(first, last)).alias("block"), F.pmod(F.xxhash64(key), F.lit(TOP_PARTS)).alias("part"),
+        "pane_us", F.col(key).cast("string").alias("key"), "cnt")
+    rows = panes.groupBy("block", "part").applyInPandas(
+        _top_of_block(size_us, slide_us, width, n, number), "start_us long, key string, cnt long")
+    start = F.col("start_us")
+    return rows.select(micros_to_ts(start, like).alias("window_start"), micros_to_ts(start + F.lit(size_us), like).alias("window_end"),
+                       F.col("key").cast(kind).alias(key), F.col("cnt").alias(count_col))
+
+
+def _top_of_block(size_us: int, slide_us: int, width: int, n: int, number: bool):
+    from ..functions.sliding import top_of_block
+
+    def run(group, pdf):
+        return top_of_block(int(group[0]), pdf, size_us, slide_us, width, n, number)
+    run.__module__ = "__main__"                           # by value, as the function it calls
+    return run
+
+
 def tumbling_count(df: DataFrame, ts: str, keys, size, *, count_col: str = "cnt") -> DataFrame:
     return window_aggregate(df, ts, keys, size, None, {count_col: Agg("count")})
 
