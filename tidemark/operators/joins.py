@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import duration_us, ifloor, to_micros
-from .timeline import Timeline
 
 # The reconciliation bound and the receipt-less transaction filter.
 RECONCILE_BOUND = "5 seconds"
@@ -104,34 +103,37 @@ def tx_unmatched_receipts(order_events: DataFrame, receipts: DataFrame, bound=RE
     return interval_anti_join(rec, _pays(order_events).select("tx_id", "ts"), "tx_id", -b, b)
 
 
-def tx_reconcile(order_events: DataFrame, receipts: DataFrame, bound=RECONCILE_BOUND) -> DataFrame:
+def tx_reconcile(order_events: DataFrame, receipts: DataFrame, bound=RECONCILE_BOUND, bucket=None) -> DataFrame:
     """All three outputs in one frame with a ``tag`` column:
-    'matched', 'unmatched_pay', 'unmatched_receipt'."""
-    pairs = tx_pairs(order_events, receipts, bound).withColumn("tag", F.lit("matched"))
-    # Both sides in one timeline: a row whose nearest neighbours of the other side are out of reach is
-    # unmatched.  One shuffle by (tx id, time bucket) decides that for pays and receipts together.
-    pays = _pays(order_events).select("tx_id", "ts", "seq", "order_id", F.lit(None).cast("string").alias("pay_channel"),
-                                      F.lit(0).alias("_side"))
-    recs = receipts.select("tx_id", "ts", "seq", F.lit(None).cast(pays.schema["order_id"].dataType).alias("order_id"),
-                           "pay_channel", F.lit(1).alias("_side"))
-    both = pays.unionByName(recs).withColumn("_order", F.col("seq") * 2 + F.col("_side"))
-    tl = Timeline(both, "tx_id", seq="_order", halo=bound, look="both")
-    for side in (0, 1):
-        tl.prior(f"_before{side}", pred=F.col("_side") == side)
-        tl.following(f"_after{side}", pred=F.col("_side") == side)
-    limit = F.lit(duration_us(bound))
-
-    def far(side: int) -> Column:
-        near = (F.col("_us") - F.col(f"_before{side}.us") <= limit) | (F.col(f"_after{side}.us") - F.col("_us") <= limit)
-        return ~F.coalesce(near, F.lit(False))
-
-    is_pay = F.col("_side") == 0
-    lone = tl.result().where(F.when(is_pay, far(1)).otherwise(far(0)))
-    rest = lone.select(
-        "tx_id", "order_id", F.when(is_pay, F.col("ts")).alias("pay_ts"), F.when(is_pay, F.col("seq")).alias("pay_seq"),
-        "pay_channel", F.when(~is_pay, F.col("ts")).alias("receipt_ts"), F.when(~is_pay, F.col("seq")).alias("receipt_seq"),
-        F.when(is_pay, F.lit("unmatched_pay")).otherwise(F.lit("unmatched_receipt")).alias("tag"))
-    return pairs.unionByName(rest)
+    'matched', 'unmatched_pay', 'unmatched_receipt'.  Rows without a time take no part.
+
+    One full outer join on (tx id, time bucket) decides all of them.  Both sides are copied to the buckets within
+    the bound, so a row meets every partner in its own bucket, and what a copy finds there does not count.  ``bucket``
+    is the width: a wide one makes few copies, a narrow one splits a tx id with many rows finer."""
+    reach = duration_us(bound)
+    width = duration_us(bucket) if bucket is not None else max(8 * reach, 1)
+
+    def side(df: DataFrame, p: str, cols: list[str]) -> DataFrame:
+        us = to_micros(df, "ts")
+        return _range_buckets(df, us, -reach, reach, width).select(*[F.col(c).alias(p + c) for c in (*cols, "_b")])
+
+    def us_home(df: DataFrame, p: str) -> tuple[Column, Column]:
+        us = to_micros(df, p + "ts")
+        return us, F.col(p + "_b") == ifloor(us, width)
+
+    pays = side(_pays(order_events), "p_", ["tx_id", "order_id", "ts", "seq"])
+    recs = side(receipts, "r_", ["tx_id", "pay_channel", "ts", "seq"])
+    (p_us, p_home), (r_us, r_home) = us_home(pays, "p_"), us_home(recs, "r_")
+    near = (F.col("p_tx_id") == F.col("r_tx_id")) & (F.col("p__b") == F.col("r__b")) & (p_home | r_home) \
+        & (r_us - p_us >= F.lit(-reach)) & (r_us - p_us <= F.lit(reach))
+    # A pair counts in the pay's own bucket, a lone row in its own.
+    j = pays.join(recs, near, "fullOuter").where(F.coalesce(p_home, r_home))
+    return j.select(
+        F.coalesce("p_tx_id", "r_tx_id").alias("tx_id"), F.col("p_order_id").alias("order_id"),
+        F.col("p_ts").alias("pay_ts"), F.col("p_seq").alias("pay_seq"), F.col("r_pay_channel").alias("pay_channel"),
+        F.col("r_ts").alias("receipt_ts"), F.col("r_seq").alias("receipt_seq"),
+        F.when(F.col("p_ts").isNull(), F.lit("unmatched_receipt")).when(F.col("r_ts").isNull(), F.lit("unmatched_pay"))
+        .otherwise(F.lit("matched")).alias("tag"))
 
 
 def tx_window_join(order_events: DataFrame, receipts: DataFrame, size) -> DataFrame:
