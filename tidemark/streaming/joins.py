@@ -1,12 +1,7 @@
-"""Stream-stream joins with watermarks on both inputs.
+"""Reconciliation of two streams with watermarks on both inputs.
 
-The time condition is written as a range on the other side's event time, which
-lets Spark evict join state once the watermark (the minimum over both inputs)
-passes ``ts + bound``.  Outer rows are emitted when their partners can no longer
-arrive.
-
-Spark adds the whole days of such an interval in the session time zone, so the join needs a zone
-without clock changes when its bound has days in it: it insists on UTC then.
+Pays and receipts are matched in groups that hold their rows in packed state until the watermark (the minimum over both
+inputs) has passed ``ts + bound``: see :class:`~tidemark.streaming.processors.Reconciler`.
 """
 
 from __future__ import annotations
@@ -14,22 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.time import as_event_time, duration_us, ifloor, to_ntz
-
-DAY_US = 86_400_000_000
-
-
-def _iv(us: int) -> str:
-    return f"INTERVAL {us} MICROSECONDS"
-
-
-def _bucketed(df: DataFrame, et: str, name: str, width_us: int, reach_us: int) -> DataFrame:
-    """Adds the time bucket of a row, or, with a reach, one row for each bucket that it can match."""
-    us = F.unix_micros(et)
-    if not reach_us:
-        return df.withColumn(name, ifloor(us, width_us))
-    first, last = ifloor(us - F.lit(reach_us), width_us), ifloor(us + F.lit(reach_us), width_us)
-    return df.withColumn(name, F.explode(F.sequence(first, last)))
+from ..functions.time import as_event_time, duration_us, micros_to_ts
+from .processors import Reconciler, reconcile
 
 
 def stream_tx_reconcile(order_events: DataFrame, receipts: DataFrame, bound="5 seconds",
@@ -39,36 +20,26 @@ def stream_tx_reconcile(order_events: DataFrame, receipts: DataFrame, bound="5 s
     Columns: tx_id, order_id, pay_ts, pay_channel, receipt_ts, tag
     ('matched' | 'unmatched_pay' | 'unmatched_receipt').
 
-    With a ``bucket`` (at least twice the bound) the state is keyed by (tx id, time bucket), so a tx id with very many
-    rows is split by time: rows of one side stay in their bucket and the other side is copied to the at most
-    two that it can match.  That takes two joins, one for the pairs and the unmatched pays and one for the unmatched
-    receipts, and about three times the state of the plain form.
+    With a ``bucket`` (at least twice the bound) the state is keyed by time bucket too, so a tx id with very many
+    rows is split by time: each row is copied to the at most two buckets that it can match, and the bucket it lies
+    in decides on it.  That holds about twice the rows of the plain form.
     """
     b, d = duration_us(bound), duration_us(delay)
-    zone = order_events.sparkSession.conf.get("spark.sql.session.timeZone")
-    if b >= DAY_US and zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
-        raise ValueError(f"a bound of a day or more needs spark.sql.session.timeZone=UTC, not {zone}")
-    pays = as_event_time(order_events.where(F.col("tx_id") != ""), "ts", "p_et") \
-        .select(F.col("tx_id").alias("p_tx"), "order_id", "p_et") \
-        .withWatermark("p_et", f"{d} microseconds")
-    recs = as_event_time(receipts, "ts", "r_et") \
-        .select(F.col("tx_id").alias("r_tx"), "pay_channel", "r_et") \
-        .withWatermark("r_et", f"{d} microseconds")
-    near = f"p_tx = r_tx AND r_et >= p_et - {_iv(b)} AND r_et <= p_et + {_iv(b)}"
-    if bucket is None:
-        j = pays.join(recs, F.expr(near), "fullOuter")
-    else:
-        width = duration_us(bucket)
-        if width < 2 * b:
-            raise ValueError("the bucket must be at least twice the bound")
-        same = F.expr(f"p_b = r_b AND {near}")
-        left = _bucketed(pays, "p_et", "p_b", width, 0).join(_bucketed(recs, "r_et", "r_b", width, b), same, "leftOuter")
-        lone = _bucketed(recs, "r_et", "r_b", width, 0).join(_bucketed(pays, "p_et", "p_b", width, b), same, "leftOuter") \
-            .where(F.col("p_tx").isNull())
-        j = left.drop("p_b", "r_b").unionByName(lone.drop("p_b", "r_b"))
-    tag = (F.when(F.col("p_tx").isNotNull() & F.col("r_tx").isNotNull(), F.lit("matched"))
-           .when(F.col("p_tx").isNotNull(), F.lit("unmatched_pay"))
+    width = None if bucket is None else duration_us(bucket)
+    if width is not None and width < 2 * b:
+        raise ValueError("the bucket must be at least twice the bound")
+    pays = as_event_time(order_events.where(F.col("tx_id") != ""), "ts", "_et") \
+        .select("tx_id", "order_id", "_et").where(F.col("_et").isNotNull()).withWatermark("_et", f"{d} microseconds")
+    recs = as_event_time(receipts, "ts", "_et") \
+        .select("tx_id", "pay_channel", "_et").where(F.col("_et").isNotNull()).withWatermark("_et", f"{d} microseconds")
+    j = reconcile(pays, recs, b, width)
+    has = lambda c: F.col("nulls").bitwiseAND(1 << Reconciler.NULLS.index(c)) == 0
+    pay, receipt = F.col("tag") != Reconciler.LONE_RECEIPT, F.col("tag") != Reconciler.LONE_PAY
+    tag = (F.when(pay & receipt, F.lit("matched"))
+           .when(pay, F.lit("unmatched_pay"))
            .otherwise(F.lit("unmatched_receipt")))
-    return j.select(F.coalesce("p_tx", "r_tx").alias("tx_id"), "order_id",
-                    to_ntz(F.col("p_et")).alias("pay_ts"), "pay_channel",
-                    to_ntz(F.col("r_et")).alias("receipt_ts"), tag.alias("tag"))
+    return j.select(F.when(has("tx_id"), F.col("tx_id")).alias("tx_id"),
+                    F.when(pay & has("order_id"), F.col("order_id")).alias("order_id"),
+                    F.when(pay, micros_to_ts(F.col("pay_us"))).alias("pay_ts"),
+                    F.when(receipt & has("pay_channel"), F.col("pay_channel")).alias("pay_channel"),
+                    F.when(receipt, micros_to_ts(F.col("receipt_us"))).alias("receipt_ts"), tag.alias("tag"))
