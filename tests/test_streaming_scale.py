@@ -183,3 +183,74 @@ def test_batch_ranking_expands_no_windows(spark, key):
     ranked = [sorted(map(str, topn.topn_per_group(c, "window_end", "cnt", key, 2).collect())) for c in (top, plain)]
     assert ranked[0] == ranked[1] and ranked[0]
     top.unpersist()
+
+
+class Held:
+    """The state of one group of a reconciliation; counts its writes."""
+
+    def __init__(self):
+        self.get, self.now, self.due, self.writes, self.hasTimedOut = None, 0, None, 0, False
+
+    exists = property(lambda self: self.get is not None)
+
+    def getCurrentWatermarkMs(self):
+        return self.now
+
+    def update(self, v):
+        self.get, self.writes = v, self.writes + 1
+
+    def remove(self):
+        self.get = None
+
+    def setTimeoutTimestamp(self, ms):
+        assert ms >= self.now and ms > 0
+        self.due = ms
+
+
+@pytest.mark.parametrize("seed, width", [(1, None), (2, None), (3, 40), (4, 25)])
+def test_reconciliation_writes_its_state_once_a_call(seed, width):
+    """All rows of a group take one write a call, not some for each row; every pair and lone row comes once, nulls and repeats too."""
+    rnd = random.Random(seed)
+    bound, sec = 10, 1_000_000
+    rows = [(100 + k // 3 + rnd.randrange(8), rnd.random() < 0.5, rnd.choice(["a", "b", "c"]), rnd.choice([None, (1 << 60) + k])) for k in range(600)]
+    rows += [(100 + k, False, None, None) for k in range(0, 200, 20)] + rows[:20]
+    rows.sort(key=lambda r: r[0] + rnd.randrange(9))
+    cuts = [0, 150, 151, 400, len(rows)]
+    groups, got, top = {}, [], 0
+
+    def call(span, df, timed_out):
+        state = groups[span]
+        state.hasTimedOut, writes, state.due = timed_out, state.writes, None
+        for out in SP.Reconciler(bound * sec)((0,), iter([df]), state):
+            for tx, order, p, ch, r, nulls, tag in out.itertuples(index=False, name=None):
+                got.append((None if nulls & 4 else tx, None if tag == 2 or nulls & 1 else order, None if tag == 2 else p // sec,
+                            None if tag == 1 or nulls & 2 else ch, None if tag == 1 else r // sec))
+        assert state.writes - writes <= 1
+        if state.exists:
+            held = SP._unpacked(state.get[0])
+            assert state.due is not None and (held["us"] + bound * sec > state.now * 1000).all()
+
+    cols = ["us", "pay", "home", "nulls", "tx_id", "order_id", "pay_channel"]
+    for lo, hi in [*zip(cuts, cuts[1:]), (len(rows), len(rows))]:
+        new = {}
+        for at, pay, tx, x in rows[lo:hi]:
+            for span in [0] if width is None else range((at - bound) // width, (at + bound) // width + 1):
+                nulls = (1 if not pay or x is None else 0) + (2 if pay or x is None else 0) + (4 if tx is None else 0)
+                new.setdefault(span, []).append((at * sec, pay, width is None or span == at // width, nulls, tx or "",
+                                                 x if pay and x else 0, str(x) if not pay and x else ""))
+        for span, some in new.items():
+            groups.setdefault(span, Held())
+            call(span, pd.DataFrame(some, columns=cols), False)
+        top = max([top, *(r[0] for r in rows[lo:hi])])
+        for span, state in groups.items():
+            state.now = (top - 9) * 1000 if hi > lo else 10_000_000
+            if state.exists and state.due < state.now:
+                call(span, pd.DataFrame([], columns=cols), True)
+    assert not any(s.exists for s in groups.values())
+    pays, recs = [r for r in rows if r[1]], [r for r in rows if not r[1]]
+    near = lambda p, r: p[2] == r[2] and abs(p[0] - r[0]) <= bound
+    name = lambda x: None if x is None else str(x)
+    want = [(p[2], p[3], p[0], name(r[3]), r[0]) for p in pays for r in recs if near(p, r)]
+    want += [(p[2], p[3], p[0], None, None) for p in pays if not any(near(p, r) for r in recs)]
+    want += [(r[2], None, None, name(r[3]), r[0]) for r in recs if not any(near(p, r) for p in pays)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
