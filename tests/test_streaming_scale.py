@@ -254,3 +254,58 @@ def test_reconciliation_writes_its_state_once_a_call(seed, width):
     want += [(p[2], p[3], p[0], None, None) for p in pays if not any(near(p, r) for r in recs)]
     want += [(r[2], None, None, name(r[3]), r[0]) for r in recs if not any(near(p, r) for p in pays)]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def _play_packed(proc, keys, batches):
+    """Output of one packed group, nulls as None, and the most rows that waited; ``batches``: (rows, watermark in ms after them)."""
+    state, out, most = Held(), [], 0
+
+    def call(df, timed_out):
+        state.hasTimedOut, state.due, writes = timed_out, None, state.writes
+        got = [r for o in SP.PackedGroups(proc, keys)((0,), iter([df]), state) for r in o.itertuples(index=False, name=None)]
+        assert state.writes - writes <= 1
+        return [tuple(None if v is None or v != v else v for v in r) for r in got]
+
+    for df, then in batches:
+        if len(df):
+            out += call(df, False)
+        if state.exists and state.get[0]:
+            most = max(most, len(SP._unpacked(state.get[0])))
+        state.now = then
+        if state.exists and state.due is not None and state.due < state.now:
+            out += call(df[:0], True)
+    return out, most, state
+
+
+def _packed_batches(rows, cols, lag):
+    """``rows`` (seconds first) in batches, late rows left out, with a watermark ``lag`` seconds behind and one far on at the end."""
+    batches, kept, top, cuts, n = [], [], 0, [0, 120, 121, 300, len(rows)], cols.index("nulls")
+    for lo, hi in zip(cuts, cuts[1:]):
+        wm = max(0, top - lag)
+        some = rows[lo:hi]
+        kept += [r for r in some if r[0] > wm]
+        filled = [(r[0] * 1_000_000, *(0 if v is None else v for v in r[1:n]), sum(1 << i for i, v in enumerate(r[1:n]) if v is None), *r[n:])
+                  for r in some]
+        top = max([top, *(r[0] for r in some)])
+        batches.append((pd.DataFrame(filled, columns=cols), max(0, top - lag) * 1000))
+    return [*batches, (pd.DataFrame([], columns=cols), 10_000_000_000)], kept
+
+
+@pytest.mark.parametrize("seed, reset", [(1, None), (2, None), (3, 100)])
+def test_packed_click_cap(seed, reset):
+    """All keys of a group at once, one write a call, and no more waiting clicks than can pass; nulls, ties and late rows too."""
+    rnd = random.Random(seed)
+    big = 1 << 60
+    rows = [(500 + 2 * k + rnd.randrange(-9, 9), rnd.choice([None, k, k]), rnd.choice([None, 0, big + 1]), rnd.choice([0, 1]), rnd.choice([None, "p"]), "c")
+            for k in range(450)]
+    batches, kept = _packed_batches(rows, ["ev_us", "seq", "user_id", "ad_id", "nulls", "province", "city"], 12)
+    want, seen = [], {}
+    for at, seq, user, ad, province, city in sorted(kept, key=lambda r: (r[0], r[1] is None, r[1] or 0)):
+        key = user, ad, at // reset if reset else 0
+        seen[key] = seen.get(key, 0) + 1
+        if seen[key] <= 3:
+            want.append((user, ad, province, city, at * 1_000_000, seq, "main" if seen[key] <= 2 else "blacklist"))
+    got, most, state = _play_packed(SP.ClickCapProcessor(2, reset and reset * 1_000_000), ["user_id", "ad_id"], batches)
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 10
+    assert most <= 3 * 6 * (1 if not reset else 5)
+    assert state.exists == (reset is None)               # without a reset the counts stay
