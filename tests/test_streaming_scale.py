@@ -309,3 +309,18 @@ def test_packed_click_cap(seed, reset):
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 10
     assert most <= 3 * 6 * (1 if not reset else 5)
     assert state.exists == (reset is None)               # without a reset the counts stay
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_packed_login_pairs(seed):
+    rnd = random.Random(seed)
+    rows = [(500 + k + rnd.randrange(-9, 9), k, rnd.choice([None, 0, 7, (1 << 60) + 1]), rnd.choice([True, True, False])) for k in range(450)]
+    batches, kept = _packed_batches(rows, ["ev_us", "seq", "user_id", "nulls", "fail"], 12)
+    want, last = [], {}
+    for at, _, user, fail in sorted(kept, key=lambda r: r[:2]):
+        if fail and last.get(user) is not None and at - last[user] < 5:
+            want.append((user, last[user] * 1_000_000, at * 1_000_000, 2))
+        last[user] = at if fail else None
+    got, _, state = _play_packed(SP.FailPairProcessor(5_000_000), ["user_id"], batches)
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 10
+    assert not state.exists
