@@ -324,3 +324,16 @@ def test_packed_login_pairs(seed):
     got, _, state = _play_packed(SP.FailPairProcessor(5_000_000), ["user_id"], batches)
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 10
     assert not state.exists
+
+
+@pytest.mark.parametrize("own", [None, "false"])
+def test_streams_commit_changes_unless_the_session_says_otherwise(spark, own):
+    from tidemark.streaming import runner
+    before = spark.conf.get(runner.CHANGELOG, None)
+    spark.conf.unset(runner.CHANGELOG) if own is None else spark.conf.set(runner.CHANGELOG, own)
+    try:
+        with runner.state_store(spark):
+            assert spark.conf.get(runner.CHANGELOG) == (own or "true")
+        assert spark.conf.get(runner.CHANGELOG, None) == own
+    finally:
+        spark.conf.unset(runner.CHANGELOG) if before is None else spark.conf.set(runner.CHANGELOG, before)
